@@ -7,17 +7,19 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Java's notation for the words of the contracts: runs of anything but space and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 
+_own: dict[str, str] = {}
+
 
 def work_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir; a temporary one where that is unset (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
     return folder.rstrip("/")
 
 
@@ -33,6 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """df's schema with more columns behind."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def crc_mod(column: str | Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo a small number: the folds of the contracts. A null id is in fold 0."""
     col = F.col(column) if isinstance(column, str) else column
@@ -41,10 +48,9 @@ def crc_mod(column: str | Column, modulus: int) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null or blank text."""
-    n = F.size(F.split(F.coalesce(text, F.lit("")), SPACE, -1))
-    first = F.coalesce(text, F.lit("")).rlike(r"^[\x20\x09-\x0D]").cast("int")
-    last = F.coalesce(text, F.lit("")).rlike(r"[\x20\x09-\x0D]\z").cast("int")
-    return F.greatest(n - first - last, F.lit(0)).cast("long")
+    parts = F.split(text, SPACE, -1)
+    blank_ends = (F.element_at(parts, 1) == "").cast("int") + (F.element_at(parts, -1) == "").cast("int")
+    return F.coalesce(F.greatest(F.size(parts) - blank_ends, F.lit(0)), F.lit(0)).cast("long")
 
 
 def utf8_size(text: Column) -> Column:
