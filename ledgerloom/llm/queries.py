@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iso_media, language_id, packing, quality, warc
+from . import iso_media, language_id, mixing, packing, quality, sharding, warc
 from .common import crc_mod
 
 
@@ -22,6 +22,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), net).drop("text")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     params = quality.QualityParams()
@@ -38,6 +42,12 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probed.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "media_error")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = mixing.decide(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    rows = chosen.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -47,7 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op6_quality_classifier, op7_media_columns, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_language_id, op4_sharding, op6_quality_classifier, op7_media_columns, op8_mixing, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
