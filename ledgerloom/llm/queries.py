@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iso_media, language_id, mixing, packing, quality, sharding, warc
+from . import iso_media, language_id, minmax_dedup, mixing, packing, quality, sharding, warc
 from .common import crc_mod
 
 
@@ -22,6 +22,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), net).drop("text")
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), minmax_dedup.DedupParams(shingle=4))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -57,7 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_sharding, op6_quality_classifier, op7_media_columns, op8_mixing, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_language_id, op3_minhash_dedup, op4_sharding, op6_quality_classifier, op7_media_columns, op8_mixing, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
