@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iso_media, language_id, minmax_dedup, mixing, packing, quality, sharding, warc
+from . import iso_media, language_id, minmax_dedup, mixing, packing, pq_dedup, quality, sharding, warc
 from .common import crc_mod
 
 
@@ -30,6 +30,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     params = quality.QualityParams()
@@ -61,7 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_minhash_dedup, op4_sharding, op6_quality_classifier, op7_media_columns, op8_mixing, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_language_id, op3_minhash_dedup, op4_sharding, op5_embedding_dedup, op6_quality_classifier, op7_media_columns, op8_mixing, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
