@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iso_media, language_id, minmax_dedup, mixing, packing, pq_dedup, quality, sharding, warc
+from . import iso_media, language_id, lm_score, minmax_dedup, mixing, packing, pq_dedup, quality, sharding, warc
 from .common import crc_mod
 
 
@@ -22,6 +22,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), net).drop("text")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 5) == 1
+    return lm_score.learn_and_score(docs.select("doc_id", held_out.alias("held_out"), "text"), ~F.col("held_out"))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), minmax_dedup.DedupParams(shingle=4))
 
@@ -65,7 +71,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_minhash_dedup, op4_sharding, op5_embedding_dedup, op6_quality_classifier, op7_media_columns, op8_mixing, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_minhash_dedup, op4_sharding, op5_embedding_dedup, op6_quality_classifier, op7_media_columns, op8_mixing, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
