@@ -50,7 +50,7 @@ def _align(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT case_id, source_document_id, page, 'UNMATCHED_ROW', row_index::INT, NULL, NULL FROM ledger WHERE {BASE} AND row_index % 37 = 0""")
 def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _readings(spark, sf_dir)
-    return recognition.compare_readings(left, right, recognition.align_readings(left, right))
+    return recognition.compare_readings(left, right, written(recognition.align_readings(left, right), "pairs"))
 
 
 IMPLIED = f"""{ORACLE}, r AS (SELECT *, balance_cents - {SIGNED} AS implied FROM ledger WHERE balance_cents IS NOT NULL)"""
@@ -69,7 +69,7 @@ def _overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.merge_overlapping_views(ledger(spark, sf_dir))
 
 
-@query("d23_row_contract_checks", f"""{ORACLE}, c AS (SELECT case_id, source_document_id AS document_id, page, count(*) AS got, count(*) + CASE WHEN page % 13 = 0 THEN 1 ELSE 0 END AS declared FROM ledger GROUP BY ALL)
+@query("d23_row_contract_checks", f"""{ORACLE}, c AS (SELECT case_id, source_document_id AS document_id, page, count(*) AS got, count(*) + CASE WHEN page % 13 = 0 THEN 1 ELSE 0 END AS declared FROM ledger GROUP BY case_id, source_document_id, page)
 SELECT case_id, source_document_id AS document_id, page, row_index AS row, 'DUPLICATE_LOCATION' AS code FROM (SELECT case_id, source_document_id, page, row_index FROM ledger GROUP BY ALL HAVING count(*) > 1)
 UNION ALL SELECT case_id, source_document_id, page, row_index, 'DIRECTION' FROM ledger WHERE direction = 'UNKNOWN' UNION ALL SELECT case_id, source_document_id, page, row_index, 'AMOUNT' FROM ledger WHERE amount_cents <= 0
 UNION ALL SELECT case_id, source_document_id, page, row_index, 'COUNTERPARTY' FROM ledger WHERE counterparty_name IS NULL AND counterparty_account IS NULL

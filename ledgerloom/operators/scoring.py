@@ -20,8 +20,9 @@ def multiset_overlap(gold: DataFrame, pred: DataFrame, keys: Sequence[str], grai
     out = []
     for name, fields in grains.items():
         g, p = (t.groupBy(*keys, *fields).agg(F.count("*").alias(n)) for t, n in ((gold, "_g"), (pred, "_p")))
-        both = g.join(p, reduce(lambda a, b: a & b, [g[c].eqNullSafe(p[c]) for c in (*keys, *fields)]), "full")
-        picked = both.select(*[F.coalesce(g[c], p[c]).alias(c) for c in keys], F.coalesce("_g", F.lit(0)).alias("_g"), F.coalesce("_p", F.lit(0)).alias("_p"))
+        other = p.select("_p", *[F.col(c).alias(f"_{c}") for c in (*keys, *fields)])
+        both = g.join(other, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, *fields)]), "full")
+        picked = both.select(*[F.coalesce(c, f"_{c}").alias(c) for c in keys], F.coalesce("_g", F.lit(0)).alias("_g"), F.coalesce("_p", F.lit(0)).alias("_p"))
         out.append(picked.groupBy(*keys).agg(F.sum("_g").alias("gold_rows"), F.sum("_p").alias("pred_rows"), F.sum(F.least("_g", "_p")).alias("common_rows")).withColumn("grain", F.lit(name)))
     return reduce(DataFrame.unionByName, out)
 
@@ -87,9 +88,9 @@ def direction_code_votes(rows: DataFrame, keys: Sequence[str], marker: str = "ma
 def gold_best_match(gold: DataFrame, pred: DataFrame, fields: Sequence[str], block: str, weights: dict[str, int], gold_id: str = "gold_id", pred_id: str = "pred_id") -> DataFrame:
     """Equal rows paired as a multiset; of the rest, rows of one block that are each other's best by weighted agreement."""
     keyed = lambda t, i: t.withColumn("_o", F.row_number().over(Window.partitionBy(*fields).orderBy(i)))
-    g, p = keyed(gold, gold_id), keyed(pred, pred_id)
-    same = reduce(lambda a, b: a & b, [g[f].eqNullSafe(p[f]) for f in (*fields, "_o")])
-    exact = g.join(p, same).select(g[gold_id], p[pred_id], F.lit(None).cast("long").alias("score"))
+    g, p = keyed(gold, gold_id), keyed(pred, pred_id).select(pred_id, *[F.col(f).alias(f"_same_{f}") for f in (*fields, "_o")])
+    same = reduce(lambda a, b: a & b, [F.col(f).eqNullSafe(F.col(f"_same_{f}")) for f in (*fields, "_o")])
+    exact = g.join(p, same).select(gold_id, pred_id, F.lit(None).cast("long").alias("score"))
     gr, pr = gold.join(exact, gold_id, "left_anti"), pred.join(exact, pred_id, "left_anti")
     left, right = gr.select(gold_id, block, *[F.col(f).alias(f"_g_{f}") for f in weights]), pr.select(pred_id, block, *[F.col(f).alias(f"_p_{f}") for f in weights])
     score = reduce(lambda a, b: a + b, [F.when(F.col(f"_g_{f}").eqNullSafe(F.col(f"_p_{f}")), w).otherwise(0) for f, w in weights.items()])

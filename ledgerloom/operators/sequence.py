@@ -255,8 +255,8 @@ def bridge_heal(txn: DataFrame) -> DataFrame:
     Rows are sorted within partitions and scanned with one balance of state, whatever an account's length. A missing
     balance is carried on from the repaired amount, so that later rows are judged by repaired values.
     """
-    fields = [*ACCOUNT, "page", "row_index", "seq", "id", "direction", "amount_cents", "balance_cents"]
+    fields = [*ACCOUNT, "page", "row_index", "seq", "id", "transaction_date", "direction", "amount_cents", "balance_cents"]
     ranked = physical_rank(txn.select(*fields))
     dealt = ranked.repartition(*[F.col(c) for c in ACCOUNT]).sortWithinPartitions(*ACCOUNT, "physical_rank")
-    found = dealt.mapInPandas(_scan, "case_id int, id string, amount_cents long, repaired_cents long, reason string")
+    found = dealt.mapInPandas(_scan, f"case_id {dict(txn.dtypes)['case_id']}, id string, amount_cents long, repaired_cents long, reason string")
     return found.where("reason is not null")
