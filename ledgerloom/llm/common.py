@@ -57,36 +57,33 @@ def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components", most_rounds: int = 60, edges_per_task: int = 100_000) -> DataFrame:
     """(id, component) for every id in the undirected edges (a, b); component is the smallest id that links reach.
 
     Alternating large-star and small-star steps: each round every id hands its neighbours the smallest id it
-    knows, so a path halves from round to round. Each round is two group-bys and two joins on ids, written to the
-    shared folder; no id's neighbours are ever gathered in one place.
+    knows, so a path halves from round to round. A round is grouped minima and joins on ids, written to the shared
+    folder; no id's neighbours are ever gathered in one place. It ends once every id has one edge, to a root.
     """
 
-    def mark(df: DataFrame) -> tuple:
-        row = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return row[0], row[1]
+    def settled(df: DataFrame) -> bool:
+        roots = df.select(F.col("b").alias("a"), F.lit(0).alias("n")).distinct()
+        per = df.groupBy("a").agg(F.count("*").alias("n")).unionByName(roots).groupBy("a").agg(F.sum(F.when(F.col("n") == 0, 1).otherwise(0)).alias("root"), F.sum("n").alias("n"))
+        return not per.where("n > 1 or (n > 0 and root > 0)").limit(1).count()
 
     flat = edges.where("a is not null and b is not null and a <> b")
     pairs = written(flat.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = mark(pairs)
-    if not before[0]:
-        return pairs.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    tasks = -(-pairs.count() // edges_per_task)
     for _ in range(most_rounds):
+        if not tasks or settled(pairs):
+            break
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, name)
+        large = written(large.coalesce(tasks), name)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.greatest("b", "m").alias("x"), F.least("b", "m").alias("y"))
         pairs = small.unionByName(least.select(F.col("a").alias("x"), F.col("m").alias("y"))).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        pairs = written(pairs, name)
-        now = mark(pairs)
-        if now == before:
-            break
-        before = now
+        pairs = written(pairs.coalesce(tasks), name)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = pairs.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
