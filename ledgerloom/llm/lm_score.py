@@ -2,21 +2,24 @@
 
 Every distinct token of the training documents is counted (a Spark aggregation that grows with the corpus). The
 model's outputs are the most frequent tokens, the end of a text, and classes for all other tokens: one for each of
-the most frequent last two bytes and one for the rest. The embeddings of the previous tokens' outputs, each through
+the most frequent last two bytes and one for the rest. There are more of both the more distinct tokens there are: they
+grow with the square root of the vocabulary. The embeddings of the previous tokens' outputs, each through
 its position's matrix, add up to a predicted vector; its products with the output vectors plus biases, normalised by
 a softmax over all outputs, are probabilities. A token of a class has the class's probability times its smoothed
 share of the class, so probabilities of all tokens, with one unseen token per class, add up to one.
 
-The neural weights are fitted on the driver on a bounded sample of training documents; token counts, class sizes,
-noise distribution and first biases come from all of them. Scoring takes texts whole: tokens with a common count are
-looked up in a broadcast table of bounded size, the others are joined to the counts by a shuffle.
+The neural weights are fitted on all training texts, whole. They are written as output numbers once; in each epoch
+every task fits the weights that all share on its own texts, and the tasks' weights, averaged by their tokens, are those
+of the next epoch. Scoring takes texts whole, too: tokens with a common count are looked up in a broadcast table of
+bounded size, the others are joined to the counts by a shuffle.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +33,25 @@ END = b""  # no word is empty, so the end of a text can be
 
 @dataclass(frozen=True)
 class LmParams:
-    words: int = 255  # outputs that are single words
-    classes: int = 127  # outputs that are classes by the last two bytes; one more holds the rest
+    words: int = 255  # outputs that are single words, at least
+    classes: int = 127  # outputs that are classes by the last two bytes, at least; one more holds the rest
     dim: int = 32
     context: int = 4  # previous tokens
     common: int = 300_000  # bound of the broadcast table of counts
-    sample_docs: int = 2000  # training documents in the sample, about
-    sample_chars: int = 4000  # characters of each, from a hashed place on
+    sample_docs: int = 2000  # without effect, as is the next: all training texts are read, whole
+    sample_chars: int = 4000
+    task_tokens: int = 1_000_000  # tokens of a training task, at least
+    buffer: int = 65_536  # tokens shuffled together within a task, about
     noise: int = 96  # noise tokens, shared by a batch
     batch: int = 2048
     epochs: int = 4
     rate: float = 0.01
     seed: int = 13
 
+    def outputs(self, distinct: int) -> tuple[int, int]:
+        """Words and classes for so many distinct tokens."""
+        return max(self.words, isqrt(distinct) // 2), max(self.classes, isqrt(distinct) // 4)
+
 
 def tokens(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased."""
@@ -115,10 +124,11 @@ def vocabulary(counts: DataFrame, params: LmParams) -> Vocabulary:
         least, room = s, room - n
     got = [] if least is None else counts.where(step >= least).collect()
     common = sorted(((bytes(r["word"]), r["c"]) for r in got), key=lambda x: (-x[1], x[0]))
-    words = [END] + [w for w, _ in common if w != END][: params.words]
-    chosen = F.col("word").isin([F.lit(w) for w in words])
-    by_last = counts.where(~chosen).groupBy(_last(F.col("word")).alias("s")).agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-    top = by_last.orderBy(F.desc("n"), "s").limit(params.classes).collect()
+    n_words, n_classes = params.outputs(total["v"])
+    words = [END] + [w for w, _ in common if w != END][:n_words]
+    chosen = counts.sparkSession.createDataFrame([(w,) for w in words], "word binary")
+    by_last = counts.join(F.broadcast(chosen), "word", "left_anti").groupBy(_last(F.col("word")).alias("s")).agg(F.sum("c").alias("n"), F.count("*").alias("v"))
+    top = by_last.orderBy(F.desc("n"), "s").limit(n_classes).collect()
     in_words = dict(common)
     rest_n = total["n"] - sum(in_words.get(w, 0) for w in words) - sum(r["n"] for r in top)
     rest_v = total["v"] - sum(w in in_words for w in words) - sum(r["v"] for r in top)
@@ -148,46 +158,59 @@ class LogBilinear:
             out[j - 1, ok] = ids[at[ok] - j]
         return out
 
-    def fit(self, ids: np.ndarray, starts: np.ndarray) -> LogBilinear:
-        """Noise-contrastive estimation: tell each token from noise tokens drawn by their share. Adam on mini-batches."""
+    def fit(self, texts: Iterator[np.ndarray], epoch: int, seed: int) -> int:
+        """One pass over texts (outputs of their tokens); how many tokens they have.
+
+        Noise-contrastive estimation: tell each token from noise tokens drawn by their share. Adam on mini-batches of
+        tokens shuffled within a buffer of whole texts.
+        """
         p, w = self.params, self.w
-        if not len(ids):
-            return self
-        rng = np.random.default_rng(p.seed + 1)
-        ctx = self.contexts(ids, starts)
+        rng = np.random.default_rng([p.seed + 1, epoch, seed])
         log_noise = (np.log(self.share) + np.log(p.noise)).astype(np.float32)
-        m, v, step = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}, 0
-        batches = max(1, len(ids) // p.batch)
-        for epoch in range(p.epochs):
-            order = rng.permutation(len(ids))
-            for at in np.array_split(order, batches):
-                rate = p.rate * (1 - (epoch * batches + step % batches) / (p.epochs * batches)) + 1e-4
-                noise = rng.choice(len(self.share), p.noise, p=self.share)
+        upto = np.cumsum(self.share)
+        m, v, step, seen = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}, 0, 0
+        rate = p.rate * (1 - epoch / p.epochs) + 1e-4
+        for parts in _buffers(texts, p.buffer):
+            lengths = np.array([len(x) for x in parts])
+            ids = np.concatenate(parts)
+            ctx = self.contexts(ids, np.repeat(np.cumsum(lengths) - lengths, lengths))
+            seen += len(ids)
+            for at in np.array_split(rng.permutation(len(ids)), max(1, len(ids) // p.batch)):
+                noise = np.minimum(np.searchsorted(upto, rng.random(p.noise) * upto[-1], "right"), len(upto) - 1)
                 grad, step = self._gradient(ids[at], ctx[:, at], noise, log_noise), step + 1
                 for k, g in grad.items():
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.001 * (g * g - v[k])
-                    w[k] -= (rate / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        return self
+                    m[k] += np.float32(0.1) * (g - m[k])
+                    v[k] += np.float32(0.001) * (g * g - v[k])
+                    w[k] -= np.float32(rate / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.999**step)) + np.float32(1e-8))
+        return seen
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for a in self.w.values()])
+
+    def unpack(self, flat: np.ndarray) -> None:
+        at = 0
+        for k, a in self.w.items():
+            self.w[k] = flat[at : at + a.size].reshape(a.shape).astype(np.float32)
+            at += a.size
 
     def _gradient(self, y: np.ndarray, ctx: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> dict[str, np.ndarray]:
-        w, n = self.w, len(y)
-        seen = [w["inp"][c] for c in ctx]
-        q = sum(x @ mat for x, mat in zip(seen, w["mat"], strict=True))
+        w, n, d = self.w, len(y), self.params.dim
+        mat = w["mat"].reshape(-1, d)
+        seen = w["inp"][ctx.T].reshape(n, -1)
+        q = seen @ mat
         of_true = (q * w["out"][y]).sum(1) + w["bias"][y] - log_noise[y]
-        of_noise = q @ w["out"][noise].T + w["bias"][noise] - log_noise[noise]
-        d_true = -1 / (1 + np.exp(np.clip(of_true, -30, 30)))
-        d_noise = 1 / (1 + np.exp(-np.clip(of_noise, -30, 30)))
-        d_true, d_noise = d_true.astype(np.float32) / n, d_noise.astype(np.float32) / n
-        grad = {k: np.zeros_like(a) for k, a in w.items()}
+        of_noise = q @ w["out"][noise].T + (w["bias"][noise] - log_noise[noise])
+        d_true = (-1 / (1 + np.exp(np.clip(of_true, -30, 30)))).astype(np.float32) / np.float32(n)
+        np.clip(of_noise, -30, 30, out=of_noise)
+        np.exp(np.negative(of_noise, out=of_noise), out=of_noise)
+        of_noise += np.float32(1)
+        d_noise = np.divide(np.float32(1 / n), of_noise, out=of_noise)
+        grad = {"inp": None, "mat": None, "out": _sums(y, d_true[:, None] * q, len(w["out"])), "bias": np.bincount(y, d_true, len(w["bias"])).astype(np.float32)}
         np.add.at(grad["out"], noise, d_noise.T @ q)
         np.add.at(grad["bias"], noise, d_noise.sum(0))
-        grad["out"] += _sums(y, d_true[:, None] * q, len(grad["out"]))
-        grad["bias"] += np.bincount(y, d_true, len(grad["bias"])).astype(np.float32)
         dq = d_true[:, None] * w["out"][y] + d_noise @ w["out"][noise]
-        for j, (c, x) in enumerate(zip(ctx, seen, strict=True)):
-            grad["mat"][j] = x.T @ dq
-            grad["inp"] += _sums(c, dq @ w["mat"][j].T, len(grad["inp"]))
+        grad["mat"] = (seen.T @ dq).reshape(w["mat"].shape)
+        grad["inp"] = _sums(ctx.T.ravel(), (dq @ mat.T).reshape(-1, d), len(w["inp"]))
         return grad
 
     def scorer(self):
@@ -195,19 +218,20 @@ class LogBilinear:
         tables = [self.w["inp"] @ mat for mat in self.w["mat"]]
         out, bias = np.ascontiguousarray(self.w["out"].T), self.w["bias"]
         ones = np.ones(len(bias), np.float32)
+        block = 512
 
         def score(ctx: np.ndarray, y: np.ndarray) -> np.ndarray:
             result = np.empty(len(y))
-            for lo in range(0, len(y), 2048):
-                q = tables[0][ctx[0, lo : lo + 2048]]
+            for lo in range(0, len(y), block):
+                q = tables[0][ctx[0, lo : lo + block]]
                 for t, c in zip(tables[1:], ctx[1:], strict=True):
-                    q = q + t[c[lo : lo + 2048]]
+                    q = q + t[c[lo : lo + block]]
                 z = q @ out
                 z += bias
                 np.minimum(z, 80, out=z)
-                true = z[np.arange(len(z)), y[lo : lo + 2048]]
+                true = z[np.arange(len(z)), y[lo : lo + block]]
                 np.exp(z, out=z)
-                result[lo : lo + 2048] = true - np.log(z @ ones)
+                result[lo : lo + block] = true - np.log(z @ ones)
             return result / np.log(10)
 
         return score
@@ -215,7 +239,7 @@ class LogBilinear:
 
 def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Rows added up by index."""
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(index.astype(np.int16) if n < 1 << 15 else index, kind="stable")  # 16 bits are sorted by digits
     s = index[order]
     first = np.nonzero(np.r_[True, s[1:] != s[:-1]])[0]
     out = np.zeros((n, rows.shape[1]), rows.dtype)
@@ -223,6 +247,19 @@ def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _buffers(texts: Iterator[np.ndarray], size: int) -> Iterator[list[np.ndarray]]:
+    """Whole texts, together of about so many tokens."""
+    parts, held = [], 0
+    for x in texts:
+        parts.append(x)
+        held += len(x)
+        if held >= size:
+            yield parts
+            parts, held = [], 0
+    if parts:
+        yield parts
+
+
 class Encoder:
     """Tokens to outputs and to what is known of their counts."""
 
@@ -250,21 +287,77 @@ class Encoder:
         return at, out
 
 
-def train(docs: DataFrame, vocab: Vocabulary, params: LmParams = LmParams(), text: str = "text", key: str = "doc_id") -> LogBilinear:
-    """Fit on a bounded sample of docs, thinned by a hash of the key."""
-    n = docs.count()
-    mark = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(params.seed)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    place = F.lit(1) + F.pmod(F.xxhash64(F.col(key).cast("string")), F.greatest(F.length(text) - params.sample_chars, F.lit(1))).cast("int")
-    picked = docs.where(mark < params.sample_docs / max(1, n)).select(F.col(key).cast("string").alias("k"), F.substring(text, place, F.lit(params.sample_chars)).alias("t")).collect()
-    encoder = Encoder(vocab)
-    parts = [encoder.outputs([*tokens(t), END])[1] for _, t in sorted((r["k"] or "", r["t"] or "") for r in picked)]
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    lengths = np.array([len(x) for x in parts], int)
-    starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return LogBilinear(vocab.outputs, vocab.share(), params).fit(ids, starts)
+_encoders: dict = {}
 
 
-_encoders: dict = {}
+def _once(key: object, make: Callable):
+    """What a worker process makes once for all tasks that use the same broadcast."""
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = make()
+    return _encoders[key]
+
+
+def _encoded(docs: DataFrame, vocab: Vocabulary, text: str) -> DataFrame:
+    """(ids): the outputs of every text's tokens and its end, as 32-bit numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    token = ("ids", shared.id if hasattr(shared, "id") else id(shared))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = None
+        for batch in batches:
+            encoder = encoder or _once(token, lambda: Encoder(shared.value))
+            for lo in range(0, batch.num_rows, 256):
+                rows = [encoder.outputs([*tokens(t), END])[1].astype("<i4").tobytes() for t in batch.column(0).slice(lo, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
+
+    return docs.select(text).mapInArrow(run, "ids binary")
+
+
+def _epoch(ids: DataFrame, model: LogBilinear, epoch: int, tasks: int) -> np.ndarray | None:
+    """Weights after each task's pass over its texts from the model's weights on, averaged by tokens; null without texts.
+
+    Groups of about sqrt(tasks) tasks are added up by tasks, the groups' sums by the driver.
+    """
+    shared = ids.sparkSession.sparkContext.broadcast(model)
+    groups = max(1, isqrt(tasks))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        given = shared.value
+        own = LogBilinear.__new__(LogBilinear)
+        own.params, own.share, own.w = given.params, given.share, {k: a.copy() for k, a in given.w.items()}
+        part = TaskContext.get().partitionId()
+        n = own.fit((np.frombuffer(x.as_buffer(), "<i4") for b in batches for x in b.column(0)), epoch, part)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([part % groups], pa.int32()), pa.array([n], pa.int64()), pa.array([own.packed().tobytes()], pa.binary())], names=["g", "n", "w"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, 0.0
+        for batch in batches:
+            for k, w in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                n, total = n + k, total + k * np.frombuffer(w.as_buffer(), np.float32).astype(float)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["g", "n", "w"])
+
+    kind = "g int, n long, w binary"
+    sums = ids.coalesce(tasks).mapInArrow(fit, kind).repartition(groups, "g").mapInArrow(add, kind).select("n", "w").collect()
+    shared.unpersist()
+    if not sums:
+        return None
+    return sum(r["n"] * np.frombuffer(r["w"], np.float32).astype(float) for r in sums) / sum(r["n"] for r in sums)
+
+
+def train(docs: DataFrame, vocab: Vocabulary, params: LmParams = LmParams(), text: str = "text", key: str = "doc_id") -> LogBilinear:
+    """Fit on all of docs: an average of the tasks' weights after each epoch."""
+    ids = written(_encoded(docs, vocab, text), "lm-ids")
+    model = LogBilinear(vocab.outputs, vocab.share(), params)
+    for epoch in range(params.epochs):
+        weights = _epoch(ids, model, epoch, max(1, vocab.total // params.task_tokens))
+        if weights is not None:
+            model.unpack(weights)
+    return model
 
 
 def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilinear, text: str = "text") -> DataFrame:
@@ -283,10 +376,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model = shared.value
-        if token not in _encoders:
-            _encoders.clear()
-            _encoders[token] = (Encoder(vocab), model.scorer())
-        encoder, scorer = _encoders[token]
+        encoder, scorer = _once(token, lambda: (Encoder(vocab), model.scorer()))
         first_class = len(vocab.words)
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
@@ -314,9 +404,10 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
     scored = written(scored, "lm-scored")
     rare = scored.select("_rid", F.explode("rare").alias("r")).select("_rid", F.col("r.w").alias("word"), F.col("r.k").alias("k"), F.col("r.tf").alias("tf"))
     joined = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    sizes = F.array(*[F.lit(n + 0.5 * (v + 1)) for n, v in zip(vocab.class_tokens, vocab.class_distinct, strict=True)])
+    sizes = spark.createDataFrame([(k, n + 0.5 * (v + 1)) for k, (n, v) in enumerate(zip(vocab.class_tokens, vocab.class_distinct, strict=True))], "k int, size double")
+    joined = joined.join(F.broadcast(sizes), "k", "left")
     base = F.log10((F.col("c") + 0.5) / F.lit(vocab.total + 0.5 * (vocab.distinct + 1)))
-    inner = F.when(F.col("k") >= 0, F.log10((F.col("c") + 0.5) / F.element_at(sizes, F.greatest(F.col("k"), F.lit(0)) + 1))).otherwise(0.0)
+    inner = F.when(F.col("k") >= 0, F.log10((F.col("c") + 0.5) / F.col("size"))).otherwise(0.0)
     sums = joined.groupBy("_rid").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("_known"), F.sum(F.col("tf") * base).alias("_base"), F.sum(F.col("tf") * inner).alias("_inner"))
     out = scored.drop("rare").join(sums, "_rid", "left")
     some = lambda c, z: F.coalesce(c, F.lit(z))

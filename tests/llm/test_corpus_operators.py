@@ -112,6 +112,25 @@ def test_lm_probabilities_add_up_to_one(spark, odd):
         assert inside[i] + unseen == pytest.approx((tokens + 0.5) / (tokens + 0.5)), i
 
 
+def test_lm_learns_from_all_training_texts(spark):
+    """Pairs that only texts outside a sample, and places far inside texts, show are learned; outputs follow the vocabulary."""
+    params = lm_score.LmParams(words=6, classes=4, dim=8, sample_docs=1, sample_chars=10, rate=0.05, batch=64, task_tokens=5000, buffer=500)
+    rng = random.Random(3)
+    pairs = [("a1", "b1"), ("a2", "b2")]
+    rows = [(i, " ".join(["z"] * 2000 + [w for _ in range(300) for w in rng.choice(pairs)])) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    vocab = lm_score.vocabulary(lm_score.count_tokens(docs), params)
+    model, encoder = lm_score.train(docs, vocab, params), lm_score.Encoder(vocab)
+    for a, b in pairs:
+        ids = encoder.outputs([*[w.encode() for p in pairs * 3 for w in p], a.encode(), b.encode()])[1]
+        ctx = model.contexts(ids, np.zeros(len(ids), int))
+        assert 10 ** model.scorer()(ctx[:, -1:], ids[-1:])[0] > 0.8, (a, b)
+    many = spark.range(10_000).selectExpr("id as doc_id", "concat('w', id) as text")
+    grown = lm_score.vocabulary(lm_score.count_tokens(many), params)
+    assert len(grown.words) == 51 and len(grown.suffixes) == 25
+    assert sum(grown.class_tokens) + 10_000 + 50 == grown.total == 20_000
+
+
 def _brute_sets(rows, k):
     out = {}
     for doc, text in rows:
