@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.identity import is_reliable_account, norm_part, text
+from ..plans.storage import written
 
 COMPARED = ("time", "balance", "party_account", "summary", "party_name", "raw")
 
@@ -142,13 +143,25 @@ def canonical_events(txn: DataFrame) -> DataFrame:
     led_many = many.groupBy(*key).applyInPandas(_greedy, f"case_id {dict(txn.dtypes)['case_id']}, id string, leader string, confidence double")
     led_many = led_many.join(many.select("case_id", "id", one.alias("o")), ["case_id", "id"]).select("case_id", "leader", "confidence", "o")
     led = single.unionByName(two).unionByName(led_many)
-    level = led
-    for _ in range(3 if declares else 0):  # a declared row may name another declared row, and that one a third
-        level = declared.join(level.select("case_id", F.col("o.id").alias("target"), "leader", "confidence"), ["case_id", "target"]).select("case_id", "leader", F.least("confidence", F.lit(0.98)).alias("confidence"), one.alias("o"))
-        led = led.unionByName(level)
+    if declares:
+        ends = _chain_ends(declared.select("case_id", "id", "target"))
+        groups = led.select("case_id", F.col("o.id").alias("target"), "leader", "confidence")
+        followers = declared.drop("target").join(ends, ["case_id", "id"]).join(groups, ["case_id", "target"])
+        led = led.unionByName(followers.select("case_id", "leader", F.least("confidence", F.lit(0.98)).alias("confidence"), one.alias("o")))
     return _named(led)
 
 
+def _chain_ends(links: DataFrame) -> DataFrame:
+    """links (case_id, id, target) with the target that names no other row itself. Each round doubles the length followed."""
+    links = written(links, "declared")
+    while True:
+        following = links.select("case_id", F.col("id").alias("target"), F.col("target").alias("_next"))
+        links = written(links.join(following, ["case_id", "target"], "left").select("case_id", "id", F.coalesce("_next", "target").alias("target"), F.col("_next").isNotNull().alias("_moved")), "declared")
+        moved, links = links.where("_moved").limit(1).count(), links.drop("_moved")
+        if not moved:
+            return links
+
+
 def _named(led: DataFrame) -> DataFrame:
     """Representative, event id and size of each group of observations."""
     group = led.groupBy("case_id", "leader").agg(

@@ -80,6 +80,13 @@ def test_three_documents_and_declared_repeats(make):
     assert {r["n_observations"] for r in declared.collect()} == {4}
 
 
+def test_long_chains_of_declared_repeats_stay_in_one_event(make):
+    txn = make(*[row(f"c{i}", i, amount_cents=1000 + i) for i in range(9)], row("z", 20))
+    got = {r["id"]: r for r in events.canonical_events(txn.withColumn("duplicate_of", F.when(F.col("seq").between(1, 8), F.concat(F.lit("c"), F.col("seq") - 1)))).collect()}
+    assert len(got) == 10 and {got[f"c{i}"]["event_id"] for i in range(9)} == {got["c0"]["event_id"]} != {got["z"]["event_id"]}
+    assert got["c8"]["n_observations"] == 9 and got["c8"]["confidence"] == 0.98
+
+
 def test_unknown_direction_never_merges(make):
     txn = make(row("a", 1, direction="UNKNOWN", balance_cents=5), row("b", 2, direction="UNKNOWN", balance_cents=5, source_document_id="D2"))
     assert events.canonical_events(txn).select("event_id").distinct().count() == 2
