@@ -85,14 +85,21 @@ def page_identity_fill(txn: DataFrame) -> DataFrame:
     return docs.where("account_number is null").join(filled.select(*DOCUMENT, "page", "fill"), [*DOCUMENT, "page"], "left").select("case_id", "id", "page", F.col("fill").alias("filled_account"))
 
 
-def page_context(pages: DataFrame, k: int = 2, reach: int = 40) -> DataFrame:
-    """For each page with one account, up to k nearest other pages of its document with the same account and no other bank."""
-    a, b = pages.where("account is not null").alias("a"), pages.where("account is not null").alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*DOCUMENT, "account")]
-    near = a.join(b, same).where((F.col("a.page") != F.col("b.page")) & (F.abs(F.col("a.page") - F.col("b.page")) <= reach) & F.coalesce(F.col("a.bank") == F.col("b.bank"), F.lit(True)))
-    rows = near.select("a.case_id", "a.document_id", "a.account", F.col("a.page").alias("page"), F.col("b.page").alias("context_page"), F.abs(F.col("a.page") - F.col("b.page")).alias("distance"))
+def page_context(pages: DataFrame, k: int = 2) -> DataFrame:
+    """For each page with one account, the k nearest other pages of its document with the same account, at any distance.
+
+    An account whose pages name different banks gives none of them context. The nearest are among the k before and the
+    k after, so no pages are joined.
+    """
+    account = Window.partitionBy(*DOCUMENT, "account")
+    name = F.regexp_replace("bank", r"中国|股份有限公司|\s", "")
+    named = F.when(name != "", name)
+    agreed = pages.where("account is not null").withColumns({"_least": F.min(named).over(account), "_most": F.max(named).over(account)}).where("_least is null or _least = _most")
+    around = account.orderBy("page")
+    others = F.array_compact(F.array(*[f("page", i).over(around) for i in range(1, k + 1) for f in (F.lag, F.lead)]))
+    pairs = agreed.withColumn("_others", others).select("case_id", "document_id", "account", "page", F.explode("_others").alias("context_page")).withColumn("distance", F.abs(F.col("page") - F.col("context_page")))
     order = Window.partitionBy(*DOCUMENT, "account", "page").orderBy("distance", "context_page")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def dominant_banks(segmented: DataFrame) -> DataFrame:

@@ -207,3 +207,10 @@ def test_plans_have_no_cross_joins(spark, sf, name):
 
     plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_page_context_at_any_distance(spark):
+    rows = [(1, "D", p, "A", b) for p, b in ((1, "中国工商银行"), (42, None), (128, "工商银行"), (129, ""))] + [(1, "D", p, "B", b) for p, b in ((2, "X"), (3, "X"), (90, "Y"))] + [(1, "D", 5, None, None), (1, "D", 6, "C", "X")]
+    got = pages.page_context(spark.createDataFrame(rows, "case_id int, document_id string, page int, account string, bank string")).collect()
+    assert sorted((r["account"], r["page"], r["rank"], r["context_page"], r["distance"]) for r in got) == [
+        ("A", 1, 1, 42, 41), ("A", 1, 2, 128, 127), ("A", 42, 1, 1, 41), ("A", 42, 2, 128, 86), ("A", 128, 1, 129, 1), ("A", 128, 2, 42, 86), ("A", 129, 1, 128, 1), ("A", 129, 2, 42, 87)]
