@@ -7,15 +7,16 @@ in its bucket. The way from buckets to links keeps work linear where groups are
 1. Documents with equal sets are one class, so thousands of copies are one node.
 2. In each bucket every class is compared with the bucket's smallest id only. Connected components of the confirmed
    links settle most buckets, because all their classes then lie in one component.
-3. In buckets that hold several components, pairs across components are estimated from finer signatures (a bit for
-   each of 1,024 values), and confirmed if likely: first each class with its likeliest partners only, which joins
-   nearly all that can be joined, then all that are left. The classes outside a bucket's largest component are
-   compared with all, in lists of bounded size. Very large buckets are first split by bits of the fine signatures (a
-   pair at the threshold stays together in at least one of the ways with probability 0.99 for every bucket it shares,
-   and shares ten of 24 on average).
-
-No pair of a class with itself, and no pair within one component, is ever made. Links are confirmed on full sets of
-64-bit shingle hashes by Spark's array_intersect.
+3. Buckets that still hold several components are dealt into lists of bounded size. In a list each class outside the
+   bucket's largest component is compared with all others of the list. A bucket of one list is then done. Larger ones
+   are dealt anew a few times, which joins nearly all that can be joined at a cost linear in the bucket.
+4. In large buckets that still hold several components, the classes outside the largest one are compared with all.
+
+A comparison never leaves its task as a pair: finer signatures (a bit for each of 1,024 values) rule out what is far
+from the threshold, full sets of 64-bit shingle hashes decide the rest, and a task gives a link only if it joins two
+components that the task has not joined yet, so at most one row for each class it has read. No pair of a class with
+itself, and none within a component, is made. A pair at the threshold is lost if it shares no band (3e-6) or if a
+signature underestimates it by five deviations (1e-7).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, written
@@ -41,14 +42,11 @@ class DedupParams:
     permutations: int = 48  # each gives two values
     band: int = 4  # values in a band
     percent: int = 80  # links have 100 * intersection >= percent * union
-    likely: float = 0.6  # estimated similarity from which a pair with a bucket's first is confirmed: nearly five deviations below 0.8
     fine_permutations: int = 512  # of the finer signatures of documents that meet others, a bit for each value
-    fine_likely: float = 0.725  # the same for pairs across components by fine signatures: four deviations
-    group: int = 256  # classes in a list, compared at once
-    best_rounds: int = 1  # rounds in which a class tries its likeliest partners only, before all likely ones
-    split_over: int = 50_000  # classes of a bucket from which it is split
-    splits: int = 16  # ways in which it is split
-    split_bits: int = 13  # of the fine signature that a part shares
+    fine_likely: float = 0.7  # estimated similarity below which a pair isn't compared: five deviations below 0.8
+    group: int = 256  # classes in a list, compared in one task
+    group_hashes: int = 400_000  # shingles in a list
+    deals: int = 3  # times that buckets are dealt into lists before the rest is compared with all
     seed: int = 5
 
     @property
@@ -114,19 +112,14 @@ def band_keys(sig: np.ndarray, params: DedupParams) -> np.ndarray:
     return _mixed(h).view(np.int64)
 
 
-def split_keys(key: int, fine: np.ndarray, params: DedupParams) -> np.ndarray:
-    """Keys of a very large bucket's parts: the bucket's key with a few bits of the fine signature, once for each split."""
-    rng = np.random.default_rng([params.seed, key & 0xFFFFFFFF])
-    bits = np.unpackbits(fine)[rng.permutation(8 * len(fine))[: params.splits * params.split_bits]].reshape(params.splits, params.split_bits)
-    parts = bits.astype(np.uint64) @ (np.uint64(1) << np.arange(params.split_bits, dtype=np.uint64))
-    h = (np.arange(1, params.splits + 1, dtype=np.uint64) + np.uint64(key & 0xFFFFFFFFFFFFFFFF)) * MULT + parts
-    return _mixed(h).view(np.int64)
+def set_key(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
 def signatures(docs: DataFrame, params: DedupParams, text: str, key: str) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands, sig) for every row; the last three are null for empty sets."""
+    """(doc_id, n_shingles, set_key, bands) for every row; the last two are null for empty sets."""
     lean = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    types = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    types = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -138,14 +131,13 @@ def signatures(docs: DataFrame, params: DedupParams, text: str, key: str) -> Dat
                 for t in part.column(1).to_pylist():
                     h = shingle_hashes(t, params.shingle, words)
                     if len(h):
-                        sig = signature(h, a, b)
-                        rows.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), band_keys(sig, params), sig.tobytes()))
+                        rows.append((len(h), set_key(h), band_keys(signature(h, a, b), params)))
                     else:
-                        rows.append((0, None, None, None))
+                        rows.append((0, None, None))
                 if rows:
                     yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.types[1:]))], schema=types)
 
-    return lean.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary")
+    return lean.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def fine_signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
@@ -154,9 +146,9 @@ def fine_signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, params: DedupParams, text: str, key: str) -> DataFrame:
-    """(rep, shingles, fine) of the documents whose id is in ids(rep): full sets and fine signatures."""
+    """(rep, n, shingles, fine) of the documents whose id is in ids(rep): full sets, their sizes and fine signatures."""
     lean = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(ids, "rep", "left_semi")
-    types = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64())), ("fine", pa.binary())])
+    types = pa.schema([("rep", pa.int64()), ("set_key", pa.binary()), ("shingles", pa.list_(pa.int64())), ("fine", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -166,119 +158,120 @@ def full_sets(docs: DataFrame, ids: DataFrame, params: DedupParams, text: str, k
                 part = batch.slice(lo, 256)
                 sets = [shingle_hashes(t, params.shingle, words) for t in part.column(1).to_pylist()]
                 fine = [fine_signature(h, a, b) if len(h) else None for h in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.view(np.int64) for h in sets], types.types[1]), pa.array(fine, pa.binary())], schema=types)
-
-    return lean.mapInArrow(run, "rep long, shingles array<long>, fine binary").dropDuplicates(["rep", "shingles"])
-
+                columns = [part.column(0), pa.array(map(set_key, sets), pa.binary()), pa.array([h.view(np.int64) for h in sets], types.types[2]), pa.array(fine, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=types)
 
-def confirmed(pairs: DataFrame, sets: DataFrame, params: DedupParams) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left, right = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("a", "b"))
-    both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    union = F.size("set_a") + F.size("set_b") - both
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= params.percent * union).select("a", "b")
+    made = lean.mapInArrow(run, "rep long, set_key binary, shingles array<long>, fine binary").where("fine is not null")
+    return made.dropDuplicates(["rep", "set_key"]).select("rep", F.size("shingles").cast("long").alias("n"), "shingles", "fine")
 
 
-def star_pairs(stars: DataFrame, sigs: DataFrame, params: DedupParams) -> DataFrame:
-    """The pairs (a, b) that their signatures make likely."""
-    sided = stars.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    width = 2 * params.permutations
+class Joined(dict):
+    """Which labels a task has found to be of one component: a forest of parents, in which a label it lacks is its own root."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, width) for c in (2, 3))
-                good = pa.array((x == y).sum(1) >= params.likely * width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+    def root(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
 
-    return sided.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long").distinct()
 
+def new_links(table: pa.Table, joined: Joined, params: DedupParams) -> list[tuple[int, int]]:
+    """Links of the listed classes that are marked `first` with any other, each of which joins two components.
 
-def _open_lists(marked: DataFrame) -> DataFrame:
-    """(key, chunk, items, main, size): the buckets with several components, as lists of bounded size; main is the largest component.
-
-    marked: key, chunk, rep, label, fine. Joins are on lists, not on their members.
+    table: rep, label, first, shingles (sorted as unsigned numbers) and fine of each class.
     """
-    lists = marked.groupBy("key", "chunk").agg(F.collect_list(F.struct("rep", "label", "fine")).alias("items"))
-    by_label = marked.groupBy("key", "label").agg(F.count("*").alias("k"))
-    wide = by_label.groupBy("key").agg(F.sum("k").alias("size"), F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).where("labels > 1 and size > 2").drop("labels")
-    return lists.join(wide, "key")
-
+    table = table.combine_chunks()
+    reps, first = table["rep"].to_numpy(), table["first"].to_numpy()
+    roots = np.array([joined.root(x) for x in table["label"].to_pylist()], np.int64)
+    width = 2 * params.fine_permutations
+    fine = np.frombuffer(b"".join(table["fine"].to_pylist()), np.uint64).reshape(-1, width // 64)
+    lists = table["shingles"].chunk(0)
+    values, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+    sizes = np.diff(ends)
+    most_unlike = width - math.ceil((1 + params.fine_likely) / 2 * width)  # bits of values that differ agree by chance half the time
+    links = []
+    for i in np.nonzero(first)[0]:
+        unlike = np.bitwise_count(fine ^ fine[i]).sum(1, dtype=np.int64)
+        small, large = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
+        left = np.nonzero((unlike <= most_unlike) & (100 * small >= params.percent * large))[0]
+        left = left[np.argsort(unlike[left], kind="stable")]
+        own = values[ends[i] : ends[i + 1]]
+        while len(left := left[roots[left] != roots[i]]):
+            some, left = left[:32], left[32:]
+            theirs = np.concatenate([values[ends[j] : ends[j + 1]] for j in some])
+            found = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            both = np.add.reduceat(found, np.concatenate([[0], np.cumsum(sizes[some])[:-1]]), dtype=np.int64)
+            for j in some[100 * both >= params.percent * (sizes[some] + sizes[i] - both)]:
+                if roots[j] != roots[i]:
+                    links.append((int(reps[i]), int(reps[j])))
+                    joined[int(roots[j])] = int(roots[i])
+                    roots[roots == roots[j]] = roots[i]
+    return links
+
+
+def compared(lists: DataFrame, by: list[str], params: DedupParams) -> DataFrame:
+    """Links (a, b) within the lists, rows that agree in `by`: of the rows marked first with all rows of the list.
+
+    What a task has joined is remembered over its lists, so it gives a link for each class that it reads at most.
+    """
+    joined = Joined()
+    types = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def _across(lists: DataFrame) -> DataFrame:
-    """Rows (left, right, main): every two lists of a bucket of which the first holds classes outside the main component."""
-    outside = lists.where(F.exists("items", lambda x: x["label"] != F.col("main"))).select("key", "main", F.filter("items", lambda x: x["label"] != F.col("main")).alias("left"))
-    return outside.join(lists.select("key", F.col("items").alias("right")), "key").select("left", "right", "main")
+    def run(table: pa.Table) -> pa.Table:
+        if len(joined) > 1_000_000:  # forgetting gives some links again, no more
+            joined.clear()
+        links = new_links(table, joined, params)
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)] if links else [pa.array([], pa.int64())] * 2, schema=types)
 
+    return lists.select(*by, "rep", "label", "first", "shingles", "fine").groupBy(*by).applyInArrow(run, "a long, b long")
 
-def _likely_pairs(frame: DataFrame, params: DedupParams, best: bool) -> DataFrame:
-    """From rows (left, right, main), lists of (rep, label, fine): the pairs across labels that fine signatures make likely.
 
-    best: of each left class only its likeliest partner of any other label, and its likeliest in the main label.
-    """
-    types = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("kind", pa.int32()), ("alike", pa.int32())])
-    width = 2 * params.fine_permutations
-    least = math.ceil((1 + params.fine_likely) / 2 * width)  # bits of values that differ agree by chance half the time
+def _lists(count: str, hashes: str, params: DedupParams) -> Column:
+    """Number of lists for so many classes with so many shingles."""
+    return F.ceil(F.greatest(F.col(count) / params.group, F.col(hashes) / params.group_hashes, F.lit(1))).cast("long")
 
-    def unpacked(items: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        col = {f.name: items.field(f.name) for f in items.type}
-        return col["rep"].to_numpy(zero_copy_only=False), col["label"].to_numpy(zero_copy_only=False), np.frombuffer(b"".join(col["fine"].to_pylist()), np.uint64).reshape(-1, width // 64)
 
-    def made(kept: dict) -> pa.RecordBatch:
-        rows = [(i, j, kind, alike) for (i, kind, _), (alike, j) in kept.items()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.types)], schema=types)
+def _dealt(lists: str, deal: int) -> Column:
+    """The list of a class, another one for each deal."""
+    return F.pmod(F.xxhash64("rep", F.lit(deal)), lists)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple, tuple] = {}  # what several lists find is put together before it leaves the task
-        for batch in batches:
-            for row in range(batch.num_rows):
-                (ra, la, sa), (rb, lb, sb) = (unpacked(batch.column(c)[row].values) for c in (0, 1))
-                main = batch.column(2)[row].as_py()
-                for i in range(len(ra)):
-                    alike = np.where(lb != la[i], width - np.bitwise_count(sb ^ sa[i]).sum(1, dtype=np.int64), -1)
-                    if best:
-                        for kind, scores in enumerate((alike, np.where(lb == main, alike, -1))):
-                            j = int(scores.argmax())
-                            if scores[j] >= least:
-                                place = (int(ra[i]), kind, 0)
-                                kept[place] = max(kept.get(place, (0, 0)), (int(scores[j]), int(rb[j])))
-                    else:
-                        kept |= {(int(ra[i]), 0, int(rb[j])): (int(alike[j]), int(rb[j])) for j in np.nonzero(alike >= least)[0]}
-                if len(kept) > 100_000:
-                    yield made(kept)
-                    kept = {}
-        if kept:
-            yield made(kept)
 
-    found = frame.mapInArrow(run, "i long, j long, kind int, alike int")
-    if best:
-        found = found.groupBy("i", "kind").agg(F.max_by("j", F.struct("alike", -F.col("j"))).alias("j"))
-    return found.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+def star_links(members: DataFrame, sets: DataFrame, params: DedupParams) -> DataFrame:
+    """Links (a, b) of the buckets' first classes with the others. A pivot's others are dealt into lists, each with a copy of the pivot."""
+    stars = members.where("rep <> pivot").select("pivot", "rep").distinct().join(sets.select("rep", "n"), "rep")
+    lists = stars.groupBy("pivot").agg(F.count("*").alias("k"), F.sum("n").alias("hashes")).select("pivot", _lists("k", "hashes", params).alias("lists"))
+    others = stars.join(lists, "pivot").select("pivot", _dealt("lists", 0).alias("list"), "rep", F.lit(False).alias("first"))
+    pivots = lists.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lists") - 1)).alias("list"), F.col("pivot").alias("rep"), F.lit(True).alias("first"))
+    return compared(others.unionByName(pivots).join(sets, "rep").withColumn("label", F.col("rep")), ["pivot", "list"], params)
 
 
-def remaining_pairs(members: DataFrame, labels: DataFrame, params: DedupParams, best: bool) -> DataFrame:
-    """Likely pairs (a, b) across components that share a bucket; best: the likeliest of each class only.
+def open_buckets(members: DataFrame, labels: DataFrame, params: DedupParams) -> DataFrame:
+    """(key, lists, main, rep, n, label, outside) of the classes in buckets with several components.
 
-    members: key, rep, fine and k, the bucket's size.
+    main is the component of most classes in the bucket, outside tells those of others; lists is the number of lists
+    that the bucket is dealt into. Buckets of two classes are left out: these have been compared.
     """
-    chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / params.group)).alias("chunk")
-    marked = members.join(labels, "rep", "left").select("key", chunk, "rep", F.coalesce("component", "rep").alias("label"), "fine")
-    found = written(_open_lists(marked), "minmax-open")
-    small, large = found.where(F.col("size") <= params.split_over), found.where(F.col("size") > params.split_over)
-    if not large.limit(1).count():
-        return _likely_pairs(_across(small), params, best)
-    types = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("rep", pa.int64()), ("label", pa.int64()), ("fine", pa.binary())])
+    marked = members.where("k > 2").join(labels, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    by_label = marked.groupBy("key", "label").agg(F.count("*").alias("k"), F.sum("n").alias("hashes"))
+    wide = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("k").alias("k"), F.sum("hashes").alias("hashes"), F.max_by("label", F.struct("k", "label")).alias("main"))
+    found = wide.where("labels > 1").select("key", _lists("k", "hashes", params).alias("lists"), "main")
+    return marked.join(found, "key").withColumn("outside", F.col("label") != F.col("main"))
+
+
+def dealt_links(opened: DataFrame, sets: DataFrame, params: DedupParams, deal: int) -> DataFrame:
+    """Links within random lists of open buckets; of a bucket of one list that is all of them. Lists without a class outside main are skipped."""
+    placed = opened.select("key", _dealt("lists", deal).alias("list"), "rep", "label", F.col("outside").alias("first"))
+    useful = placed.where("first").select("key", "list").distinct()
+    return compared(placed.join(useful, ["key", "list"], "left_semi").join(sets.drop("n"), "rep"), ["key", "list"], params)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                key, part, items = (batch.column(c)[row].as_py() for c in range(3))
-                keys = np.concatenate([split_keys(key, np.frombuffer(i["fine"], np.uint8), params) for i in items])
-                again = lambda name: [i[name] for i in items for _ in range(params.splits)]  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([part] * len(keys), pa.int64()), pa.array(again("rep"), pa.int64()), pa.array(again("label"), pa.int64()), pa.array(again("fine"), pa.binary())], schema=types)
 
-    split = large.select("key", "chunk", "items").mapInArrow(run, "key long, chunk long, rep long, label long, fine binary")
-    return _likely_pairs(_across(small).unionByName(_across(written(_open_lists(split), "minmax-split"))), params, best)
+def remaining_links(opened: DataFrame, sets: DataFrame, params: DedupParams) -> DataFrame:
+    """Links of the classes outside main with all classes of their bucket: each list of the former meets each list of all."""
+    outside = opened.where("outside").groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("hashes")).select("key", _lists("k", "hashes", params).alias("rows"))
+    both = opened.join(outside, "key")
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    left = both.where("outside").select("key", _dealt("rows", 0).alias("row"), every("lists").alias("list"), "rep", "label", F.lit(True).alias("first"))
+    right = both.select("key", every("rows").alias("row"), _dealt("lists", 0).alias("list"), "rep", "label", F.lit(False).alias("first"))
+    return compared(left.unionByName(right).join(sets.drop("n"), "rep"), ["key", "row", "list"], params)
 
 
 def near_duplicates(docs: DataFrame, params: DedupParams = DedupParams(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -290,24 +283,27 @@ def near_duplicates(docs: DataFrame, params: DedupParams = DedupParams(), text:
     false for them.
     """
     signed = written(signatures(docs, params, text, key), "minmax-signed")
-    classes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     classes = written(classes.where("rep is not null"), "minmax-classes")
-    in_bands = classes.select("rep", F.explode("bands").alias("key"))
+    in_bands = classes.select("rep", "n", F.explode("bands").alias("key"))
     buckets = in_bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("k")).where("k > 1")
     members = written(in_bands.join(buckets, "key"), "minmax-members")
-    stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = written(star_pairs(stars, classes.select("rep", "sig"), params), "minmax-first")
     sets = written(full_sets(docs, members.select("rep").distinct(), params, text, key), "minmax-sets")
-    links = written(confirmed(tested, sets, params), "minmax-links")
+    links = written(star_links(members, sets, params), "minmax-links")
     labels = components(links).withColumnRenamed("id", "rep")
-    detailed = members.select("key", "rep", "k").join(sets.select("rep", "fine").dropDuplicates(["rep"]), "rep")
-    for best in (*[True] * params.best_rounds, False):
-        rest = written(remaining_pairs(detailed, labels, params, best).join(tested, ["a", "b"], "left_anti"), "minmax-rest")
-        more = written(confirmed(rest, sets, params), "minmax-more")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = components(links).withColumnRenamed("id", "rep")
-        tested = tested.unionByName(rest)
+    for deal in range(1, params.deals + 1):
+        opened = open_buckets(members, labels, params)
+        if deal > 1:
+            opened = opened.where("lists > 1")  # the others are done
+        more = written(dealt_links(opened, sets, params, deal), "minmax-links")
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+        labels = components(links).withColumnRenamed("id", "rep")
+    rest = written(open_buckets(members, labels, params).where("lists > 1"), "minmax-rest")
+    more = written(remaining_links(rest, sets, params), "minmax-links")
+    if more.limit(1).count():
+        labels = components(links.unionByName(more)).withColumnRenamed("id", "rep")
     named = classes.select("set_key", "rep").join(labels, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

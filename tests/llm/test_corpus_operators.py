@@ -165,7 +165,7 @@ def test_minmax_dedup(spark, none, group):
         rows.append((100 + i, " ".join(words)))
     rows += [(200, "Same words HERE"), (201, "same  words here"), (202, None), (203, " "), (204, "one")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    params = minmax_dedup.DedupParams(shingle=4, group=group, split_over=50_000 if group == 256 else 5)
+    params = minmax_dedup.DedupParams(shingle=4, group=group, deals=3 if group == 256 else 1)
     got = {r["doc_id"]: r for r in minmax_dedup.near_duplicates(docs, params).collect()}
     sets = _brute_sets(rows, 4)
     want = _brute_components(sets)
@@ -174,6 +174,29 @@ def test_minmax_dedup(spark, none, group):
     assert minmax_dedup.near_duplicates(none, params).collect() == []
 
 
+def test_minmax_dedup_recall_on_documents(spark):
+    """Components of the whole documents table equal those of all pairs, counted over an inverted list of shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = _brute_sets([(r["doc_id"], r["text"]) for r in docs.collect()], 4)
+    holders, both = defaultdict(list), Counter()
+    for doc, found in sets.items():
+        for x in found:
+            holders[x].append(doc)
+    for docs_of in holders.values():
+        both.update((a, b) for a in docs_of for b in docs_of if a < b)
+    linked = [(a, b) for (a, b), n in both.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    comp = {d: d for d in sets}
+    for _ in sets:
+        before = dict(comp)
+        for a, b in linked:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+        if comp == before:
+            break
+    for params in (minmax_dedup.DedupParams(shingle=4), minmax_dedup.DedupParams(shingle=4, group=4, deals=1)):
+        got = {r["doc_id"]: r["component_id"] for r in minmax_dedup.near_duplicates(docs, params).collect()}
+        assert got == comp and len(linked) > 50
+
+
 def test_minmax_dedup_of_odd_rows(odd):
     got = minmax_dedup.near_duplicates(odd, minmax_dedup.DedupParams(shingle=4)).collect()
     assert len(got) == odd.count()
