@@ -1,15 +1,20 @@
 """Near-duplicate embeddings by product quantisation.
 
-Unit vectors go to the nearest of a few coarse centroids (inverted lists); what is left of them is cut into
-subspaces, each coded by its nearest codeword. A vector visits the lists that could hold a partner: for a partner
-within distance r, the vector lies at most r behind the plane between its own centroid and the other. In a list, the
-distance between a visitor and a member's code is added up from look-up tables (asymmetric distances). A member can
-only be a partner if that distance is at most r plus the member's own coding error, which is stored. What passes is
-compared by exact cosine in double precision. Both bounds are safe, so no link is lost whatever the sample was on
-which centroids and codewords were fitted.
-
-Equal vectors are one class with a count, and pairs are never written: a pair of blocks gives the number of links of
-each vector and, for the components, the edges of a forest.
+Unit vectors are split in two halves, each with centroids of its own; a pair of centroids names an inverted list, so a
+few hundred centroids make tens of thousands of lists, and lists keep their length when the table grows. What the
+centroids leave of a vector is cut into subspaces, each coded by its nearest codeword.
+
+1. Every vector is a member of its nearest list and visits the nearest few. A visitor goes as bytes (a scalar
+   quantised vector with its error), a member as codes with its coding error. Within a list the distance between a
+   visitor and a member's code is added up from look-up tables (asymmetric distances). A member can only be a partner
+   if that distance is at most the radius plus both errors, so this step loses nothing.
+2. Only vectors with such a partner are joined to their full vectors, list by list, and compared by exact cosine in
+   double precision.
+
+A pair is lost only if neither vector visits the other's list: with 8 visits about one in a hundred pairs at the
+threshold, in lists of a table of a million vectors a label. Equal vectors are one class with a count, and pairs are never
+written: a list gives the number of links of each vector and, for the components, the edges of a forest. A list longer
+than a block, as a group of near copies makes, is dealt into blocks, and each pair of blocks is a task of its own.
 """
 
 from __future__ import annotations
@@ -29,12 +34,12 @@ from .common import components, written
 @dataclass(frozen=True)
 class PqParams:
     cosine: float = 0.98
-    sample: int = 8192  # vectors on which centroids and codewords are fitted
-    lists: tuple[int, ...] = (256, 64, 16, 4)  # the first number of lists with few enough visits is taken, else 1
-    visits: float = 3.0  # lists that a vector visits on average, at most
-    subspaces: int = 8
-    codes: int = 32
-    block: int = 512  # vectors of a list compared at once
+    list_length: int = 64  # vectors of the largest label in a list, on average
+    probes: int = 8  # lists that a vector visits
+    sample: int = 8192  # vectors on which centroids and codewords are fitted; 8 for each centroid if that is more
+    subspaces: int = 16
+    codes: int = 256
+    block: int = 1024  # vectors of a list compared at once
     seed: int = 3
 
     @property
@@ -46,52 +51,61 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = (-2 * x @ c.T + (c * c).sum(1)).argmin(1)
+        near = np.concatenate([(-2 * x[i : i + 4096] @ c.T + (c * c).sum(1)).argmin(1) for i in range(0, len(x), 4096)])
         n = np.bincount(near, minlength=k)
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, x)
+        sums = np.column_stack([np.bincount(near, x[:, j], k) for j in range(x.shape[1])])
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
     return c
 
 
 class Quantiser:
-    """Coarse centroids and, for the residuals, codewords of each subspace."""
+    """Centroids of the two halves and, for the residuals, codewords of each subspace."""
 
-    def __init__(self, sample: np.ndarray, params: PqParams):
+    def __init__(self, sample: np.ndarray, lists: int, params: PqParams):
         rng = np.random.default_rng(params.seed)
         self.params, self.dim = params, sample.shape[1]
-        self.cuts = np.linspace(0, self.dim, min(params.subspaces, self.dim) + 1).astype(int)
-        for k in (*[k for k in params.lists if 8 * k <= len(sample)], 1):
-            self.centroids = kmeans(sample, k, rng)
-            home, visits = self.places(sample)
-            if k == 1 or visits.sum() / len(sample) <= params.visits:
-                break
-        rest = sample - self.centroids[home]
-        self.words = [kmeans(rest[:, a:b], params.codes, rng) for a, b in zip(self.cuts, self.cuts[1:])]
-
-    def places(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each vector's own list, and a matrix of the lists it visits (its own among them)."""
-        c = self.centroids
-        d = (unit * unit).sum(1)[:, None] - 2 * unit @ c.T + (c * c).sum(1)
-        home = d.argmin(1)
-        apart = np.sqrt(np.maximum((c * c).sum(1)[:, None] - 2 * c @ c.T + (c * c).sum(1), 0))
-        behind = d - d[np.arange(len(d)), home][:, None]
-        return home, behind <= 2 * self.params.radius * apart[home] + 1e-9
+        halves = np.linspace(0, self.dim, min(2, self.dim) + 1).astype(int)
+        self.halves = list(zip(halves, halves[1:]))
+        k = math.ceil(lists ** (1 / len(self.halves)))
+        self.centroids = [kmeans(sample[:, a:b], k, rng) for a, b in self.halves]
+        cuts = np.linspace(0, self.dim, min(params.subspaces, self.dim) + 1).astype(int)
+        self.cuts = list(zip(cuts, cuts[1:]))
+        rest = sample - self.centre(self.places(sample)[:, 0])
+        self.words = [kmeans(rest[:, a:b], params.codes, rng) for a, b in self.cuts]
+
+    def places(self, unit: np.ndarray) -> np.ndarray:
+        """The lists that each vector visits, the nearest first, which is its own."""
+        lists, far = np.zeros((len(unit), 1), np.int64), np.zeros((len(unit), 1))
+        for (a, b), c in zip(self.halves, self.centroids):
+            d = -2 * unit[:, a:b] @ c.T + (c * c).sum(1)
+            near = np.argsort(d, 1, kind="stable")[:, : self.params.probes]  # the nearest sums lie among the nearest of each half
+            lists = (lists[:, :, None] * len(c) + near[:, None, :]).reshape(len(unit), -1)
+            far = (far[:, :, None] + np.take_along_axis(d, near, 1)[:, None, :]).reshape(len(unit), -1)
+            best = np.argsort(far, 1, kind="stable")[:, : self.params.probes]
+            lists, far = np.take_along_axis(lists, best, 1), np.take_along_axis(far, best, 1)
+        return lists
+
+    def centre(self, lists: np.ndarray) -> np.ndarray:
+        parts = []
+        for c in reversed(self.centroids):
+            parts.append(c[lists % len(c)])
+            lists = lists // len(c)
+        return np.concatenate(parts[::-1], 1)
 
     def encode(self, unit: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes (one byte per subspace) and the length of what they miss."""
-        rest = unit - self.centroids[home]
+        rest = unit - self.centre(home)
         codes = np.empty((len(unit), len(self.words)), np.uint8)
-        for m, (a, b) in enumerate(zip(self.cuts, self.cuts[1:])):
+        for m, (a, b) in enumerate(self.cuts):
             w = self.words[m]
             codes[:, m] = (-2 * rest[:, a:b] @ w.T + (w * w).sum(1)).argmin(1)
-        coded = np.concatenate([self.words[m][codes[:, m]] for m in range(len(self.words))], 1)
+        coded = np.concatenate([w[codes[:, m]] for m, w in enumerate(self.words)], 1)
         return codes, np.linalg.norm(rest - coded, axis=1)
 
-    def distances(self, unit: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
+    def distances(self, visitors: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Distances (visitors, members of list `which`) from look-up tables."""
-        rest, total = unit - self.centroids[which], np.zeros((len(unit), len(codes)))
-        for m, (a, b) in enumerate(zip(self.cuts, self.cuts[1:])):
+        rest, total = visitors - self.centre(np.array([which])), np.zeros((len(visitors), len(codes)))
+        for m, (a, b) in enumerate(self.cuts):
             w, r = self.words[m], rest[:, a:b]
             table = (r * r).sum(1)[:, None] - 2 * r @ w.T + (w * w).sum(1)
             total += table[:, codes[:, m]]
@@ -99,10 +113,11 @@ class Quantiser:
 
 
 def classes_of(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(label, vec, rep, n): the distinct usable vectors of each label; rep is the smallest id."""
+    """(cid, label, vec, rep, n): the distinct usable vectors of each label, numbered; rep is the smallest id."""
     good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     usable = vectors.where(F.col(label).isNotNull() & F.col(vector).isNotNull() & good)
-    return usable.groupBy(F.col(label).alias("label"), F.col(vector).alias("vec")).agg(F.min(key).cast("long").alias("rep"), F.count("*").alias("n")).where("rep is not null")
+    classes = usable.groupBy(F.col(label).cast("string").alias("label"), F.col(vector).alias("vec")).agg(F.min(key).cast("long").alias("rep"), F.count("*").alias("n"))
+    return classes.where("rep is not null").withColumn("cid", F.monotonically_increasing_id())
 
 
 def _unit(vecs: pa.Array | list, dim: int) -> np.ndarray:
@@ -112,108 +127,127 @@ def _unit(vecs: pa.Array | list, dim: int) -> np.ndarray:
 
 
 def fit(classes: DataFrame, params: PqParams, dim: int) -> Quantiser:
-    """On a bounded sample of the classes, those with the smallest hashes."""
-    rows = classes.where(F.size("vec") == dim).select("rep", "vec").orderBy(F.xxhash64("rep", F.lit(params.seed)), "rep").limit(params.sample).collect()
-    return Quantiser(_unit([r["vec"] for r in rows], dim), params)
-
-
-ENTRY = "label string, list int, home int, rep long, n long, vec array<double>, codes binary, miss double, visits array<int>"
+    """Lists in proportion to the largest label; fitted on a bounded sample, the classes with the smallest hashes."""
+    of_dim = classes.where(F.size("vec") == dim)
+    largest = of_dim.groupBy("label").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0]
+    lists = max(1, math.ceil(largest / params.list_length))
+    rows = of_dim.select("cid", "vec").orderBy(F.xxhash64("vec", F.lit(params.seed)), "cid").limit(max(params.sample, 8 * math.ceil(math.sqrt(lists)))).collect()
+    return Quantiser(_unit([r["vec"] for r in rows], dim), lists, params)
 
 
 def entries(classes: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """A row in each list that a class visits; visits names them all."""
+    """A row in each list that a class visits, without its vector: quant and err for its own look-ups, codes and miss for others'."""
     dim = quantiser.dim
-    lean = classes.where(F.size("vec") == dim).select(F.col("label").cast("string").alias("label"), "rep", "n", F.col("vec").cast("array<double>").alias("vec"))
-    types = pa.schema([("label", pa.string()), ("list", pa.int32()), ("home", pa.int32()), ("rep", pa.int64()), ("n", pa.int64()), ("vec", pa.list_(pa.float64())), ("codes", pa.binary()), ("miss", pa.float64()), ("visits", pa.list_(pa.int32()))])
+    lean = classes.where(F.size("vec") == dim).select("label", "cid", F.col("vec").cast("array<double>").alias("vec"))
+    types = pa.schema([("label", pa.string()), ("list", pa.int64()), ("cid", pa.int64()), ("home", pa.int64()), ("visits", pa.list_(pa.int64())), ("quant", pa.binary()), ("step", pa.float64()), ("err", pa.float64()), ("codes", pa.binary()), ("miss", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
-                labels, reps, ns, vecs = (batch.column(c).slice(lo, 1024).to_pylist() for c in range(4))
-                if not reps:
+                labels, cids, vecs = (batch.column(c).slice(lo, 1024).to_pylist() for c in range(3))
+                if not cids:
                     continue
                 unit = _unit(vecs, dim)
-                home, visits = quantiser.places(unit)
-                codes, miss = quantiser.encode(unit, home)
-                at, which = np.nonzero(visits)
-                lists = [np.nonzero(v)[0].astype(np.int32) for v in visits]
+                visits = quantiser.places(unit)
+                codes, miss = quantiser.encode(unit, visits[:, 0])
+                step = np.abs(unit).max(1) / 127
+                quant = np.rint(unit / step[:, None]).astype(np.int8)
+                err = np.linalg.norm(unit - quant * step[:, None], axis=1)
+                at = np.repeat(np.arange(len(unit)), visits.shape[1])
+                own = visits.ravel() == visits[at, 0]
                 pick = lambda v: [v[i] for i in at]
-                columns = [pick(labels), which.astype(np.int32), home[at].astype(np.int32), pick(reps), pick(ns), pick(vecs), [codes[i].tobytes() for i in at], miss[at], pick(lists)]
+                sent = [c.tobytes() for c in codes]
+                columns = [pick(labels), visits.ravel(), pick(cids), visits[at, 0], list(visits[at]), pick([q.tobytes() for q in quant]), step[at], err[at], [sent[i] if o else None for i, o in zip(at, own, strict=True)], miss[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.types, strict=True)], schema=types)
 
-    return lean.mapInArrow(run, ENTRY)
+    return lean.mapInArrow(run, "label string, list long, cid long, home long, visits array<long>, quant binary, step double, err double, codes binary, miss double")
 
 
-def blocks(rows: DataFrame, params: PqParams) -> DataFrame:
-    """(label, list, block, items): each list's visitors and members in blocks of bounded size."""
-    sized = rows.groupBy("label", "list").agg(F.count("*").alias("k"))
-    dealt = rows.join(sized, ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / params.block)))
-    return dealt.groupBy("label", "list", "block").agg(F.collect_list(F.struct("rep", "home", "n", "vec", "codes", "miss", "visits")).alias("items"))
-
-
-def linked(pairs: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """(rep, links, root) from pairs of blocks (list, same, left, right): links to add, or the root of a forest edge."""
-    types = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
-
-    def unpacked(items: pa.StructArray) -> tuple:
-        col = {f.name: items.field(f.name) for f in items.type}
-        home = col["home"].to_numpy(zero_copy_only=False)
-        codes = np.frombuffer(b"".join(col["codes"].to_pylist()), np.uint8).reshape(len(home), -1)
-        visits = np.zeros((len(home), len(quantiser.centroids)), bool)
-        for i, v in enumerate(col["visits"].to_pylist()):
-            visits[i, v] = True
-        raw = np.array(col["vec"].to_pylist(), np.float64)
-        return col["rep"].to_numpy(zero_copy_only=False), home, col["n"].to_numpy(zero_copy_only=False), raw, _unit(raw, quantiser.dim), codes, col["miss"].to_numpy(zero_copy_only=False), visits
+BLOCKS = ["label", "list", "lo", "hi"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                which, same = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                left, right = unpacked(batch.column(2)[row].values), unpacked(batch.column(3)[row].values)
-                found = [_links(quantiser, which, left, right, same)]
-                if not same:
-                    found.append(_links(quantiser, which, right, left, False, visitors_only=True))
-                for reps, links, roots in found:
-                    if len(reps):
-                        yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(links, pa.int64()), pa.array(roots, pa.int64())], schema=types)
 
-    return pairs.select("list", "same", "left", "right").mapInArrow(run, "rep long, links long, root long")
+def blocks(rows: DataFrame, params: PqParams) -> DataFrame:
+    """rows with x, a block within the list, and lo <= hi, the pair of blocks to compare: once for each block of the list."""
+    sized = rows.groupBy("label", "list").agg(F.ceil(F.count("*") / F.lit(params.block)).cast("long").alias("blocks"))
+    dealt = rows.join(sized, ["label", "list"]).withColumn("x", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    every = dealt.withColumn("_y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return every.withColumns({"lo": F.least("x", "_y"), "hi": F.greatest("x", "_y")}).drop("_y", "blocks")
 
 
-def _links(q: Quantiser, which: int, a: tuple, b: tuple, same: bool, visitors_only: bool = False) -> tuple:
-    """Links between visitors a and members b of list `which`; every unordered pair counts in one list, once.
+def _meetings(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For a pair of blocks: (list, visitors, members, wanted), with row numbers and the pairs that count here.
 
-    A pair of members is met when a and b are taken in order. A pair of a visitor and a member might meet in the
-    visitor's list too; it counts there only if that list has the smaller number and the member visits it.
+    An unordered pair of one list's members counts once. A pair of a visitor and a member might meet in the visitor's
+    list too; it counts there only if that list has the smaller number and the member visits it.
     """
-    rep_a, home_a, n_a, raw_a, unit_a, _, _, _ = a
-    member = b[1] == which
-    rep_b, home_b, n_b, raw_b, unit_b, codes, miss, visits_b = (v[member] for v in b)
-    if not len(rep_a) or not len(rep_b):
-        return [], [], []
-    mask = q.distances(unit_a, which, codes) <= q.params.radius + miss + 1e-9
-    inner = home_a == which
-    elsewhere = visits_b[:, home_a].T & (home_a < which)[:, None]
-    mask &= np.where(inner[:, None], (not visitors_only) & ((rep_a[:, None] < rep_b) if same else True), ~elsewhere)
-    i, j = np.nonzero(mask)
-    if not len(i):
-        return [], [], []
-    norm_a, norm_b = np.linalg.norm(raw_a, axis=1), np.linalg.norm(raw_b, axis=1)
-    cosine = np.concatenate([np.einsum("ij,ij->i", raw_a[i[k : k + 65536]], raw_b[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) / (norm_a[i] * norm_b[j])
-    hit = cosine >= q.params.cosine
-    i, j = i[hit], j[hit]
-    if not len(i):
-        return [], [], []
-    links_a, links_b = np.bincount(i, n_b[j], len(rep_a)), np.bincount(j, n_a[i], len(rep_b))
-    root_a, root_b = rep_a.copy(), rep_b.copy()
-    while True:  # smallest id that links reach within the two blocks
-        before = root_a.sum() + root_b.sum()
-        np.minimum.at(root_b, j, root_a[i])
-        np.minimum.at(root_a, i, root_b[j])
-        if before == root_a.sum() + root_b.sum():
-            break
-    some_a, some_b = links_a > 0, links_b > 0
-    return np.concatenate([rep_a[some_a], rep_b[some_b]]), np.concatenate([links_a[some_a], links_b[some_b]]).astype(np.int64), np.concatenate([root_a[some_a], root_b[some_b]])
+    which, lo, hi = (table[c][0].as_py() for c in ("list", "lo", "hi"))
+    x, home, cid = (table[c].to_numpy() for c in ("x", "home", "cid"))
+    visits = np.array(table["visits"].to_pylist(), np.int64)
+    sides = [np.nonzero(x == lo)[0], np.nonzero(x == hi)[0]]
+    out = []
+    for first, second, turned in [(*sides, False)] if lo == hi else [(*sides, False), (*sides[::-1], True)]:
+        members = second[home[second] == which]
+        both = np.broadcast_to((home[first] == which)[:, None], (len(first), len(members)))
+        once = (cid[first][:, None] < cid[members]) if lo == hi else np.full(both.shape, not turned)
+        elsewhere = np.zeros(both.shape, bool)
+        for column in visits[members].T:
+            elsewhere |= column == home[first][:, None]
+        elsewhere &= (home[first] < which)[:, None]
+        out.append((which, first, members, np.where(both, once, ~elsewhere)))
+    return out
+
+
+def survivors(placed: DataFrame, quantiser: Quantiser) -> DataFrame:
+    """(label, list, lo, hi, x, cid, home, visits) of the vectors that have a possible partner by their codes."""
+    reach, dim = quantiser.params.radius, quantiser.dim
+    names = [*BLOCKS, "x", "cid", "home", "visits"]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        quant = np.frombuffer(b"".join(table["quant"].to_pylist()), np.int8).reshape(-1, dim)
+        rough, err, miss = quant * table["step"].to_numpy()[:, None], table["err"].to_numpy(), table["miss"].to_numpy()
+        seen = np.zeros(len(rough), bool)
+        for which, visitors, members, wanted in _meetings(table):
+            if len(visitors) and len(members) and wanted.any():
+                codes = np.frombuffer(b"".join(table["codes"].take(pa.array(members)).to_pylist()), np.uint8).reshape(len(members), -1)
+                near = wanted & (quantiser.distances(rough[visitors], which, codes) <= reach + err[visitors][:, None] + miss[members] + 1e-9)
+                seen[visitors[near.any(1)]] = seen[members[near.any(0)]] = True
+        return table.select(names).filter(pa.array(seen))
+
+    schema = "label string, list long, lo long, hi long, x long, cid long, home long, visits array<long>"
+    return placed.groupBy(*BLOCKS).applyInArrow(run, schema)
+
+
+def linked(left: DataFrame, classes: DataFrame, params: PqParams, dim: int) -> DataFrame:
+    """(cid, rep, links, root) of the survivors: links found in a pair of blocks, and the smallest id that they reach there."""
+    full = left.join(classes.select("cid", "rep", "n", F.col("vec").cast("array<double>").alias("vec")), "cid")
+    types = pa.schema([("cid", pa.int64()), ("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        raw = table["vec"].chunk(0).values.to_numpy().reshape(-1, dim)
+        norm, n, rep = np.linalg.norm(raw, axis=1), table["n"].to_numpy(), table["rep"].to_numpy()
+        links, pairs = np.zeros(len(raw)), []
+        for _, visitors, members, wanted in _meetings(table):
+            i, j = np.nonzero(wanted)
+            i, j = visitors[i], members[j]
+            for at in range(0, len(i), 65536):
+                a, b = i[at : at + 65536], j[at : at + 65536]
+                hit = np.einsum("ij,ij->i", raw[a], raw[b]) / (norm[a] * norm[b]) >= params.cosine
+                pairs.append((a[hit], b[hit]))
+        i, j = (np.concatenate(v) if pairs else np.zeros(0, int) for v in (zip(*pairs, strict=True) if pairs else ([], [])))
+        links += np.bincount(i, n[j], len(raw)) + np.bincount(j, n[i], len(raw))
+        root = rep.copy()
+        while len(i):  # smallest id that links reach within the two blocks
+            before = root.sum()
+            np.minimum.at(root, j, root[i])
+            np.minimum.at(root, i, root[j])
+            if before == root.sum():
+                break
+        some = links > 0
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (table["cid"].to_numpy()[some], rep[some], links[some].astype(np.int64), root[some])], schema=types)
+
+    return full.groupBy(*BLOCKS).applyInArrow(run, "cid long, rep long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, params: PqParams = PqParams(), key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -227,18 +261,16 @@ def near_duplicates(vectors: DataFrame, params: PqParams = PqParams(), key: str
     found = None
     for row in classes.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("k")).orderBy("dim").collect():
         quantiser = fit(classes, params, row["dim"])
-        packs = written(blocks(entries(classes, quantiser), params), "pq-blocks")
-        left, right = packs.withColumnsRenamed({"block": "x", "items": "left"}), packs.withColumnsRenamed({"block": "y", "items": "right"})
-        pairs = left.join(right, ["label", "list"]).where("x <= y").withColumn("same", F.col("x") == F.col("y"))
-        part = linked(pairs.repartition(F.col("label"), F.col("list"), F.col("x"), F.col("y")), quantiser)
+        left = written(survivors(blocks(written(entries(classes, quantiser), "pq-entries"), params), quantiser), "pq-survivors")
+        part = linked(left, classes, params, row["dim"])
         found = part if found is None else found.unionByName(part)
     if found is None:
         return vectors.select(F.col(key).alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id"), F.col(key).isNotNull().alias("kept"))
     found = written(found, "pq-found")
     labels = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "pq-components").withColumnRenamed("id", "rep")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    done = classes.join(links, "rep", "left").join(labels, "rep", "left")
+    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    done = classes.join(links, "cid", "left").join(labels, "rep", "left")
     done = done.select(F.col("label").alias("_l"), F.col("vec").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("_n"), F.coalesce("component", "rep").alias("_c"))
-    out = vectors.join(done, (F.col(label) == F.col("_l")) & (F.col(vector) == F.col("_v")), "left")
+    out = vectors.join(done, (F.col(label).cast("string") == F.col("_l")) & (F.col(vector) == F.col("_v")), "left")
     component = F.coalesce("_c", F.col(key).cast("long"))
     return out.select(F.col(key).alias("vec_id"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col(key) == component, F.lit(False)).alias("kept"))
