@@ -1,9 +1,8 @@
 """Quality classifier by compression: which of two zstandard dictionaries explains a text better?
 
-One dictionary is made of good labelled text, one of bad. A text is cut into pieces, each piece is compressed with
-either dictionary and with none, and the sizes are added up. The difference of the two sizes over the text's bytes,
-together with the plain compressed share, goes through a logistic curve fitted on labelled documents, which turns
-it into a probability that the label is 1.
+One dictionary is trained on good labelled text, one on bad. A text is cut into pieces, each piece is compressed with
+either dictionary, and the sizes are added up. Their difference over the text's bytes goes through a logistic curve
+fitted on other labelled documents, which turns it into a probability that the label is 1. Nothing else enters.
 """
 
 from __future__ import annotations
@@ -23,7 +22,9 @@ from .common import extended
 class QualityParams:
     docs_per_class: int = 1200  # bound of the training sample: about so many labelled documents of each class
     piece: int = 2048  # bytes compressed at once, so that the dictionary matters in long texts too
-    dictionary: int = 400_000  # bytes of each dictionary
+    pieces: int = 8  # of a training text, spread evenly over it, from which dictionaries are trained
+    dictionary: int = 100_000  # bytes of each dictionary
+    damping: int = 64  # bytes added to the text's in the denominator, so that a few words don't decide much
     level: int = 3
     threshold: float = 0.7  # predicted is 1 from this score on
     seed: int = 11
@@ -33,33 +34,27 @@ class QualityParams:
 class CompressionModel:
     good: bytes
     bad: bytes
-    centre: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
+    slope: float
+    intercept: float
     params: QualityParams
 
     def compressors(self) -> list:
         import zstandard as zs
 
-        out = []
-        for raw in (self.good, self.bad, b""):
-            d = zs.ZstdCompressionDict(raw, dict_type=zs.DICT_TYPE_RAWCONTENT) if raw else None
-            out.append(zs.ZstdCompressor(level=self.params.level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
-        return out
+        dictionaries = [zs.ZstdCompressionDict(raw) for raw in (self.good, self.bad)]
+        return [zs.ZstdCompressor(level=self.params.level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False) for d in dictionaries]
 
-    def features(self, data: bytes, compressors: list) -> list[float]:
-        """Difference of the compressed sizes, and the size without dictionary, both over the bytes; how short the text is."""
-        n, size = len(data), self.params.piece
-        if not n:
-            return [0.0, 0.0, 1.0]
-        pieces = [data[i : i + size] for i in range(0, n, size)]
-        good, bad, plain = (sum(len(c.compress(p)) for p in pieces) for c in compressors)
-        return [(bad - good) / n, plain / n, 1.0 / (1.0 + n / 64.0)]
+    def difference(self, data: bytes, compressors: list) -> float:
+        """How much smaller the good dictionary makes the text than the bad one, over its bytes."""
+        good, bad = (sum(len(c.compress(p)) for p in pieces(data, self.params.piece)) for c in compressors)
+        return (bad - good) / (len(data) + self.params.damping)
 
-    def probability(self, features: np.ndarray) -> np.ndarray:
-        z = (features - self.centre) / self.scale
-        z = np.column_stack([z, z[:, 0] * z[:, 1], z[:, 1] ** 2, z[:, 0] ** 2, np.ones(len(z))])
-        return 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
+    def probability(self, difference: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * difference + self.intercept, -30, 30)))
+
+
+def pieces(data: bytes, size: int) -> list[bytes]:
+    return [data[i : i + size] for i in range(0, len(data), size)]
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, params: QualityParams, text: str, key: str, label: str) -> list[tuple[str, int]]:
@@ -83,30 +78,38 @@ def fit(sample: list[tuple[str, int]], params: QualityParams) -> CompressionMode
         return None
     halves = {q: (v[::2], v[1::2]) for q, v in by.items()}
     good, bad = (_dictionary(halves[q][0], params) for q in (1, 0))
-    model = CompressionModel(good, bad, np.zeros(3), np.ones(3), np.zeros(7), params)
+    model = CompressionModel(good, bad, 0.0, 0.0, params)
     tools = model.compressors()
-    x = np.array([model.features(t, tools) for q in (0, 1) for t in halves[q][1]])
+    x = np.array([model.difference(t, tools) for q in (0, 1) for t in halves[q][1]])
     y = np.array([q for q in (0, 1) for _ in halves[q][1]], float)
-    model.centre, model.scale = x.mean(0), x.std(0) + 1e-9
-    z = (x - model.centre) / model.scale
-    z = np.column_stack([z, z[:, 0] * z[:, 1], z[:, 1] ** 2, z[:, 0] ** 2, np.ones(len(z))])
+    centre, scale = x.mean(), x.std() + 1e-9
+    z = np.column_stack([(x - centre) / scale, np.ones(len(x))])
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    w = np.zeros(z.shape[1])
+    w = np.zeros(2)
     for _ in range(40):  # Newton steps of a ridge logistic regression, both classes with equal weight
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         s = weight * np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((z * s[:, None]).T @ z + 0.5 * np.eye(len(w)), z.T @ (weight * (y - p)) - 0.5 * w)
+        step = np.linalg.solve((z * s[:, None]).T @ z + 0.5 * np.eye(2), z.T @ (weight * (y - p)) - 0.5 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    model.weights = w
+    model.slope = float(w[0] / scale)
+    model.intercept = float(w[1] - w[0] * centre / scale)
     return model
 
 
 def _dictionary(texts: list[bytes], params: QualityParams) -> bytes:
-    """Equal shares of the texts, side by side, up to the dictionary's size: raw content, which zstandard searches like a window."""
-    share = max(64, params.dictionary // max(1, len(texts)))
-    return b"\n".join(t[len(t) // 3 :][:share] or t[:share] for t in texts)[: params.dictionary]
+    """Trained on pieces of the texts; of what little text there is itself, if that is too little to train on."""
+    import zstandard as zs
+
+    samples = []
+    for t in texts:
+        own = pieces(t, params.piece)
+        samples += [own[i * len(own) // params.pieces] for i in range(params.pieces)] if len(own) > params.pieces else own
+    try:
+        return zs.train_dictionary(min(params.dictionary, sum(map(len, samples)) // 4), samples).as_bytes()
+    except zs.ZstdError:
+        return b"".join(samples)[-params.dictionary :]
 
 
 def score(docs: DataFrame, model: CompressionModel | None, text: str = "text", out: str = "score", predicted: str = "predicted", threshold: float = 0.7) -> DataFrame:
@@ -124,8 +127,7 @@ def score(docs: DataFrame, model: CompressionModel | None, text: str = "text", o
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = model.compressors()
         for batch in batches:
-            rows = [model.features((t or "").encode(), tools) for t in batch.column(at).to_pylist()]
-            p = model.probability(np.array(rows).reshape(-1, 3))
+            p = model.probability(np.array([model.difference((t or "").encode(), tools) for t in batch.column(at).to_pylist()], float))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=names)
 
     return kept.mapInArrow(run, schema).withColumn(predicted, (F.col(out) >= threshold).cast("int"))
