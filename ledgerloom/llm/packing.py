@@ -8,7 +8,11 @@ possible rooms finds that window. Blocks hold tens of thousands of pieces, so wh
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,31 +35,62 @@ class PackingParams:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def load_tokenizer(path: str | None):
-    """text -> numpy array of ids. A .tiktoken file is read by tiktoken, any other by tokenizers; special strings are ordinary text.
+#: A space between two other characters: what follows, with the space, is tokenised as if it stood alone.
+BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
-    byte_bpe_50k.tiktoken and byte_bpe_50k.json hold the same vocabulary and merges and give the same ids (a test
-    compares them); tiktoken is about four times as fast, so it is what None stands for.
-    """
-    if path is None:
-        import public_tokenizers
 
-        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    if path.endswith(".tiktoken"):
-        import base64
+class Coder:
+    """text -> its ids as the tokenizers library gives them for the file, special strings included.
 
-        import public_tokenizers
-        import tiktoken
+    Byte-level vocabularies of this kind never join a word with what precedes the single space before it. So a text is
+    cut there, and the ids of a space with its word are remembered: the library is asked once for each such word. When
+    many are remembered, those not met again since as many were new are forgotten.
+    """
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coder = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: coder.encode_to_numpy(text, disallowed_special=())
-    from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 300_000, longest: int = 64):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        before = kind.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and not kind.get("normalizer")
+        self.by_word = plain and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in kind.get("added_tokens", []))
+
+    def __call__(self, text: str) -> np.ndarray:
+        first, *words = BETWEEN.split(text) if self.by_word else [text]
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        known = self.known
+        if new := set(words).difference(known):
+            known |= {w: self.older[w] for w in new if w in self.older}
+            new = [w for w in new if w not in known]
+        if new:
+            made = self.tokenizer.encode_batch_fast([f" {w}" for w in new], add_special_tokens=False)
+            found = {w: array("I", e.ids).tobytes() for w, e in zip(new, made, strict=True)}
+            known |= found
+        head = array("I", self.tokenizer.encode(first, add_special_tokens=False).ids).tobytes()
+        ids = np.frombuffer(head + b"".join(map(known.__getitem__, words)), np.uint32)
+        for w in new:
+            if len(w) > self.longest:
+                del known[w]
+        return ids
+
+
+@functools.lru_cache(maxsize=2)
+def _coder(path: str) -> Coder:
+    return Coder(path)
+
+
+def load_tokenizer(path: str | None) -> Coder:
+    """The coder of a tokenizers file; None stands for byte_bpe_50k of public_tokenizers. A Python worker keeps it from task to task."""
+    if path is None:
+        import public_tokenizers
 
-    coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True
-    return lambda text: np.array(coder.encode(text, add_special_tokens=False).ids, np.uint32)
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return _coder(path)
 
 
 def pieces(docs: DataFrame, params: PackingParams = PackingParams(), text: str = "text", key: str = "doc_id", ids: bool = False) -> DataFrame:
