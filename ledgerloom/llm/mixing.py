@@ -4,18 +4,20 @@ A source's target over its size is how often each of its documents is wanted on
 and once more with the fractional rest as inclusion probability. The cube method turns these fractions into zeros
 and ones so that the source's document and token totals hardly move: three documents at a time, the probabilities
 are moved along the null space of the two totals (the cross product of the constraint rows) until one of them
-arrives at zero or one. A block ends with at most two undecided documents. Those of all blocks of a source meet
-again in the next round, until one block is left. Its last two, and a few of the smallest documents, are the landing
-problem, settled by trying all ends.
+arrives at zero or one. A block ends with at most two undecided documents and with a few that it holds back, one of
+each of the graded sizes 1, 2, 4 and so on. Those of all blocks of a source meet again in the next round, until one
+block is left. Its last two and the graded ones are the landing problem, settled by trying all ends: whatever the two
+leave over, some choice of graded sizes makes up for it almost to the word.
 """
 
 from __future__ import annotations
 
-import itertools
+import bisect
 import math
 import random
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +31,8 @@ class MixParams:
     weights: tuple[float, ...] = (3.0, 1.0, 2.0)  # of the sources by code point, null last, over and over
     share: float = 1.5  # of all sizes, shared out
     most: float = 2.0  # times a source's size at most
-    block: int = 20_000  # documents whose fractions are rounded together
-    landing: int = 10  # of the smallest documents are settled last, together with the two that a flight leaves
+    block: int = 5_000  # documents whose fractions are rounded together
+    landing: int = 15  # documents of graded sizes are settled last, together with the two that a flight leaves
     seed: int = 17
 
 
@@ -54,14 +56,30 @@ def targets(units: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     return rows.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("w") * F.col("fill"), F.col("cap"))).alias("target"))
 
 
-def flight(probability: list[float], count: list[float], size: list[float], rng: random.Random, hold: int = 0) -> list[float]:
+def graded(probability: list[float], count: list[float], size: list[float], most: int) -> set[int]:
+    """Up to `most` undecided documents whose tokens are nearest to the powers of two from 1 to the largest document's."""
+    free = sorted((size[i] * count[i], i) for i, p in enumerate(probability) if 0.0 < p < 1.0 and size[i] > 0)
+    if not free or not most:
+        return set()
+    held: set[int] = set()
+    steps = min(most, max(1, math.ceil(math.log2(free[-1][0])) + 1))
+    for k in range(steps):
+        goal = 2.0 ** (k * max(1.0, math.log2(free[-1][0]) / max(1, steps - 1)))
+        at = bisect.bisect_left(free, (goal, -1))
+        near = [x for x in free[max(0, at - 1 - len(held)) : at + 1 + len(held)] if x[1] not in held]
+        if near:
+            held.add(min(near, key=lambda x: (abs(x[0] - goal), x))[1])
+    return held
+
+
+def flight(probability: list[float], count: list[float], size: list[float], rng: random.Random, held: set[int] | frozenset[int] = frozenset()) -> list[float]:
     """Moves probabilities to 0 or 1 with sum(count * p) and sum(count * size * p) unmoved; two stay between at most.
 
-    The last hold documents are left as they are, for the landing.
+    Those held are left as they are.
     """
     p, active = list(probability), []
-    for i in range(max(0, len(p) - hold)):
-        if 0.0 < p[i] < 1.0:
+    for i in range(len(p)):
+        if 0.0 < p[i] < 1.0 and i not in held:
             active.append(i)
         if len(active) == 3:
             a, b, c = active
@@ -86,13 +104,13 @@ def _step(p: list[float], active: list[int], u: tuple[float, ...], rng: random.R
 def landing(p: list[float], count: list[float], size: list[float]) -> list[float]:
     """Settles the few documents that a flight leaves, as zeros and ones whose tokens, then documents, miss least."""
     left = [i for i, v in enumerate(p) if 0.0 < v < 1.0]
-
-    def miss(ends: tuple[float, ...]) -> tuple[float, float]:
-        moves = [(e - p[i]) * count[i] for e, i in zip(ends, left, strict=True)]
-        return abs(sum(m * size[i] for m, i in zip(moves, left, strict=True))), abs(sum(moves))
-
-    for e, i in zip(min(itertools.product((0.0, 1.0), repeat=len(left)), key=miss), left, strict=True):
-        p[i] = e
+    tokens, docs = np.zeros(1), np.zeros(1)
+    for i in left:  # of all choices so far, in the order of binary numbers with the last document's digit in front
+        tokens = np.concatenate([tokens - p[i] * count[i] * size[i], tokens + (1 - p[i]) * count[i] * size[i]])
+        docs = np.concatenate([docs - p[i] * count[i], docs + (1 - p[i]) * count[i]])
+    best = int(np.lexsort((np.abs(docs), np.round(np.abs(tokens), 6)))[0])
+    for k, i in enumerate(left):
+        p[i] = float(best >> k & 1)
     return p
 
 
@@ -105,9 +123,9 @@ def _round(frame: DataFrame, last: bool, params: MixParams, level: int) -> DataF
         rng = random.Random(f"{params.seed}/{level}/{group['source_no'][0]}/{group['block'][0]}")
         count = [float(v) for v in group["n"].to_pylist()]
         size = [float(v) for v in group["size"].to_pylist()]
-        ends = last or group["blocks"][0].as_py() == 1
-        p = flight(group["p"].to_pylist(), count, size, rng, params.landing if ends else 0)
-        if ends:
+        p = group["p"].to_pylist()
+        p = flight(p, count, size, rng, graded(p, count, size, params.landing))
+        if last or group["blocks"][0].as_py() == 1:
             p = landing(p, count, size)
         return group.set_column(group.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
@@ -136,13 +154,14 @@ def decide(docs: DataFrame, params: MixParams = MixParams(), text: str = "text",
     rest = ratio - whole
     table = joined.withColumns({"whole": whole, "p": F.when(rest < 1e-9, 0.0).otherwise(rest), "block": F.pmod(F.xxhash64("doc_id", "size", F.lit(params.seed)), F.col("blocks"))})
     most = goal.agg(F.max("blocks")).first()[0] or 1
-    rounds = 1 if most == 1 else 1 + max(1, math.ceil(math.log(most) / math.log(params.block / 2)))
+    fold = max(2, params.block // (params.landing + 2))  # blocks whose undecided documents make a block
+    rounds = 1 + math.ceil(math.log(most) / math.log(fold) - 1e-9)
     settled, now = None, table
     for level in range(rounds):
         now = written(_round(now, level == rounds - 1, params, level), f"mix-round{level}")
         done = now.where("p = 0 or p = 1").select("doc_id", "source_no", "size", "n", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
         settled = done if settled is None else settled.unionByName(done)
-        fewer = F.ceil(F.col("blocks") * 2 / F.lit(params.block)).cast("long") if level < rounds - 2 else F.lit(1).cast("long")
+        fewer = F.ceil(F.col("blocks") / F.lit(fold)).cast("long") if level < rounds - 2 else F.lit(1).cast("long")
         now = now.where("p > 0 and p < 1").withColumn("blocks", fewer).withColumn("block", F.pmod(F.col("block"), F.col("blocks")))
     return settled.join(goal.drop("blocks"), "source_no").select("doc_id", "source", "size", "n", "source_size", "target", "copies")
 
