@@ -8,9 +8,14 @@ its position's matrix, add up to a predicted vector; its products with the outpu
 a softmax over all outputs, are probabilities. A token of a class has the class's probability times its smoothed
 share of the class, so probabilities of all tokens, with one unseen token per class, add up to one.
 
-The neural weights are fitted on all training texts, whole. They are written as output numbers once; in each epoch
+Outputs are normalised in two levels, which keeps the work a token near the square root of their number: groups of
+outputs have vectors of their own, a softmax over groups gives a group's probability and one within the group the
+output's share of it. Both kinds of vectors are trained against noise, where no normalisation is needed.
+
+The neural weights are fitted on all training texts, whole. They are written as output numbers once; in each round
 every task fits the weights that all share on its own texts, and the tasks' weights, averaged by their tokens, are those
-of the next epoch. Scoring takes texts whole, too: tokens with a common count are looked up in a broadcast table of
+of the next round. A large corpus is read once, a quarter of the texts in each of four rounds; a small one is read
+again in each round. Scoring takes texts whole, too: tokens with a common count are looked up in a broadcast table of
 bounded size, the others are joined to the counts by a shuffle.
 """
 
@@ -38,13 +43,13 @@ class LmParams:
     dim: int = 32
     context: int = 4  # previous tokens
     common: int = 300_000  # bound of the broadcast table of counts
-    sample_docs: int = 2000  # without effect, as is the next: all training texts are read, whole
-    sample_chars: int = 4000
     task_tokens: int = 1_000_000  # tokens of a training task, at least
     buffer: int = 65_536  # tokens shuffled together within a task, about
     noise: int = 96  # noise tokens, shared by a batch
+    group_noise: int = 24  # noise groups, shared by a batch
     batch: int = 2048
-    epochs: int = 4
+    rounds: int = 4  # after each of which the tasks' weights are averaged
+    read_tokens: int = 8_000_000  # training reads so many tokens at least, by reading small corpora up to once in each round
     rate: float = 0.01
     seed: int = 13
 
@@ -136,17 +141,22 @@ def vocabulary(counts: DataFrame, params: LmParams) -> Vocabulary:
 
 
 class LogBilinear:
-    """Input vectors (one more for the time before a text), a matrix per context position, output vectors, biases."""
+    """Input vectors (one more for the time before a text), a matrix per context position, vectors and biases of outputs and of their groups."""
 
     def __init__(self, outputs: int, share: np.ndarray, params: LmParams):
         rng = np.random.default_rng(params.seed)
         d = params.dim
         self.params, self.share = params, share
+        self.width = isqrt(max(0, outputs - 1)) + 1  # outputs in a group
+        groups = -(-outputs // self.width)
+        self.group_share = np.add.reduceat(share, np.arange(groups) * self.width)
         self.w = {
             "inp": rng.normal(0, 0.1, (outputs + 1, d)).astype(np.float32),
             "mat": (np.stack([np.eye(d)] * params.context) / params.context + rng.normal(0, 0.02, (params.context, d, d))).astype(np.float32),
             "out": rng.normal(0, 0.1, (outputs, d)).astype(np.float32),
             "bias": np.log(share).astype(np.float32),
+            "group": rng.normal(0, 0.1, (groups, d)).astype(np.float32),
+            "group_bias": np.log(self.group_share).astype(np.float32),
         }
 
     def contexts(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -158,26 +168,24 @@ class LogBilinear:
             out[j - 1, ok] = ids[at[ok] - j]
         return out
 
-    def fit(self, texts: Iterator[np.ndarray], epoch: int, seed: int) -> int:
+    def fit(self, texts: Iterator[np.ndarray], turn: int, seed: int) -> int:
         """One pass over texts (outputs of their tokens); how many tokens they have.
 
-        Noise-contrastive estimation: tell each token from noise tokens drawn by their share. Adam on mini-batches of
-        tokens shuffled within a buffer of whole texts.
+        Noise-contrastive estimation: tell each token from noise tokens drawn by their share, and its group from noise
+        groups. Adam on mini-batches of tokens shuffled within a buffer of whole texts.
         """
         p, w = self.params, self.w
-        rng = np.random.default_rng([p.seed + 1, epoch, seed])
-        log_noise = (np.log(self.share) + np.log(p.noise)).astype(np.float32)
-        upto = np.cumsum(self.share)
+        rng = np.random.default_rng([p.seed + 1, turn, seed])
+        heads = [_Head("out", "bias", self.share, p.noise), _Head("group", "group_bias", self.group_share, p.group_noise)]
         m, v, step, seen = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}, 0, 0
-        rate = p.rate * (1 - epoch / p.epochs) + 1e-4
+        rate = p.rate * (1 - turn / p.rounds) + 1e-4
         for parts in _buffers(texts, p.buffer):
             lengths = np.array([len(x) for x in parts])
             ids = np.concatenate(parts)
             ctx = self.contexts(ids, np.repeat(np.cumsum(lengths) - lengths, lengths))
             seen += len(ids)
             for at in np.array_split(rng.permutation(len(ids)), max(1, len(ids) // p.batch)):
-                noise = np.minimum(np.searchsorted(upto, rng.random(p.noise) * upto[-1], "right"), len(upto) - 1)
-                grad, step = self._gradient(ids[at], ctx[:, at], noise, log_noise), step + 1
+                grad, step = self._gradient(ids[at], ctx[:, at], heads, rng), step + 1
                 for k, g in grad.items():
                     m[k] += np.float32(0.1) * (g - m[k])
                     v[k] += np.float32(0.001) * (g * g - v[k])
@@ -193,50 +201,86 @@ class LogBilinear:
             self.w[k] = flat[at : at + a.size].reshape(a.shape).astype(np.float32)
             at += a.size
 
-    def _gradient(self, y: np.ndarray, ctx: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> dict[str, np.ndarray]:
-        w, n, d = self.w, len(y), self.params.dim
-        mat = w["mat"].reshape(-1, d)
-        seen = w["inp"][ctx.T].reshape(n, -1)
-        q = seen @ mat
-        of_true = (q * w["out"][y]).sum(1) + w["bias"][y] - log_noise[y]
-        of_noise = q @ w["out"][noise].T + (w["bias"][noise] - log_noise[noise])
-        d_true = (-1 / (1 + np.exp(np.clip(of_true, -30, 30)))).astype(np.float32) / np.float32(n)
-        np.clip(of_noise, -30, 30, out=of_noise)
-        np.exp(np.negative(of_noise, out=of_noise), out=of_noise)
-        of_noise += np.float32(1)
-        d_noise = np.divide(np.float32(1 / n), of_noise, out=of_noise)
-        grad = {"inp": None, "mat": None, "out": _sums(y, d_true[:, None] * q, len(w["out"])), "bias": np.bincount(y, d_true, len(w["bias"])).astype(np.float32)}
-        np.add.at(grad["out"], noise, d_noise.T @ q)
-        np.add.at(grad["bias"], noise, d_noise.sum(0))
-        dq = d_true[:, None] * w["out"][y] + d_noise @ w["out"][noise]
-        grad["mat"] = (seen.T @ dq).reshape(w["mat"].shape)
-        grad["inp"] = _sums(ctx.T.ravel(), (dq @ mat.T).reshape(-1, d), len(w["inp"]))
+    def _gradient(self, y: np.ndarray, ctx: np.ndarray, heads: list[_Head], rng: np.random.Generator) -> dict[str, np.ndarray]:
+        w = self.w
+        tables = w["inp"] @ w["mat"]  # what each output adds at each position
+        q = tables[0][ctx[0]]
+        for t, c in zip(tables[1:], ctx[1:], strict=True):
+            q += t[c]
+        grad, dq = {}, 0.0
+        for head, places in zip(heads, (y, y // self.width), strict=True):
+            found, d = head.gradient(q, places, w, rng)
+            grad, dq = grad | found, dq + d
+        moved = np.stack([_sums(c, dq, len(w["inp"])) for c in ctx])
+        grad["mat"] = w["inp"].T @ moved
+        grad["inp"] = (moved @ w["mat"].transpose(0, 2, 1)).sum(0)
         return grad
 
     def scorer(self):
-        """(contexts, tokens) -> log10 probabilities, normalised over all outputs."""
-        tables = [self.w["inp"] @ mat for mat in self.w["mat"]]
-        out, bias = np.ascontiguousarray(self.w["out"].T), self.w["bias"]
-        ones = np.ones(len(bias), np.float32)
-        block = 512
+        """(contexts, tokens) -> log10 probabilities, normalised over all outputs: within the group, times the group's."""
+        tables = self.w["inp"] @ self.w["mat"]
+        groups, group_bias = np.ascontiguousarray(self.w["group"].T), self.w["group_bias"]
+        width, block = self.width, 16_384
+        inner = [(np.ascontiguousarray(self.w["out"][lo : lo + width].T), self.w["bias"][lo : lo + width]) for lo in range(0, len(self.w["out"]), width)]
+
+        def log_share(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+            z = q @ vectors
+            z += bias
+            np.minimum(z, 80, out=z)
+            true = z[np.arange(len(z)), at]
+            np.exp(z, out=z)
+            return true - np.log(z.sum(1))
 
         def score(ctx: np.ndarray, y: np.ndarray) -> np.ndarray:
             result = np.empty(len(y))
             for lo in range(0, len(y), block):
-                q = tables[0][ctx[0, lo : lo + block]]
+                own = y[lo : lo + block]
+                of = own // width
+                order = np.argsort(of.astype(np.int16) if len(inner) < 1 << 15 else of, kind="stable")
+                own, of = own[order], of[order]
+                q = tables[0][ctx[0, lo : lo + block][order]]
                 for t, c in zip(tables[1:], ctx[1:], strict=True):
-                    q = q + t[c[lo : lo + block]]
-                z = q @ out
-                z += bias
-                np.minimum(z, 80, out=z)
-                true = z[np.arange(len(z)), y[lo : lo + block]]
-                np.exp(z, out=z)
-                result[lo : lo + block] = true - np.log(z @ ones)
+                    q += t[c[lo : lo + block][order]]
+                logs = log_share(q, groups, group_bias, of)
+                first = np.nonzero(np.r_[True, of[1:] != of[:-1]])[0]
+                for a, b in zip(first, [*first[1:], len(of)], strict=True):
+                    logs[a:b] += log_share(q[a:b], *inner[of[a]], own[a:b] - of[a] * width)
+                result[lo + order] = logs
             return result / np.log(10)
 
         return score
 
 
+class _Head:
+    """Vectors and biases that tell true places from noise drawn by their share."""
+
+    def __init__(self, vectors: str, bias: str, share: np.ndarray, noise: int):
+        self.vectors, self.bias, self.noise = vectors, bias, noise
+        self.log_noise = (np.log(share) + np.log(noise)).astype(np.float32)
+        self.upto = np.cumsum(share)
+
+    def gradient(self, q: np.ndarray, y: np.ndarray, w: dict[str, np.ndarray], rng: np.random.Generator) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of the head's own weights by name, and of q."""
+        out, bias, n = w[self.vectors], w[self.bias], len(y)
+        noise = np.minimum(np.searchsorted(self.upto, rng.random(self.noise) * self.upto[-1], "right"), len(bias) - 1)
+        shifted = bias - self.log_noise
+        true = out[y]
+        of_true = np.einsum("ij,ij->i", q, true) + shifted[y]
+        of_noise = q @ out[noise].T
+        of_noise += shifted[noise]
+        d_true = (-1 / (1 + np.exp(np.clip(of_true, -30, 30)))).astype(np.float32) / np.float32(n)
+        np.clip(of_noise, -30, 30, out=of_noise)
+        np.exp(np.negative(of_noise, out=of_noise), out=of_noise)
+        of_noise += np.float32(1)
+        d_noise = np.divide(np.float32(1 / n), of_noise, out=of_noise)
+        grad = {self.vectors: _sums(y, d_true[:, None] * q, len(out)), self.bias: np.bincount(y, d_true, len(bias)).astype(np.float32)}
+        np.add.at(grad[self.vectors], noise, d_noise.T @ q)
+        np.add.at(grad[self.bias], noise, d_noise.sum(0))
+        true *= d_true[:, None]
+        true += d_noise @ out[noise]
+        return grad, true
+
+
 def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Rows added up by index."""
     order = np.argsort(index.astype(np.int16) if n < 1 << 15 else index, kind="stable")  # 16 bits are sorted by digits
@@ -298,23 +342,25 @@ def _once(key: object, make: Callable):
     return _encoders[key]
 
 
-def _encoded(docs: DataFrame, vocab: Vocabulary, text: str) -> DataFrame:
-    """(ids): the outputs of every text's tokens and its end, as 32-bit numbers."""
+def _encoded(docs: DataFrame, vocab: Vocabulary, text: str, turns: int) -> DataFrame:
+    """(turn, ids): the outputs of every text's tokens and its end, as 32-bit numbers; each task deals its texts out to the turns."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
     token = ("ids", shared.id if hasattr(shared, "id") else id(shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder, dealt = None, 0
         for batch in batches:
             encoder = encoder or _once(token, lambda: Encoder(shared.value))
             for lo in range(0, batch.num_rows, 256):
                 rows = [encoder.outputs([*tokens(t), END])[1].astype("<i4").tobytes() for t in batch.column(0).slice(lo, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
+                turn = np.arange(dealt, dealt + len(rows), dtype=np.int32) % turns
+                dealt += len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(turn), pa.array(rows, pa.binary())], names=["turn", "ids"])
 
-    return docs.select(text).mapInArrow(run, "ids binary")
+    return docs.select(text).mapInArrow(run, "turn int, ids binary")
 
 
-def _epoch(ids: DataFrame, model: LogBilinear, epoch: int, tasks: int) -> np.ndarray | None:
+def _round(ids: DataFrame, model: LogBilinear, turn: int, tasks: int) -> np.ndarray | None:
     """Weights after each task's pass over its texts from the model's weights on, averaged by tokens; null without texts.
 
     Groups of about sqrt(tasks) tasks are added up by tasks, the groups' sums by the driver.
@@ -327,9 +373,9 @@ def _epoch(ids: DataFrame, model: LogBilinear, epoch: int, tasks: int) -> np.nda
 
         given = shared.value
         own = LogBilinear.__new__(LogBilinear)
-        own.params, own.share, own.w = given.params, given.share, {k: a.copy() for k, a in given.w.items()}
+        own.__dict__.update(given.__dict__ | {"w": {k: a.copy() for k, a in given.w.items()}})
         part = TaskContext.get().partitionId()
-        n = own.fit((np.frombuffer(x.as_buffer(), "<i4") for b in batches for x in b.column(0)), epoch, part)
+        n = own.fit((np.frombuffer(x.as_buffer(), "<i4") for b in batches for x in b.column(0)), turn, part)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([part % groups], pa.int32()), pa.array([n], pa.int64()), pa.array([own.packed().tobytes()], pa.binary())], names=["g", "n", "w"])
 
@@ -350,11 +396,14 @@ def _epoch(ids: DataFrame, model: LogBilinear, epoch: int, tasks: int) -> np.nda
 
 
 def train(docs: DataFrame, vocab: Vocabulary, params: LmParams = LmParams(), text: str = "text", key: str = "doc_id") -> LogBilinear:
-    """Fit on all of docs: an average of the tasks' weights after each epoch."""
-    ids = written(_encoded(docs, vocab, text), "lm-ids")
+    """Fit on all of docs: an average of the tasks' weights after each round."""
+    ids = written(_encoded(docs, vocab, text, params.rounds), "lm-ids")
     model = LogBilinear(vocab.outputs, vocab.share(), params)
-    for epoch in range(params.epochs):
-        weights = _epoch(ids, model, epoch, max(1, vocab.total // params.task_tokens))
+    again = min(params.rounds, max(1, -(-params.read_tokens // max(1, vocab.total))))  # rounds in which a text is read
+    tasks = max(1, vocab.total * again // params.rounds // params.task_tokens)
+    for turn in range(params.rounds):
+        now = ids.where(F.pmod(F.col("turn") + turn, F.lit(params.rounds)) < again).select("ids")
+        weights = _round(now, model, turn, tasks)
         if weights is not None:
             model.unpack(weights)
     return model

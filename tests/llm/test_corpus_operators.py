@@ -72,7 +72,7 @@ def test_language_tables_equal_the_plain_network():
 
 
 def test_lm_scores(spark, odd, none):
-    params = lm_score.LmParams(words=6, classes=4, dim=4, common=20, sample_docs=40, epochs=1)
+    params = lm_score.LmParams(words=6, classes=4, dim=4, common=20, rounds=1)
     rows = odd.selectExpr("doc_id", "text", "score", "coalesce(doc_id % 5 <> 1, true) as learn")
     got = lm_score.learn_and_score(rows, rows["learn"], params).collect()
     counts = Counter()
@@ -94,7 +94,7 @@ def test_lm_scores(spark, odd, none):
 
 
 def test_lm_probabilities_add_up_to_one(spark, odd):
-    params = lm_score.LmParams(words=6, classes=4, dim=4, common=10_000, sample_docs=40, epochs=1)
+    params = lm_score.LmParams(words=6, classes=4, dim=4, common=10_000, rounds=1)
     docs = odd.select("doc_id", "text")
     counts = lm_score.count_tokens(docs)
     vocab = lm_score.vocabulary(counts, params)
@@ -112,9 +112,32 @@ def test_lm_probabilities_add_up_to_one(spark, odd):
         assert inside[i] + unseen == pytest.approx((tokens + 0.5) / (tokens + 0.5)), i
 
 
+def test_lm_scores_equal_a_plain_loop(spark, odd):
+    params = lm_score.LmParams(words=6, classes=4, dim=4, common=30, rounds=1)
+    docs = odd.where("doc_id < 60").select("doc_id", "text")
+    counts = lm_score.count_tokens(docs).persist()
+    vocab = lm_score.vocabulary(counts, params)
+    model = lm_score.train(docs, vocab, params)
+    known, w = {bytes(r["word"]): r["c"] for r in counts.collect()}, model.w
+    single, last = {x: i for i, x in enumerate(vocab.words)}, {x: len(vocab.words) + i for i, x in enumerate(vocab.suffixes)}
+    of = lambda word: single.get(word, last.get(word[-2:], vocab.outputs - 1))
+    for r in lm_score.score(docs, counts, vocab, model).where("doc_id < 4").join(docs, "doc_id").collect():
+        words, total = [*lm_score.tokens(r["text"]), b""], 0.0
+        for t, word in enumerate(words):
+            q = sum(w["inp"][of(words[t - j]) if t >= j else vocab.outputs] @ w["mat"][j - 1] for j in range(1, params.context + 1))
+            y, g = of(word), of(word) // model.width
+            groups = np.exp(q @ w["group"].T + w["group_bias"])
+            inside = np.exp(q @ w["out"].T + w["bias"])[g * model.width : (g + 1) * model.width]
+            total += math.log10(groups[g] / groups.sum() * inside[y - g * model.width] / inside.sum())
+            if y >= len(vocab.words):
+                k = y - len(vocab.words)
+                total += math.log10((known[word] + 0.5) / (vocab.class_tokens[k] + 0.5 * (vocab.class_distinct[k] + 1)))
+        assert r["score"] == pytest.approx(total, rel=1e-4)
+
+
 def test_lm_learns_from_all_training_texts(spark):
     """Pairs that only texts outside a sample, and places far inside texts, show are learned; outputs follow the vocabulary."""
-    params = lm_score.LmParams(words=6, classes=4, dim=8, sample_docs=1, sample_chars=10, rate=0.05, batch=64, task_tokens=5000, buffer=500)
+    params = lm_score.LmParams(words=6, classes=4, dim=8, rate=0.05, batch=64, task_tokens=5000, buffer=500)
     rng = random.Random(3)
     pairs = [("a1", "b1"), ("a2", "b2")]
     rows = [(i, " ".join(["z"] * 2000 + [w for _ in range(300) for w in rng.choice(pairs)])) for i in range(24)]
