@@ -24,7 +24,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from math import isqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -187,9 +189,15 @@ class LogBilinear:
             for at in np.array_split(rng.permutation(len(ids)), max(1, len(ids) // p.batch)):
                 grad, step = self._gradient(ids[at], ctx[:, at], heads, rng), step + 1
                 for k, g in grad.items():
-                    m[k] += np.float32(0.1) * (g - m[k])
-                    v[k] += np.float32(0.001) * (g * g - v[k])
-                    w[k] -= np.float32(rate / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.999**step)) + np.float32(1e-8))
+                    m[k] *= np.float32(0.9)
+                    m[k] += np.float32(0.1) * g
+                    v[k] *= np.float32(0.999)
+                    v[k] += np.multiply(g, np.float32(0.001) * g, out=g)
+                    move = np.sqrt(v[k], out=g)
+                    move += np.float32(1e-8)
+                    np.divide(m[k], move, out=move)
+                    move *= np.float32(rate * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step))
+                    w[k] -= move
         return seen
 
     def packed(self) -> np.ndarray:
@@ -269,8 +277,9 @@ class _Head:
         of_noise = q @ out[noise].T
         of_noise += shifted[noise]
         d_true = (-1 / (1 + np.exp(np.clip(of_true, -30, 30)))).astype(np.float32) / np.float32(n)
-        np.clip(of_noise, -30, 30, out=of_noise)
-        np.exp(np.negative(of_noise, out=of_noise), out=of_noise)
+        np.negative(of_noise, out=of_noise)
+        with np.errstate(over="ignore"):  # beyond the range of floats the quotient is 0, as it should be
+            np.exp(of_noise, out=of_noise)
         of_noise += np.float32(1)
         d_noise = np.divide(np.float32(1 / n), of_noise, out=of_noise)
         grad = {self.vectors: _sums(y, d_true[:, None] * q, len(out)), self.bias: np.bincount(y, d_true, len(bias)).astype(np.float32)}
@@ -310,7 +319,7 @@ class Encoder:
     def __init__(self, vocab: Vocabulary):
         self.vocab, v = vocab, vocab
         self.place = {w: i for i, (w, _) in enumerate(v.common)}
-        self.last = {s: len(v.words) + i for i, s in enumerate(v.suffixes)}
+        self.last = {s: len(v.words) + i for i, s in enumerate(v.suffixes)} | {END: 0}
         single = {w: i for i, w in enumerate(v.words)}
         rest = len(v.words) + len(v.suffixes)
         c = np.array([n for _, n in v.common], float)
@@ -318,18 +327,21 @@ class Encoder:
         self.base = np.log10((c + 0.5) / (v.total + 0.5 * (v.distinct + 1)))
         inside = np.maximum(self.output - len(v.words), 0)
         self.inner = np.where(self.output < len(v.words), 0.0, v.inner(c, inside)) if len(c) else np.zeros(0)
-        self.single, self.rest = single, rest
+        self.rest = rest
 
     def outputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Places in the common table (-1: not there), and outputs."""
-        get = self.place.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
         out = self.output[at] if len(self.output) else np.zeros(len(at), np.int32)
-        for i in np.nonzero(at < 0)[0]:
-            w = words[i]
-            out[i] = self.single.get(w, self.last.get(w[-2:], self.rest))
+        missing = np.nonzero(at < 0)[0]
+        if len(missing):
+            out[missing] = [self.of_rare(words[i]) for i in missing.tolist()]
         return at, out
 
+    def of_rare(self, word: bytes) -> int:
+        """Output of a word that isn't among the common ones: its class, as all single words are common. The end has its own."""
+        return self.last.get(word[-2:], self.rest)
+
 
 _encoders: dict = {}
 
@@ -409,6 +421,14 @@ def train(docs: DataFrame, vocab: Vocabulary, params: LmParams = LmParams(), tex
     return model
 
 
+class Rare(NamedTuple):
+    """Words of a text that are not among the common ones: the word, its class, how often the text has it."""
+
+    w: list[bytes]
+    k: list[int]
+    tf: list[int]
+
+
 def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilinear, text: str = "text") -> DataFrame:
     """docs without the text, with n_tokens, n_known, train_tokens, base_score and score (log10, summed over tokens).
 
@@ -420,7 +440,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((vocab, model))
     fields = "part_tokens long, part_known long, part_base double, part_score double, rare array<struct<w:binary,k:int,tf:int>>"
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int32()), ("tf", pa.int32())]))]
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     token = shared.id if hasattr(shared, "id") else id(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +450,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                rows, rare, all_out, lengths, extra = [], [], [], [], []
+                rows, rare, ends, all_out, lengths, extra = [], Rare([], [], []), [0], [], [], []
                 for t in part.column(0).to_pylist():
                     words = [*tokens(t), END]
                     at, out = encoder.outputs(words)
@@ -438,15 +458,19 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
                     found = at[known]
                     rows.append((len(words), int(known.sum()), float(encoder.base[found].sum())))
                     extra.append(float(encoder.inner[found].sum()))
-                    missing = Counter(words[i] for i in np.nonzero(~known)[0])
-                    rare.append([{"w": w, "k": encoder.single.get(w, encoder.last.get(w[-2:], encoder.rest)) - first_class, "tf": n} for w, n in missing.items()])
+                    missing = Counter([words[i] for i in np.nonzero(~known)[0].tolist()])
+                    rare.w.extend(missing)
+                    rare.k.extend([encoder.of_rare(w) - first_class for w in missing])
+                    rare.tf.extend(missing.values())
+                    ends.append(len(rare.w))
                     all_out.append(out)
                     lengths.append(len(words))
                 ids, lens = np.concatenate(all_out), np.array(lengths)
                 begin = np.cumsum(lens) - lens
                 total = np.add.reduceat(scorer(model.contexts(ids, np.repeat(begin, lens)), ids), begin)
-                columns = [*zip(*rows, strict=True), total + np.array(extra), rare]
-                yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["_row", *(f.split()[0] for f in fields.split(", "))])
+                structs = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(rare, (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=Rare._fields)
+                columns = [*(pa.array(c, t) for c, t in zip([*zip(*rows, strict=True), total + np.array(extra)], types, strict=True)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)]
+                yield pa.RecordBatch.from_arrays([part.column(1), *columns], names=["_row", *(f.split()[0] for f in fields.split(", "))])
 
     row_type = kept.schema["_row"].dataType.simpleString()
     scored = kept.mapInArrow(run, f"_row {row_type}, {fields}").withColumn("_rid", F.monotonically_increasing_id())
