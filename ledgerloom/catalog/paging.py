@@ -65,9 +65,32 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.bank_group_problems(numbered, found.select("case_id", "document_id", F.lit(40).alias("n_pages")).distinct())
 
 
-@query("w19_extraction_batches")
+PAGE_TYPE = "CASE WHEN page % 17 = 0 THEN 'BLANK' WHEN page % 13 = 0 THEN 'COVER' WHEN page % 11 = 0 THEN 'UNKNOWN' WHEN page % 19 = 0 THEN NULL ELSE 'STATEMENT' END"
+DENSITY = "CASE WHEN n_rows >= 6 THEN 'HIGH' WHEN n_rows >= 3 THEN 'MEDIUM' ELSE 'LOW' END"
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with segment, a type, a density, and whether they are still to be read."""
+    found = pages.logical_segments(_profile(spark, sf_dir)).withColumns({"page_type": F.expr(PAGE_TYPE), "density": F.expr(DENSITY), "pending": F.expr("page % 3 = 0")})
+    return found.withColumn("estimated_rows", pages.estimated_rows())
+
+
+COSTS = f"""{SEGMENTS}, typed AS (SELECT *, {PAGE_TYPE} AS page_type, {DENSITY} AS density, page % 3 = 0 AS pending FROM segments),
+costs AS (SELECT *, CASE WHEN page_type = 'BLANK' THEN 0 WHEN page_type = 'COVER' THEN 2 WHEN coalesce(page_type, 'UNKNOWN') = 'UNKNOWN' THEN 12 ELSE CASE density WHEN 'HIGH' THEN 40 WHEN 'MEDIUM' THEN 20 ELSE 8 END END AS estimated_rows FROM typed)"""
+
+
+@query("estimate_page_rows", f"{COSTS} SELECT {DOC}, page, estimated_rows FROM costs")
+def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(spark, sf_dir).select("case_id", "document_id", "page", "estimated_rows")
+
+
+@query("w19_extraction_batches", f"""{COSTS.replace("WITH ", "WITH RECURSIVE ", 1)}, o AS (SELECT *, row_number() OVER (PARTITION BY {DOC}, segment ORDER BY page) AS n FROM costs),
+b AS (SELECT {DOC}, segment, page, pending, n, estimated_rows AS total, 0 AS batch FROM o WHERE n = 1
+  UNION ALL SELECT o.case_id, o.document_id, o.segment, o.page, o.pending, o.n, CASE WHEN b.total + o.estimated_rows > 40 THEN o.estimated_rows ELSE b.total + o.estimated_rows END, CASE WHEN b.total + o.estimated_rows > 40 THEN b.batch + 1 ELSE b.batch END
+  FROM b JOIN o ON o.case_id = b.case_id AND o.document_id = b.document_id AND o.segment = b.segment AND o.n = b.n + 1)
+SELECT {DOC}, segment, page, batch FROM b QUALIFY bool_or(pending) OVER (PARTITION BY {DOC}, segment, batch)""")
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.extraction_batches(_profile(spark, sf_dir), 40)
+    return pages.extraction_batches(_typed(spark, sf_dir), 30)
 
 
 def _blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,14 +105,15 @@ def _identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_identity_fill(_blanked(spark, sf_dir))
 
 
-@query("j15_page_context", f"""{PROFILE}, n AS (SELECT a.case_id, a.document_id, a.account, a.page, b.page AS context_page, abs(a.page - b.page) AS distance FROM pages a JOIN pages b USING ({DOC}, account) WHERE a.page <> b.page AND abs(a.page - b.page) <= 40 AND coalesce(a.bank = b.bank, true))
+@query("j15_page_context", f"""{PROFILE}, k AS (SELECT * FROM pages WHERE length(account) BETWEEN 12 AND 32), u AS (SELECT {DOC}, account FROM k GROUP BY ALL HAVING count(DISTINCT bank) <= 1),
+n AS (SELECT a.case_id, a.document_id, a.account, a.page, b.page AS context_page, abs(a.page - b.page) AS distance FROM k a JOIN k b USING ({DOC}, account) JOIN u USING ({DOC}, account) WHERE a.page <> b.page)
 SELECT *, row_number() OVER (PARTITION BY {DOC}, account, page ORDER BY distance, context_page)::INT AS rank FROM n QUALIFY rank <= 2""")
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_context(_profile(spark, sf_dir))
 
 
-@query("a18_dominant_bank", f"""{SEGMENTS}, v AS (SELECT {DOC}, segment, bank, sum(greatest(0.25, (n_rows % 10) / 10)) AS weight FROM segments WHERE bank IS NOT NULL GROUP BY ALL)
-SELECT {DOC}, segment, bank, weight FROM v QUALIFY row_number() OVER (PARTITION BY {DOC}, segment ORDER BY weight DESC, length(bank) DESC, bank DESC) = 1""")
+@query("a18_dominant_bank", f"""{SEGMENTS}, v AS (SELECT {DOC}, segment, bank, sum(greatest(0.25, (n_rows % 10) / 10)) AS weight FROM segments WHERE bank IS NOT NULL AND (n_rows % 10) / 10 >= 0.45 GROUP BY ALL)
+SELECT {DOC}, segment, bank, weight FROM v QUALIFY row_number() OVER (PARTITION BY {DOC}, segment ORDER BY weight DESC, bank DESC) = 1""")
 def _dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.dominant_banks(pages.logical_segments(_profile(spark, sf_dir)).withColumn("confidence", (F.col("n_rows") % 10) / 10))
 

@@ -28,26 +28,22 @@ def _locator(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _in_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(spark, sf_dir)
     again = rows.where("row_index % 23 = 0").withColumns({"id": F.concat("id", F.lit("_R")), "page": F.col("page") + 50, "account_number": F.when(F.col("row_index") % 2 == 0, F.col("account_number"))})
-    return recognition.dedup_in_document(rows.unionByName(again)).where("id like '%\\\\_R'")
+    return recognition.dedup_in_document(rows.unionByName(again))
 
 
 def _readings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = ledger(spark, sf_dir).select("case_id", F.col("source_document_id").alias("document_id"), "page", F.col("row_index").cast("int").alias("row"), F.col("amount_cents").cast("string").alias("amount"), F.col("balance_cents").cast("string").alias("balance"), F.col("transaction_date").cast("string").alias("date"), "direction", "summary", F.col("counterparty_name").alias("party"), "id")
-    rows = rows.where("id not like '%\\\\_M' and id not like '%\\\\_F' and id not like '%\\\\_B'").drop("id")
+    rows = ledger(spark, sf_dir).select("case_id", F.col("source_document_id").alias("document_id"), "page", F.col("seq").cast("int").alias("row"), F.col("account_number").alias("account"), F.col("transaction_date").cast("string").alias("date"), "direction", F.col("amount_cents").cast("string").alias("amount"), F.col("balance_cents").cast("string").alias("balance"), F.col("counterparty_account").alias("party_account"))
     other = rows.where("row % 37 <> 0").withColumn("balance", F.when(F.col("row") % 29 == 0, F.concat("balance", F.lit("1"))).otherwise(F.col("balance")))
     return rows, other
 
 
-BASE = "id NOT LIKE '%\\_M' ESCAPE '\\' AND id NOT LIKE '%\\_F' ESCAPE '\\' AND id NOT LIKE '%\\_B' ESCAPE '\\'"
-
-
-@query("d7_align_readings", f"{ORACLE} SELECT case_id, source_document_id AS document_id, page, row_index::INT AS left_row, row_index::INT AS right_row FROM ledger WHERE {BASE} AND row_index % 37 <> 0")
+@query("d7_align_readings", f"{ORACLE} SELECT case_id, source_document_id AS document_id, page, seq::INT AS left_row, seq::INT AS right_row FROM ledger WHERE seq % 37 <> 0")
 def _align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.align_readings(*_readings(spark, sf_dir))
 
 
-@query("d8_compare_readings", f"""{ORACLE} SELECT case_id, source_document_id AS document_id, page, 'VALUE_CONFLICT' AS issue, row_index::INT AS left_row, row_index::INT AS right_row, 'balance' AS field FROM ledger WHERE {BASE} AND row_index % 37 <> 0 AND row_index % 29 = 0 AND balance_cents IS NOT NULL
-UNION ALL SELECT case_id, source_document_id, page, 'UNMATCHED_ROW', row_index::INT, NULL, NULL FROM ledger WHERE {BASE} AND row_index % 37 = 0""")
+@query("d8_compare_readings", f"""{ORACLE} SELECT case_id, source_document_id AS document_id, page, 'VALUE_CONFLICT' AS issue, seq::INT AS left_row, seq::INT AS right_row, 'balance' AS field FROM ledger WHERE seq % 37 <> 0 AND seq % 29 = 0 AND balance_cents IS NOT NULL
+UNION ALL SELECT case_id, source_document_id, page, 'UNMATCHED_ROW', seq::INT, NULL, NULL FROM ledger WHERE seq % 37 = 0""")
 def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _readings(spark, sf_dir)
     return recognition.compare_readings(left, right, written(recognition.align_readings(left, right), "pairs"))

@@ -27,7 +27,7 @@ def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.when(F.col("direction") == "IN", "贷方").when(F.col("direction") == "OUT", "借").otherwise("?").alias("direction"), F.when(F.col("row_index") % 50 == 0, "1,23.0").otherwise(amount).alias("amount"), F.when(F.col("balance_cents").isNull(), "--").otherwise(F.format_string("%d.%02d", F.floor(F.abs("balance_cents") / 100).cast("long"), F.abs("balance_cents") % 100)).alias("balance"))
 
 
-@query("normalize_statement_fields", f"""{ORACLE} SELECT case_id, id, account_number, CASE WHEN row_index % 2 = 0 THEN '中国工商银行' ELSE '' END AS canonical_bank, transaction_date, nullif(direction, 'UNKNOWN') AS flow_direction,
+@query("normalize_statement_fields", f"""{ORACLE} SELECT case_id, id, account_number, CASE WHEN row_index % 2 = 0 THEN '中国工商银行' ELSE '本行' END AS canonical_bank, transaction_date, nullif(direction, 'UNKNOWN') AS flow_direction,
 CASE WHEN row_index % 50 = 0 THEN NULL ELSE amount_cents END AS amount_cents, abs(balance_cents) AS balance_cents, concat_ws(',', CASE WHEN row_index % 50 = 0 THEN 'amount' END, CASE WHEN direction = 'UNKNOWN' THEN 'direction' END) AS unreadable FROM ledger""")
 def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return money.normalize_statement_fields(_printed(spark, sf_dir)).select("case_id", "id", "account_number", "canonical_bank", "transaction_date", "flow_direction", "amount_cents", "balance_cents", F.array_join("unreadable", ",").alias("unreadable"))

@@ -2,32 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import patterns
 from .identity import text
 
-#: printed forms of a direction
-IN_WORDS = ("IN", "收入", "贷", "贷方", "存入", "转入", "收", "+")
-OUT_WORDS = ("OUT", "支出", "借", "借方", "支取", "转出", "付", "-")
-#: what stands for an empty cell
-EMPTY_WORDS = ("", "-", "--", "—", "/", "无")
-#: canonical bank name, pattern; tried in this order
-BANKS = (
-    ("中国工商银行", "工商银行|工行|ICBC"),
-    ("中国农业银行", "农业银行|农行|ABC"),
-    ("中国建设银行", "建设银行|建行|CCB"),
-    ("中国银行", "^中国银行|中行|BOC"),
-    ("交通银行", "交通银行|交行"),
-    ("招商银行", "招商银行|招行|CMB"),
-    ("中国邮政储蓄银行", "邮政储蓄|邮储"),
-)
+def is_empty(c: str | Column) -> Column:
+    """Whether a cell is blank or holds one of the marks for nothing."""
+    return F.trim(F.regexp_replace(text(c), r"(?U)\s+", " ")).rlike(f"(?i){patterns.EMPTY_CELL}")
 
 
 def _plain(c: str | Column) -> Column:
-    return F.trim(F.translate(F.regexp_replace(text(c), r"(?U)[\s￥¥$]", ""), "－−，．", "--,."))
+    """Without white space and the sign of the currency in front; signs and commas in one form."""
+    return F.regexp_replace(F.translate(F.regexp_replace(text(c), r"(?U)\s", ""), "−－，", "--,"), "^[￥¥]", "")
 
 
 def money(c: str | Column, absolute: bool = False) -> Column:
@@ -37,13 +27,13 @@ def money(c: str | Column, absolute: bool = False) -> Column:
     cents = (value * 100).cast("long")
     cents = F.abs(cents) if absolute else cents
     ok = s.rlike(r"^[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)(\.[0-9]{1,2})?$")
-    state = F.when(s.isin(*EMPTY_WORDS), "empty").when(ok, "value").otherwise("unreadable")
-    return F.struct(state.alias("state"), F.when(ok & ~s.isin(*EMPTY_WORDS), cents).alias("cents"))
+    state = F.when(is_empty(s), "empty").when(ok, "value").otherwise("unreadable")
+    return F.struct(state.alias("state"), F.when(ok & ~is_empty(s), cents).alias("cents"))
 
 
 def money_loose(c: str | Column) -> Column:
     """Cents of a forgiving reading: signs of currency dropped, parentheses are negative, else zero."""
-    s = _plain(c)
+    s = F.translate(F.regexp_replace(text(c), r"(?U)[\s￥¥$]", ""), "－−，．", "--,.")
     inner = F.regexp_replace(s, "[(),（）]", "")
     number = F.regexp_extract(inner, r"^([+-]?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("decimal(20,4)")
     cents = F.round(F.coalesce(number, F.lit(0)) * 100).cast("long")
@@ -51,18 +41,21 @@ def money_loose(c: str | Column) -> Column:
 
 
 def account_no(c: str | Column) -> Column:
-    """The one account number of a cell: a printed tail, a masked or plain number, the only long run of digits; else null."""
-    s = F.regexp_replace(text(c), r"(?U)\s", "")
-    tail, runs = F.regexp_extract(s, "(尾号[0-9]{2,8})", 1), F.regexp_extract_all(s, F.lit("([0-9]{8,32})"), F.lit(1))
-    return F.when(tail != "", tail).when(s.rlike("^[0-9A-Za-z*]{8,32}$"), s).when(F.size(runs) == 1, F.element_at(F.array_append(runs, F.lit("")), 1))
+    """The account number of a cell: '' for an empty one; a printed tail; a masked or plain number; letters with digits;
+    else the only run of 8 to 32 digits; null if there is none, or several."""
+    s = F.regexp_replace(text(c), r"(?U)\s|\\n", "")
+    runs = F.regexp_extract_all(s, F.lit("(?<![0-9])([0-9]{8,32})(?![0-9])"), F.lit(1))
+    mixed = s.rlike("^[A-Za-z0-9]{8,32}$") & s.rlike("[0-9]") & s.rlike("[A-Za-z]")
+    masked = F.regexp_replace(s, "＊", "*")
+    return F.when(is_empty(c), "").when(s.rlike("^尾号[0-9]{2,8}$"), s).when(s.rlike("^[0-9*＊xX]{8,32}$"), masked).when(mixed, s).when(F.size(runs) == 1, F.get(runs, F.lit(0)))
 
 
 def parse_date(c: str | Column) -> Column:
-    """A calendar date from year-month-day in several notations, or eight digits; null if there is no such day."""
+    """A calendar date of this or the last century anywhere in a cell, in several notations or as eight digits; null if there is no such day."""
     s = text(c)
-    parts = [F.regexp_extract(s, r"^\s*([0-9]{4})[-/.年]([0-9]{1,2})[-/.月]([0-9]{1,2})", i) for i in (1, 2, 3)]
-    digits = [F.regexp_extract(s, r"^\s*([0-9]{4})([0-9]{2})([0-9]{2})(?:[0-9]{6})?\s*$", i) for i in (1, 2, 3)]
-    year, month, day = (F.when(a != "", a).otherwise(b) for a, b in zip(parts, digits, strict=True))
+    parts = [F.regexp_extract(s, r"(?<![0-9])((?:19|20)[0-9]{2})[-/.年]([0-9]{1,2})[-/.月]([0-9]{1,2})(?![0-9])", i) for i in (1, 2, 3)]
+    digits = [F.regexp_extract(s, r"(?<![0-9])((?:19|20)[0-9]{2})([0-9]{2})([0-9]{2})(?=[0-9]{6}(?![0-9])|\s|$)", i) for i in (1, 2, 3)]
+    year, month, day = (F.when(parts[0] != "", a).otherwise(b) for a, b in zip(parts, digits, strict=True))
     return F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
 
 
@@ -77,15 +70,31 @@ def parse_time(c: str | Column) -> Column:
 
 
 def direction(c: str | Column) -> Column:
-    s = F.upper(F.trim(text(c)))
-    return F.when(s.isin(*IN_WORDS) | s.rlike(r"^\+[0-9]"), "IN").when(s.isin(*OUT_WORDS) | s.rlike("^-[0-9]"), "OUT")
+    """IN or OUT from a printed word, or from the sign of an amount; null otherwise, as for a bank's own codes."""
+    s = _plain(c)
+    signed = s.rlike("^[+-]") & (money(s)["state"] == "value")
+    return F.when(s.isin(*patterns.IN_WORDS), "IN").when(s.isin(*patterns.OUT_WORDS), "OUT").when(signed, F.when(s.startswith("-"), "OUT").otherwise("IN"))
+
+
+def _named(s: Column, names: Iterable[tuple[str, str]]) -> Column:
+    return F.coalesce(*[F.when(s.rlike(p), name) for p, name in names])
 
 
 def bank_name(c: str | Column) -> Column:
-    """Canonical name; generic words give an empty text, other names stay."""
+    """Canonical name of a bank cell; other texts stay."""
+    return F.coalesce(_named(text(c), patterns.BANK_CELLS), F.trim(text(c)))
+
+
+def header_bank(c: str | Column) -> Column:
+    """Canonical name of a bank in a printed header: '' for a generic word, other names without their legal form."""
     s = F.regexp_replace(text(c), r"(?U)\s", "")
-    named = reduce(lambda found, b: found.when(s.rlike(b[1]), b[0]), BANKS[1:], F.when(s.rlike(BANKS[0][1]), BANKS[0][0]))
-    return named.when(s.isin("银行", "本行", "开户行", "未知"), "").otherwise(s)
+    found = _named(s, [*((n, n) for n in patterns.BANK_HEADERS), *patterns.BANK_SHORT])
+    return F.when(s.rlike(patterns.BANK_GENERIC), "").otherwise(F.coalesce(found, F.regexp_replace(s, patterns.BANK_LEGAL_FORM, "")))
+
+
+def bank_key(c: str | Column) -> Column:
+    """What two forms of a bank's name share: no country, no legal form, no white space."""
+    return F.regexp_replace(text(c), r"(?U)中国|股份有限公司|\s", "")
 
 
 def holder_clean(c: str | Column) -> Column:

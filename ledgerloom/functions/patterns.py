@@ -98,3 +98,104 @@ R09_INCOME = "工资|薪酬|代发|奖金|劳务费|租金|分红|结息|货款"
 R10_REPAYMENT = "还借款|还款|归还|偿还"
 R10_LENDING = "借出|借给|出借|押金|保证金|代垫|暂借"
 R11_NO_INCOME = "无(?:任何|固定|稳定)?收入|零收入|未取得收入"
+
+#: what stands for an empty cell, any case
+EMPTY_CELL = r"^(?:|[（(]空[）)]|无|--?|—|N/A|null)$"
+#: printed forms of a direction
+IN_WORDS = ("IN", "+", "收入", "转入", "贷", "贷方", "存入")
+OUT_WORDS = ("OUT", "-", "支出", "转出", "借", "借方", "支取")
+#: pattern in a bank cell, canonical name; tried in this order
+BANK_CELLS = (
+    ("工商银行|^工行", "中国工商银行"),
+    ("农业银行|^农行", "中国农业银行"),
+    ("建设银行|^建行$", "中国建设银行"),
+    ("中国银行|^中行$", "中国银行"),
+    ("光大银行", "中国光大银行"),
+    ("邮政储蓄银行", "中国邮政储蓄银行"),
+    ("民生银行", "中国民生银行"),
+    ("兴业银行", "兴业银行"),
+    ("平安银行", "平安银行"),
+    ("绵阳农村商业银行", "四川绵阳农村商业银行"),
+    ("绵阳市?商业银行|^绵商银行$", "绵阳市商业银行"),
+)
+#: names of banks in headers, and short forms of some
+BANK_HEADERS = ("中国工商银行", "中国农业银行", "中国建设银行", "中国银行", "交通银行", "中国邮政储蓄银行", "中国光大银行", "招商银行", "中信银行", "兴业银行", "平安银行", "中国民生银行", "华夏银行", "浦发银行", "四川农信", "绵阳市商业银行")
+BANK_SHORT = (("工商银行", "中国工商银行"), ("工行", "中国工商银行"), ("农业银行", "中国农业银行"), ("建设银行", "中国建设银行"), ("光大银行", "中国光大银行"))
+BANK_GENERIC = "^(?:银行|商业银行|农村商业银行|信用社)$"
+BANK_LEGAL_FORM = "股份有限公司|有限责任公司"
+
+#: descriptions that name a type by themselves
+DESCRIBED_TYPES = (
+    ("费用", "手续费"), ("手续费", "手续费"), ("卡年费", "手续费"), ("小额费", "手续费"), ("汇费", "手续费"), ("短信服务", "手续费"), ("短信服务费", "手续费"),
+    ("自动还款", "信用卡还款"), ("人民币自动转帐还款", "信用卡还款"), ("年费减免", "费用减免"), ("减免年费", "费用减免"), ("违约金", "违约金"), ("透支利息", "透支利息"),
+    ("退款", "退款"), ("缴费", "缴费"), ("分期付款退货", "分期退款"), ("网络查控系统司法扣划", "司法扣划"), ("法院扣划", "司法扣划"), ("司法扣划", "司法扣划"),
+    ("法院网络扣划", "司法扣划"), ("强制扣划", "司法扣划"), ("扣划", "司法扣划"),
+)
+#: type, direction, account kind, pattern of the description, pattern of the other party; the last that holds decides
+DESCRIPTION_RULES = (
+    ("存款结息", "", "deposit", "^(?:利息|结息|支付利息|利息收入|入息)$", ""),
+    ("第三方支付", "", "deposit", "^快捷支付$", ""),
+    ("贷款放款", "IN", "", "^(?:放款|贷款放款|个人贷款发放)(?:$|--|[：:])", ""),
+    ("贷款还款", "OUT", "", "^还贷(?:$|[-—：:])|^[A-Z0-9]+还贷[-—]$", ""),
+    ("贷款还款", "OUT", "", "个人贷款结息", ""),
+    ("保险支出", "OUT", "", "", "保险(?:股份)?有限公司"),
+    ("贷款放款", "IN", "", "^个人贷款$", ""),
+    ("贷款还款", "OUT", "", "^个人贷款$", ""),
+    ("分期转换", "", "", "^(?:账单分期|普通消费转分期)$", ""),
+    ("分期", "", "", "^分期付款(?:到期扣收|利息)", ""),
+)
+PURCHASE, NO_PURCHASE = "消费", "转分期|利息"
+
+CREDIT_REPAYMENT = "信用卡.{0,8}还款|贷记卡.{0,8}还款"
+LOAN_REPAYMENT = "贷款还款|贷款本息|归还贷款|偿还贷款|还贷|个人贷款(?:每日扣款|结息)"
+KNOWN_REPAYMENT = "^(?:自动还款|人民币自动转帐还款|微众银行还款)$"
+PARTY_NUMBER = "^[0-9]{8,32}$"
+#: type, basis, direction, account kind, pattern of the description, patterns of which each fits a piece of evidence,
+#: whether the other party's account must be a number; the first that holds decides
+PRINTED_RULES = (
+    ("", "CONFLICTING_PRINTED_REPAYMENT_PURPOSES", "OUT", "", "", (CREDIT_REPAYMENT, LOAN_REPAYMENT), False),
+    ("信用卡还款", "PRINTED_CREDIT_CARD_REPAYMENT_PURPOSE", "OUT", "", "", (CREDIT_REPAYMENT,), False),
+    ("贷款还款", "PRINTED_LOAN_REPAYMENT_PURPOSE", "OUT", "", "", (LOAN_REPAYMENT,), False),
+    ("消费", "PRINTED_REPAYMENT_KIND_UNRESOLVED", "OUT", "", "^消费$", ("还款",), False),
+    ("", "PRINTED_REPAYMENT_KIND_UNRESOLVED", "OUT", "", "", ("还款",), False),
+    ("分期退款", "PRINTED_INSTALLMENT_REFUND", "", "", "分期付款退货", (), False),
+    ("退款", "PRINTED_PURCHASE_REFUND", "", "", "消费退货|消费退款|^退货$|^退款$", (), False),
+    ("缴费", "EXPLICIT_UTILITY_TAX_OR_SOCIAL_CONTRIBUTION", "OUT", "deposit", "^(?:电费|水费|电话费|燃气费|个人所得税(?:等)?|社保费|用水费收水费|污水处理费收污水费|住房公积金(?:对公[0-9]+)?)$", (), False),
+    ("缴费", "PRINTED_TELECOM_COLLECTION", "OUT", "deposit", "^实时代收$", ("^中国(?:电信|移动|联通)(?:股份)?有限公司(?:.{0,20}分公司)?$",), False),
+    ("账户转账", "PRINTED_DISBURSEMENT_TO_COUNTERPARTY_ACCOUNT", "OUT", "deposit", "^(?:薪资[-—：:]|报销[-—：:]|日常报销费用(?:$|[-—：:])|(?:奖?助学金|津贴)[-—：:]|补贴[-—：:].*工资补助$|往来款$)", (), True),
+    ("工资收入", "PRINTED_TRANSFER_WITH_EXPLICIT_WAGE_PURPOSE", "IN", "deposit", "^转账收入$", ("^工资(?:款|收入)?$",), False),
+    ("工资收入", "PRINTED_PAYROLL_SETTLEMENT_CREDIT", "IN", "deposit", "^小额普通$", ("^代发工资业务待付结算款$",), False),
+    ("账户转账", "PRINTED_CURRENT_ACCOUNT_PAYMENT_WITH_COUNTERPARTY_ACCOUNT", "IN OUT", "deposit", "^$", ("^往来款$",), True),
+    ("账户转账", "EXPLICIT_DEPOSIT_TRANSFER_DESCRIPTION", "IN OUT", "deposit", "^(?:(?:跨行|行内|同行|网银|网上|手机银行)?转[账帐]|网转|他行汇入|跨行汇款|跨行转出|网银跨行汇款跨行转出|电子账户资金转出|网银转款本金|网银支付贷记|网银支付收到轧差通知|网银互联汇兑往账|超网汇兑[来往]账|汇兑往账[（(]直通[）)])$", (), False),
+    ("现金存入", "PRINTED_CASH_DEPOSIT", "IN", "deposit", "^(?:现金存入|现金存款|存现|.{1,12}存现)$", (), False),
+    ("现金支取", "PRINTED_CASH_WITHDRAWAL", "OUT", "deposit", "^(?:现金支取|现金取款|取现|.{1,12}取现)$", (), False),
+    ("第三方支付", "PRINTED_PAYMENT_SETTLEMENT_OR_WALLET_WITHDRAWAL", "IN", "deposit", "^银联入账|^支付机构提现", (), False),
+    ("第三方支付", "PRINTED_PAYMENT_SETTLEMENT_OR_WALLET_WITHDRAWAL", "IN", "deposit", "", ("(?:微信|零钱|余额宝|支付宝).{0,8}提现",), False),
+    ("第三方支付", "PRINTED_QUICK_PAYMENT", "OUT", "deposit", "^(?:快捷支付|网上支付|网上快捷支付)", (), False),
+    ("第三方支付", "PRINTED_PAYMENT_PROVIDER_CREDIT", "", "deposit", "^入金$", ("支付宝|财付通|微信|银联|支付有限公司|支付股份有限公司",), False),
+    ("第三方支付", "PRINTED_PAYMENT_WALLET_TOPUP", "OUT", "deposit", "^充值$", ("(?:微信|支付宝|财付通|余额宝).{0,12}充值",), False),
+)
+#: type, direction, whole label in a merchant column of a deposit account
+MERCHANT_LABELS = (
+    ("工资收入", "IN", "^代发工资$"),
+    ("第三方支付", "IN", "^银联入账$"),
+    ("消费", "OUT", "^(?:支付宝|微信|财付通|银联)[-—－·:：]消费$"),
+    ("账户转账", "IN", "^转账收入$"),
+    ("账户转账", "OUT", "^转账支出$"),
+)
+DEPOSIT_INTEREST = "^(?:利息|结息|支付利息|利息收入|入息)$"
+
+#: pages that hold no statement rows, or few
+FEW_ROWS_PAGES = ("ACCOUNT_LIST", "ACCOUNT_INFO", "INVESTIGATION_ORDER", "BANK_REPLY", "COVER", "OTHER_DOCUMENT", "DOCUMENT")
+HARD_FAILURE = r"连续识别失败|服务暂时不可用|未能完整获取|PDF\s*解析不完整"
+UNASSIGNED_PAGES, UNASSIGNED_NAME = "待归属页面|待处理页面", "待归属页面"
+#: milestone column, its label; those a case must have
+MILESTONES = (
+    ("t0", "T0 债务形成/借款日"),
+    ("t1", "T1 诉讼立案/财产保全日"),
+    ("t2", "T2 裁判文书生效日"),
+    ("t3", "T3 执行立案日"),
+    ("t4", "T4 《报告财产令》送达日"),
+    ("t6", "T6 执行和解协议签署日"),
+)
+MILESTONE_ORDER = (("t0", "t1"), ("t1", "t2"), ("t2", "t3"), ("t3", "t4"), ("t3", "t6"))

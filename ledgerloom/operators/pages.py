@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import patterns
+from ..functions.money import bank_key
+
 DOCUMENT = ("case_id", "document_id")
 
 
@@ -64,16 +67,19 @@ def bank_group_problems(groups: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def extraction_batches(pages: DataFrame, target: int = 180) -> DataFrame:
-    """pages with batch: filled in order until a page would push the estimated rows over the target.
+    """pages with batch: per segment, filled in order until a page would push the estimated rows over the target.
 
-    A fold over each document's pages carries the running total; a document's list of page costs is short.
+    pages has segment, estimated_rows and pending; batches without a pending page are left out. The target is 40 at
+    least. A fold over each segment's pages carries the running total; a segment's list of page costs is short.
     """
-    cost = F.greatest(F.col("n_rows"), F.lit(1)).cast("int")
-    lists = pages.groupBy(*DOCUMENT).agg(F.array_sort(F.collect_list(F.struct("page", cost.alias("c")))).alias("ps"))
-    fold = f"""aggregate(ps, named_struct('sum', 0, 'no', 0, 'out', cast(array() as array<struct<page:int,batch:int>>)), (s, x) ->
-      if(s.sum > 0 and s.sum + x.c > {target}, named_struct('sum', x.c, 'no', s.no + 1, 'out', array_append(s.out, named_struct('page', x.page, 'batch', s.no + 1))),
-         named_struct('sum', s.sum + x.c, 'no', s.no, 'out', array_append(s.out, named_struct('page', x.page, 'batch', s.no))))).out"""
-    return lists.select(*DOCUMENT, F.explode(F.expr(fold)).alias("x")).select(*DOCUMENT, "x.page", "x.batch")
+    most = max(40, target)
+    lists = pages.groupBy(*DOCUMENT, "segment").agg(F.array_sort(F.collect_list(F.struct("page", F.col("estimated_rows").cast("int").alias("c"), "pending"))).alias("ps"))
+    fold = f"""aggregate(ps, named_struct('sum', 0, 'k', 0, 'no', 0, 'out', cast(array() as array<struct<page:int,batch:int,pending:boolean>>)), (s, x) ->
+      if(s.k > 0 and s.sum + x.c > {most}, named_struct('sum', x.c, 'k', 1, 'no', s.no + 1, 'out', array_append(s.out, named_struct('page', x.page, 'batch', s.no + 1, 'pending', x.pending))),
+         named_struct('sum', s.sum + x.c, 'k', s.k + 1, 'no', s.no, 'out', array_append(s.out, named_struct('page', x.page, 'batch', s.no, 'pending', x.pending))))).out"""
+    dealt = lists.select(*DOCUMENT, "segment", F.expr(fold).alias("all")).withColumn("x", F.explode("all"))
+    useful = F.exists("all", lambda y: (y["batch"] == F.col("x.batch")) & y["pending"])
+    return dealt.where(useful).select(*DOCUMENT, "segment", "x.page", "x.batch")
 
 
 def page_identity_fill(txn: DataFrame) -> DataFrame:
@@ -88,13 +94,14 @@ def page_identity_fill(txn: DataFrame) -> DataFrame:
 def page_context(pages: DataFrame, k: int = 2) -> DataFrame:
     """For each page with one account, the k nearest other pages of its document with the same account, at any distance.
 
-    An account whose pages name different banks gives none of them context. The nearest are among the k before and the
+    Only accounts of 12 to 32 digits are keys, as shorter ones can be of several banks. An account whose pages name
+    different banks gives none of them context. The nearest are among the k before and the
     k after, so no pages are joined.
     """
     account = Window.partitionBy(*DOCUMENT, "account")
-    name = F.regexp_replace("bank", r"中国|股份有限公司|\s", "")
+    name = bank_key("bank")
     named = F.when(name != "", name)
-    agreed = pages.where("account is not null").withColumns({"_least": F.min(named).over(account), "_most": F.max(named).over(account)}).where("_least is null or _least = _most")
+    agreed = pages.where(F.col("account").rlike("^[0-9]{12,32}$")).withColumns({"_least": F.min(named).over(account), "_most": F.max(named).over(account)}).where("_least is null or _least = _most")
     around = account.orderBy("page")
     others = F.array_compact(F.array(*[f("page", i).over(around) for i in range(1, k + 1) for f in (F.lag, F.lead)]))
     pairs = agreed.withColumn("_others", others).select("case_id", "document_id", "account", "page", F.explode("_others").alias("context_page")).withColumn("distance", F.abs(F.col("page") - F.col("context_page")))
@@ -102,15 +109,18 @@ def page_context(pages: DataFrame, k: int = 2) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dominant_banks(segmented: DataFrame) -> DataFrame:
-    """Bank of each segment by votes weighted with confidence (a quarter at least); of equal votes the longest name."""
-    votes = segmented.where("bank is not null").groupBy(*DOCUMENT, "segment", "bank").agg(F.sum(F.greatest(F.lit(0.25), F.col("confidence"))).alias("weight"))
-    return votes.groupBy(*DOCUMENT, "segment").agg(F.max_by(F.struct("bank", "weight"), F.struct("weight", F.length("bank"), "bank")).alias("x")).select(*DOCUMENT, "segment", "x.bank", "x.weight")
+def dominant_banks(segmented: DataFrame, least: float = 0.45) -> DataFrame:
+    """Bank of each segment by votes weighted with confidence; unsure pages don't vote. Forms of a name vote together, the longest stands for them."""
+    sure = segmented.where((F.coalesce(F.trim("bank"), F.lit("")) != "") & (F.col("confidence") >= least)).withColumn("_key", bank_key("bank"))
+    votes = sure.groupBy(*DOCUMENT, "segment", "_key").agg(F.sum(F.greatest(F.lit(0.25), F.col("confidence"))).alias("weight"), F.max_by("bank", F.struct(F.length("bank"), "bank")).alias("bank"))
+    return votes.groupBy(*DOCUMENT, "segment").agg(F.max_by(F.struct("bank", "weight"), F.struct("weight", "_key")).alias("x")).select(*DOCUMENT, "segment", "x.bank", "x.weight")
 
 
 def estimated_rows() -> Column:
-    """How many rows a page of a type and density may hold."""
-    return F.when(F.col("page_type").isin("BLANK", "COVER"), 0).when(F.col("page_type") == "SUMMARY", 2).when(F.col("density") < 0.2, 8).when(F.col("density") < 0.4, 12).when(F.col("density") < 0.7, 20).otherwise(40)
+    """How many rows a page of a type and density (HIGH, MEDIUM, LOW) may hold; 12 if nothing is known of it."""
+    kind = F.col("page_type")
+    by_density = F.when(F.col("density") == "HIGH", 40).when(F.col("density") == "MEDIUM", 20).otherwise(8)
+    return F.when(kind.isNull() | (kind == "UNKNOWN"), 12).when(kind == "BLANK", 0).when(kind.isin(*patterns.FEW_ROWS_PAGES), 2).otherwise(by_density)
 
 
 def page_completeness(pages: DataFrame, declared: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
@@ -21,13 +22,16 @@ def dedup_locator(rows: DataFrame, locator: list[str], confidence: str = "confid
 
 
 def dedup_in_document(txn: DataFrame) -> DataFrame:
-    """(case_id, id, duplicate_of_id) for rows that a document prints twice, on different pages.
+    """(case_id, id, duplicate_of_id) for rows that a document prints twice.
 
-    Rows can only be one if document, date and amount agree, so these are blocks; account and direction may be
-    missing on one side. Blocks of one row are done; the others are matched in printed order, a block at a time.
+    Rows can only be one if document, date and amount agree, so these are blocks; account, direction and time of day may
+    be missing on one side. Balances that both print must agree, and something else must speak for one row: a time, the
+    wording, the other party, or on one page the whole printed line. Blocks of one row are done; the others are matched
+    in printed order, a block at a time.
     """
     key = ["case_id", "source_document_id", "transaction_date", "amount_cents"]
-    fields = [*key, "id", "seq", "page", "row_index", "account_number", "direction", "balance_cents", "summary"]
+    wanted = ["id", "seq", "page", "row_index", "account_number", "direction", "balance_cents", "summary", "counterparty_name", "transaction_time", "raw_text"]
+    fields = [*key, *(c if c in txn.columns else F.lit(None).cast("string").alias(c) for c in wanted)]
     sized = txn.select(*fields).withColumn("_n", F.count("*").over(Window.partitionBy(*key))).where("_n > 1").drop("_n")
     kind = dict(txn.dtypes)["case_id"]
 
@@ -47,21 +51,52 @@ def dedup_in_document(txn: DataFrame) -> DataFrame:
     return sized.groupBy(*key).applyInPandas(match, f"case_id {kind}, id string, duplicate_of_id string")
 
 
+def _words(row: dict, field: str) -> str:
+    return "".join(str(row[field] or "").split())
+
+
+def _overlap(a: dict, b: dict, field: str) -> bool:
+    x, y = _words(a, field), _words(b, field)
+    return bool(x and y) and (x in y or y in x)
+
+
+def _clock(row: dict) -> str:
+    found = re.search(r"\d{2}:\d{2}(?::\d{2})?", str(row["transaction_time"] or ""))
+    return found[0] if found else ""
+
+
 def _repeats(a: dict, b: dict) -> bool:
-    if a["page"] == b["page"]:
-        return False
+    """Whether two rows of one document, date and amount can be one row."""
     if a["account_number"] and b["account_number"] and a["account_number"] != b["account_number"]:
         return False
     if "UNKNOWN" not in (a["direction"], b["direction"]) and a["direction"] != b["direction"]:
         return False
-    if not pd.isna(a["balance_cents"]) and not pd.isna(b["balance_cents"]):
-        return a["balance_cents"] == b["balance_cents"]
-    return bool(a["summary"]) and a["summary"] == b["summary"]
-
-
-ALIGNED = ("amount", "balance", "date", "direction", "summary", "party")
-WEIGHTS = (2, 2, 1, 1, 1, 1)
-GAP = -4
+    times, apart = (_clock(a), _clock(b)), abs(a["page"] - b["page"])
+    shared = min(map(len, times))
+    if times[0][:shared] != times[1][:shared]:
+        return False
+    known = [not pd.isna(r["balance_cents"]) for r in (a, b)]
+    if all(known) and a["balance_cents"] != b["balance_cents"]:
+        return False
+    summaries = [_words(r, "summary") for r in (a, b)]
+    if not apart:
+        if all(known):
+            return bool(shared) and times[0] == times[1] or summaries[0] == summaries[1]
+        return bool(_words(a, "raw_text")) and a["raw_text"] == b["raw_text"]
+    if all(known):
+        if all(times):
+            return times[0] == times[1]
+        if all(summaries):
+            return _overlap(a, b, "summary")
+        return apart > 1 and (any(summaries) or _overlap(a, b, "counterparty_name"))
+    return times[0] == times[1] and len(times[0]) == 8 or _overlap(a, b, "summary") or _overlap(a, b, "counterparty_name")
+
+
+#: fixed values: what two readings of a row are compared by, the points for agreement, for disagreement, for a row without partner
+ALIGNED = ("account", "date", "direction", "amount", "balance", "party_account")
+WEIGHTS = (3, 2, 1, 3, 3, 2)
+MISMATCH, GAP = -1, -4
+LEAST_AGREEING, LEAST_SCORE = 3, 4
 
 
 def _score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -69,32 +104,39 @@ def _score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     points, agree = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
     for k, w in enumerate(WEIGHTS):
         x, y = a[:, k][:, None], b[:, k][None, :]
-        same, both = (x == y) & (x != ""), (x != "") & (y != "")
-        points += np.where(same, w, np.where(both, -w, 0))
+        both = (x != "") & (y != "")
+        same = both & (x == y)
+        points += np.where(same, w, np.where(both, MISMATCH, 0))
         agree += same
-    return np.where((agree >= 3) & (points >= 4), points, -np.inf)
+    return np.where((agree >= LEAST_AGREEING) & (points >= LEAST_SCORE), points, -np.inf)
+
+
+def _best_totals(score: np.ndarray) -> np.ndarray:
+    """Points of the best ordered alignment of every two beginnings, an anti-diagonal at a time."""
+    n, m = score.shape
+    t = np.full((n + 1, m + 1), -np.inf)
+    t[0, 0] = 0
+    for d in range(1, n + m + 1):
+        i = np.arange(max(0, d - m), min(n, d) + 1)
+        j = d - i
+        up, left, both = (np.full(len(i), -np.inf) for _ in range(3))
+        up[i > 0] = t[i[i > 0] - 1, j[i > 0]] + GAP
+        left[j > 0] = t[i[j > 0], j[j > 0] - 1] + GAP
+        inner = (i > 0) & (j > 0)
+        both[inner] = t[i[inner] - 1, j[inner] - 1] + score[i[inner] - 1, j[inner] - 1]
+        t[i, j] = np.maximum(np.maximum(up, left), both)
+    return t
 
 
 def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that every best ordered alignment of two lists of rows holds: forward and backward tables meet on them."""
-    s, n, m = _score(a, b), len(a), len(b)
-
-    def table(score: np.ndarray) -> np.ndarray:
-        t = np.zeros((score.shape[0] + 1, score.shape[1] + 1))
-        t[:, 0], t[0, :] = GAP * np.arange(t.shape[0]), GAP * np.arange(t.shape[1])
-        for i in range(1, t.shape[0]):
-            for j in range(1, t.shape[1]):
-                t[i, j] = max(t[i - 1, j - 1] + score[i - 1, j - 1], t[i - 1, j] + GAP, t[i, j - 1] + GAP)
-        return t
-
-    f, r = table(s), table(s[::-1, ::-1])[::-1, ::-1]
-    best, out = f[n, m], []
-    for i in range(n):
-        on = [j for j in range(m) if f[i, j] + s[i, j] + r[i + 1, j + 1] == best]
-        without = any(f[i, j] + GAP + r[i + 1, j] == best for j in range(m + 1))
-        if len(on) == 1 and not without:
-            out.append((i, on[0]))
-    return out
+    """Pairs of which neither row has another choice in any best ordered alignment: tables from both ends meet on them."""
+    s = _score(a, b)
+    f, r = _best_totals(s), _best_totals(s[::-1, ::-1])[::-1, ::-1]
+    on = f[:-1, :-1] + s + r[1:, 1:] == f[-1, -1]
+    left_alone = (f[:-1, :] + GAP + r[1:, :] == f[-1, -1]).any(1)
+    right_alone = (f[:, :-1] + GAP + r[:, 1:] == f[-1, -1]).any(0)
+    sure = on & ((on.sum(1) == 1) & ~left_alone)[:, None] & ((on.sum(0) == 1) & ~right_alone)
+    return [(int(i), int(j)) for i, j in zip(*np.nonzero(sure), strict=True)]
 
 
 def align_readings(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ def values(spark, expr, rows, kind="string"):
 
 
 def test_money(spark):
-    got = values(spark, money.money, ["1,234.50", "￥ -3", "1,23.0", "", "--", "0012.3", "-0.00", "1.234", None, "－5.10"])
-    assert [(g["state"], g["cents"]) for g in got] == [("value", 123450), ("value", -300), ("unreadable", None), ("empty", None), ("empty", None), ("value", 1230), ("value", 0), ("unreadable", None), ("empty", None), ("value", -510)]
+    got = values(spark, money.money, ["1,234.50", "￥ -3", "1,23.0", "", "--", "0012.3", "-0.00", "1.234", None, "－5.10", "（空）", "N/A", "null", "/"])
+    assert [(g["state"], g["cents"]) for g in got] == [("value", 123450), ("value", -300), ("unreadable", None), ("empty", None), ("empty", None), ("value", 1230), ("value", 0), ("unreadable", None), ("empty", None), ("value", -510), ("empty", None), ("empty", None), ("empty", None), ("unreadable", None)]
     assert values(spark, money.money_loose, ["1,234.5元", "(12.00)", "abc", None]) == [123450, -1200, 0, 0]
 
 
@@ -29,13 +29,14 @@ def test_dates_directions_banks(spark):
     assert got == [dt.date(2023, 2, 28), None, dt.date(2023, 1, 5), dt.date(2023, 1, 5), None, None]
     assert values(spark, money.parse_time, ["2023-01-01 9:05", "20230105123456", "25:00", ""]) == ["09:05:00", "12:34:56", None, None]
     assert values(spark, money.direction, ["贷", "支出", "+5", "-5", "?", None]) == ["IN", "OUT", "IN", "OUT", None, None]
-    assert values(spark, money.bank_name, ["工行北京", "本行", "某某行", None]) == ["中国工商银行", "", "某某行", ""]
+    assert values(spark, money.bank_name, ["工行北京", "本行", "某建行", "ABCDEFGH", None]) == ["中国工商银行", "本行", "某建行", "ABCDEFGH", ""]
+    assert values(spark, money.header_bank, ["中国光大银行 成都", "商业银行", "重庆银行股份有限公司"]) == ["中国光大银行", "", "重庆银行"]
     assert values(spark, money.holder_clean, ["张三银行流水.pdf", "张三"]) == ["张三", "张三"]
     assert values(spark, money.page_selection, ["1-3,5, 2", "3-1", "x", "7"]) == [[1, 2, 3, 5], None, None, [7]]
 
 
 def test_accounts(spark):
-    assert values(spark, money.account_no, ["尾号1234", "账号 62220000000001 元", "12345678/87654321", "6222****0001"]) == ["尾号1234", "62220000000001", None, "6222****0001"]
+    assert values(spark, money.account_no, ["尾号1234", "账号 62220000000001 元", "12345678/87654321", "6222****0001", "ABCDEFGH", "AB1234567", "无", "1" * 33, "见尾号1234"]) == ["尾号1234", "62220000000001", None, "6222****0001", None, "AB1234567", "", None, None]
     reliable = values(spark, lambda c: identity.is_reliable_account(c), ["6222-0000 0001", "1234567", "110101199001011234", "账号待核验未知账户"])
     assert reliable == [True, False, False, False]
     pairs = spark.createDataFrame([("6222021234567890", "1234567890"), ("6222021234567890", "021234567890"), ("12", "12"), ("a1234567890", "1234567890")], "a string, b string")
@@ -136,20 +137,38 @@ def brute_alignment(a, b):
         top = max(v for v, _ in options)
         return top, [x for v, w in options if v == top for x in w]
 
-    return sorted(frozenset.intersection(*best(0, 0)[1]))
+    every = best(0, 0)[1]
+    return sorted((i, j) for i, j in frozenset.intersection(*every) if all(x == (i, j) for w in every for x in w if x[0] == i or x[1] == j))
+
+
+def test_points_of_a_pair_of_rows():
+    """Account 3, date 2, direction 1, amount 3, balance 3, other party's account 2; a disagreement costs one; empty fields say nothing."""
+    base = ["a", "d", "IN", "5", "9", "p"]
+    cases = [(base, base, 14), (base, ["a", "d", "IN", "6", "", ""], 5), (base, ["", "d", "IN", "", "", "p"], 5), (base, ["x", "d", "IN", "y", "", "p"], -np.inf), (base, ["a", "", "", "5", "", ""], -np.inf)]
+    for a, b, want in cases:
+        assert recognition._score(np.array([a], object), np.array([b], object))[0, 0] == want
+
+
+def test_repeats_inside_a_document(spark):
+    """Rows of one page may repeat, wording may be contained in other wording, and times must be able to be one."""
+    rows = [("p1", 1, 500, "转账", None), ("p2", 1, 500, "转账", None), ("q1", 2, 700, "转账汇款", None), ("q2", 9, 700, "转账", None), ("r1", 3, None, "", "09:15:30"), ("r2", 4, None, "x", "09:15:31"), ("s1", 5, 800, "a", "09:15"), ("s2", 6, 800, "b", "09:15")]
+    schema = "id string, page int, balance_cents long, summary string, transaction_time string"
+    txn = spark.createDataFrame(rows, schema).selectExpr("*", "1 as case_id", "'D' as source_document_id", "date '2023-01-01' as transaction_date", "cast(unhex(substr(hex(id), 1, 2)) as string) as k")
+    txn = txn.selectExpr("*", "ascii(k) * 100 as amount_cents", "id as seq", "page as row_index", "'6222' as account_number", "'IN' as direction", "'' as counterparty_name", "'' as raw_text")
+    assert sorted((r["id"], r["duplicate_of_id"]) for r in recognition.dedup_in_document(txn).collect()) == [("p2", "p1"), ("q2", "q1"), ("s2", "s1")]
 
 
 def test_alignment_against_recursion():
     rng = np.random.default_rng(0)
     for _ in range(30):
-        a = rng.integers(0, 3, (rng.integers(0, 5), 6)).astype(str).astype(object)
+        a = rng.integers(0, 2 + _ % 2, (rng.integers(0, 5), 6)).astype(str).astype(object)
         b = np.array([r for r in a if rng.random() < 0.8] + list(rng.integers(0, 3, (1, 6)).astype(str).astype(object)), object).reshape(-1, 6)
         assert recognition.align(a, b) == brute_alignment(a, b)
 
 
 def test_one_missing_row_shifts_nothing(spark):
     rows = [(1, "D", 1, i, str(100 + i), str(i), f"d{i}", "IN", "s", "p") for i in range(5)]
-    schema = "case_id int, document_id string, page int, row int, amount string, balance string, date string, direction string, summary string, party string"
+    schema = "case_id int, document_id string, page int, row int, amount string, balance string, date string, direction string, account string, party_account string"
     left, right = spark.createDataFrame(rows, schema), spark.createDataFrame(rows[:2] + rows[3:], schema)
     pairs = recognition.align_readings(left, right)
     assert sorted((r["left_row"], r["right_row"]) for r in pairs.collect()) == [(0, 0), (1, 1), (3, 3), (4, 4)]
@@ -168,7 +187,9 @@ def test_acceptance_needs_an_alert_for_every_error(spark):
 
 def test_batches_and_runs(spark):
     frame = spark.createDataFrame([(1, "D", p, n, b, b) for p, n, b in ((1, 50, "x"), (2, 100, None), (3, 60, "x"), (4, 10, "y"), (6, 300, "y"))], "case_id int, document_id string, page int, n_rows long, bank string, account string")
-    assert [(r["page"], r["batch"]) for r in pages.extraction_batches(frame).orderBy("page").collect()] == [(1, 0), (2, 0), (3, 1), (4, 1), (6, 2)]
+    costs = frame.selectExpr("*", "0 as segment", "cast(n_rows as int) as estimated_rows", "page < 4 as pending")
+    assert [(r["page"], r["batch"]) for r in pages.extraction_batches(costs).orderBy("page").collect()] == [(1, 0), (2, 0), (3, 1), (4, 1)]
+    assert [r["batch"] for r in pages.extraction_batches(costs, 1).orderBy("page").collect()] == [0, 1, 2]
     assert sorted((r["run_bank"], r["first_page"], r["last_page"]) for r in pages.bank_runs(frame).collect()) == [("x", 1, 3), ("y", 4, 4), ("y", 6, 6)]
 
 
@@ -210,7 +231,7 @@ def test_plans_have_no_cross_joins(spark, sf, name):
 
 
 def test_page_context_at_any_distance(spark):
-    rows = [(1, "D", p, "A", b) for p, b in ((1, "中国工商银行"), (42, None), (128, "工商银行"), (129, ""))] + [(1, "D", p, "B", b) for p, b in ((2, "X"), (3, "X"), (90, "Y"))] + [(1, "D", 5, None, None), (1, "D", 6, "C", "X")]
+    rows = [(1, "D", p, "622200000001", b) for p, b in ((1, "中国工商银行"), (42, None), (128, "工商银行"), (129, ""))] + [(1, "D", p, "622200000002", b) for p, b in ((2, "X"), (3, "X"), (90, "Y"))] + [(1, "D", 5, None, None), (1, "D", 6, "622200000003", "X")] + [(1, "D", p, "12345678", "X") for p in (7, 8)]
     got = pages.page_context(spark.createDataFrame(rows, "case_id int, document_id string, page int, account string, bank string")).collect()
     assert sorted((r["account"], r["page"], r["rank"], r["context_page"], r["distance"]) for r in got) == [
-        ("A", 1, 1, 42, 41), ("A", 1, 2, 128, 127), ("A", 42, 1, 1, 41), ("A", 42, 2, 128, 86), ("A", 128, 1, 129, 1), ("A", 128, 2, 42, 86), ("A", 129, 1, 128, 1), ("A", 129, 2, 42, 87)]
+        ("622200000001", 1, 1, 42, 41), ("622200000001", 1, 2, 128, 127), ("622200000001", 42, 1, 1, 41), ("622200000001", 42, 2, 128, 86), ("622200000001", 128, 1, 129, 1), ("622200000001", 128, 2, 42, 86), ("622200000001", 129, 1, 128, 1), ("622200000001", 129, 2, 42, 87)]
