@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 import zlib
 from array import array
@@ -50,6 +51,7 @@ class Coder:
     def __init__(self, path: str, most: int = 300_000, longest: int = 64):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism; threads for a few words cost more than the words
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
