@@ -38,6 +38,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 #: A space between two other characters: what follows, with the space, is tokenised as if it stood alone.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: A space beside white space, which no plain split may cut.
+BESIDE = [pair for c in map(chr, range(0x3001)) if c.isspace() for pair in (f" {c}", f"{c} ")]
 
 
 class Coder:
@@ -48,7 +50,7 @@ class Coder:
     many are remembered, those not met again since as many were new are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 600_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism; threads for a few words cost more than the words
@@ -61,8 +63,14 @@ class Coder:
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and not kind.get("normalizer")
         self.by_word = plain and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in kind.get("added_tokens", []))
 
+    def parts(self, text: str) -> list[str]:
+        if not self.by_word:
+            return [text]
+        plain = text[:1] != " " and text[-1:] != " " and not any(p in text for p in BESIDE)
+        return text.split(" ") if plain else BETWEEN.split(text)
+
     def __call__(self, text: str) -> np.ndarray:
-        first, *words = BETWEEN.split(text) if self.by_word else [text]
+        first, *words = self.parts(text)
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
         known = self.known
