@@ -45,25 +45,27 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page per region: a table of its nations, under a cell that spans both columns."""
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    row = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><TD class=x>"), "n_name", F.lit("&amp;co</TD></tr>"))
-    rows = nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))).alias("rs"))
-    return rows.select("n_regionkey", F.concat(F.lit("<p>x</p><table border=1><tr><th colspan=2>nations</th></tr>"), F.array_join(F.transform("rs", lambda x: x["r"]), "\n"), F.lit("</table>")).alias("html"))
+    """One page per customer: a table of the orders, under a cell that spans both columns."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    row = F.concat(F.lit("<tr><td>"), F.col("o_orderkey").cast("string"), F.lit("</td><TD class=x>"), "o_orderstatus", F.lit("&amp;co</TD></tr>"))
+    rows = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))).alias("rs"))
+    return rows.select("o_custkey", F.concat(F.lit("<p>x</p><table border=1><tr><th colspan=2>orders</th></tr>"), F.array_join(F.transform("rs", lambda x: x["r"]), "\n"), F.lit("</table>")).alias("html"))
 
 
-@query("extract_html_tables", """WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INT AS r FROM nation)
-SELECT n_regionkey, 0 AS table_no, r AS row_no, 0 AS col_no, n_nationkey::VARCHAR AS text FROM n UNION ALL SELECT n_regionkey, 0, r, 1, n_name || '&co' FROM n
-UNION ALL SELECT n_regionkey, 0, 0, c::INT, CASE WHEN c = 0 THEN 'nations' ELSE '' END FROM (SELECT DISTINCT n_regionkey FROM nation), range(2) t(c)""")
+ORDERS = "WITH n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS r FROM orders)"
+
+
+@query("extract_html_tables", f"""{ORDERS} SELECT o_custkey, 0 AS table_no, r AS row_no, 0 AS col_no, o_orderkey::VARCHAR AS text FROM n UNION ALL SELECT o_custkey, 0, r, 1, o_orderstatus || '&co' FROM n
+UNION ALL SELECT o_custkey, 0, 0, c::INT, CASE WHEN c = 0 THEN 'orders' ELSE '' END FROM (SELECT DISTINCT o_custkey FROM orders), range(2) t(c)""")
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statements.extract_html_tables(_html(spark, sf_dir), "n_regionkey")
+    return statements.extract_html_tables(_html(spark, sf_dir), "o_custkey")
 
 
-@query("build_source_registry", """WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INT AS r FROM nation)
-SELECT concat_ws('_', n_regionkey, 'P1', 'T1', 'R' || (r + 1), 'C2') AS cell_id, concat_ws('_', n_regionkey, 'P1', 'T1', 'R' || (r + 1)) AS row_id FROM n""")
+@query("build_source_registry", f"""{ORDERS}, c AS (SELECT o_custkey, r AS row_no, unnest([0, 1]) AS col_no FROM n UNION ALL SELECT o_custkey, 0, unnest([0, 1]) FROM (SELECT DISTINCT o_custkey FROM orders))
+SELECT concat_ws('_', o_custkey, 'P1', 'T1', 'R' || (row_no + 1), 'C' || (col_no + 1)) AS cell_id, concat_ws('_', o_custkey, 'P1', 'T1', 'R' || (row_no + 1)) AS row_id FROM c""")
 def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = statements.extract_html_tables(_html(spark, sf_dir), "n_regionkey").withColumn("page", F.lit(1))
-    return statements.build_source_registry(cells, "n_regionkey", "page").where("col_no = 1 and row_no > 0").select("cell_id", "row_id")
+    cells = statements.extract_html_tables(_html(spark, sf_dir), "o_custkey").withColumn("page", F.lit(1))
+    return statements.build_source_registry(cells, "o_custkey", "page").select("cell_id", "row_id")
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
