@@ -574,3 +574,34 @@ def test_pipeline_stages(spark, sf):
     assert packed.count() > 0 and {"doc_id", "sequence_id"} <= set(packed.columns)
     first = corpus_pipeline.identify_language(spark, docs, sf)
     assert first.columns == docs.columns and first.count() == docs.where("text rlike '\\\\p{L}'").count()
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none, tmp_path):
+    """Each stage against a plain version, on nulls, repeats, ties, long texts and more columns; and on no rows."""
+    import corpus_pipeline
+
+    sf_dir = str(tmp_path)
+    labels = [(i, int(i % 3 > 0), 0) for i in range(60)] + [(7, None, None), (None, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    rows = odd.collect()
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in list(stages.items())[:-1]:
+        assert stage(spark, none, sf_dir).collect() == [] and stage(spark, none, sf_dir).columns == none.columns, name
+        assert stage(spark, odd, sf_dir).columns == odd.columns, name
+    ids = lambda found: Counter(r["doc_id"] for r in found)
+    assert ids(stages["language ID"](spark, odd, sf_dir).collect()) == ids(r for r in rows if any(c.isalpha() for c in r["text"] or ""))
+    kept = stages["MinHash near-dedup"](spark, odd, sf_dir).collect()
+    sets = _brute_sets([(r["doc_id"], r["text"]) for r in rows if r["doc_id"] is not None], 5)
+    comp = _brute_components(sets)
+    assert ids(kept) == Counter({**{d: 1 for d in sets if comp[d] == d}, None: 2})
+    model = quality.train(odd, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    tools = model.compressors()
+    good = [r for r in rows if model.probability(np.array([model.difference((r["text"] or "").encode(), tools)]))[0] >= corpus_pipeline.LEAST_QUALITY]
+    assert ids(stages["quality classifier"](spark, odd, sf_dir).collect()) == ids(good)
+    copies = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in mixing.decide(odd).collect()}
+    want = Counter()
+    for r in rows:
+        want[r["doc_id"]] += copies[(r["doc_id"], r["source"], len((r["text"] or "").encode().split()))]
+    assert ids(stages["mixing sources to target weights"](spark, odd, sf_dir).collect()) == +want
+    packed = stages["packing"](spark, odd, sf_dir)
+    assert ids(packed.where("start = 0").collect()) == ids(rows) and stages["packing"](spark, none, sf_dir).collect() == []
