@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, quality, near-duplicates, mixing, packing.
 
 Each stage gets the documents that the stage before it kept, as a Parquet table, and the folder of the test tables.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents, and further columns that the documents have. Every stage gives
+no rows for no documents. Ties are settled by id; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -17,30 +18,50 @@ LEAST_QUALITY = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or without a letter, whose language can't be told, go; lang becomes the predicted language."""
+    """Documents without text or without a letter, whose language can't be told, go; lang becomes the predicted language.
+
+    Null and empty texts go. Repeated rows stay, each. A null id, source or lang changes nothing; without any labelled
+    text all documents are `und` and go.
+    """
     net = language_id.train(docs)
     told = language_id.predict(docs, net, pred="_pred", score="_score").where("_pred <> 'und'")
     return told.withColumn("lang", F.col("_pred")).select(*docs.columns)
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a low quality score go."""
+    """Documents with a low quality score go.
+
+    The score is the probability of label 1 if both labels were equally common. The cut lies far below the 0.7 of the
+    operator's own decision, as a filter should keep clean documents: what it lets go are texts that the dictionary of
+    bad text explains much better. Null and empty texts get the score of no bytes. Repeated rows share a score, null
+    ids are scored too; without labels of both classes all documents stay.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model, out="_score", predicted="_predicted").where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, similarity 0.8) the document with the smallest id stays."""
+    """Of each group of near-duplicates (five words, similarity 0.8) the document with the smallest id stays.
+
+    Null texts and texts without words are groups of their own. Of repeated rows of one id one stays; rows without an
+    id all stay, as nothing names them.
+    """
     return minmax_dedup.drop_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, 0 to 2 times.
+
+    Rows with the same id, source and size share a decision. Null is a source of its own; null texts have size 0.
+    """
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 2048 tokens."""
+    """Pieces of the documents in windows of 2048 tokens.
+
+    Null text counts as empty, which still has its end. Repeated rows, and copies that the mix made, are packed each.
+    """
     return packing.pack_documents(docs)
 
 
@@ -52,7 +73,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No SQL: the stages' models and signatures have none. tests/llm compares the stages with brute-force versions.
+#: No SQL: the stages' models and signatures have none. tests/llm compares each with a plain version.
 ORACLE_SQL = None
 
 
