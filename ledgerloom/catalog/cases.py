@@ -94,12 +94,15 @@ parties AS (
                     WHEN trim(counterparty_name) <> '' THEN trim(counterparty_name)
                     WHEN {_likes('summary', P.CASH_CONTEXT)} THEN '{P.CASH_NAME}' ELSE '{P.UNKNOWN_NAME}' END AS party_name
         FROM analysed WHERE NOT is_internal)),
+kin AS (
+  SELECT *, coalesce(respondent_name <> '' AND starts_with(party_name, left(respondent_name, 1)) AND length(party_name) <= 4 AND party_name <> respondent_name, false) OR {_likes('summary', P.RELATIVE_SUMMARY)} AS is_kin
+  FROM parties LEFT JOIN (SELECT case_id, trim(coalesce(respondent_name, '')) AS respondent_name FROM legal_case) USING (case_id)),
 summary AS (
-  SELECT case_id, party_key, arg_min(party_name, seq) AS name, arg_min(counterparty_account, seq) AS account,
+  SELECT case_id, party_key, arg_min(counterparty_role_tag, seq) FILTER (counterparty_role_tag <> '') AS role_tag, arg_min(is_kin, seq) AS suspected_relative, arg_min(party_name, seq) AS name, arg_min(counterparty_account, seq) AS account,
          sum(CASE WHEN direction = 'IN' THEN amount_cents ELSE 0 END)::BIGINT AS in_cents, sum(CASE WHEN direction = 'OUT' THEN amount_cents ELSE 0 END)::BIGINT AS out_cents,
          count(*) AS n_rows, count(DISTINCT party_name) AS n_aliases, min(transaction_date) AS earliest_date, max(transaction_date) AS latest_date,
          sum(CASE WHEN direction = 'OUT' THEN amount_cents WHEN direction = 'IN' THEN -amount_cents ELSE 0 END)::BIGINT AS net_out_cents
-  FROM parties GROUP BY 1, 2)"""
+  FROM kin GROUP BY 1, 2)"""
 
 CASE_SQL = f"{demo_ledger.ORACLE}, {EVENTS_SQL}, {NETTED_SQL}, {PARTIES_SQL}"
 
@@ -165,21 +168,23 @@ def _netting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evaluation(spark, sf_dir).analysed.where("is_internal").select("case_id", "id", "internal_pair_id")
 
 
-FAST_EDGES_SQL = f"""{CASE_SQL}, fast AS (
+FAST_SQL = """fast AS (
   SELECT i.case_id, account_number, i.id AS left_id, i.seq AS left_seq, o.id AS right_id, o.seq AS right_seq, i.amount_cents AS in_cents, o.amount_cents AS out_cents
   FROM analysed i JOIN analysed o USING (case_id, account_number)
   WHERE NOT i.is_internal AND NOT o.is_internal AND i.direction = 'IN' AND o.direction = 'OUT' AND o.seq > i.seq AND i.amount_cents >= 3000000
     AND o.transaction_date - i.transaction_date BETWEEN 0 AND 2 AND abs(o.amount_cents - i.amount_cents) * 100 <= 15 * i.amount_cents)"""
+#: enough wherever no receipt or pay-out has two possible partners, as in the derived ledger
+LONE_SQL = "lone AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY case_id, account_number, left_id) AS dl, count(*) OVER (PARTITION BY case_id, account_number, right_id) AS dr FROM fast) WHERE dl = 1 AND dr = 1)"
 
 
-@query("j4_fast_in_out_edges", f"{FAST_EDGES_SQL} SELECT * FROM fast")
+@query("j4_fast_in_out_edges", f"{CASE_SQL}, {FAST_SQL} SELECT * FROM fast")
 def _fast_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return netting.fast_in_out_edges(_evaluation(spark, sf_dir).analysed)
 
 
 @query("a1_counterparty_summary", f"{CASE_SQL} SELECT * FROM summary")
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evaluation(spark, sf_dir).summary.drop("frequent_summaries", "role_tag", "suspected_relative")
+    return _evaluation(spark, sf_dir).summary.drop("frequent_summaries")
 
 
 @query("a1_frequent_summaries", f"""{CASE_SQL}, firsts AS (SELECT case_id, party_key, summary, min(seq) AS first_at FROM parties WHERE summary <> '' GROUP BY ALL),
@@ -229,7 +234,8 @@ def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 FACTS = ["id", "account_number", "transaction_date", "direction", "amount_cents", "balance_cents", "summary", "counterparty_name", "counterparty_account"]
 
 
-@query("a15_analysis_fingerprint")
+@query("a15_analysis_fingerprint", f"""{demo_ledger.ORACLE}, h AS (SELECT case_id, ('0x' || left(md5(concat_ws('|', {', '.join(f"coalesce(cast({f} AS varchar), '')" for f in FACTS)})), 15))::BIGINT AS h FROM ledger),
+s AS (SELECT case_id, count(*) AS n_rows, sum(h)::VARCHAR AS hash_sum, bit_xor(h) AS hash_xor FROM h GROUP BY 1) SELECT *, sha256(concat_ws('|', n_rows, hash_sum, hash_xor)) AS fingerprint FROM s""")
 def _fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.fingerprint(demo_ledger.ledger(spark, sf_dir), FACTS)
 
@@ -272,9 +278,10 @@ _R08 = f"""(SELECT *, CASE WHEN {_likes('counterparty_name', P.R08_INSURANCE_PAR
 RULE_SQL = {
     "R01": _single_sql("R01", "NOT is_internal AND direction = 'OUT' AND amount_cents >= 5000000 AND transaction_date >= t3", "CASE WHEN transaction_date >= t4 THEN 'L0' ELSE 'L1' END", "CASE WHEN transaction_date >= t4 THEN '《报告财产令》送达后' ELSE '执行立案后' END", "JOIN legal_case USING (case_id)"),
     "R02": _rule_sql("R02", "'GROUP_ALL'", "'L0'", "'GROUP'", "count(*)", "sum(amount_cents)", "arg_min(phase_tag, seq)", "'【现金取现/ATM】'", f"FROM analysed WHERE NOT is_internal AND direction = 'OUT' AND ({_likes('summary', P.R02_SUMMARY)} OR {_likes('counterparty_name', P.R02_PARTY)}) AND amount_cents BETWEEN 4500000 AND 5000000 GROUP BY case_id HAVING count(*) >= 2"),
-    "R03": _rule_sql("R03", "party_key", "CASE WHEN net_out_cents >= 10000000 THEN 'L0' ELSE 'L1' END", "'GROUP'", "n_rows", "net_out_cents", "'多阶段累计'", "name", "FROM summary WHERE false"),
+    "R03": _rule_sql("R03", "party_key", "CASE WHEN net_out_cents >= 10000000 THEN 'L0' ELSE 'L1' END", "'GROUP'", "n_rows", "net_out_cents", "'多阶段累计'", "name", f"FROM summary WHERE (suspected_relative OR {_likes('role_tag', '亲属|配偶')}) AND n_rows >= 3 AND net_out_cents >= 3000000"),
     "R05": _rule_sql("R05", "p.id", "CASE WHEN s.in_cents * 10 < p.amount_cents * 3 THEN 'L1' ELSE 'L2' END", "'SINGLE'", "1", "p.amount_cents", "p.phase_tag", "p.counterparty_name", f"FROM parties p JOIN summary s USING (case_id, party_key) WHERE direction = 'OUT' AND amount_cents >= 100000 AND {_likes('summary', P.R05_REPAYMENT)}").replace("p.summary", "summary"),
-    "R06": _single_sql("R06", "false"),
+    "R04": _rule_sql("R04", "left_id || '_' || right_id", "'L1'", "'GROUP'", "2", "i.amount_cents", "i.phase_tag", "coalesce(i.counterparty_name, '未知来源') || ' -> ' || coalesce(o.counterparty_name, '未知去向')", "FROM lone JOIN (SELECT case_id, id AS left_id, amount_cents, phase_tag, counterparty_name FROM analysed) i USING (case_id, left_id) JOIN (SELECT case_id, id AS right_id, counterparty_name FROM analysed) o USING (case_id, right_id)"),
+    "R06": _rule_sql("R06", "p.id", "'L1'", "'SINGLE'", "1", "p.amount_cents", "p.phase_tag", "p.counterparty_name", f"FROM parties p JOIN summary s USING (case_id, party_key) WHERE direction = 'OUT' AND amount_cents >= 2000000 AND {_likes('summary', P.R06_TRADE)} AND {_likes('role_tag', '关联|独资')}"),
     "R07": _single_sql("R07", _likes("summary", P.R07_CLOSURE)),
     "R08": _rule_sql("R08", "key", "'L1'", "CASE WHEN count(*) > 1 THEN 'GROUP' ELSE 'SINGLE' END", "count(*)", "sum(amount_cents)",
                      "CASE WHEN count(*) = count(*) FILTER (transaction_date < t5) THEN '冻结前购买/缴费（冻结日 ' || max(t5) || '）' WHEN count(*) FILTER (transaction_date < t5) > 0 THEN '冻结前后均有交易（冻结日 ' || max(t5) || '）' ELSE arg_min(phase_tag, (transaction_date, seq)) END",
@@ -293,10 +300,10 @@ def _rule_query(name: str):
 
 
 for _name in rules.RULES:
-    query(f"{_name.lower()}_rule", RULE_SQL.get(_name))(_rule_query(_name))
+    query(f"{_name.lower()}_rule", RULE_SQL[_name].replace(CASE_SQL, f"{CASE_SQL}, {FAST_SQL}, {LONE_SQL}"))(_rule_query(_name))
 
 
-@query("r12_all_rules")
+@query("r12_all_rules", f"{CASE_SQL}, {FAST_SQL}, {LONE_SQL} " + " UNION ALL ".join(sql.removeprefix(CASE_SQL) for sql in RULE_SQL.values()))
 def _all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evaluation(spark, sf_dir).matches()
 

@@ -18,11 +18,44 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(demo_ledger.ledger(spark, sf_dir), "ledger")
 
 
+def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived ledger in printed pages, written."""
+    return written(demo_ledger.printed(spark, sf_dir), "printed")
+
+
 KEY = "case_id, source_document_id, account_number"
 SIGNED = "CASE direction WHEN 'IN' THEN amount_cents WHEN 'OUT' THEN -amount_cents END"
-ORIENT = f"""{ORACLE}, lagged AS (SELECT *, lag(transaction_date) OVER (PARTITION BY {KEY} ORDER BY page, row_index, seq) AS before FROM ledger),
+PAGES = f"{ORACLE}, printed AS ({demo_ledger.PRINTED_SQL.format(columns='* EXCLUDE (page, row_index, n)', ledger='ledger')})"
+
+
+def _physical_sql(rows: str) -> str:
+    """CTEs: orient, and physical, which is rows with physical_rank."""
+    return f"""lagged AS (SELECT *, lag(transaction_date) OVER (PARTITION BY {KEY} ORDER BY page, row_index, seq) AS before FROM {rows}),
 orient AS (SELECT {KEY}, count(*) FILTER (before < transaction_date) AS forward_pairs, count(*) FILTER (before > transaction_date) AS reverse_pairs, count(*) FILTER (before > transaction_date) > count(*) FILTER (before < transaction_date) AS is_reversed FROM lagged GROUP BY ALL),
-physical AS (SELECT l.*, CASE WHEN is_reversed THEN count(*) OVER (PARTITION BY {KEY}) - row_number() OVER w + 1 ELSE row_number() OVER w END AS physical_rank FROM ledger l JOIN orient USING ({KEY}) WINDOW w AS (PARTITION BY {KEY} ORDER BY page, row_index, seq))"""
+physical AS (SELECT l.*, CASE WHEN is_reversed THEN count(*) OVER (PARTITION BY {KEY}) - row_number() OVER w + 1 ELSE row_number() OVER w END AS physical_rank FROM {rows} l JOIN orient USING ({KEY}) WINDOW w AS (PARTITION BY {KEY} ORDER BY page, row_index, seq))"""
+
+
+ORIENT = f"{ORACLE}, {_physical_sql('ledger')}"
+
+
+def _chrono_sql(rows: str) -> str:
+    """CTEs up to chrono, which is rows with chrono_rank; days are folded by recursion."""
+    inside = f"PARTITION BY {KEY}, transaction_date ORDER BY seq"
+    error = lambda way: f"CASE WHEN ub IS NOT NULL THEN CASE WHEN last_value(ub IGNORE NULLS) OVER ({inside} {way} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NOT NULL THEN least(abs(last_value(ub IGNORE NULLS) OVER ({inside} {way} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + delta - balance_cents), 100000000) END END"
+    mean = lambda e, n, at: f"coalesce((x.{e} + CASE WHEN s.balance IS NULL OR x.{at}_b IS NULL THEN 0 ELSE least(abs(s.balance + x.{at}_d - x.{at}_b), 100000000) END) / nullif(x.{n} + CASE WHEN s.balance IS NULL OR x.{at}_b IS NULL THEN 0 ELSE 1 END, 0), 0)"
+    back = f"(x.k > 1 AND {mean('eb', 'nb', 'last')} + 1 < {mean('ef', 'nf', 'first')})"
+    counts = lambda rank, f, b: f"SELECT {KEY}, count(*) FILTER (off < 100) AS {f}, count(*) FILTER (off >= 100) AS {b} FROM (SELECT *, abs(lag(balance_cents) OVER (PARTITION BY {KEY} ORDER BY {rank}) + {SIGNED} - balance_cents) AS off FROM both_ranks) GROUP BY ALL"
+    return f"""{_physical_sql(rows)},
+u AS (SELECT *, {SIGNED} AS delta, CASE WHEN direction IN ('IN', 'OUT') THEN balance_cents END AS ub FROM physical),
+e AS (SELECT *, {error('')} AS ef, {error('DESC')} AS eb FROM u),
+days AS (SELECT {KEY}, transaction_date AS day, row_number() OVER (PARTITION BY {KEY} ORDER BY transaction_date) AS n, count(*) AS k, coalesce(sum(ef), 0) AS ef, count(ef) AS nf, coalesce(sum(eb), 0) AS eb, count(eb) AS nb,
+  arg_min(balance_cents, seq) FILTER (ub IS NOT NULL) AS first_b, arg_min(delta, seq) FILTER (ub IS NOT NULL) AS first_d, arg_max(balance_cents, seq) FILTER (ub IS NOT NULL) AS last_b, arg_max(delta, seq) FILTER (ub IS NOT NULL) AS last_d,
+  arg_max(balance_cents, seq) FILTER (balance_cents IS NOT NULL) AS end_f, arg_min(balance_cents, seq) FILTER (balance_cents IS NOT NULL) AS end_b FROM e GROUP BY {KEY}, transaction_date),
+fold AS (SELECT {KEY}, NULL::DATE AS day, 0::BIGINT AS n, NULL::BIGINT AS balance, false AS back FROM days WHERE n = 1
+  UNION ALL SELECT x.case_id, x.source_document_id, x.account_number, x.day, x.n, coalesce(CASE WHEN {back} THEN x.end_b ELSE x.end_f END, s.balance), {back} FROM fold s JOIN days x ON x.case_id = s.case_id AND x.source_document_id = s.source_document_id AND x.account_number = s.account_number AND x.n = s.n + 1),
+both_ranks AS (SELECT e.*, row_number() OVER (PARTITION BY {', '.join('e.' + c for c in KEY.split(', '))} ORDER BY transaction_date, CASE WHEN back THEN -seq ELSE seq END) AS dated_rank FROM e JOIN fold f ON f.case_id = e.case_id AND f.source_document_id = e.source_document_id AND f.account_number = e.account_number AND f.day = e.transaction_date),
+chrono AS (SELECT b.*, CASE WHEN pb < db OR (pf > 0 AND pb = 0 AND db > 0) THEN physical_rank ELSE dated_rank END AS chrono_rank
+  FROM both_ranks b JOIN ({counts('physical_rank', 'pf', 'pb')}) USING ({KEY}) JOIN ({counts('dated_rank', 'df', 'db')}) USING ({KEY}))"""
 
 
 @query("w1_statement_orientation", f"{ORIENT} SELECT * FROM orient")
@@ -35,9 +68,9 @@ def _physical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.physical_rank(ledger(spark, sf_dir)).select("case_id", "id", F.col("physical_rank").cast("long").alias("physical_rank"))
 
 
-@query("w2_chronological_rank")
+@query("w2_chronological_rank", ORACLE.replace("WITH ", "WITH RECURSIVE ", 1) + f", {_chrono_sql('ledger')} SELECT case_id, id, chrono_rank FROM chrono")
 def _chronological(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.chronological_rank(ledger(spark, sf_dir)).select("case_id", "id", "chrono_rank")
+    return sequence.chronological_rank(ledger(spark, sf_dir)).select("case_id", "id", F.col("chrono_rank").cast("long").alias("chrono_rank"))
 
 
 @query("w3_balance_breaks", f"""{ORIENT} SELECT case_id, id, expected_cents, balance_cents, days_apart, coalesce(days_apart, 0) > 30 AS long_interval FROM (
@@ -46,23 +79,25 @@ def _breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.balance_breaks(sequence.physical_rank(ledger(spark, sf_dir)), "physical_rank").withColumn("days_apart", F.col("days_apart").cast("long"))
 
 
-@query("w3_chronological_breaks")
+@query("w3_chronological_breaks", ORACLE.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_chrono_sql('ledger')} SELECT case_id, id, expected_cents, balance_cents, days_apart, coalesce(days_apart, 0) > 30 AS long_interval FROM (
+SELECT *, lag(balance_cents) OVER w + {SIGNED} AS expected_cents, abs(transaction_date - lag(transaction_date) OVER w) AS days_apart FROM chrono WINDOW w AS (PARTITION BY {KEY} ORDER BY chrono_rank)) WHERE expected_cents <> balance_cents""")
 def _chronological_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.balance_breaks(sequence.chronological_rank(ledger(spark, sf_dir)))
+    return sequence.balance_breaks(sequence.chronological_rank(ledger(spark, sf_dir))).withColumn("days_apart", F.col("days_apart").cast("long"))
 
 
-@query("w4_printed_balance_checks", f"""{ORACLE}, rows AS (SELECT *, lag(transaction_date) OVER w AS pd, lag(row_index) OVER w AS pr, lag(balance_cents) OVER w AS pb, lag({SIGNED}) OVER w AS ps FROM ledger WINDOW w AS (PARTITION BY {KEY}, page ORDER BY row_index, seq)),
+@query("w4_printed_balance_checks", f"""{PAGES}, rows AS (SELECT *, lag(transaction_date) OVER w AS pd, lag(row_index) OVER w AS pr, lag(balance_cents) OVER w AS pb, lag({SIGNED}) OVER w AS ps FROM printed WINDOW w AS (PARTITION BY {KEY}, page ORDER BY row_index, seq)),
 ways AS (SELECT {KEY}, page, min(sign(transaction_date - pd)) AS way FROM rows WHERE transaction_date <> pd GROUP BY ALL HAVING min(sign(transaction_date - pd)) = max(sign(transaction_date - pd))),
 checked AS (SELECT case_id, id, CASE WHEN way > 0 THEN pb + {SIGNED} - balance_cents ELSE pb - (balance_cents + ps) END AS off_cents FROM rows JOIN ways USING ({KEY}, page) WHERE row_index - pr = 1)
 SELECT case_id, id, unnest(['direction', 'amount', 'balance', 'date']) AS field, off_cents FROM checked WHERE off_cents <> 0""")
 def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.printed_balance_checks(ledger(spark, sf_dir))
+    return sequence.printed_balance_checks(printed(spark, sf_dir))
 
 
-@query("w5_direction_calibrate", f"""{ORIENT}, d AS (SELECT *, abs(lag(balance_cents) OVER w + amount_cents - balance_cents) AS di, abs(lag(balance_cents) OVER w - amount_cents - balance_cents) AS dout FROM physical WINDOW w AS (PARTITION BY {KEY} ORDER BY physical_rank)),
+@query("w5_direction_calibrate", f"""{PAGES}, turned AS (SELECT * REPLACE (CASE WHEN k % 29 = 0 AND direction = 'IN' THEN 'OUT' WHEN k % 29 = 0 THEN 'IN' ELSE direction END AS direction) FROM printed), {_physical_sql('turned')}, d AS (SELECT *, abs(lag(balance_cents) OVER w + amount_cents - balance_cents) AS di, abs(lag(balance_cents) OVER w - amount_cents - balance_cents) AS dout FROM physical WINDOW w AS (PARTITION BY {KEY} ORDER BY physical_rank)),
 c AS (SELECT case_id, id, direction, CASE WHEN di <= 4 AND dout > 4 THEN 'IN' WHEN dout <= 4 AND di > 4 THEN 'OUT' END AS calibrated FROM d WHERE amount_cents > 0) SELECT * FROM c WHERE calibrated <> direction""")
 def _calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.calibrated_directions(ledger(spark, sf_dir))
+    swapped = F.when(F.col("direction") == "IN", "OUT").otherwise("IN")
+    return sequence.calibrated_directions(printed(spark, sf_dir).withColumn("direction", F.when(F.col("k") % 29 == 0, swapped).otherwise(F.col("direction"))))
 
 
 @query("w6_page_direction_flip", f"""{ORACLE}, d AS (SELECT {KEY}, page, abs(lag(balance_cents) OVER w + {SIGNED} - balance_cents) AS a, abs(lag(balance_cents) OVER w - {SIGNED} - balance_cents) AS b FROM ledger WINDOW w AS (PARTITION BY {KEY}, page ORDER BY page, row_index, seq)),
@@ -120,10 +155,18 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.account_audit(sequence.physical_rank(ledger(spark, sf_dir)), "physical_rank").withColumn("is_balanced", F.coalesce("is_balanced", F.lit(False)))
 
 
-@query("w20_installment_sequence", f"""{ORACLE} SELECT case_id, id FROM (SELECT *, lead(summary, 1) OVER w AS s1, lead(summary, 2) OVER w AS s2 FROM (SELECT * REPLACE (CASE WHEN summary = '转账' THEN '分期转换' ELSE summary END AS summary) FROM ledger) WINDOW w AS (PARTITION BY {KEY} ORDER BY page, row_index, seq))
-WHERE regexp_matches(summary, '分期') AND regexp_matches(s1, '消费') AND regexp_matches(s2, '手续费|利息|结息')""")
+#: conversions in every statement: runs of three rows get the words, most of them also the ways and the day
+CONVERTED = """SELECT case_id, source_document_id, account_number, id, seq, page, row_index, CASE WHEN (row_index - 1) % 3 = 0 AND k % 7 <> 0 THEN 'IN' WHEN k % 11 <> 0 THEN 'OUT' ELSE direction END AS direction,
+cast(date '1997-01-01' + cast(page * 20 + (row_index - row_index % 6) / 6 AS int) AS date) AS transaction_date, CASE WHEN right(account_number, 1) = '4' THEN 'deposit' ELSE 'credit' END AS account_kind,
+CASE cast((row_index - 1) % 3 AS int) WHEN 0 THEN CASE WHEN k % 2 = 0 THEN '账单分期' ELSE '普通消费转分期' END WHEN 1 THEN CASE WHEN k % 13 = 0 THEN '网上消费' ELSE '消费' END ELSE CASE WHEN k % 3 = 0 THEN '费用' ELSE '消费（利息）' END END AS summary FROM printed"""
+
+
+@query("w20_installment_sequence", f"""{PAGES}, c AS ({CONVERTED}), l AS (SELECT *, lead(id) OVER w AS i1, lead(id, 2) OVER w AS i2, lead(summary) OVER w AS s1, lead(summary, 2) OVER w AS s2, lead(direction) OVER w AS d1, lead(direction, 2) OVER w AS d2,
+  lead(account_number) OVER w AS a1, lead(account_number, 2) OVER w AS a2, lead(transaction_date) OVER w AS t1, lead(transaction_date, 2) OVER w AS t2 FROM c WINDOW w AS (PARTITION BY case_id, source_document_id ORDER BY page, row_index, seq)),
+h AS (SELECT * FROM l WHERE account_kind = 'credit' AND summary IN ('账单分期', '普通消费转分期') AND s1 = '消费' AND s2 IN ('费用', '消费（利息）', '消费(利息)') AND direction = 'IN' AND d1 = 'OUT' AND d2 = 'OUT' AND a1 = account_number AND a2 = account_number AND t1 = transaction_date AND t2 = transaction_date)
+SELECT case_id, id, 'conversion' AS part FROM h UNION ALL SELECT case_id, i1, 'purchase' FROM h UNION ALL SELECT case_id, i2, 'interest' FROM h WHERE s2 <> '费用'""")
 def _installments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.installment_sequences(ledger(spark, sf_dir).withColumn("summary", F.when(F.col("summary") == "转账", "分期转换").otherwise(F.col("summary"))))
+    return sequence.installment_sequences(spark.sql(CONVERTED.replace("FROM printed", "FROM {printed}"), printed=printed(spark, sf_dir)))
 
 
 @query("w14_consolidated_account_split", f"""{ORACLE}, j AS (SELECT *, coalesce(regexp_matches(lag(summary) OVER w, '{P.SETTLEMENT}') AND abs(lag(balance_cents) OVER w + {SIGNED} - balance_cents) >= greatest(100000, 20 * amount_cents), false) AS edge FROM ledger WINDOW w AS (PARTITION BY {KEY} ORDER BY page, row_index, seq))
@@ -132,7 +175,93 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.consolidated_split(ledger(spark, sf_dir))
 
 
-@query("w9_bridge_heal")
+def _two(c: str) -> str:
+    return f"(CASE WHEN {c} < 0 THEN '-' ELSE '' END || cast((abs({c}) - abs({c}) % 100) / 100 AS bigint) || '.' || lpad(cast(abs({c}) % 100 AS string), 2, '0'))"
+
+
+#: amounts and balances misread, some amounts printed in the raw text, closures that took the rest, credit cards
+HURT = f"""SELECT case_id, source_document_id, account_number, CASE WHEN right(account_number, 2) IN ('09', '39') THEN '信用卡中心' ELSE bank_name END AS bank_name, id, seq, page, row_index, k, transaction_date, direction, counterparty_name, transaction_type,
+CASE WHEN k % 9 = 0 THEN amount_cents + 10000 WHEN k % 11 = 0 THEN amount_cents * 2 WHEN summary = '销户' AND direction = 'OUT' AND k % 2 = 1 THEN amount_cents - 30000 ELSE amount_cents END AS amount_cents,
+CASE WHEN k % 7 = 0 THEN balance_cents + 1000000 WHEN k % 13 = 0 THEN balance_cents + 7 ELSE balance_cents END AS balance_cents, summary, CASE WHEN k % 22 = 0 THEN '行 ' || {_two('amount_cents')} || ' 元' END AS raw_text FROM printed"""
+
+
+def _near(a: str, b: str) -> str:
+    return f"(CASE WHEN length({_two(a)}) = length({_two(b)}) THEN hamming({_two(a)}, {_two(b)}) <= 1 ELSE false END)"
+
+
+def _shown(c: str) -> str:
+    return " OR ".join(f"contains(coalesce({t}, ''), regexp_replace({_two(c)}, '\\.?0+$', ''))" for t in ("raw_text", "summary"))
+
+
+def _healed_sql(ranked: str, rank: str) -> str:
+    """CTEs up to repaired: the rows of an account one after the other, each seeing the repaired balance before."""
+    way = "(CASE x.direction WHEN 'IN' THEN 1 WHEN 'OUT' THEN -1 END)"
+    implied = "abs(x.after - s.balance)"
+    bridge = f"""coalesce(x.before IS NOT NULL AND (abs(s.balance + {way} * x.amount_cents - x.balance_cents) >= 50 OR abs(x.after - x.balance_cents) >= 50) AND {implied} > 0 AND abs(s.balance + {way} * {implied} - x.after) < 5
+      AND ({_near('x.amount_cents', implied)} OR {_shown(implied)}) AND {_near('x.balance_cents', 'x.after')}, false)"""
+    return f"""cards AS (SELECT {KEY} FROM {ranked} GROUP BY ALL HAVING bool_or(contains(bank_name, '信用卡')) OR (count(balance_cents) > 0 AND count(*) FILTER (balance_cents < 0) >= ceil(count(balance_cents) / 2) AND count(*) FILTER (regexp_matches(concat_ws(' ', summary, counterparty_name, raw_text), '透支|年费|自动转[账帐]还款|分期付款|消费转分期|分期利息|分期费用')) >= least(2, count(*)))),
+numbered AS (SELECT *, {rank} AS r, lag(balance_cents) OVER w AS before, lead(balance_cents - {SIGNED}) OVER w AS after FROM {ranked} ANTI JOIN cards USING ({KEY}) WINDOW w AS (PARTITION BY {KEY} ORDER BY {rank})),
+walk AS (SELECT {KEY}, r, id, amount_cents AS old_amount, balance_cents AS old_balance, amount_cents AS amount, balance_cents AS balance, NULL::BIGINT AS previous, false AS bridged FROM numbered WHERE r = 1
+  UNION ALL SELECT x.case_id, x.source_document_id, x.account_number, x.r, x.id, x.amount_cents, x.balance_cents, CASE WHEN {bridge} THEN {implied} ELSE x.amount_cents END, CASE WHEN {bridge} THEN x.after ELSE x.balance_cents END, s.balance, {bridge}
+  FROM walk s JOIN numbered x ON x.case_id = s.case_id AND x.source_document_id = s.source_document_id AND x.account_number = s.account_number AND x.r = s.r + 1),
+second AS (SELECT w.*, n.direction, n.summary, n.counterparty_name, n.raw_text, abs(w.balance - w.previous) AS implied, abs(w.previous + (CASE n.direction WHEN 'IN' THEN 1 WHEN 'OUT' THEN -1 END) * w.amount - w.balance) AS off FROM walk w JOIN numbered n USING (case_id, id)),
+judged AS (SELECT *, coalesce(off >= 50 AND implied > 0 AND ({_near('amount', 'implied')} OR {_shown('implied')} OR (direction = 'OUT' AND regexp_matches(concat_ws(' ', summary, counterparty_name, raw_text), '{P.CLOSING}') AND implied >= amount AND off >= 100)), false) AS paired FROM second),
+repaired AS (SELECT case_id, id, old_amount AS amount_cents, old_balance AS balance_cents, CASE WHEN bridged THEN amount ELSE implied END AS repaired_cents, balance AS repaired_balance_cents, CASE WHEN bridged THEN 'bridge' ELSE 'pair' END AS reason FROM judged WHERE bridged OR paired)"""
+
+
+RECURSIVE_PAGES = PAGES.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def hurt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(spark.sql(HURT.replace("FROM printed", "FROM {printed}"), printed=demo_ledger.printed(spark, sf_dir)), "hurt")
+
+
+@query("w9_bridge_heal", f"{RECURSIVE_PAGES}, hurt AS ({HURT}), {_chrono_sql('hurt')}, {_healed_sql('chrono', 'chrono_rank')} SELECT * FROM repaired")
 def _heal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(spark, sf_dir)
-    return sequence.bridge_heal(rows.withColumn("amount_cents", F.when(F.col("row_index") % 31 == 0, F.col("amount_cents") + 1).otherwise(F.col("amount_cents"))))
+    return sequence.bridge_heal(sequence.chronological_rank(hurt(spark, sf_dir)))
+
+
+#: corrections as a run before made them: bridges, of which some replaced more than a digit, and pairs
+CORRECTED = """SELECT case_id, source_document_id, account_number, bank_name, transaction_type, counterparty_name, summary, raw_text, direction, id, amount_cents, balance_cents,
+CASE cast(k % 4 AS int) WHEN 0 THEN amount_cents + 100 WHEN 1 THEN amount_cents * 3 + 1 WHEN 2 THEN NULL ELSE amount_cents END AS original_amount_cents, CASE WHEN k % 3 = 0 THEN balance_cents - 1 ELSE balance_cents END AS original_balance_cents,
+CASE cast(k % 5 AS int) WHEN 0 THEN 'pair' WHEN 1 THEN 'year' ELSE 'bridge' END AS reason FROM hurt"""
+
+
+@query("w13_unsupported_correction_undo", f"""{PAGES}, hurt AS ({HURT}), c AS ({CORRECTED}),
+cards AS (SELECT {KEY}, true AS card FROM c GROUP BY ALL HAVING bool_or(contains(bank_name, '信用卡')) OR (count(balance_cents) > 0 AND count(*) FILTER (balance_cents < 0) >= ceil(count(balance_cents) / 2) AND count(*) FILTER (regexp_matches(concat_ws(' ', summary, counterparty_name, raw_text), '透支|年费|自动转[账帐]还款|分期付款|消费转分期|分期利息|分期费用')) >= least(2, count(*))))
+SELECT case_id, id, coalesce(original_amount_cents, amount_cents) AS amount_cents, coalesce(original_balance_cents, balance_cents) AS balance_cents FROM c LEFT JOIN cards USING ({KEY})
+WHERE reason = 'pair' AND card OR reason = 'bridge' AND (card OR NOT coalesce({_near('original_amount_cents', 'amount_cents')} AND {_near('original_balance_cents', 'balance_cents')} AND original_amount_cents IS NOT NULL AND original_balance_cents IS NOT NULL, false))""")
+def _undo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.undo_unsupported(spark.sql(CORRECTED.replace("FROM hurt", "FROM {hurt}"), hurt=hurt(spark, sf_dir)))
+
+
+#: settlements in every other row, some with a misread year, some without amount, some with their date printed
+SETTLED = """SELECT case_id, source_document_id, account_number, id, seq, page, row_index, direction, counterparty_name, raw_text, k % 23 = 0 AS date_printed,
+CASE WHEN row_index % 4 < 3 THEN '结息' ELSE summary END AS summary, CASE WHEN row_index % 4 < 3 AND k % 5 = 0 THEN 0 ELSE amount_cents END AS amount_cents, CASE WHEN k % 31 = 0 THEN balance_cents + 900000000 ELSE balance_cents END AS balance_cents,
+CASE WHEN row_index % 4 < 3 AND k % 6 = 0 AND date_format(transaction_date, 'MM-dd') <> '02-29' THEN cast(add_months(transaction_date, CASE WHEN k % 12 = 0 THEN 120 ELSE -48 END) AS date) WHEN k % 47 = 0 THEN NULL ELSE transaction_date END AS transaction_date FROM printed"""
+_SETTLED = SETTLED.replace("date_format(transaction_date, 'MM-dd')", "strftime(transaction_date, '%m-%d')").replace("add_months(transaction_date, CASE WHEN k % 12 = 0 THEN 120 ELSE -48 END)", "transaction_date + to_months(CASE WHEN k % 12 = 0 THEN 120 ELSE -48 END)")
+
+
+def _in_year(year: str) -> str:
+    """The row's month and day in another year, null where there is no such day."""
+    return f"try_cast(({year})::VARCHAR || strftime(x.transaction_date, '-%m-%d') AS DATE)"
+
+
+_AT = f"coalesce({_in_year('year(s.last)')}, make_date(year(s.last), 3, 1))"
+_NEXT = f"CASE WHEN x.way > 0 AND {_AT} <= s.last THEN {_in_year('year(s.last) + 1')} WHEN x.way < 0 AND {_AT} >= s.last THEN {_in_year('year(s.last) - 1')} ELSE {_in_year('year(s.last)')} END"
+_KEEP = "s.last IS NULL OR x.edge OR NOT x.settles OR coalesce(x.date_printed, false) OR x.way = 0 OR abs(year(x.transaction_date) - year(s.last)) < 2 OR (x.way > 0 AND x.transaction_date > s.last) OR (x.way < 0 AND x.transaction_date < s.last)"
+
+
+@query("w10_settlement_repair", f"""{RECURSIVE_PAGES}, settled AS ({_SETTLED}),
+z AS (SELECT *, regexp_matches(concat_ws(' ', summary, counterparty_name, raw_text), '{P.SETTLEMENT}') AS settles, lag(balance_cents) OVER w AS pb, row_number() OVER w AS n, {SIGNED} AS delta,
+  CASE WHEN abs(year(transaction_date) - year(lag(transaction_date) OVER w)) < 2 THEN sign(transaction_date - lag(transaction_date) OVER w) END AS vote FROM settled WINDOW w AS (PARTITION BY {KEY} ORDER BY page, row_index, seq)),
+numbered AS (SELECT *, coalesce(settles AND lag(settles) OVER w AND abs(pb + delta - balance_cents) >= greatest(100000, 20 * abs(amount_cents)), false) AS edge, CASE WHEN sum(vote) OVER v >= 2 THEN 1 WHEN sum(vote) OVER v <= -2 THEN -1 ELSE 0 END AS way,
+  CASE WHEN settles AND amount_cents <= 0 AND CASE direction WHEN 'IN' THEN balance_cents > pb WHEN 'OUT' THEN balance_cents < pb END THEN abs(balance_cents - pb) END AS repaired_cents FROM z WINDOW w AS (PARTITION BY {KEY} ORDER BY n), v AS (PARTITION BY {KEY})),
+walk AS (SELECT {KEY}, 0::BIGINT AS n, NULL::VARCHAR AS id, NULL::DATE AS old, NULL::DATE AS day, NULL::DATE AS last FROM numbered WHERE n = 1
+  UNION ALL SELECT case_id, source_document_id, account_number, n, id, old, day, coalesce(day, CASE WHEN NOT edge THEN before END) FROM (
+    SELECT x.*, s.last AS before, x.transaction_date AS old, CASE WHEN {_KEEP} THEN x.transaction_date WHEN abs(year({_NEXT}) - year(x.transaction_date)) >= 2 THEN {_NEXT} ELSE x.transaction_date END AS day
+    FROM walk s JOIN numbered x ON x.case_id = s.case_id AND x.source_document_id = s.source_document_id AND x.account_number = s.account_number AND x.n = s.n + 1))
+SELECT case_id, id, CASE WHEN day <> old THEN day END AS repaired_date, repaired_cents::BIGINT AS repaired_cents FROM walk JOIN (SELECT case_id, id, repaired_cents FROM numbered) USING (case_id, id) WHERE coalesce(day <> old, false) OR repaired_cents IS NOT NULL""")
+def _settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(SETTLED.replace("FROM printed", "FROM {printed}"), printed=demo_ledger.printed(spark, sf_dir))
+    return sequence.settlement_repairs(written(rows, "settled"))

@@ -126,3 +126,15 @@ def page_ranges(pages: DataFrame, keys: list[str], page: str = "page") -> DataFr
 
     island = F.col(page) - F.dense_rank().over(Window.partitionBy(*keys).orderBy(page))
     return pages.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min(page).alias("first_page"), F.max(page).alias("last_page"), F.countDistinct(page).alias("n_pages")).drop("_island")
+
+
+def printed_cents(cents: str | Column) -> Column:
+    """Cents as a statement prints them, without separators: 1234 is 12.34."""
+    c = F.col(cents) if isinstance(cents, str) else cents
+    size = F.abs(c)
+    return F.concat(F.when(c < 0, "-").otherwise(""), F.floor(size / 100).cast("long").cast("string"), F.lit("."), F.lpad((size % 100).cast("string"), 2, "0"))
+
+
+def mentions(where: str, cents: Column) -> Column:
+    """Does the text hold the amount, with two decimals or without trailing zeros?"""
+    return F.coalesce(F.contains(F.col(where), F.regexp_replace(printed_cents(cents), r"\.?0+$", "")), F.lit(False))

@@ -199,3 +199,8 @@ MILESTONES = (
     ("t6", "T6 执行和解协议签署日"),
 )
 MILESTONE_ORDER = (("t0", "t1"), ("t1", "t2"), ("t2", "t3"), ("t3", "t4"), ("t3", "t6"))
+#: rows that explain one another when a purchase is turned into instalments; PURCHASE is between
+CONVERSION = "^(?:普通消费转分期|账单分期)$"
+CONVERSION_COST, CONVERSION_INTEREST = "^(?:费用|消费[（(]利息[）)])$", "^消费[（(]利息[）)]$"
+#: rows that empty an account
+CLOSING = "销户|清户|销账|结清|冻结扣划|司法扣划|司法划扣|法院扣划|法院划扣"

@@ -29,7 +29,7 @@ def counterparty_summary(txn: DataFrame, cases: DataFrame) -> DataFrame:
     """
     if "counterparty_role_tag" not in txn.columns:
         txn = txn.withColumn("counterparty_role_tag", F.lit(None).cast("string"))
-    rows = with_counterparty(txn.where(EXTERNAL)).join(F.broadcast(cases.select("case_id", F.trim(text("respondent_name")).alias("_debtor"))), "case_id", "left")
+    rows = with_counterparty(txn.where(EXTERNAL)).join(cases.select("case_id", F.trim(text("respondent_name")).alias("_debtor")), "case_id", "left")
     surname = F.left("_debtor", F.lit(1))
     kin = ((text("_debtor") != "") & F.startswith("party_name", surname) & (F.length("party_name") <= 4) & (F.col("party_name") != F.col("_debtor"))) | text("summary").rlike(P.RELATIVE_SUMMARY)
     rows = rows.withColumn("_kin", F.coalesce(kin, F.lit(False)))
@@ -58,7 +58,7 @@ def counterparty_lookup(txn: DataFrame, summary: DataFrame, fields: list[str]) -
 
 def case_kpis(txn: DataFrame, cases: DataFrame, observations: DataFrame) -> DataFrame:
     """Raw and net totals, outflow after filing and after the report order, income in execution, solvency ratio per case."""
-    rows = txn.join(F.broadcast(cases.select("case_id", "t3", "t4")), "case_id", "left")
+    rows = txn.join(cases.select("case_id", "t3", "t4"), "case_id", "left")
     external, incoming, outgoing = ~F.coalesce(F.col("is_internal"), F.lit(False)), F.col("direction") == "IN", F.col("direction") == "OUT"
     after = lambda t: F.coalesce(F.col("transaction_date") >= F.col(t), F.lit(False))
     total = lambda cond: F.sum(F.when(cond, F.col("amount_cents")).otherwise(0))
@@ -89,9 +89,9 @@ def sankey_links(totals: DataFrame) -> DataFrame:
 
 
 def fingerprint(txn: DataFrame, fields: list[str]) -> DataFrame:
-    """Order-independent hash of each case's facts: count, sum and xor of the row hashes."""
-    h = F.crc32(F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]).cast("binary"))
-    per = txn.withColumn("_h", h).groupBy("case_id").agg(F.count("*").alias("n_rows"), F.sum("_h").alias("hash_sum"), F.bit_xor("_h").alias("hash_xor"))
+    """Order-independent hash of each case's facts: count, sum and xor of 60 bits of the row hashes."""
+    h = F.conv(F.left(F.md5(F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])), F.lit(15)), 16, 10).cast("long")
+    per = txn.withColumn("_h", h).groupBy("case_id").agg(F.count("*").alias("n_rows"), F.sum(F.col("_h").cast("decimal(20,0)")).cast("string").alias("hash_sum"), F.bit_xor("_h").alias("hash_xor"))
     return per.withColumn("fingerprint", F.sha2(F.concat_ws("|", "n_rows", "hash_sum", "hash_xor"), 256))
 
 

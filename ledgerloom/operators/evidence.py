@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import patterns
 from ..functions.identity import is_reliable_account, norm_part
-from ..functions.money import bank_name, money, parse_date
+from ..functions.money import bank_name, mentions, money, parse_date
 from ..functions.printed import semantic_text
 from .sequence import ACCOUNT, signed
 
@@ -60,16 +60,6 @@ def evidence_gaps(hits: DataFrame, by: str = "case_id", checklist: str = "checkl
     return hits.select(by, F.explode(checklist).alias("gap")).distinct()
 
 
-def printed_cents(cents: str | Column) -> Column:
-    c = F.col(cents) if isinstance(cents, str) else cents
-    return F.concat(F.floor(c / 100).cast("long").cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0"))
-
-
-def _mentions(where: str, cents: Column) -> Column:
-    two = printed_cents(cents)
-    return F.coalesce(F.contains(F.col(where), two) | F.contains(F.col(where), F.regexp_replace(two, r"\.?0+$", "")), F.lit(False))
-
-
 def summary_heals(txn: DataFrame, credit_cards: DataFrame) -> DataFrame:
     """(case_id, id, amount_cents, repaired_cents): amounts that were read from the summary while the printed line holds
     the one that the balances imply.
@@ -81,7 +71,7 @@ def summary_heals(txn: DataFrame, credit_cards: DataFrame) -> DataFrame:
     implied = F.when(F.col("direction") == "OUT", F.col("_before") - F.col("balance_cents")).when(F.col("direction") == "IN", F.col("balance_cents") - F.col("_before"))
     off = F.abs(F.col("_before") + signed() - F.col("balance_cents")) >= 100
     found = rows.withColumn("repaired_cents", implied).where(off & (F.col("repaired_cents") > 0))
-    return found.where(_mentions("summary", F.col("amount_cents")) & _mentions("raw_text", F.col("repaired_cents"))).select("case_id", "id", "amount_cents", "repaired_cents")
+    return found.where(mentions("summary", F.col("amount_cents")) & mentions("raw_text", F.col("repaired_cents"))).select("case_id", "id", "amount_cents", "repaired_cents")
 
 
 def interest_chain_directions(txn: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -30,7 +31,7 @@ class Context:
         return self.txn.where(EXTERNAL)
 
     def with_dates(self, *dates: str) -> DataFrame:
-        return self.external.join(F.broadcast(self.cases.select("case_id", *dates)), "case_id", "left")
+        return self.external.join(self.cases.select("case_id", *dates), "case_id", "left")
 
     def cents(self, name: str, default: int) -> int:
         """A parameter in cents; zero stands for the default, as an empty form field would."""
@@ -133,7 +134,7 @@ def r10(c: Context) -> DataFrame:
 def r11(c: Context) -> DataFrame:
     """No income declared, yet receipts after the report order (or the filing, without one)."""
     declared = c.cases.where((F.col("declared_income_cents") == 0) & text("declared_content").rlike(P.R11_NO_INCOME)).select("case_id", F.coalesce("t4", "t3").alias("since")).where("since is not null")
-    rows = c.external.join(F.broadcast(declared), "case_id").where((F.col("direction") == "IN") & (F.col("transaction_date") >= F.col("since")))
+    rows = c.external.join(declared, "case_id").where((F.col("direction") == "IN") & (F.col("transaction_date") >= F.col("since")))
     groups = rows.groupBy("case_id").agg(F.count("*").alias("n"), F.sum("amount_cents").alias("total")).where("total > 1000000")
     return groups.select(*match("R11", "INCOME_DISCREPANCY", "L0", "GROUP", F.col("n"), F.col("total"), "《报告财产令》送达后", "【多方收入来源】"))
 
@@ -143,7 +144,7 @@ RULES: dict[str, Rule] = {f.__name__.upper(): f for f in (r01, r02, r03, r04, r0
 
 
 def evaluate(context: Context, enabled: Iterable[str] | None = None, params: dict[str, dict[str, float]] | None = None, rules: dict[str, Rule] | None = None) -> DataFrame:
-    """Matches of all enabled rules. A rule whose plan can't even be built is left out, the others still count."""
+    """Matches of all enabled rules. A rule whose plan can't be built doesn't stop the others: a warning names it and its error."""
     rules = RULES if rules is None else rules
     found, failed = [], []
     for name in rules if enabled is None else enabled:
@@ -151,6 +152,7 @@ def evaluate(context: Context, enabled: Iterable[str] | None = None, params: dic
             found.append(rules[name](Context(context.txn, context.cases, context.summary, (params or {}).get(name, {}))))
         except Exception as error:  # noqa: BLE001  a faulty rule of a user mustn't stop the others
             failed.append((name, error))
+            warnings.warn(f"rule {name} was left out: {error!r}", RuntimeWarning, stacklevel=2)
     if not found:
         raise ValueError(f"no rule could be evaluated: {failed}")
     return reduce(DataFrame.unionByName, found)

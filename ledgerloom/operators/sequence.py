@@ -1,12 +1,15 @@
 """Operators on the order of a statement's rows: orientation, chronology, balance checks and repairs.
 
-All are windows over one account of one document; a window reads values that it doesn't change. Only repairs that
-read what they have just repaired scan sorted partitions in Python, two rows of state at a time.
+All are windows over one account of one document. Only settlement years, which follow dates that were just repaired,
+are scanned in Python, in sorted chains with one date of state.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+from calendar import isleap
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
-from ..functions.identity import is_fee_waiver, joined, text
+from ..functions.identity import is_fee_waiver, joined, ocr_digit_variant, text
+from ..functions.money import mentions, printed_cents
 
 ACCOUNT = ("case_id", "source_document_id", "account_number")
 PRINTED = ("page", "row_index", "seq")
@@ -65,7 +69,8 @@ def chronological_rank(txn: DataFrame) -> DataFrame:
     rows = txn.withColumn("_usable", F.col("balance_cents").isNotNull() & F.col("direction").isin("IN", "OUT"))
     rows = rows.withColumn("_n", F.row_number().over(inside)).withColumn("_delta", signed())
     usable = F.when(F.col("_usable"), F.col("balance_cents"))
-    error = lambda w: F.when(F.col("_usable"), F.least(F.abs(F.last(usable, True).over(w) + F.col("_delta") - F.col("balance_cents")), F.lit(100_000_000)))
+    off = lambda w: F.abs(F.last(usable, True).over(w) + F.col("_delta") - F.col("balance_cents"))
+    error = lambda w: F.when(F.col("_usable") & off(w).isNotNull(), F.least(off(w), F.lit(100_000_000)))
     forward, backward = inside.rowsBetween(Window.unboundedPreceding, -1), day.orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({"_ef": error(forward), "_eb": error(backward)})
     some = F.col("balance_cents").isNotNull()
@@ -81,7 +86,7 @@ def chronological_rank(txn: DataFrame) -> DataFrame:
         named_struct(
           'balance', coalesce(if({back}, x.end_b, x.end_f), s.balance),
           'back', if({back}, array_append(s.back, x.day), s.back)))"""
-    mean = lambda e, n, at: f"coalesce((x.{e} + coalesce(least(abs(s.balance + x.{at}.d - x.{at}.b), 100000000), 0)) / nullif(x.{n} + if(s.balance is not null and x.{at} is not null, 1, 0), 0), 0)"
+    mean = lambda e, n, at: f"coalesce((x.{e} + if(s.balance is null or x.{at} is null, 0, least(abs(s.balance + x.{at}.d - x.{at}.b), 100000000))) / nullif(x.{n} + if(s.balance is not null and x.{at} is not null, 1, 0), 0), 0)"
     back = f"(x.k > 1 and {mean('eb', 'nb', 'last')} + 1 < {mean('ef', 'nf', 'first')})"
     chosen = ordered.select(*ACCOUNT, F.expr(step.format(back=back))["back"].alias("back"))
     placed = rows.join(chosen, list(ACCOUNT)).withColumn("_day", F.coalesce("transaction_date", F.lit("9999-12-31").cast("date")))
@@ -211,11 +216,23 @@ def account_audit(ranked: DataFrame, rank: str = "chrono_rank") -> DataFrame:
 
 
 def installment_sequences(txn: DataFrame) -> DataFrame:
-    """Three rows in a row of a card: conversion to instalments, purchase, fee or interest."""
-    order = printed_order()
-    kind = text("summary")
-    hit = kind.rlike("分期") & F.lead(kind, 1).over(order).rlike("消费") & F.lead(kind, 2).over(order).rlike("手续费|利息|结息")
-    return txn.withColumn("_hit", F.coalesce(hit, F.lit(False))).where("_hit").select("case_id", "id")
+    """Conversion (IN), purchase (OUT), fee or interest (OUT) of one day, in consecutive rows of a credit account.
+
+    Returned are the rows that a conversion to instalments explains, with their part: conversion, purchase, and the
+    third row only where it is interest.
+    """
+    order = Window.partitionBy("case_id", "source_document_id").orderBy(*PRINTED)
+    at = lambda c, n: F.lead(c, n).over(order)
+    same = reduce(lambda x, y: x & y, [at(c, n).eqNullSafe(F.col(c)) for c in ("account_number", "transaction_date") for n in (1, 2)])
+    ways = (F.col("direction") == "IN") & (at("direction", 1) == "OUT") & (at("direction", 2) == "OUT")
+    words = text("summary").rlike(P.CONVERSION) & (at("summary", 1) == P.PURCHASE) & at("summary", 2).rlike(P.CONVERSION_COST)
+    rows = txn.withColumns({"_hit": F.coalesce((F.col("account_kind") == "credit") & words & ways & same, F.lit(False)), "_interest": at("summary", 2).rlike(P.CONVERSION_INTEREST)})
+    parts = F.array(
+        F.struct(F.col("id").alias("id"), F.lit("conversion").alias("part")), F.struct(at("id", 1).alias("id"), F.lit("purchase").alias("part")),
+        F.struct(F.when(F.col("_interest"), at("id", 2)).alias("id"), F.lit("interest").alias("part")),
+    )
+    found = rows.withColumn("_parts", parts).where("_hit").select("case_id", F.explode("_parts").alias("_p")).select("case_id", "_p.id", "_p.part")
+    return found.where("id is not null")
 
 
 def consolidated_split(txn: DataFrame, factor: int = 20, least_cents: int = 100_000) -> DataFrame:
@@ -227,36 +244,120 @@ def consolidated_split(txn: DataFrame, factor: int = 20, least_cents: int = 100_
     return txn.withColumn("_boundary", boundary).withColumn("segment", running).select("case_id", "id", "segment")
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Bridge repair: a row whose amount doesn't fit its balances gets the one that does, if a digit apart."""
-    key, balance = None, None
+def bridge_heal(ranked: DataFrame, rank: str = "chrono_rank") -> DataFrame:
+    """Amounts and balances that their neighbours' balances contradict, with those that they imply; ranked rows in.
+
+    First the bridge: a row whose balance doesn't fit the row before or after gets the balance that the next row implies
+    and the amount between, if each is as printed, a digit apart, or (amounts) printed in the raw text or summary. Then
+    the pair: a row whose amount still doesn't fit gets the one between the two balances, if a digit apart, printed, or a
+    closure or judicial deduction that took the rest. Breaks below 50 cents and credit cards are left alone.
+
+    Whether a row is bridged depends on the row before only through "was that one bridged", so each row is a function of
+    one bit: constant, the same or the opposite. A window composes these from the last constant on; no row is scanned
+    in Python, and the balances that a bridged row passes on are right for any number of bridged rows in a row.
+    """
+    order = Window.partitionBy(*ACCOUNT).orderBy(rank)
+    rows = ranked.join(credit_card_ledgers(ranked).where("is_credit_card"), list(ACCOUNT), "left_anti")
+    amount, balance, way = F.col("amount_cents"), F.col("balance_cents"), F.when(F.col("direction") == "IN", 1).when(F.col("direction") == "OUT", -1)
+    rows = rows.withColumns({"_way": way, "_before": F.lag(balance).over(order), "_after": F.lead(balance - signed()).over(order)})
+    near = lambda a, b: ocr_digit_variant(printed_cents(a), printed_cents(b))
+    printed = lambda c: mentions("raw_text", c) | mentions("summary", c)
+
+    def bridged(before: Column) -> Column:
+        implied = F.abs(F.col("_after") - before)
+        breaks = (F.abs(before + signed() - balance) >= 50) | (F.abs(F.col("_after") - balance) >= 50)
+        fits = (F.abs(before + F.col("_way") * implied - F.col("_after")) < 5) & (implied > 0)
+        return F.coalesce(breaks & fits & (near(amount, implied) | printed(implied)) & near(balance, F.col("_after")), F.lit(False))
+
+    passed_on = balance - signed()  # the balance before, if that row was bridged
+    rows = rows.withColumns({"_then": F.col("_before").isNotNull() & bridged(passed_on), "_else": bridged(F.col("_before"))})
+    rows = rows.withColumn("_run", F.sum((F.col("_then") == F.col("_else")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = Window.partitionBy(*ACCOUNT, "_run")
+    start = F.max(F.when(F.col("_then") == F.col("_else"), F.col("_then"))).over(run)
+    turns = F.sum((F.col("_else") & ~F.col("_then")).cast("int")).over(run.orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_bridged", start != (turns % 2 == 1))
+    before = F.when(F.lag("_bridged").over(order), passed_on).otherwise(F.col("_before"))
+    rows = rows.withColumn("_before", before).withColumns({
+        "_amount": F.when(F.col("_bridged"), F.abs(F.col("_after") - F.col("_before"))).otherwise(amount), "_balance": F.when(F.col("_bridged"), F.col("_after")).otherwise(balance)})
+    off = F.abs(F.col("_before") + F.col("_way") * F.col("_amount") - F.col("_balance"))
+    implied = F.abs(F.col("_balance") - F.col("_before"))
+    closes = (F.col("direction") == "OUT") & joined("summary", "counterparty_name", "raw_text").rlike(P.CLOSING) & (implied >= F.col("_amount")) & (off >= 100)
+    paired = F.coalesce((off >= 50) & (implied > 0) & (near(F.col("_amount"), implied) | printed(implied) | closes), F.lit(False))
+    reason = F.when(F.col("_bridged"), "bridge").when(paired, "pair")
+    out = rows.withColumn("reason", reason).withColumn("repaired_cents", F.when(F.col("reason") == "pair", implied).otherwise(F.col("_amount")))
+    return out.where("reason is not null").select("case_id", "id", "amount_cents", "balance_cents", "repaired_cents", F.col("_balance").alias("repaired_balance_cents"), "reason")
+
+
+def undo_unsupported(corrected: DataFrame) -> DataFrame:
+    """Rows with reason, original_amount_cents and original_balance_cents whose correction does not hold, with what they go back to.
+
+    A bridge holds if amount and balance are each a digit from their originals, a pair always; on credit cards neither
+    holds. Rows with other reasons aren't touched. An account's kind is judged by its corrected rows.
+    """
+    cards = credit_card_ledgers(corrected).where("is_credit_card").select(*ACCOUNT, F.lit(True).alias("_card"))
+    near = lambda a, b: F.coalesce(ocr_digit_variant(printed_cents(a), printed_cents(b)), F.lit(False))
+    strict = near("original_amount_cents", "amount_cents") & near("original_balance_cents", "balance_cents")
+    keeps = F.col("_card").isNull() & ((F.col("reason") == "pair") | strict)
+    rows = corrected.where("reason in ('bridge', 'pair')").join(cards, list(ACCOUNT), "left").where(~keeps)
+    return rows.select("case_id", "id", F.coalesce("original_amount_cents", "amount_cents").alias("amount_cents"), F.coalesce("original_balance_cents", "balance_cents").alias("balance_cents"))
+
+
+def _same_day(date: dt.date, year: int) -> dt.date:
+    """The day in another year; the first of March where that year has no 29 February."""
+    return dt.date(year, 3, 1) if (date.month, date.day) == (2, 29) and not isleap(year) else date.replace(year=year)
+
+
+def _years(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Settlement rows of sorted chains with the year that follows the row before; one date is carried on."""
+    key, last = None, None
     for batch in batches:
-        repaired, reason = [], []
-        for row in batch.itertuples(index=False):
-            now = (row.case_id, row.source_document_id, row.account_number)
+        dates = []
+        for now, start, date, way in zip(zip(batch["case_id"], batch["source_document_id"], batch["account_number"], batch["_chain"], strict=True), batch["_start"], batch["transaction_date"], batch["_way"], strict=True):
             if now != key:
-                key, balance = now, None
-            amount, why = row.amount_cents, None
-            sign = 1 if row.direction == "IN" else -1 if row.direction == "OUT" else 0
-            if balance is not None and sign and not pd.isna(row.balance_cents) and balance + sign * amount != row.balance_cents:
-                implied = sign * (int(row.balance_cents) - balance)
-                a, b = str(implied), str(amount)
-                if implied > 0 and len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= 1:
-                    amount, why = implied, "amount"
-            balance = int(row.balance_cents) if not pd.isna(row.balance_cents) else balance + sign * amount if balance is not None and sign else None
-            repaired.append(amount)
-            reason.append(why)
-        yield pd.DataFrame({"case_id": batch["case_id"], "id": batch["id"], "amount_cents": batch["amount_cents"], "repaired_cents": repaired, "reason": reason})
-
-
-def bridge_heal(txn: DataFrame) -> DataFrame:
-    """Amounts that differ in one digit from what the balances before and after imply, repaired.
-
-    Rows are sorted within partitions and scanned with one balance of state, whatever an account's length. A missing
-    balance is carried on from the repaired amount, so that later rows are judged by repaired values.
+                key, last = now, None if pd.isna(start) else start
+            if last is not None and way and abs(date.year - last.year) >= 2 and not (date > last if way > 0 else date < last):
+                moved = _same_day(date, last.year)
+                if moved <= last if way > 0 else moved >= last:
+                    moved = _same_day(date, last.year + int(way))
+                if moved.month == date.month and abs(moved.year - date.year) >= 2:
+                    date = moved
+            last = date
+            dates.append(date)
+        yield pd.DataFrame({"case_id": batch["case_id"], "id": batch["id"], "repaired_date": dates})
+
+
+def settlement_repairs(txn: DataFrame) -> DataFrame:
+    """Interest settlements with a year out of printed order, or without an amount: (case_id, id, repaired_date, repaired_cents).
+
+    A missing amount is the exact change of the balance, if its sign is the row's direction. A year two or more off moves
+    to the one that follows the dated row before, if the account's dates run one way (by two votes of neighbours less
+    than two years apart) and the row doesn't print its date (date_printed). Between two settlements with a jump of the
+    balance another account begins: nothing is carried over.
+
+    Only settlements change, so the state is known at every other dated row: chains of settlements between these are
+    scanned each on its own, and a long account is many chains.
     """
-    fields = [*ACCOUNT, "page", "row_index", "seq", "id", "transaction_date", "direction", "amount_cents", "balance_cents"]
-    ranked = physical_rank(txn.select(*fields))
-    dealt = ranked.repartition(*[F.col(c) for c in ACCOUNT]).sortWithinPartitions(*ACCOUNT, "physical_rank")
-    found = dealt.mapInPandas(_scan, f"case_id {dict(txn.dtypes)['case_id']}, id string, amount_cents long, repaired_cents long, reason string")
-    return found.where("reason is not null")
+    order = printed_order()
+    day = F.col("transaction_date")
+    before = F.lag(day).over(order)
+    close = F.abs(F.year(day) - F.year(before)) < 2
+    rows = txn.withColumns({"_settles": joined("summary", "counterparty_name", "raw_text").rlike(P.SETTLEMENT), "_vote": F.when(close & (day > before), 1).when(close & (day < before), -1), "_balance": F.lag("balance_cents").over(order)})
+    jump = F.abs(F.col("_balance") + signed() - F.col("balance_cents")) >= F.greatest(F.lit(100_000), 20 * F.abs(F.col("amount_cents")))
+    change = F.col("balance_cents") - F.col("_balance")
+    amounts = F.when(F.col("_settles") & (F.col("amount_cents") <= 0) & F.when(F.col("direction") == "IN", change > 0).when(F.col("direction") == "OUT", change < 0), F.abs(change))
+    votes = F.sum("_vote").over(Window.partitionBy(*ACCOUNT))
+    rows = rows.withColumns({
+        "_edge": F.coalesce(F.col("_settles") & F.lag("_settles").over(order) & jump, F.lit(False)), "repaired_cents": amounts,
+        "_way": F.when(votes >= 2, 1).when(votes <= -2, -1).otherwise(0)})
+    fixed = F.col("_settles") & ~F.coalesce(F.col("date_printed"), F.lit(False)) if "date_printed" in txn.columns else F.col("_settles")
+    anchor = day.isNotNull() & ~fixed
+    rows = rows.withColumn("_anchor", anchor)
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_chain", F.sum((F.col("_anchor") | F.col("_edge")).cast("int")).over(running))
+    rows = rows.withColumn("_start", F.max(F.when(F.col("_anchor"), day)).over(Window.partitionBy(*ACCOUNT, "_chain")))
+    chained = rows.where(fixed & day.isNotNull()).select(*ACCOUNT, "_chain", "_start", *PRINTED, "id", "transaction_date", "_way")
+    dealt = chained.repartition(*[F.col(c) for c in (*ACCOUNT, "_chain")]).sortWithinPartitions(*ACCOUNT, "_chain", *PRINTED)
+    dates = dealt.mapInPandas(_years, f"case_id {dict(txn.dtypes)['case_id']}, id string, repaired_date date")
+    moved = dates.join(txn.select("case_id", "id", "transaction_date"), ["case_id", "id"]).where("repaired_date <> transaction_date").drop("transaction_date")
+    filled = rows.where("repaired_cents is not null").select("case_id", "id", "repaired_cents")
+    return moved.join(filled, ["case_id", "id"], "full").select("case_id", "id", "repaired_date", "repaired_cents")

@@ -2,7 +2,7 @@
 
 The same SQL text runs in Spark and, for the oracles, in DuckDB. Money is in whole cents. Planted on top of the
 plain rows: copies in a second document (id ending in _B), mirrored transfers between a party's own accounts (_M)
-and fast pay-outs of receipts (_F).
+fast pay-outs of receipts (_F), relatives (H1, H2), tagged parties, payments for goods, and accounts without rows.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ plain AS (
          cast(o_orderdate AS date) AS transaction_date,
          CASE WHEN o_orderstatus = 'F' THEN 'IN' WHEN o_orderstatus = 'P' AND o_orderkey % 20 = 0 THEN 'UNKNOWN' ELSE 'OUT' END AS direction,
          CASE WHEN o_orderkey % 12 = 2 THEN 4500000 + o_orderkey % 500001 ELSE cast(round(o_totalprice * 100) AS bigint) END AS amount_cents,
-         CASE cast(o_orderkey % 12 AS int) WHEN 0 THEN '工资' WHEN 1 THEN '还借款' WHEN 2 THEN 'ATM现金取款' WHEN 3 THEN '基金申购' WHEN 4 THEN '保费' WHEN 5 THEN '转账'
+         CASE cast(o_orderkey % 12 AS int) WHEN 0 THEN '工资' WHEN 1 THEN '还借款' WHEN 2 THEN 'ATM现金取款' WHEN 3 THEN '基金申购' WHEN 4 THEN '保费' WHEN 5 THEN CASE WHEN o_orderkey % 5 = 0 THEN '货款' ELSE '转账' END
            WHEN 6 THEN '结息' WHEN 7 THEN '销户' WHEN 8 THEN '司法划扣' WHEN 9 THEN '借出款' WHEN 10 THEN '手续费' ELSE '消费' END AS summary,
-         s_name AS counterparty_name,
+         CASE WHEN o_orderkey % 10 = 0 AND right(s_name, 1) IN ('1', '2') THEN 'H' || right(s_name, 1) ELSE s_name END AS counterparty_name,
          CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE '6228' || lpad(cast(coalesce(suppkey, 0) AS string), 12, '0') END AS counterparty_account,
          next_key
   FROM {orders} o JOIN {customer} c ON o_custkey = c.c_custkey
@@ -54,20 +54,23 @@ balanced AS (
               + CASE WHEN k % 97 = 0 THEN 1 ELSE 0 END END AS balance_cents,
          summary, counterparty_name, counterparty_account, 'DOC_' || cast(c_custkey % 5 AS string) AS source_document_id,
          cast(1 + k % 40 AS int) AS page, k AS row_index,
-         cast(NULL AS string) AS transaction_type, cast(NULL AS string) AS counterparty_bank, cast(NULL AS string) AS raw_text
+         cast(NULL AS string) AS transaction_type, cast(NULL AS string) AS counterparty_bank, cast(NULL AS string) AS raw_text,
+         CASE right(counterparty_name, 1) WHEN '3' THEN '亲属' WHEN '7' THEN '关联企业' END AS counterparty_role_tag
   FROM unbalanced),
 ledger AS (
   SELECT * FROM balanced
   UNION ALL
   SELECT case_id, id || '_B', seq + 1, account_number, account_name, bank_name, owner_type, transaction_date, direction, amount_cents, balance_cents,
-         summary, counterparty_name, counterparty_account, 'DOC_B', page, row_index, transaction_type, counterparty_bank, raw_text
+         summary, counterparty_name, counterparty_account, 'DOC_B', page, row_index, transaction_type, counterparty_bank, raw_text, counterparty_role_tag
   FROM balanced WHERE row_index % 11 = 0 AND seq % 4 = 0),
 account AS (
   SELECT c_nationkey AS case_id, '6222' || lpad(cast(c_custkey AS string), 12, '0') AS account_number,
          CASE WHEN c_custkey % 3 = 0 THEN 'H' || cast(c_nationkey AS string) ELSE c_name END AS account_name, 'BANK' || cast(c_custkey % 4 AS string) AS bank_name,
          CASE c_custkey % 3 WHEN 0 THEN 'DEBTOR_MAIN' WHEN 1 THEN 'SPOUSE' ELSE 'UNKNOWN' END AS owner_type,
          'DOC_' || cast(c_custkey % 5 AS string) AS source_document_id
-  FROM {customer}),
+  FROM {customer}
+  UNION ALL
+  SELECT c_nationkey, '6217' || lpad(cast(c_custkey AS string), 12, '0'), c_name, 'BANK0', 'UNKNOWN', 'DOC_0' FROM {customer} WHERE c_custkey % 37 = 0),
 legal_case AS (
   SELECT DISTINCT c_nationkey AS case_id, 'H' || cast(c_nationkey AS string) AS respondent_name, cast(1000000000 AS bigint) AS target_cents,
          date '1996-01-01' AS t0, date '1997-01-01' AS t1, date '1998-01-01' AS t2, date '1999-01-01' AS t3, date '1999-06-01' AS t4, date '1999-07-01' AS t5, cast(NULL AS date) AS t6,
@@ -78,6 +81,13 @@ legal_case AS (
 #: The same, for DuckDB.
 ORACLE = "WITH " + CTES.format(**{t: t for t in TABLES})
 
+#: The ledger as it would be printed: 20 rows a page in order of date, odd accounts from the last row; k is the order's key.
+PRINTED_SQL = """
+SELECT {columns}, row_index AS k, cast(1 + floor((n - 1) / 20) AS int) AS page, 1 + (n - 1) % 20 AS row_index FROM (
+  SELECT *, CASE WHEN right(account_number, 1) IN ('1', '3', '5', '7', '9')
+    THEN row_number() OVER (PARTITION BY case_id, source_document_id, account_number ORDER BY transaction_date DESC, seq DESC)
+    ELSE row_number() OVER (PARTITION BY case_id, source_document_id, account_number ORDER BY transaction_date, seq) END AS n FROM {ledger})"""
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
@@ -96,3 +106,8 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per case: respondent, target, milestone dates t0 to t6, declared income."""
     return _read(spark, sf_dir, "legal_case")
+
+
+def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger in pages of 20 rows, each account in order of date or, if its number is odd, against it."""
+    return spark.sql(PRINTED_SQL.format(columns="* EXCEPT (page, row_index, n)", ledger="{ledger}"), ledger=ledger(spark, sf_dir))

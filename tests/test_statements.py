@@ -114,11 +114,90 @@ def test_repairs(spark):
     wrong = txn.withColumn("direction", F.when(F.col("id") == "t1", "IN").otherwise(F.col("direction")))
     assert [(r["id"], r["calibrated"]) for r in sequence.calibrated_directions(wrong).collect()] == [("t1", "OUT")]
     digit = txn.withColumn("amount_cents", F.when(F.col("id") == "t2", 800).otherwise(F.col("amount_cents")))
-    assert [(r["id"], r["repaired_cents"]) for r in sequence.bridge_heal(digit).collect()] == [("t2", 300)]
+    assert [(r["id"], r["repaired_cents"], r["reason"]) for r in sequence.bridge_heal(sequence.chronological_rank(digit)).collect()] == [("t2", 300, "bridge")]
     unknown = txn.withColumn("direction", F.when(F.col("id") == "t2", "UNKNOWN").otherwise(F.col("direction")))
     assert [(r["id"], r["suggested"]) for r in sequence.missing_directions(unknown).collect()] == [("t2", "IN")]
 
 
+def plain_heal(rows):
+    """Bridges, then pairs, row after row; rows are (id, direction, amount, balance)."""
+    rows, out = [dict(zip(("id", "direction", "amount", "balance"), r, strict=True)) for r in rows], {}
+    sign = lambda r: {"IN": 1, "OUT": -1}.get(r["direction"])
+    near = lambda a, b: len(f"{a / 100:.2f}") == len(f"{b / 100:.2f}") and sum(x != y for x, y in zip(f"{a / 100:.2f}", f"{b / 100:.2f}", strict=True)) <= 1
+    for p, c, n in zip(rows, rows[1:], rows[2:], strict=False):
+        if None in (p["balance"], c["balance"], n["balance"], sign(c), sign(n)):
+            continue
+        after = n["balance"] - sign(n) * n["amount"]
+        implied = abs(after - p["balance"])
+        if abs(p["balance"] + sign(c) * c["amount"] - c["balance"]) < 50 and abs(after - c["balance"]) < 50:
+            continue
+        if implied > 0 and abs(p["balance"] + sign(c) * implied - after) < 5 and near(c["amount"], implied) and near(c["balance"], after):
+            c["amount"], c["balance"], out[c["id"]] = implied, after, (implied, after, "bridge")
+    for p, c in zip(rows, rows[1:], strict=False):
+        if None in (p["balance"], c["balance"], sign(c)) or abs(p["balance"] + sign(c) * c["amount"] - c["balance"]) < 50:
+            continue
+        implied = abs(c["balance"] - p["balance"])
+        if implied > 0 and near(c["amount"], implied):
+            out[c["id"]] = (implied, c["balance"], "pair")
+    return out
+
+
+def test_bridges_equal_a_scan(spark):
+    """Balances and amounts with digits misread in rows that follow each other, so that bridges lean on bridges."""
+    rng, data, want, chained = np.random.default_rng(7), [], {}, 0
+    for a in range(60):
+        balance, rows = 500_000, []
+        for i in range(30):
+            move = int(rng.integers(100, 9_000)) * (1 if rng.random() < 0.6 else -1)
+            balance += move
+            amount, seen = abs(move), balance
+            if rng.random() < 0.3:
+                amount += int(rng.choice([1_000, 200, -100]))
+            if rng.random() < 0.3:
+                seen += int(rng.choice([10_000, 1_000, -1_000, 200]))
+            rows.append((f"a{a}_{i}", rng.choice(["IN", "OUT", "UNKNOWN"], p=[0.02, 0.02, 0.96]) if rng.random() < 0.05 else "IN" if move > 0 else "OUT", max(amount, 1), None if rng.random() < 0.03 else seen))
+        healed = plain_heal(rows)
+        want |= healed
+        chained += sum(healed.get(x[0], (0, 0, ""))[2] == healed.get(y[0], (0, 0, ""))[2] == "bridge" for x, y in zip(rows, rows[1:], strict=False))
+        data += [(1, "D", f"6222{a:08d}", r[0], i, 1, i, None, str(r[1]), r[2], r[3], "转账", None, None, None, "B") for i, r in enumerate(rows)]
+    got = sequence.bridge_heal(spark.createDataFrame(data, LEDGER).withColumn("rank", F.col("row_index")), "rank")
+    assert {r["id"]: (r["repaired_cents"], r["repaired_balance_cents"], r["reason"]) for r in got.collect()} == want
+    assert chained >= 5 and {v[2] for v in want.values()} == {"bridge", "pair"}
+
+
+def test_closures_and_cards(spark):
+    txn = statement(spark, [(1, 500), (2, -9_000), (3, 100)]).withColumn("amount_cents", F.when(F.col("id") == "t1", 7_000).otherwise(F.col("amount_cents")))
+    heal = lambda t: [(r["id"], r["repaired_cents"], r["reason"]) for r in sequence.bridge_heal(t.withColumn("r", F.col("row_index")), "r").collect()]
+    assert heal(txn) == [("t1", 9_000, "bridge")]
+    far = txn.withColumn("amount_cents", F.when(F.col("id") == "t1", 123).otherwise(F.col("amount_cents")))
+    closing = far.withColumn("summary", F.when(F.col("id") == "t1", "销户").otherwise(F.col("summary")))
+    assert heal(far) == [] and heal(closing) == [("t1", 9_000, "pair")]
+    assert heal(far.withColumn("raw_text", F.lit("行 90 元"))) == [("t1", 9_000, "bridge")]
+    assert heal(closing.withColumn("bank_name", F.lit("信用卡中心"))) == []
+
+
+def test_settlement_years_follow_each_other(spark):
+    day = lambda *d: dt.date(*d)
+    days = [day(2020, 1, 1), day(2020, 3, 1), day(2010, 3, 21), day(2011, 6, 21), None, day(2031, 1, 5), day(2012, 2, 29), day(2021, 3, 1), day(2021, 4, 1)]
+    kinds = ["转账", "转账", "结息", "结息", "转账", "结息", "结息", "转账", "转账"]
+    data = [(1, "D", "622200001", f"t{i}", i, 1, i, d, "IN", 0 if i == 3 else 10, 1_000 + 10 * i, k, None, None, None, "B") for i, (d, k) in enumerate(zip(days, kinds, strict=True))]
+    got = {r["id"]: (r["repaired_date"], r["repaired_cents"]) for r in sequence.settlement_repairs(spark.createDataFrame(data, LEDGER)).collect()}
+    assert got == {"t2": (day(2020, 3, 21), None), "t3": (day(2020, 6, 21), 10)}  # 2031 is in order, 2031 has no 29 February
+    leap = [(day(2023, 5, 1), "转账"), (day(2012, 2, 29), "结息"), (day(2024, 3, 5), "转账"), (day(2024, 4, 1), "转账"), (day(2024, 5, 1), "转账")]
+    data = [(1, "D", "622200001", f"t{i}", i, 1, i, d, "IN", 10, None, k, None, None, None, "B") for i, (d, k) in enumerate(leap)]
+    assert [(r["id"], r["repaired_date"]) for r in sequence.settlement_repairs(spark.createDataFrame(data, LEDGER)).collect()] == [("t1", day(2024, 2, 29))]
+    printed = spark.createDataFrame(data, LEDGER).withColumn("date_printed", F.lit(True))
+    assert sequence.settlement_repairs(printed).count() == 0
+    assert sequence.settlement_repairs(spark.createDataFrame([], LEDGER)).count() == 0
+
+
+def test_installments(spark):
+    data = [(1, "D", "622200001", f"t{i}", i, 1, i, dt.date(2023, 1, 1), w, 10, None, k, None, None, None, "B") for i, (w, k) in enumerate([("IN", "账单分期"), ("OUT", "消费"), ("OUT", "消费（利息）"), ("IN", "账单分期"), ("OUT", "消费"), ("OUT", "费用"), ("OUT", "账单分期"), ("OUT", "消费"), ("OUT", "费用")])]
+    txn = spark.createDataFrame(data, LEDGER).withColumn("account_kind", F.lit("credit"))
+    assert sorted((r["id"], r["part"]) for r in sequence.installment_sequences(txn).collect()) == [("t0", "conversion"), ("t1", "purchase"), ("t2", "interest"), ("t3", "conversion"), ("t4", "purchase")]
+    assert sequence.installment_sequences(txn.withColumn("account_kind", F.lit("deposit"))).count() == 0
+
+
 def brute_alignment(a, b):
     """All best alignments by plain recursion; the pairs that every one of them holds."""
     s = recognition._score(a, b)
