@@ -204,3 +204,9 @@ CONVERSION = "^(?:普通消费转分期|账单分期)$"
 CONVERSION_COST, CONVERSION_INTEREST = "^(?:费用|消费[（(]利息[）)])$", "^消费[（(]利息[）)]$"
 #: rows that empty an account
 CLOSING = "销户|清户|销账|结清|冻结扣划|司法扣划|司法划扣|法院扣划|法院划扣"
+#: bank names that name no certain bank
+BANK_UNCERTAIN = "^(?:商业银行|商业银行股份有限公司)$"
+#: what stands before an owner's name in a header
+OWNER_LABEL = r"(?U)^(?:户名|客户姓名|账户名称|姓名)\s*[:：]?\s*"
+#: part of a page above the rows, and that of the rows
+PAGE_HEAD, PAGE_BODY = 0.16, 0.77
