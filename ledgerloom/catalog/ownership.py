@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..operators import ownership
+from ..operators import ownership, pages
 from ..plans import demo_ledger
 from ..plans.storage import written
 from .registry import query
@@ -114,3 +114,39 @@ def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = [F.col(f"box_{s}").cast("double") for s in ("top", "left", "bottom", "right")]
     found = ownership.source_regions(rows.withColumn("box", F.when(F.col("box_top").isNotNull(), F.array(*sides))))
     return found.select("case_id", "source_document_id", "id", "region.origin", "region.confidence", *[F.round(f"region.{c}", 6).alias(c) for c in _BOX.split(", ")])
+
+
+#: every account's list and its pages under a clipped number, which miss or misread some rows
+VIEWS = f"""SELECT {DOC}, id, account_number, true AS direct_owner, CASE WHEN a % 9 = 0 THEN 'credit' ELSE 'deposit' END AS account_kind, transaction_date, direction, amount_cents, balance_cents FROM sheets
+UNION ALL SELECT {DOC}, id || '_V', substr(account_number, 4), false, CASE WHEN a % 27 = 0 THEN 'deposit' WHEN a % 9 = 0 THEN 'credit' ELSE 'deposit' END, transaction_date, direction, CASE WHEN k % 9 = 0 THEN amount_cents + 1 ELSE amount_cents END, balance_cents FROM sheets WHERE k % 7 <> 0"""
+_SIG = "transaction_date, direction, amount_cents, balance_cents"
+
+
+@query("j16_duplicate_views", f"""{SQL}, v AS ({VIEWS}), n AS (SELECT *, count(*) OVER (PARTITION BY {DOC}, account_kind, account_number, direct_owner) AS size, count(*) OVER (PARTITION BY {DOC}, account_kind, account_number, direct_owner, {_SIG}) AS alike FROM v)
+SELECT {DOC}, account_kind, l.account_number AS left_account, r.account_number AS right_account, count(*) AS anchors, count(DISTINCT transaction_date) AS dates FROM (FROM n WHERE direct_owner AND alike = 1) l JOIN (FROM n WHERE NOT direct_owner AND alike = 1) r USING ({DOC}, account_kind, {_SIG})
+GROUP BY {DOC}, account_kind, l.account_number, r.account_number, l.size, r.size HAVING count(*) >= 3 AND count(DISTINCT transaction_date) >= 2 AND count(*) >= 0.8 * least(l.size, r.size)""")
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (rows,) = _tables(spark, sf_dir, VIEWS)
+    return ownership.duplicate_views(rows)
+
+
+#: pages in the order of their accounts; some without quotes, sure or not, some described twice; lists of accounts are comma texts
+DESCRIBED = f"""SELECT {DOC}, dense_rank() OVER (PARTITION BY {DOC} ORDER BY page) AS page, CASE WHEN page % 17 = 0 THEN 'UNKNOWN' WHEN nth = 1 AND a % 4 = 0 THEN 'ACCOUNT_INFO' ELSE 'TRANSACTIONS' END AS type, CASE WHEN nth > 1 OR a % 3 = 0 THEN 'CONTINUE' ELSE 'NEW' END AS relation, CASE WHEN page % 11 = 0 THEN cast(0.8 AS double) ELSE cast(0.95 AS double) END AS confidence,
+cast(CASE WHEN page % 13 = 0 THEN 1 ELSE 0 END AS int) AS n_issues, CASE WHEN page % 5 = 0 THEN '' WHEN page % 2 = 0 THEN '中国' || bank_name ELSE bank_name END AS bank, CASE WHEN nth = 1 AND a % 10 = 0 THEN account_number || ',9' WHEN nth > 1 AND page % 3 = 0 THEN '' ELSE account_number END AS accounts, page % 7 = 0 AS unquoted, page % 19 = 0 AS twice
+FROM (SELECT DISTINCT {DOC}, page, nth, a, account_number, bank_name FROM sheets) AS p"""
+
+
+@query("w18_statement_groups", f"""{SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, d AS ({DESCRIBED}),
+p AS (SELECT {DOC}, page, CASE WHEN twice THEN 'UNKNOWN' ELSE type END AS type, CASE WHEN twice THEN '' ELSE relation END AS relation, CASE WHEN twice THEN 0 ELSE confidence END AS confidence, CASE WHEN twice THEN 1 ELSE n_issues END AS n_issues, CASE WHEN twice THEN '' ELSE replace(bank, '中国', '') END AS bank, CASE WHEN twice OR accounts = '' THEN [] ELSE string_split(accounts, ',') END AS accounts, unquoted FROM d),
+fold AS (SELECT {DOC}, 0::BIGINT AS page, 0::BIGINT AS start, false AS leads, '' AS bank, []::VARCHAR[] AS accounts, false AS conflict, false AS doubt FROM p WHERE page = 1
+  UNION ALL SELECT case_id, source_document_id, page, CASE WHEN on_ THEN start ELSE page END, type IN ('TRANSACTIONS', 'ACCOUNT_INFO') AND confidence >= 0.9 AND n_issues = 0 AND NOT (clash AND relation = 'CONTINUE'), CASE WHEN on_ AND gbank <> '' THEN gbank ELSE bank END, CASE WHEN on_ AND len(gaccounts) > 0 THEN gaccounts ELSE accounts END,
+    clash AND relation = 'CONTINUE', (type = 'UNKNOWN' AND NOT on_) OR len(accounts) = 0 OR n_issues > 0 OR (clash AND relation = 'CONTINUE') FROM (
+    SELECT *, type = 'TRANSACTIONS' AND relation = 'CONTINUE' AND confidence >= 0.9 AND n_issues = 0 AND NOT unquoted AND len(accounts) <= 1 AND leads AND len(gaccounts) <= 1 AND NOT clash AS on_ FROM (
+      SELECT x.*, s.start, s.leads, s.bank AS gbank, s.accounts AS gaccounts, (x.bank <> '' AND s.bank <> '' AND x.bank <> s.bank) OR (len(x.accounts) > 0 AND len(s.accounts) > 0 AND NOT list_has_all(s.accounts, x.accounts)) AS clash
+      FROM fold s JOIN p x ON x.case_id = s.case_id AND x.source_document_id = s.source_document_id AND x.page = s.page + 1)))
+SELECT {DOC}, page, start AS statement_page, conflict, bool_or(doubt) OVER (PARTITION BY {DOC}, start) AS needs_review FROM fold WHERE page > 0""")
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (described,) = _tables(spark, sf_dir, DESCRIBED)
+    lists = described.withColumns({"accounts": F.filter(F.split("accounts", ","), lambda x: x != ""), "quoted_pages": F.when(F.col("unquoted"), F.array("page")).otherwise(F.array(F.col("page"), F.col("page") - 1))})
+    second = lists.where("twice").withColumn("relation", F.lit("NEW"))
+    return pages.statement_groups(lists.unionByName(second).withColumn("page", F.col("page").cast("long")))

@@ -56,7 +56,9 @@ def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.multiset_overlap(gold, pred, DOCUMENT, GRAINS)
 
 
-KEYS = [[*DOCUMENT, *FIELDS[:5]], [*DOCUMENT, "account_number", "transaction_date", "direction", "balance_cents"], [*DOCUMENT, "account_number", "transaction_date", "direction"]]
+_C = "account_number", "transaction_date", "direction", "amount_cents", "balance_cents", "counterparty_account"
+KEYS = [[*DOCUMENT, *[_C[i] for i in k]] for k in ((0, 1, 2, 3, 4, 5), (0, 3, 4), (0, 1, 2, 5), (0, 1, 2, 3), (1, 2, 3, 4))]
+SAME = [*DOCUMENT, *FIELDS]
 
 
 def _align_sql() -> str:
@@ -67,6 +69,9 @@ def _align_sql() -> str:
 g{i} AS (SELECT * FROM {left_g} ANTI JOIN a{i} USING (gold_id)), p{i} AS (SELECT * FROM {left_p} ANTI JOIN a{i} USING (pred_id))""")
         left_g, left_p = f"g{i}", f"p{i}"
         out.append(f"SELECT * FROM a{i}")
+    same, number = ", ".join(SAME), lambda i: f"row_number() OVER (PARTITION BY {', '.join(SAME)} ORDER BY {i}) AS o"
+    on = " AND ".join(f"g.{f} IS NOT DISTINCT FROM p.{f}" for f in SAME)
+    out.append(f"SELECT gold_id, pred_id, {len(KEYS) + 1} AS step FROM (SELECT {same}, gold_id, {number('gold_id')} FROM {left_g}) g JOIN (SELECT {same}, pred_id, {number('pred_id')} FROM {left_p}) p ON g.o = p.o AND {on}")
     return f"{SQL}, {', '.join(ctes)}, pairs AS ({' UNION ALL '.join(out)})"
 
 
@@ -76,13 +81,13 @@ ALIGNED = _align_sql()
 @query("j18_gold_alignment", f"{ALIGNED} SELECT * FROM pairs")
 def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, pred, _ = _sides(spark, sf_dir)
-    return scoring.align_unique(gold, pred, KEYS)
+    return scoring.align_unique(gold, pred, KEYS, SAME)
 
 
 @query("a9_recognition_eval", ALIGNED + " " + " UNION ALL ".join(f"SELECT g.case_id, '{f}' AS field, count(g.{f}) AS true_values, count(*) FILTER (g.{f} = p.{f}) AS correct_values FROM gold g LEFT JOIN pairs USING (gold_id) LEFT JOIN pred p USING (pred_id) GROUP BY 1" for f in FIELDS))
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, pred, _ = _sides(spark, sf_dir)
-    return scoring.field_accuracy(gold, pred, scoring.align_unique(gold, pred, KEYS), ["case_id"], FIELDS)
+    return scoring.field_accuracy(gold, pred, scoring.align_unique(gold, pred, KEYS, SAME), ["case_id"], FIELDS)
 
 
 CRITICAL = FIELDS[:5]
@@ -96,7 +101,7 @@ reports AS (SELECT case_id, source_document_id, gold_rows, correct_rows, pred_ro
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, pred, alerts = _sides(spark, sf_dir)
-    return scoring.acceptance(gold, pred, scoring.align_unique(gold, pred, KEYS), alerts, DOCUMENT, CRITICAL)
+    return scoring.acceptance(gold, pred, scoring.align_unique(gold, pred, KEYS, SAME), alerts, DOCUMENT, CRITICAL)
 
 
 query("a10_acceptance_eval", f"{ACCEPTED} SELECT * FROM reports")(_reports)
@@ -113,7 +118,7 @@ SELECT stage, sum(k)::BIGINT AS alerts, count(*) AS rows_alerted, count(*) FILTE
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, pred, alerts = _sides(spark, sf_dir)
     true = gold.select("gold_id", F.col("amount_cents").alias("_true"))
-    errors = pred.join(scoring.align_unique(gold, pred, KEYS), "pred_id", "left").join(true, "gold_id", "left").select("pred_id", F.coalesce(F.col("_true") != F.col("amount_cents"), F.lit(True)).alias("wrong"))
+    errors = pred.join(scoring.align_unique(gold, pred, KEYS, SAME), "pred_id", "left").join(true, "gold_id", "left").select("pred_id", F.coalesce(F.col("_true") != F.col("amount_cents"), F.lit(True)).alias("wrong"))
     return scoring.alert_quality(errors, alerts)
 
 

@@ -168,3 +168,19 @@ def source_regions(rows: DataFrame) -> DataFrame:
         F.col("_o").alias("origin"), F.col("_c").alias("confidence"))
     helpers = ["_x", "_y", "_w", "_h", "_by", "_bh", "_o", "_c", "_rx", "_ry", "_rw", "_rh"]
     return rows.withColumn("region", region).drop(*helpers)
+
+
+def duplicate_views(rows: DataFrame, least: int = 3, share: float = 0.8) -> DataFrame:
+    """(document, account_kind, left_account, right_account, anchors, dates): an account's list and its pages that show the same rows.
+
+    A stream is an account's rows whose owner stands in the row (left) or in the page's head (right). Anchors are rows
+    with a date, direction, amount and balance that occur once in either stream; there must be three, of two dates, and
+    four fifths of the shorter stream. rows has account_kind and direct_owner.
+    """
+    stream = [*DOCUMENT, "account_kind", "account_number", "direct_owner"]
+    whole = rows.withColumn("_size", F.count("*").over(Window.partitionBy(*stream))).dropna(subset=SIGNATURE)
+    once = whole.withColumn("_n", F.count("*").over(Window.partitionBy(*stream, *SIGNATURE))).where("_n = 1")
+    side = lambda name, direct: once.where(F.col("direct_owner") == direct).select(*DOCUMENT, "account_kind", *SIGNATURE, F.col("account_number").alias(f"{name}_account"), F.col("_size").alias(f"_{name}"))
+    met = side("left", True).join(side("right", False), [*DOCUMENT, "account_kind", *SIGNATURE])
+    pairs = met.groupBy(*DOCUMENT, "account_kind", "left_account", "right_account", "_left", "_right").agg(F.count("*").alias("anchors"), F.countDistinct("transaction_date").alias("dates"))
+    return pairs.where((F.col("anchors") >= least) & (F.col("dates") >= 2) & (F.col("anchors") >= share * F.least("_left", "_right"))).drop("_left", "_right")

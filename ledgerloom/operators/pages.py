@@ -147,3 +147,32 @@ def latest_runs(pages: DataFrame) -> DataFrame:
     kept = pages.withColumn("_last", last).where((F.col("run_id") == F.col("_last.run_id")) & (F.col("run_at") == F.col("_last.run_at"))).drop("_last")
     order = Window.partitionBy(*DOCUMENT, "page").orderBy(F.desc("arrival"))
     return kept.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def statement_groups(pages: DataFrame) -> DataFrame:
+    """(document, page, statement_page, conflict, needs_review): the page each statement begins with.
+
+    A page of transactions continues the statement before only with that page's neighbour, at 0.9 confidence on both
+    sides, no issues, words quoted from both pages, one account at most and no other bank or account than the group's.
+    A continuation that conflicts is an issue of its page. Pages described twice are of unknown type.
+    pages: document, page, type, relation, confidence, n_issues, bank, accounts, quoted_pages (arrays). A fold over one
+    document's list of pages carries the group's bank and accounts, which conflicts may replace.
+    """
+    doc = ["case_id", "source_document_id"]
+    one = F.col("_n") == 1
+    known = pages.withColumn("_n", F.count("*").over(Window.partitionBy(*doc, "page"))).withColumns({
+        "type": F.when(one, F.col("type")).otherwise("UNKNOWN"), "relation": F.when(one, F.col("relation")).otherwise("UNKNOWN"), "confidence": F.when(one, F.col("confidence")).otherwise(0.0), "n_issues": F.when(one, F.col("n_issues")).otherwise(1),
+        "_bank": F.when(one, bank_key("bank")).otherwise(""), "_accounts": F.when(one, F.array_distinct(F.coalesce("accounts", F.array().cast("array<string>")))).otherwise(F.array().cast("array<string>"))})
+    ready = (F.col("type") == "TRANSACTIONS") & (F.col("relation") == "CONTINUE") & (F.col("confidence") >= 0.9) & (F.col("n_issues") == 0) & F.array_contains("quoted_pages", F.col("page")) & F.array_contains("quoted_pages", F.col("page") - 1) & (F.size("_accounts") <= 1)
+    leads = F.col("type").isin("TRANSACTIONS", "ACCOUNT_INFO") & (F.col("confidence") >= 0.9) & (F.col("n_issues") == 0)
+    item = F.struct("page", F.coalesce(ready, F.lit(False)).alias("ready"), F.coalesce(leads, F.lit(False)).alias("leads"), (F.col("relation") == "CONTINUE").alias("asks"), F.col("_bank").alias("bank"), F.col("_accounts").alias("accounts"), (F.col("type") == "UNKNOWN").alias("unknown"), (F.col("n_issues") > 0).alias("issues"))
+    lists = known.groupBy(*doc).agg(F.array_sort(F.collect_set(item)).alias("_pages"))
+    clash = "((x.bank <> '' and s.bank <> '' and x.bank <> s.bank) or (size(x.accounts) > 0 and size(s.accounts) > 0 and size(array_except(x.accounts, s.accounts)) > 0))"
+    goes_on = f"(x.ready and s.leads and s.page = x.page - 1 and size(s.accounts) <= 1 and not {clash})"
+    fold = f"""aggregate(_pages, named_struct('page', cast(-1 as bigint), 'start', cast(-1 as bigint), 'leads', false, 'bank', '', 'accounts', cast(array() as array<string>), 'out', cast(array() as array<struct<page: bigint, statement_page: bigint, conflict: boolean, doubt: boolean>>)), (s, x) -> named_struct(
+      'page', cast(x.page as bigint), 'start', if({goes_on}, s.start, cast(x.page as bigint)), 'leads', x.leads and not ({clash} and x.asks),
+      'bank', if({goes_on} and s.bank <> '', s.bank, x.bank), 'accounts', if({goes_on} and size(s.accounts) > 0, s.accounts, x.accounts),
+      'out', array_append(s.out, named_struct('page', cast(x.page as bigint), 'statement_page', if({goes_on}, s.start, cast(x.page as bigint)), 'conflict', {clash} and x.asks,
+        'doubt', (x.unknown and not {goes_on}) or size(x.accounts) = 0 or x.issues or ({clash} and x.asks)))))"""
+    told = lists.select(*doc, F.explode(F.expr(fold)["out"]).alias("_p")).select(*doc, "_p.*")
+    return told.withColumn("needs_review", F.max("doubt").over(Window.partitionBy(*doc, "statement_page"))).drop("doubt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,15 +27,34 @@ def multiset_overlap(gold: DataFrame, pred: DataFrame, keys: Sequence[str], grai
     return reduce(DataFrame.unionByName, out)
 
 
-def align_unique(gold: DataFrame, pred: DataFrame, keys: Sequence[Sequence[str]], gold_id: str = "gold_id", pred_id: str = "pred_id") -> DataFrame:
-    """(gold_id, pred_id, step): pairs by the first of several keys that is unique on both sides among what is left."""
-    found, g, p = [], gold, pred
+def align_unique(gold: DataFrame, pred: DataFrame, keys: Sequence[Sequence[str]], same: Sequence[str] = (), gold_id: str = "gold_id", pred_id: str = "pred_id") -> DataFrame:
+    """(gold_id, pred_id, step): pairs by the first of several keys that is unique on both sides among what is left.
+
+    Keys with a null don't count. At last rows equal in all fields of `same`, nulls included, are paired one by one.
+    Both sides are one table, and each key is one window over it: the plan grows by a shuffle a key.
+    """
+    fields = list(dict.fromkeys([c for key in keys for c in key] + list(same)))
+    side = lambda t, i, own: t.select(F.lit(own).alias("_gold"), F.col(i).alias("_id"), *fields)
+    rows = side(gold, gold_id, True).unionByName(side(pred, pred_id, False)).withColumns({"_step": F.lit(None).cast("int"), "_with": F.lit(None).cast(dict(pred.dtypes)[pred_id])})
+
+    def pair(rows: DataFrame, key: Sequence[str], free: Column, step: int) -> DataFrame:
+        # rows that can't be paired are dealt by their ids, so that no null or common key gathers them
+        rows = rows.withColumn("_free", free).withColumn("_deal", F.when(F.col("_free"), 0).otherwise(F.xxhash64("_gold", "_id")))
+        w = Window.partitionBy(*key, "_deal")
+        mine, other = F.col("_free") & F.col("_gold"), F.col("_free") & ~F.col("_gold")
+        rows = rows.withColumns({"_ng": F.count_if(mine).over(w), "_np": F.count_if(other).over(w), "_other": F.max(F.when(other, F.col("_id"))).over(w)})
+        hit = F.col("_free") & (F.col("_ng") == 1) & (F.col("_np") == 1)
+        return rows.withColumns({"_step": F.when(hit, step).otherwise(F.col("_step")), "_with": F.when(hit, F.col("_other")).otherwise(F.col("_with"))}).drop("_free", "_deal", "_ng", "_np", "_other")
+
     for step, key in enumerate(keys, 1):
-        one = lambda t: t.dropna(subset=list(key)).withColumn("_n", F.count("*").over(Window.partitionBy(*key))).where("_n = 1").drop("_n")  # noqa: B023, E731
-        pairs = one(g).select(*key, gold_id).join(one(p).select(*key, pred_id), list(key)).select(gold_id, pred_id, F.lit(step).alias("step"))
-        found.append(pairs)
-        g, p = g.join(pairs, gold_id, "left_anti"), p.join(pairs, pred_id, "left_anti")
-    return reduce(DataFrame.unionByName, found)
+        known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+        rows = pair(rows, key, F.col("_step").isNull() & known, step)
+    if same:
+        left = F.col("_step").isNull()
+        order = Window.partitionBy(*same, "_gold", "_done").orderBy("_id")
+        rows = rows.withColumn("_done", F.when(left, 0).otherwise(F.xxhash64("_gold", "_id"))).withColumn("_nth", F.row_number().over(order))
+        rows = pair(rows, [*same, "_nth"], left, len(keys) + 1)
+    return rows.where("_gold and _step is not null").select(F.col("_id").alias(gold_id), F.col("_with").alias(pred_id), F.col("_step").alias("step"))
 
 
 def field_accuracy(gold: DataFrame, pred: DataFrame, pairs: DataFrame, keys: Sequence[str], fields: Sequence[str], gold_id: str = "gold_id", pred_id: str = "pred_id") -> DataFrame:
