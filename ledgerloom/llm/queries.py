@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iso_media, language_id, lm_score, minmax_dedup, mixing, packing, pq_dedup, quality, sharding, warc
-from .common import crc_mod
+from . import iso_media, language_id, lm_score, minmax_dedup, mixing, packing, periodic_runs, pq_dedup, quality, sharding, warc
+from .common import SPACE, crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,8 +70,31 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def looped_text(key: str = "doc_id", text: str = "text") -> Column:
+    """The text; of every tenth document by crc32 of its id, the words from some place on repeat their first few."""
+    h = F.crc32(F.col(key).cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.col(text), SPACE, -1), lambda w: w != "")
+    n = F.size(words).cast("long")
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    tail = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    looped = F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+    return F.when((h % 10 == 0) & (n > 0), looped).otherwise(F.col(text))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", looped_text().alias("text"))
+    found = periodic_runs.find_runs(docs, periodic_runs.RunParams(least_exponent=4, least_length=6))
+    best = periodic_runs.strongest(F.col("runs"))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("_best"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "_best.start", "_best.length", "_best.period", F.floor(F.lit(1000) * F.col("_best.length") / F.col("_best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_minhash_dedup, op4_sharding, op5_embedding_dedup, op6_quality_classifier, op7_media_columns, op8_mixing, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_minhash_dedup, op4_sharding, op5_embedding_dedup, op6_quality_classifier, op7_media_columns, op8_mixing, op9_packing, op10_warc, op12_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -84,4 +107,30 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN payload_bytes >= 100 AND first_page <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                    CASE WHEN payload_bytes >= 100 AND first_page <> page_id THEN first_page END AS refers_to
             FROM d JOIN m USING (payload_digest)""",
+        "op12_periodic_runs": """
+            WITH RECURSIVE
+            ids AS (SELECT DISTINCT doc_id, encode(doc_id::VARCHAR) AS b FROM documents WHERE doc_id IS NOT NULL),
+            crc AS (  -- crc32 bit by bit: k counts bits, at the first of a byte the byte goes in
+                SELECT doc_id, b, 0 AS k, 4294967295::BIGINT AS c FROM ids
+                UNION ALL
+                SELECT doc_id, b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END
+                FROM (SELECT doc_id, b, k, CASE WHEN k % 8 = 0 THEN xor(c, ascii(decode(array_slice(b, k // 8 + 1, k // 8 + 1)))::BIGINT) ELSE c END AS v FROM crc WHERE k < 8 * octet_length(b))
+            ),
+            h AS (SELECT doc_id, xor(c, 4294967295) AS h FROM crc WHERE k = 8 * octet_length(b)),
+            d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+            e AS (SELECT r, d.doc_id, w, len(w) AS n, coalesce(h, 1) AS h, coalesce(h, 1) // 10 AS g FROM d LEFT JOIN h USING (doc_id)),
+            f AS (SELECT *, CASE WHEN n > 0 AND h % 10 = 0 THEN g % n END AS a FROM e),
+            x AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM f),
+            t AS (SELECT r, n, i, CASE WHEN i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS word FROM (SELECT *, unnest(range(n)) AS i FROM x)),
+            m AS (SELECT l.r, l.i, k.i - l.i AS q FROM t l JOIN t k ON l.r = k.r AND l.word = k.word AND k.i > l.i AND 4 * (k.i - l.i) <= l.n),
+            s AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM m),
+            p AS (SELECT r, q, min(i) AS a, count(*) + q AS len FROM s GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+            runs AS (SELECT r, a, len, min(q) AS q FROM p GROUP BY r, a, len),
+            best AS (SELECT r, count(*) AS n_runs, sha256(string_agg(a || ',' || len || ',' || q || chr(10), '' ORDER BY a, q)) AS runs_sha256,
+                            arg_min({'start': a, 'length': len, 'period': q}, {'x': -(len::DECIMAL(38, 18) / q), 'a': a, 'q': q}) AS b FROM runs GROUP BY r),
+            kept AS (SELECT t.r, t.i, t.word FROM t WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.r = t.r AND t.i >= runs.a + runs.q AND t.i < runs.a + runs.len)),
+            text AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS c FROM kept GROUP BY r)
+            SELECT x.doc_id, coalesce(n_runs, 0) AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period,
+                   (1000 * b.length // b.period)::BIGINT AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+            FROM x LEFT JOIN best USING (r) LEFT JOIN text USING (r)""",
     }
