@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iso_media, language_id, lm_score, minmax_dedup, mixing, packing, periodic_runs, pq_dedup, quality, sharding, warc
+from . import iso_media, language_id, lm_score, minmax_dedup, mixing, packing, periodic_runs, pq_dedup, quality, rtree_negatives, sharding, warc
 from .common import SPACE, crc_mod
 
 
@@ -93,8 +93,24 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_components(vector: str) -> Column:
+    """floor(256 * x) of each component, as doubles, in which every floor is exact."""
+
+    def whole(x: Column) -> Column:
+        wide = F.lit(256.0) * x.cast("double")
+        return F.when(F.abs(wide) < float(1 << 53), F.floor(wide).cast("double")).otherwise(wide)
+
+    return F.transform(F.col(vector), whole)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("int")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), whole_components("embedding").alias("embedding"))
+    return rtree_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_minhash_dedup, op4_sharding, op5_embedding_dedup, op6_quality_classifier, op7_media_columns, op8_mixing, op9_packing, op10_warc, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_minhash_dedup, op4_sharding, op5_embedding_dedup, op6_quality_classifier, op7_media_columns, op8_mixing, op9_packing, op10_warc, op12_periodic_runs, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -133,4 +149,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT x.doc_id, coalesce(n_runs, 0) AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period,
                    (1000 * b.length // b.period)::BIGINT AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
             FROM x LEFT JOIN best USING (r) LEFT JOIN text USING (r)""",
+        "op13_hard_negatives": """
+            WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                       FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+                 v AS (SELECT vec_id, (min({'label': label, 'v': v})).label AS label, (min({'label': label, 'v': v})).v AS v FROM r GROUP BY vec_id),
+                 s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+                       FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+                 p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+                 n AS (SELECT p.anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS rank
+                       FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+            SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
     }
