@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iso_media, language_id, lm_score, minmax_dedup, mixing, packing, periodic_runs, pq_dedup, quality, rtree_negatives, sharding, warc
+from . import iso_media, language_id, lm_score, main_text, minmax_dedup, mixing, packing, periodic_runs, pq_dedup, quality, rtree_negatives, sharding, warc
 from .common import SPACE, crc_mod
 
 
@@ -70,6 +70,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), main_text.standard_model())
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def looped_text(key: str = "doc_id", text: str = "text") -> Column:
     """The text; of every tenth document by crc32 of its id, the words from some place on repeat their first few."""
     h = F.crc32(F.col(key).cast("string").cast("binary"))
@@ -110,7 +115,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_minhash_dedup, op4_sharding, op5_embedding_dedup, op6_quality_classifier, op7_media_columns, op8_mixing, op9_packing, op10_warc, op12_periodic_runs, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_minhash_dedup, op4_sharding, op5_embedding_dedup, op6_quality_classifier, op7_media_columns, op8_mixing, op9_packing, op10_warc, op11_main_text, op12_periodic_runs, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
