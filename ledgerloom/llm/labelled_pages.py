@@ -145,11 +145,16 @@ class PageWriter:
         cells = [self.links(4) for _ in before[:1]] + [f'<div data-main="1">{"".join(f"<p>{self.prose()}</p>" for _ in range(self.rng.randint(2, 8)))}</div>'] + ["&copy; 1999 " + self.words(1, 4) for _ in after[:1]]
         return "<table>" + "".join(f"<tr><td>{c}</td></tr>" for c in cells) + "</table>"
 
+    def bare(self) -> str:
+        """An article's blocks with no element around them that tells what they are."""
+        r = self.rng
+        return "".join(f'<{tag} data-main="1">{self.prose()}</{tag}>' for tag in r.choices(("p", "p", "div", "h1", "section"), k=r.choice((1, 1, 2, 5))))
+
     def page(self) -> str:
         r = self.rng
         self.noisy = r.random() < 0.3
-        if r.random() < 0.03:
-            return f'<p data-main="1">{self.prose()}</p>' * r.randint(1, 4)
+        if r.random() < 0.08:  # nothing but text
+            return r.choice(("", "<html><head><title>x</title></head><body>", "<body>")) + self.bare()
         before = [k for k, p in (("notice", 0.25), ("header", 0.45), ("nav", 0.75), ("form", 0.2), ("ad", 0.4), ("side", 0.25)) if r.random() < p]
         after = [k for k, p in (("share", 0.2), ("comments", 0.4), ("side", 0.4), ("ad", 0.2), ("form", 0.2), ("notice", 0.2), ("nav", 0.15)) if r.random() < p]
         r.shuffle(before)
