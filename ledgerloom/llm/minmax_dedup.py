@@ -10,7 +10,8 @@ in its bucket. The way from buckets to links keeps work linear where groups are
 3. Buckets that still hold several components are dealt into lists of bounded size. In a list each class outside the
    bucket's largest component is compared with all others of the list. A bucket of one list is then done. Larger ones
    are dealt anew a few times, which joins nearly all that can be joined at a cost linear in the bucket.
-4. In large buckets that still hold several components, the classes outside the largest one are compared with all.
+4. Classes of large buckets that still hold several components meet over their rarest shingles, of which linked sets
+   share one (prefix filter): what a whole family of texts has in common brings no two of them together.
 
 A comparison never leaves its task as a pair: finer signatures (a bit for each of 1,024 values) rule out what is far
 from the threshold, full sets of 64-bit shingle hashes decide the rest, and a task gives a link only if it joins two
@@ -264,14 +265,60 @@ def dealt_links(opened: DataFrame, sets: DataFrame, params: DedupParams, deal: i
     return compared(placed.join(useful, ["key", "list"], "left_semi").join(sets.drop("n"), "rep"), ["key", "list"], params)
 
 
-def remaining_links(opened: DataFrame, sets: DataFrame, params: DedupParams) -> DataFrame:
-    """Links of the classes outside main with all classes of their bucket: each list of the former meets each list of all."""
-    outside = opened.where("outside").groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("hashes")).select("key", _lists("k", "hashes", params).alias("rows"))
-    both = opened.join(outside, "key")
-    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
-    left = both.where("outside").select("key", _dealt("rows", 0).alias("row"), every("lists").alias("list"), "rep", "label", F.lit(True).alias("first"))
-    right = both.select("key", every("rows").alias("row"), _dealt("lists", 0).alias("list"), "rep", "label", F.lit(False).alias("first"))
-    return compared(left.unionByName(right).join(sets.drop("n"), "rep"), ["key", "row", "list"], params)
+def prefixes(rest: DataFrame, sets: DataFrame, params: DedupParams) -> DataFrame:
+    """(token, rep, n, label, early) of the classes in rest: the rarest shingles of each that another class has, too.
+
+    Shingles are ordered by the number of classes that have them. Two linked sets share one of the first
+    n - ceil(s n) + 1 shingles of the larger and the first n - ceil(2 s n / (1 + s)) + 1 of the smaller, s being the
+    least similarity; the latter are marked early. What all texts of a family repeat comes last and stays out.
+    """
+    s = params.percent
+    classes = rest.select("rep", "label").distinct().join(sets.select("rep", "n", "shingles"), "rep")
+    each = classes.select("rep", "n", "label", F.explode("shingles").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    ranked = each.join(counts, "token", "left").groupBy("rep", "n", "label").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "token"))).alias("order"))
+    late, early = F.expr(f"n - (n * {s} + 99) div 100 + 1"), F.expr(f"n - (n * {2 * s} + {99 + s}) div {100 + s} + 1")
+    first = ranked.select("rep", "n", "label", early.alias("_early"), F.posexplode(F.slice("order", F.lit(1), late.cast("int"))).alias("at", "x"))
+    return first.where("x.k > 1").select("x.token", "rep", "n", "label", (F.col("at") < F.col("_early")).alias("early"))
+
+
+def meetings(tokens: DataFrame, params: DedupParams) -> DataFrame:
+    """(token, row, list, rep, n, label, first): lists of early classes by lists of all classes with their token."""
+    per = tokens.groupBy("token").agg(F.count("*").alias("k"), F.count_if("early").alias("e"), F.min("label").alias("_low"), F.max("label").alias("_high"))
+    count = lambda c: F.ceil(F.col(c) / (8 * params.group)).cast("long")
+    some = tokens.join(per.where("e > 0 and _low <> _high").select("token", count("e").alias("rows"), count("k").alias("lists")), "token")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = some.where("early").select("token", _dealt("rows", 0).alias("row"), every("lists").alias("list"), "rep", "n", "label", F.lit(True).alias("first"))
+    right = some.select("token", every("rows").alias("row"), _dealt("lists", 0).alias("list"), "rep", "n", "label", F.lit(False).alias("first"))
+    return left.unionByName(right)
+
+
+def possible(placed: DataFrame, sets: DataFrame, params: DedupParams) -> DataFrame:
+    """The rows of meetings whose size and finer signature allow a link with another row of their list."""
+    by = ["token", "row", "list"]
+    width = 2 * params.fine_permutations
+    most_unlike = width - math.ceil((1 + params.fine_likely) / 2 * width)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        label, n, first = table["label"].to_numpy(), table["n"].to_numpy(), table["first"].to_numpy()
+        fine = np.frombuffer(b"".join(table["fine"].to_pylist()), np.uint64).reshape(len(n), -1)
+        seen, rest = np.zeros(len(n), bool), np.nonzero(~first)[0]
+        for i in np.nonzero(first)[0]:
+            fits = rest[(label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= params.percent * np.maximum(n[rest], n[i]))]
+            fits = fits[np.bitwise_count(fine[fits] ^ fine[i]).sum(1, dtype=np.int64) <= most_unlike]
+            seen[fits] = True
+            seen[i] = len(fits) > 0
+        return table.select([*by, "rep", "label", "first"]).filter(pa.array(seen))
+
+    full = placed.join(sets.select("rep", "fine"), "rep").select(*by, "rep", "n", "label", "first", "fine")
+    return full.groupBy(*by).applyInArrow(run, "token long, row long, list long, rep long, label long, first boolean")
+
+
+def remaining_links(rest: DataFrame, sets: DataFrame, params: DedupParams) -> DataFrame:
+    """Links between the components of the classes in rest. Rare shingles bring classes together, finer signatures say which full sets are worth comparing."""
+    found = written(possible(meetings(written(prefixes(rest, sets, params), "minmax-prefixes"), params), sets, params), "minmax-possible")
+    return compared(found.join(sets.drop("n"), "rep"), ["token", "row", "list"], params)
 
 
 def near_duplicates(docs: DataFrame, params: DedupParams = DedupParams(), text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -220,6 +220,41 @@ def test_minmax_dedup_recall_on_documents(spark):
         assert got == comp and len(linked) > 50
 
 
+def _family(rng, n, shared, own):
+    """Texts with the same words in front and others behind."""
+    same = [f"s{i}" for i in range(shared)]
+    return [" ".join(same + [f"o{rng.randrange(10**9)}" for _ in range(own)]) for _ in range(n)]
+
+
+def _last_step(spark, texts, params):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = minmax_dedup.written(minmax_dedup.full_sets(docs, docs.select(docs.doc_id.alias("rep")), params, "text", "doc_id"), "sets")
+    rest = sets.select("rep", sets.rep.alias("label"))
+    placed = minmax_dedup.written(minmax_dedup.meetings(minmax_dedup.prefixes(rest, sets, params), params), "placed")
+    possible = minmax_dedup.possible(placed, sets, params)
+    return placed.count(), possible.join(sets, "rep").selectExpr("coalesce(sum(n), 0)").first()[0], minmax_dedup.remaining_links(rest, sets, params)
+
+
+def test_last_step_of_near_dedup_is_linear_in_texts_that_share_boilerplate(spark):
+    params, rng = minmax_dedup.DedupParams(shingle=4), random.Random(6)
+    found = {}
+    for n in (1000, 2000, 4000):
+        rows, hashes, links = _last_step(spark, _family(rng, n, 120, 60) + _family(rng, n // 10, 300, 10)[: n // 20], params)
+        found[n] = rows, hashes
+        assert len(components(links).collect()) == n // 20  # only those with little of their own are linked
+    assert found[4000][0] <= 2.1 * found[2000][0] <= 4.5 * found[1000][0] and found[4000][1] <= 2.1 * found[2000][1] <= 4.5 * found[1000][1]
+
+
+def test_last_step_of_near_dedup_finds_every_link(spark):
+    params, rng = minmax_dedup.DedupParams(shingle=4, group=4), random.Random(7)
+    base = _family(rng, 1, 60, 0)[0].split()
+    texts = [" ".join(w if rng.random() > p / 100 else f"x{rng.randrange(30)}" for w in base[: rng.randint(40, 60)]) for p in range(5) for _ in range(30)]
+    sets = _brute_sets(list(enumerate(texts)), 4)
+    want = _brute_components(sets)
+    got = {r["id"]: r["component"] for r in components(_last_step(spark, texts, params)[2]).collect()}
+    assert {d: got.get(d, d) for d in sets} == want and 2 < len(set(want.values())) < len(texts)
+
+
 def test_minmax_dedup_of_odd_rows(odd):
     got = minmax_dedup.near_duplicates(odd, minmax_dedup.DedupParams(shingle=4)).collect()
     assert len(got) == odd.count()
