@@ -21,6 +21,7 @@ bounded size, the others are joined to the counts by a shuffle.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -347,7 +348,7 @@ _encoders: dict = {}
 
 
 def _once(key: object, make: Callable):
-    """What a worker process makes once for all tasks that use the same broadcast."""
+    """What a worker process makes once for all tasks of one call, which its key, a random one, stands for."""
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = make()
@@ -357,7 +358,7 @@ def _once(key: object, make: Callable):
 def _encoded(docs: DataFrame, vocab: Vocabulary, text: str, turns: int) -> DataFrame:
     """(turn, ids): the outputs of every text's tokens and its end, as 32-bit numbers; each task deals its texts out to the turns."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    token = ("ids", shared.id if hasattr(shared, "id") else id(shared))
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, dealt = None, 0
@@ -375,7 +376,7 @@ def _encoded(docs: DataFrame, vocab: Vocabulary, text: str, turns: int) -> DataF
 def _round(ids: DataFrame, model: LogBilinear, turn: int, tasks: int) -> np.ndarray | None:
     """Weights after each task's pass over its texts from the model's weights on, averaged by tokens; null without texts.
 
-    Groups of about sqrt(tasks) tasks are added up by tasks, the groups' sums by the driver.
+    Tasks add up groups of tasks, then groups of groups, until a handful of sums is left for the driver.
     """
     shared = ids.sparkSession.sparkContext.broadcast(model)
     groups = max(1, isqrt(tasks))
@@ -392,15 +393,21 @@ def _round(ids: DataFrame, model: LogBilinear, turn: int, tasks: int) -> np.ndar
             yield pa.RecordBatch.from_arrays([pa.array([part % groups], pa.int32()), pa.array([n], pa.int64()), pa.array([own.packed().tobytes()], pa.binary())], names=["g", "n", "w"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         n, total = 0, 0.0
         for batch in batches:
             for k, w in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 n, total = n + k, total + k * np.frombuffer(w.as_buffer(), np.float32).astype(float)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["g", "n", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["g", "n", "w"])
 
     kind = "g int, n long, w binary"
-    sums = ids.coalesce(tasks).mapInArrow(fit, kind).repartition(groups, "g").mapInArrow(add, kind).select("n", "w").collect()
+    level = ids.coalesce(tasks).mapInArrow(fit, kind).repartition(groups, "g").mapInArrow(add, kind)
+    while groups > 16:
+        groups = -(-groups // 16)
+        level = level.repartition(groups, F.col("g") % groups).mapInArrow(add, kind)
+    sums = level.select("n", "w").collect()
     shared.unpersist()
     if not sums:
         return None
@@ -441,7 +448,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
     shared = spark.sparkContext.broadcast((vocab, model))
     fields = "part_tokens long, part_known long, part_base double, part_score double, rare array<struct<w:binary,k:int,tf:int>>"
     types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    token = shared.id if hasattr(shared, "id") else id(shared)
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model = shared.value

@@ -135,6 +135,21 @@ def test_lm_scores_equal_a_plain_loop(spark, odd):
         assert r["score"] == pytest.approx(total, rel=1e-4)
 
 
+def test_lm_models_of_one_session_stay_apart(spark):
+    """Workers are kept between calls: each call scores with its own model."""
+    params = lm_score.LmParams(words=6, classes=4, dim=4, common=30, rounds=1)
+    tables = [spark.createDataFrame([(i, f"{a} {b} " * 30) for i in range(8)], "doc_id long, text string").coalesce(1) for a, b in (("aa", "bb"), ("bb", "cc"))]
+    scores = [lm_score.learn_and_score(t, t["doc_id"] >= 0, params).first()["score"] for t in (tables * 3)]
+    assert scores[0] == scores[2] == scores[4] and scores[1] == scores[3] == scores[5]
+    both = tables[0].unionByName(tables[1]).where("doc_id > 2")
+    counts = lm_score.count_tokens(both)
+    model = lm_score.LogBilinear(lm_score.vocabulary(counts, params).outputs, lm_score.vocabulary(counts, params).share(), params)
+    ids = lm_score.written(lm_score._encoded(both.repartition(40), lm_score.vocabulary(counts, params), "text", 1), "ids").select("ids").repartition(6)
+    ids = lm_score.written(ids, "ids")
+    few, many = (lm_score._round(ids, model, 0, tasks) for tasks in (36, 1_000))
+    assert np.allclose(few, many, atol=1e-5)
+
+
 def test_lm_learns_from_all_training_texts(spark):
     """Pairs that only texts outside a sample, and places far inside texts, show are learned; outputs follow the vocabulary."""
     params = lm_score.LmParams(words=6, classes=4, dim=8, rate=0.05, batch=64, task_tokens=5000, buffer=500)
