@@ -69,6 +69,15 @@ def parse_time(c: str | Column) -> Column:
     return F.when(ok, F.concat_ws(":", F.lpad(h, 2, "0"), m, F.when(sec == "", "00").otherwise(sec)))
 
 
+def source_time(c: str | Column) -> Column:
+    """HH:mm:ss of a cell: a clock time with seconds anywhere, else six digits alone or behind a date of eight; null without one or from hour 24 on."""
+    s = text(c)
+    clock = [F.regexp_extract(s, r"(?<![0-9])([0-2]?[0-9]):([0-5][0-9]):([0-5][0-9])(?![0-9])", i) for i in (1, 2, 3)]
+    digits = [F.regexp_extract(s, r"(?<![0-9])(?:[0-9]{8})?([0-2][0-9])([0-5][0-9])([0-5][0-9])(?![0-9])", i) for i in (1, 2, 3)]
+    h, m, sec = (F.when(clock[0] != "", a).otherwise(b) for a, b in zip(clock, digits, strict=True))
+    return F.when(h.try_cast("int") < 24, F.concat_ws(":", F.lpad(h, 2, "0"), m, sec))
+
+
 def direction(c: str | Column) -> Column:
     """IN or OUT from a printed word, or from the sign of an amount; null otherwise, as for a bank's own codes."""
     s = _plain(c)

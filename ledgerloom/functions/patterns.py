@@ -210,3 +210,18 @@ BANK_UNCERTAIN = "^(?:商业银行|商业银行股份有限公司)$"
 OWNER_LABEL = r"(?U)^(?:户名|客户姓名|账户名称|姓名)\s*[:：]?\s*"
 #: part of a page above the rows, and that of the rows
 PAGE_HEAD, PAGE_BODY = 0.16, 0.77
+
+#: the fields of a statement row, in their order
+STATEMENT_FIELDS = ("account_number", "account_name", "bank_name", "transaction_time", "transaction_date", "direction", "amount", "balance", "transaction_type", "counterparty_name", "counterparty_account", "counterparty_bank")
+#: the types that a statement row can have
+STATEMENT_TYPES = (
+    "账户转账", "存款结息", "手续费", "工资收入", "司法扣划", "保险支出", "贷款放款", "贷款还款", "信用卡还款", "消费", "退款", "缴费", "第三方支付", "分期", "分期转换", "分期退款",
+    "费用减免", "违约金", "透支利息", "现金存入", "现金支取",
+)
+#: types of rows in which the own bank is the other party
+BANK_AS_PARTY_TYPES = ("手续费", "分期", "分期转换", "费用减免", "违约金", "透支利息", "存款结息")
+#: headers of columns that name a type, and of those that only add to a description
+TYPE_HEADERS = ("交易类型", "业务类型", "交易名称", "交易摘要", "摘要", "摘要代号", "摘要描述", "扩展用途", "用途", "交易备注", "附言", "交易地点/附言", "交易地点／附言")
+MEMO_HEADERS = ("备注", "备注信息")
+#: beginning of a header of the other party's columns
+PARTY_HEADER = "^(?:对方|交易对手|收款方|付款方)"
