@@ -133,6 +133,28 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.canonical_events(written(demo_ledger.ledger(spark, sf_dir), "ledger"))
 
 
+#: Copies of the rows with a copy in another document: C declares its row, X in the same document doesn't; D declares C with
+#: another amount, and is verified. The rest of k sets their order.
+DECLARED = """
+base AS (SELECT * FROM ledger WHERE row_index % 11 = 0 AND seq % 4 = 0 AND id NOT LIKE '%B'),
+copies AS (
+  SELECT case_id, id, seq * 10 AS place, row_index AS k, account_number, transaction_date, direction, amount_cents, balance_cents, summary, counterparty_name, counterparty_account, source_document_id, raw_text, cast(NULL AS string) AS duplicate_of, cast(NULL AS string) AS review_status FROM base
+  UNION ALL SELECT case_id, concat(id, '_B'), seq * 10 + 5, row_index, account_number, transaction_date, direction, amount_cents, balance_cents, summary, counterparty_name, counterparty_account, 'DOC_B', raw_text, NULL, NULL FROM base
+  UNION ALL SELECT case_id, concat(id, '_C'), seq * 10 + CASE WHEN row_index % 3 = 0 THEN 7 ELSE 2 END, row_index, account_number, transaction_date, direction, amount_cents, balance_cents, summary, counterparty_name, counterparty_account, 'DOC_C', raw_text, id, NULL FROM base
+  UNION ALL SELECT case_id, concat(id, '_X'), seq * 10 + CASE WHEN row_index % 2 = 0 THEN 9 ELSE 1 END, row_index, account_number, transaction_date, direction, amount_cents, balance_cents, summary, counterparty_name, counterparty_account, 'DOC_C', raw_text, NULL, NULL FROM base
+  UNION ALL SELECT case_id, concat(id, '_D'), seq * 10 + 3, row_index, account_number, transaction_date, direction, amount_cents + 1, balance_cents, summary, counterparty_name, counterparty_account, source_document_id, raw_text, concat(id, '_C'), 'VERIFIED' FROM base WHERE row_index % 5 = 0 AND row_index % 3 <> 0)"""
+
+
+@query("d3_declared_events", f"""{demo_ledger.ORACLE}, {DECLARED}, f AS (SELECT *, CASE WHEN id LIKE '%\\_B' ESCAPE '\\' THEN 'B' WHEN id LIKE '%\\_C' ESCAPE '\\' THEN 'C' WHEN id LIKE '%\\_X' ESCAPE '\\' THEN 'X' WHEN id LIKE '%\\_D' ESCAPE '\\' THEN 'D' ELSE 'A' END AS kind, k % 5 = 0 AND k % 3 <> 0 AS d, 'TX_' || k AS a,
+CASE WHEN balance_cents IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN counterparty_account <> '' THEN 3 ELSE 0 END + 2 AS p FROM copies), g AS (SELECT *, p >= 4 AND direction <> 'UNKNOWN' AS m FROM f),
+l AS (SELECT *, CASE WHEN kind IN ('A', 'C', 'D') OR (kind = 'B' AND m AND NOT d) OR (kind = 'X' AND m AND k % 2 = 1) THEN a WHEN kind = 'X' AND m AND d THEN a || '_B' ELSE id END AS leader FROM g)
+SELECT case_id, id, CASE WHEN leader = a AND d THEN a || '_D' ELSE leader END AS representative_id, count(*) OVER w AS n_observations, min(place) OVER w AS event_seq,
+least(CASE WHEN leader = a THEN 0.98 ELSE 1.0 END, CASE WHEN max(CASE WHEN kind IN ('B', 'X') AND id <> leader THEN 1 ELSE 0 END) OVER w = 1 THEN least(0.99, 0.8 + 0.02 * p) ELSE 1.0 END)::DOUBLE AS confidence FROM l WINDOW w AS (PARTITION BY case_id, leader)""")
+def _declared_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(f"WITH {DECLARED.replace('FROM ledger', 'FROM {ledger}')} SELECT * FROM copies", ledger=demo_ledger.ledger(spark, sf_dir)).withColumnRenamed("place", "seq")
+    return events.canonical_events(written(rows, "copies")).select("case_id", "id", "representative_id", "n_observations", "event_seq", "confidence")
+
+
 @query("d4_representatives", f"{demo_ledger.ORACLE}, {EVENTS_SQL} SELECT case_id, event_id, representative_id, max(n_observations) AS n_observations FROM events GROUP BY ALL")
 def _representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.canonical_events(written(demo_ledger.ledger(spark, sf_dir), "ledger")).select("case_id", "event_id", "representative_id", "n_observations").distinct()

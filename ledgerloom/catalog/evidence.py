@@ -153,9 +153,9 @@ def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.alias_accounts(spark.sql(ALIASED.replace("FROM account", "FROM {account}"), account=demo_ledger.accounts(spark, sf_dir)))
 
 
-@query("j7_near_duplicate_accounts", f"""{ORACLE}, a AS (SELECT DISTINCT case_id, bank_name AS bank, account_number AS n, right(account_number, 4) AS tail FROM account)
-SELECT a.case_id, a.bank, a.n AS one, b.n AS other, levenshtein(a.n, b.n)::INT AS distance FROM a JOIN a b USING (case_id, bank, tail) WHERE a.n < b.n AND levenshtein(a.n, b.n) <= 2
-UNION ALL SELECT case_id, bank_name, account_number, '7' || substr(account_number, 2), 1 FROM account WHERE cast(substr(account_number, 5) AS bigint) % 5 = 0""")
+@query("j7_near_duplicate_accounts", f"""{ORACLE}, own AS (SELECT case_id, bank_name AS bank, account_number AS n FROM account UNION ALL SELECT case_id, bank_name, '7' || substr(account_number, 2) FROM account WHERE cast(substr(account_number, 5) AS bigint) % 5 = 0),
+a AS (SELECT DISTINCT case_id, bank, n, right(n, 4) AS tail FROM own)
+SELECT a.case_id, a.bank, a.n AS one, b.n AS other, levenshtein(a.n, b.n)::INT AS distance FROM a JOIN a b USING (case_id, bank, tail) WHERE a.n < b.n AND levenshtein(a.n, b.n) <= 2""")
 def _near_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = demo_ledger.accounts(spark, sf_dir)
     misread = own.where("cast(substr(account_number, 5) as bigint) % 5 = 0").withColumn("account_number", F.concat(F.lit("7"), F.expr("substr(account_number, 2)")))

@@ -1,8 +1,8 @@
 """Consolidation of observations from several documents into transaction events.
 
 Observations can only be one event if account, date, direction and amount agree, so these form blocks. Blocks with
-one source are events as they are; blocks of two observations are scored by column expressions; only larger blocks,
-where the order of matching matters, go to a grouped Python step, a block at a time.
+one source are events as they are; blocks of two observations are scored by column expressions; only larger blocks and
+those with declared repeats, where the order of matching matters, go to a grouped Python step, a block at a time.
 """
 
 from __future__ import annotations
@@ -69,28 +69,39 @@ def representative_score() -> Column:
     )
 
 
+KEY = ("_account", "transaction_date", "direction", "amount_cents")
+
+
 def _greedy(block: pd.DataFrame) -> pd.DataFrame:
-    """Observations in order, each to the event with most points; events hold one observation per source."""
+    """Observations in order: a declared one to the event of the row it names, others to the event with most points.
+
+    Events hold one observation per source, but for declared ones; what the next is scored against is the event's
+    representative, which may be a declared row with another amount or date.
+    """
     events: list[dict] = []
-    leader, confidence = [], {}
+    of: dict[str, dict] = {}
     for row in block.sort_values("seq").to_dict("records"):
-        best, most = None, 0
-        for event in events:
-            if row["source_document_id"] in event["sources"]:
-                continue
-            points = _points(event["rep"], row)
-            if points >= 4 and points > most:
-                best, most = event, points
+        if row["_target"] in of:
+            best, sure = of[row["_target"]], 0.98
+        else:
+            best, most = None, 0
+            for event in events:
+                if not row["_matches"] or row["source_document_id"] in event["sources"] or any(row[k] != event["rep"][k] for k in KEY):
+                    continue
+                points = _points(event["rep"], row)
+                if points >= 4 and points > most:
+                    best, most = event, points
+            sure = 1.0 if best is None else min(0.99, 0.8 + 0.02 * most)
         if best is None:
-            events.append({"first": row["id"], "rep": row, "sources": {row["source_document_id"]}})
-            confidence[row["id"]] = 1.0
-            leader.append((row["case_id"], row["id"], row["id"]))
-            continue
+            best = {"first": row["id"], "rep": row, "sources": set(), "confidence": 1.0, "ids": []}
+            events.append(best)
+        best["ids"].append(row["id"])
         best["sources"].add(row["source_document_id"])
         best["rep"] = min(best["rep"], row, key=lambda r: (-r["_score"], r["id"]))
-        confidence[best["first"]] = min(confidence[best["first"]], 0.99, 0.8 + 0.02 * most)
-        leader.append((row["case_id"], row["id"], best["first"]))
-    return pd.DataFrame([(*r, confidence[r[2]]) for r in leader], columns=["case_id", "id", "leader", "confidence"])
+        best["confidence"] = min(best["confidence"], sure)
+        of[row["id"]] = best
+    case = block["case_id"].iloc[0]
+    return pd.DataFrame([(case, i, e["first"], e["confidence"]) for e in events for i in e["ids"]], columns=["case_id", "id", "leader", "confidence"])
 
 
 def _points(a: dict, b: dict) -> int:
@@ -115,51 +126,50 @@ def _points(a: dict, b: dict) -> int:
 def canonical_events(txn: DataFrame) -> DataFrame:
     """(case_id, id, event_id, representative_id, event_seq, n_observations, confidence) for every observation.
 
-    Rows that declare duplicate_of join the event of that row if it exists and comes earlier, in one document too.
+    Rows that declare duplicate_of join the event of that row at their turn, if it exists and comes earlier, in one
+    document too; their source and what represents the event then count for the rows that follow.
     """
     declares = "duplicate_of" in txn.columns
     for name, kind in (("review_status", "string"), ("extraction_confidence", "double"), ("transaction_time", "string")):
         if name not in txn.columns:
             txn = txn.withColumn(name, F.lit(None).cast(kind))
     rows = _compared(txn.withColumn("_account", norm_part("account_number")).withColumn("_score", representative_score()))
-    rows = rows.select("case_id", "id", "seq", "source_document_id", "_account", "transaction_date", "direction", "amount_cents", "_score", *[f"_{f}" for f in COMPARED], is_reliable_account("account_number").alias("_reliable"), *(["duplicate_of"] if declares else []))
-    free = rows
+    rows = rows.withColumn("_matches", F.col("direction").isin("IN", "OUT") & is_reliable_account("account_number"))
+    key = ["case_id", *KEY]
+    block = F.when(F.col("_matches"), F.concat_ws("|", "_account", F.col("transaction_date").cast("string"), "direction", F.col("amount_cents").cast("string"))).otherwise(F.concat(F.lit("="), "id"))
+    one = F.struct("id", "seq", "source_document_id", *KEY, "_score", *[f"_{f}" for f in COMPARED])
+    sized = rows.select("case_id", "id", "seq", "source_document_id", *KEY, "_score", *[f"_{f}" for f in COMPARED], "_matches", block.alias("_block"), F.lit(None).cast("string").alias("_target"), *(["duplicate_of"] if declares else []))
     if declares:
         targets = txn.select("case_id", F.col("id").alias("duplicate_of"), F.col("seq").alias("_target_seq"))
-        declared = rows.where("duplicate_of is not null").join(targets, ["case_id", "duplicate_of"]).where("_target_seq < seq").withColumnRenamed("duplicate_of", "target")
-        free = rows.join(declared.select("case_id", "id"), ["case_id", "id"], "left_anti")
-    key = ["case_id", "_account", "transaction_date", "direction", "amount_cents"]
-    one = F.struct("id", "seq", "source_document_id", "_account", "transaction_date", "direction", "amount_cents", "_score", *[f"_{f}" for f in COMPARED])
-    size = F.when(F.col("direction").isin("IN", "OUT") & F.col("_reliable"), F.count("*").over(Window.partitionBy(*key))).otherwise(1)
-    sized = free.select("*", one.alias("o")).withColumn("_n", size)
+        sized = sized.drop("_target").join(targets, ["case_id", "duplicate_of"], "left").withColumn("_target", F.when(F.col("_target_seq") < F.col("seq"), F.col("duplicate_of"))).drop("duplicate_of", "_target_seq")
+        sized = _with_targets(written(sized, "declared-rows"))
+    own = Window.partitionBy("case_id", "_block")
+    sized = sized.withColumns({"_n": F.count("*").over(own), "_told": F.max(F.col("_target").isNotNull()).over(own), "o": one})
     single = sized.where("_n = 1").select("case_id", F.col("id").alias("leader"), F.lit(1.0).alias("confidence"), "o")
-    pairs = sized.where("_n = 2").groupBy(*key).agg(F.min_by("o", "seq").alias("a"), F.max_by("o", "seq").alias("b"))
+    pairs = sized.where("_n = 2 and not _told").groupBy(*key).agg(F.min_by("o", "seq").alias("a"), F.max_by("o", "seq").alias("b"))
     points = F.when(F.col("a.source_document_id") != F.col("b.source_document_id"), pair_points("a", "b"))
     pairs = pairs.withColumn("points", points).withColumn("same", F.coalesce(F.col("points") >= 4, F.lit(False)))
     sure = F.when(F.col("same"), F.least(F.lit(0.99), F.lit(0.8) + F.col("points") * F.lit(0.02))).otherwise(1.0)
     sides = F.array(F.struct(F.col("a").alias("o"), F.col("a.id").alias("leader")), F.struct(F.col("b").alias("o"), F.when(F.col("same"), F.col("a.id")).otherwise(F.col("b.id")).alias("leader")))
     two = pairs.select("case_id", sure.alias("confidence"), F.explode(sides).alias("x")).select("case_id", "x.leader", "confidence", "x.o")
-    many = sized.where("_n > 2").drop("o", "_n")
-    led_many = many.groupBy(*key).applyInPandas(_greedy, f"case_id {dict(txn.dtypes)['case_id']}, id string, leader string, confidence double")
-    led_many = led_many.join(many.select("case_id", "id", one.alias("o")), ["case_id", "id"]).select("case_id", "leader", "confidence", "o")
-    led = single.unionByName(two).unionByName(led_many)
-    if declares:
-        ends = _chain_ends(declared.select("case_id", "id", "target"))
-        groups = led.select("case_id", F.col("o.id").alias("target"), "leader", "confidence")
-        followers = declared.drop("target").join(ends, ["case_id", "id"]).join(groups, ["case_id", "target"])
-        led = led.unionByName(followers.select("case_id", "leader", F.least("confidence", F.lit(0.98)).alias("confidence"), one.alias("o")))
-    return _named(led)
-
-
-def _chain_ends(links: DataFrame) -> DataFrame:
-    """links (case_id, id, target) with the target that names no other row itself. Each round doubles the length followed."""
-    links = written(links, "declared")
+    many = sized.where("_n > 2 or (_n = 2 and _told)")
+    led_many = many.drop("o", "_n", "_told").groupBy("case_id", "_block").applyInPandas(_greedy, f"case_id {dict(txn.dtypes)['case_id']}, id string, leader string, confidence double")
+    led_many = led_many.join(many.select("case_id", "id", "o"), ["case_id", "id"]).select("case_id", "leader", "confidence", "o")
+    return _named(single.unionByName(two).unionByName(led_many))
+
+
+def _with_targets(rows: DataFrame) -> DataFrame:
+    """rows with the blocks of declared rows and of those they name made one: the least name of a block spreads until none changes."""
+    targets = rows.select("case_id", F.col("id").alias("_target"), F.col("_block").alias("_other"))
+    links = rows.where("_target is not null").select("case_id", "_target", "_block").join(targets, ["case_id", "_target"]).where("_block <> _other").select("case_id", "_block", "_other")
+    both = written(links.unionByName(links.select("case_id", F.col("_other").alias("_block"), F.col("_block").alias("_other"))).distinct(), "declared-blocks")
+    named = both.select("case_id", "_block", F.col("_block").alias("_least")).distinct()
     while True:
-        following = links.select("case_id", F.col("id").alias("target"), F.col("target").alias("_next"))
-        links = written(links.join(following, ["case_id", "target"], "left").select("case_id", "id", F.coalesce("_next", "target").alias("target"), F.col("_next").isNotNull().alias("_moved")), "declared")
-        moved, links = links.where("_moved").limit(1).count(), links.drop("_moved")
+        heard = both.join(named.select("case_id", F.col("_block").alias("_other"), F.col("_least").alias("_heard")), ["case_id", "_other"]).groupBy("case_id", "_block").agg(F.min("_heard").alias("_heard"))
+        new = written(named.join(heard, ["case_id", "_block"]).select("case_id", "_block", F.least("_least", "_heard").alias("_least"), (F.col("_heard") < F.col("_least")).alias("_moved")), "declared-blocks")
+        moved, named = new.where("_moved").limit(1).count(), new.drop("_moved")
         if not moved:
-            return links
+            return rows.join(named, ["case_id", "_block"], "left").withColumn("_block", F.coalesce("_least", "_block")).drop("_least")
 
 
 def _named(led: DataFrame) -> DataFrame:
