@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,20 @@ from pyspark.sql.types import StructType
 SPACE = r"[\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
+_kept: dict = {}
+
+
+def once_per_worker(key: object, make: Callable):
+    """What a worker process keeps from task to task, made once: one thing at a time, so that one operator's doesn't stay while another works."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Tasks that keep nothing themselves begin with it: workers serve one operator after another, and what those kept may be large."""
+    _kept.clear()
 
 
 def work_folder(spark: SparkSession) -> str:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended
+from .common import extended, forget
 
 WIDTHS = (2, 3, 4)
 
@@ -176,6 +176,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, text: str = "text", pred:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
+        forget()
         letter, tables, size = regex.compile(r"\p{L}"), net.tables(), net.params.window
         for batch in batches:
             for lo in range(0, max(batch.num_rows, 1), 256):

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 from math import isqrt
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import once_per_worker, written
 
 END = b""  # no word is empty, so the end of a text can be
 
@@ -344,26 +344,15 @@ class Encoder:
         return self.last.get(word[-2:], self.rest)
 
 
-_encoders: dict = {}
-
-
-def _once(key: object, make: Callable):
-    """What a worker process makes once for all tasks of one call, which its key, a random one, stands for."""
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = make()
-    return _encoders[key]
-
-
 def _encoded(docs: DataFrame, vocab: Vocabulary, text: str, turns: int) -> DataFrame:
     """(turn, ids): the outputs of every text's tokens and its end, as 32-bit numbers; each task deals its texts out to the turns."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    token = uuid.uuid4().hex
+    token = uuid.uuid4().hex  # of this call: workers keep what it makes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, dealt = None, 0
         for batch in batches:
-            encoder = encoder or _once(token, lambda: Encoder(shared.value))
+            encoder = encoder or once_per_worker(token, lambda: Encoder(shared.value))
             for lo in range(0, batch.num_rows, 256):
                 rows = [encoder.outputs([*tokens(t), END])[1].astype("<i4").tobytes() for t in batch.column(0).slice(lo, 256).to_pylist()]
                 turn = np.arange(dealt, dealt + len(rows), dtype=np.int32) % turns
@@ -448,11 +437,11 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
     shared = spark.sparkContext.broadcast((vocab, model))
     fields = "part_tokens long, part_known long, part_base double, part_score double, rare array<struct<w:binary,k:int,tf:int>>"
     types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    token = uuid.uuid4().hex
+    token = uuid.uuid4().hex  # of this call: workers keep what it makes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model = shared.value
-        encoder, scorer = _once(token, lambda: (Encoder(vocab), model.scorer()))
+        encoder, scorer = once_per_worker(token, lambda: (Encoder(vocab), model.scorer()))
         first_class = len(vocab.words)
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):

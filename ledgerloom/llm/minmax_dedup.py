@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, forget, written
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,6 +123,7 @@ def signatures(docs: DataFrame, params: DedupParams, text: str, key: str) -> Dat
     types = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         words = WordHashes()
         a, b = multipliers(params, params.permutations)
         for batch in batches:
@@ -152,6 +153,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, params: DedupParams, text: str, k
     types = pa.schema([("rep", pa.int64()), ("set_key", pa.binary()), ("shingles", pa.list_(pa.int64())), ("fine", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         words = WordHashes()
         a, b = multipliers(params, params.fine_permutations)
         for batch in batches:

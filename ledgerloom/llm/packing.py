@@ -8,7 +8,6 @@ possible rooms finds that window. Blocks hold tens of thousands of pieces, so wh
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, written
+from .common import extended, once_per_worker, written
 
 
 @dataclass(frozen=True)
@@ -81,18 +80,13 @@ class Coder:
         return ids
 
 
-@functools.lru_cache(maxsize=2)
-def _coder(path: str) -> Coder:
-    return Coder(path)
-
-
 def load_tokenizer(path: str | None) -> Coder:
     """The coder of a tokenizers file; None stands for byte_bpe_50k of public_tokenizers. A Python worker keeps it from task to task."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    return _coder(path)
+    return once_per_worker(("coder", path), lambda: Coder(path))
 
 
 def pieces(docs: DataFrame, params: PackingParams = PackingParams(), text: str = "text", key: str = "doc_id", ids: bool = False) -> DataFrame:
