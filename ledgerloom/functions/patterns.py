@@ -225,3 +225,9 @@ TYPE_HEADERS = ("交易类型", "业务类型", "交易名称", "交易摘要",
 MEMO_HEADERS = ("备注", "备注信息")
 #: beginning of a header of the other party's columns
 PARTY_HEADER = "^(?:对方|交易对手|收款方|付款方)"
+
+#: headers of an amount's two sides, of an amount that may carry a sign, of descriptions in and beside a table, of account and name in one column
+DEBIT_HEADER, CREDIT_HEADER = "^(?:借方发生额|借方金额|支出金额)$", "^(?:贷方发生额|贷方金额|收入金额)$"
+PLAIN_AMOUNT_HEADER = "^(?:金额|交易金额|发生额|发生金额|交易发生额)$"
+DESCRIPTION_HEADER, DETACHED_HEADER = "^(?:交易摘要|摘要|摘要代号|交易说明|交易描述|用途)$", "^(?:交易摘要|摘要|交易说明|用途)$"
+COMBINED_PARTY_HEADER = "^(?:对方|交易对手)(?:账号|帐号)(?:与|及|和|[/／、])(?:户名|名称|姓名)$"
