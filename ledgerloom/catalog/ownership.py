@@ -150,3 +150,23 @@ def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = described.withColumns({"accounts": F.filter(F.split("accounts", ","), lambda x: x != ""), "quoted_pages": F.when(F.col("unquoted"), F.array("page")).otherwise(F.array(F.col("page"), F.col("page") - 1))})
     second = lists.where("twice").withColumn("relation", F.lit("NEW"))
     return pages.statement_groups(lists.unionByName(second).withColumn("page", F.col("page").cast("long")))
+
+
+#: what a row says of its account, and what the document's list says: by the account's number a and the order's key k
+SAID = f"""SELECT {DOC}, id, CASE WHEN k % 41 = 0 THEN '123' WHEN a % 3 = 1 THEN substr(account_number, 1 + cast(k % 5 AS int)) ELSE account_number END AS account_number, CASE WHEN k % 7 = 0 THEN '未知' ELSE holder END AS account_name,
+CASE cast(k % 4 AS int) WHEN 0 THEN '' WHEN 1 THEN '工商银行' WHEN 2 THEN '商业银行' ELSE '建设银行' END AS bank_name, a, k, account_number AS whole, holder FROM sheets"""
+ACCOUNT_LIST = f"""SELECT DISTINCT {DOC}, 1 AS page, account_number, holder AS account_name, CASE WHEN a % 2 = 0 THEN '中国工商银行股份有限公司' ELSE '' END AS bank_name FROM sheets WHERE a % 10 <> 9
+UNION ALL SELECT DISTINCT {DOC}, 2, account_number, holder, '建设银行' FROM sheets WHERE a % 10 <> 9 AND a % 8 = 0 UNION ALL SELECT DISTINCT {DOC}, 3, '7' || substr(account_number, 2), holder, '' FROM sheets WHERE a % 10 <> 9 AND a % 6 = 1"""
+
+
+@query("j9_document_owners", f"""{SQL}, said AS ({SAID}), listed AS ({ACCOUNT_LIST}),
+last AS (SELECT * FROM listed QUALIFY row_number() OVER (PARTITION BY {DOC}, account_number ORDER BY page DESC) = 1),
+x AS (SELECT {DOC}, id, l.account_number AS f, page, l.bank_name AS lb, 'EXACT' AS how FROM said s JOIN last l USING ({DOC}, account_number) WHERE length(s.account_number) >= 8),
+y AS (SELECT s.case_id, s.source_document_id, id, l.account_number AS f, page, l.bank_name AS lb, 'SUFFIX' AS how FROM said s JOIN last l ON s.case_id = l.case_id AND s.source_document_id = l.source_document_id AND s.account_name = l.account_name AND suffix(l.account_number, s.account_number) AND length(l.account_number) - length(s.account_number) BETWEEN 1 AND 4
+  WHERE length(s.account_number) >= 12 AND s.account_name <> '未知' AND NOT EXISTS (SELECT 1 FROM x WHERE x.case_id = s.case_id AND x.source_document_id = s.source_document_id AND x.id = s.id)),
+g AS (SELECT {DOC}, id, count(DISTINCT f) AS n, max(f) AS f, arg_max(page, (page, f)) AS page, arg_max(lb, (page, f)) AS lb, min(how) AS how FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY ALL),
+z AS (SELECT s.*, n, g.page AS listed_page, lb, f, CASE WHEN length(s.account_number) < 8 THEN 'UNRELIABLE' WHEN n IS NULL THEN 'NONE' WHEN n > 1 THEN 'AMBIGUOUS' ELSE how END AS outcome FROM said s LEFT JOIN g USING ({DOC}, id)),
+w AS (SELECT *, CASE WHEN n = 1 AND bank_name IN ('', '商业银行') AND lb <> '' THEN 'FILLED' WHEN n = 1 AND bank_name NOT IN ('', '商业银行') AND lb <> '' AND (bank_name = '工商银行') <> (lb LIKE '%工商%') THEN 'CONFLICT' END AS bank_outcome FROM z)
+SELECT {DOC}, id, CASE WHEN n = 1 THEN f ELSE account_number END AS account_number, CASE bank_outcome WHEN 'FILLED' THEN lb WHEN 'CONFLICT' THEN '待核验银行' ELSE bank_name END AS bank_name, outcome, bank_outcome, CASE WHEN n = 1 THEN listed_page END AS inventory_page FROM w""")
+def _owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ownership.resolved_owners(*_tables(spark, sf_dir, SAID, ACCOUNT_LIST))

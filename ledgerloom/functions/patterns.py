@@ -231,3 +231,6 @@ DEBIT_HEADER, CREDIT_HEADER = "^(?:借方发生额|借方金额|支出金额)$",
 PLAIN_AMOUNT_HEADER = "^(?:金额|交易金额|发生额|发生金额|交易发生额)$"
 DESCRIPTION_HEADER, DETACHED_HEADER = "^(?:交易摘要|摘要|摘要代号|交易说明|交易描述|用途)$", "^(?:交易摘要|摘要|交易说明|用途)$"
 COMBINED_PARTY_HEADER = "^(?:对方|交易对手)(?:账号|帐号)(?:与|及|和|[/／、])(?:户名|名称|姓名)$"
+
+#: a holder or bank still to be confirmed, and what stands for a bank then
+UNCONFIRMED, UNKNOWN_BANK, BANK_TO_CONFIRM = "待核验|未知", "待核验|未知|^商业银行$|^银行$", "待核验银行"

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
-from ..functions.identity import norm_part, text
-from ..functions.money import account_no, bank_name
+from ..functions.identity import is_reliable_account, norm_part, text
+from ..functions.money import account_no, bank_name, header_bank
 
 DOCUMENT = ["case_id", "source_document_id"]
 SIGNATURE = ["transaction_date", "direction", "amount_cents", "balance_cents"]
@@ -184,3 +184,35 @@ def duplicate_views(rows: DataFrame, least: int = 3, share: float = 0.8) -> Data
     met = side("left", True).join(side("right", False), [*DOCUMENT, "account_kind", *SIGNATURE])
     pairs = met.groupBy(*DOCUMENT, "account_kind", "left_account", "right_account", "_left", "_right").agg(F.count("*").alias("anchors"), F.countDistinct("transaction_date").alias("dates"))
     return pairs.where((F.col("anchors") >= least) & (F.col("dates") >= 2) & (F.col("anchors") >= share * F.least("_left", "_right"))).drop("_left", "_right")
+
+
+def resolved_owners(rows: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(document, id, account_number, bank_name, outcome, bank_outcome, inventory_page): each row's account by its document's list of accounts.
+
+    An account of the list with the row's number, else one of the same holder that ends with it after one to four more
+    digits (twelve digits at least), replaces the number if it is the only one. Outcomes: EXACT, SUFFIX, AMBIGUOUS if
+    several fit, NONE, or UNRELIABLE for numbers that are none. A bank that the row doesn't know is taken from the list
+    (FILLED); one that differs becomes a placeholder for review (CONFLICT). Of several entries of one number that of the
+    last page counts. Suffixes are joined on the holder and the last twelve digits.
+    """
+    unnamed = lambda c: (text(c) == "") | text(c).rlike(P.UNCONFIRMED)
+    own = rows.select(*DOCUMENT, "id", "account_number", F.trim(text("account_name")).alias("_holder"), "bank_name", norm_part("account_number").alias("_n"), is_reliable_account("account_number").alias("_ok"))
+    listed = inventory.select(*DOCUMENT, norm_part("account_number").alias("_full"), F.struct("page", "account_number", F.trim(text("account_name")).alias("holder"), "bank_name").alias("e"))
+    latest = listed.groupBy(*DOCUMENT, "_full").agg(F.max("e").alias("e"))
+    exact = own.where("_ok").join(latest.withColumn("_n", F.col("_full")), [*DOCUMENT, "_n"]).select(*DOCUMENT, "id", "_full", "e", F.lit("EXACT").alias("how"))
+    tail = F.expr("right(_n, 12)")
+    short = own.where(F.col("_ok") & F.col("_n").rlike("^[0-9]{12,}$") & ~unnamed("_holder")).join(exact.select(*DOCUMENT, "id"), [*DOCUMENT, "id"], "left_anti").withColumn("_tail", tail)
+    longer = listed.groupBy(*DOCUMENT, "_full", F.col("e.holder").alias("_holder")).agg(F.max("e").alias("e"))
+    # the digits before the tail lie in front of it, so the last twelve digits of both numbers are the same
+    found = short.join(longer.withColumn("_tail", F.expr("right(_full, 12)")), [*DOCUMENT, "_holder", "_tail"]).where(F.endswith("_full", "_n") & (F.length("_full") - F.length("_n")).between(1, 4))
+    found = exact.unionByName(found.select(*DOCUMENT, "id", "_full", "e", F.lit("SUFFIX").alias("how")))
+    only = found.groupBy(*DOCUMENT, "id").agg(F.countDistinct("_full").alias("_k"), F.max("e").alias("e"), F.min("how").alias("how"))
+    both = own.join(only, [*DOCUMENT, "id"], "left").withColumn("_hit", F.coalesce(F.col("_k") == 1, F.lit(False)))
+    outcome = F.when(~F.col("_ok"), "UNRELIABLE").when(F.col("_k").isNull(), "NONE").when(F.col("_k") > 1, "AMBIGUOUS").otherwise(F.col("how"))
+    blank = lambda c: (text(c) == "") | text(c).rlike(P.UNKNOWN_BANK)
+    both = both.withColumn("_listed", F.col("e.bank_name"))
+    bank = F.when(F.col("_hit") & blank("bank_name") & ~blank("_listed"), "FILLED").when(F.col("_hit") & ~blank("bank_name") & ~blank("_listed") & (header_bank("bank_name") != header_bank("_listed")), "CONFLICT")
+    return both.withColumn("_bank", bank).select(
+        *DOCUMENT, "id", F.when(F.col("_hit"), F.col("e.account_number")).otherwise(F.col("account_number")).alias("account_number"),
+        F.when(F.col("_bank") == "FILLED", F.col("_listed")).when(F.col("_bank") == "CONFLICT", P.BANK_TO_CONFIRM).otherwise(F.col("bank_name")).alias("bank_name"),
+        outcome.alias("outcome"), F.col("_bank").alias("bank_outcome"), F.when(F.col("_hit"), F.col("e.page")).alias("inventory_page"))
