@@ -107,10 +107,15 @@ def _flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.page_direction_flip(ledger(spark, sf_dir))
 
 
-@query("w7_missing_direction", f"""{ORACLE}, d AS (SELECT *, balance_cents - lag(balance_cents) OVER (PARTITION BY {KEY} ORDER BY page, row_index, seq) AS ch, greatest(2.0, amount_cents * 0.002) AS slack FROM ledger)
-SELECT case_id, id, CASE WHEN abs(ch - amount_cents) <= slack THEN 'IN' WHEN abs(ch + amount_cents) <= slack THEN 'OUT' WHEN regexp_matches(summary, '工资|结息|收入|转入|存入') THEN 'IN' WHEN regexp_matches(summary, '消费|取款|支出|转出|手续费|保费') THEN 'OUT' ELSE 'UNKNOWN' END AS suggested FROM d WHERE direction = 'UNKNOWN'""")
+#: summaries of rows without a direction, by the order's key: words of payments, of receipts, of both, of neither
+WORDS = ("司法划扣", "ATM取现", "缴费", "汇款", "贷款归还", "退款", "年费减免", "还款", "利息收入", "收款转出", "对账", "存入")
+SAID = "SELECT * {0} (summary), CASE WHEN direction = 'UNKNOWN' AND row_index % 7 <> 0 THEN CASE cast(row_index % 12 AS int) " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(WORDS)) + " END ELSE summary END AS summary FROM ledger"
+
+
+@query("w7_missing_direction", f"""{ORACLE}, said AS ({SAID.format("EXCLUDE")}), d AS (SELECT *, balance_cents - lag(balance_cents) OVER (PARTITION BY {KEY} ORDER BY page, row_index, seq) AS ch, greatest(2.0, amount_cents * 0.002) AS slack FROM said)
+SELECT case_id, id, CASE WHEN abs(ch - amount_cents) <= slack THEN 'IN' WHEN abs(ch + amount_cents) <= slack THEN 'OUT' WHEN regexp_matches(summary, '司法划扣|冻结扣划|扣划|消费|支取|取现|手续费|转出|汇款|扣款|代扣|缴费|贷款归还|还贷') THEN 'OUT' WHEN regexp_matches(summary, '结息|利息收入|工资|退款|退汇|存入|入账|收款|转入|还款|年费减免|费用减免') THEN 'IN' ELSE 'UNKNOWN' END AS suggested FROM d WHERE direction = 'UNKNOWN'""")
 def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.missing_directions(ledger(spark, sf_dir))
+    return sequence.missing_directions(spark.sql(SAID.format("EXCEPT").replace("FROM ledger", "FROM {ledger}"), ledger=ledger(spark, sf_dir)))
 
 
 def _odd_years(spark: SparkSession, sf_dir: str) -> DataFrame:

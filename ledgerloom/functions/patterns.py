@@ -234,3 +234,7 @@ COMBINED_PARTY_HEADER = "^(?:对方|交易对手)(?:账号|帐号)(?:与|及|和
 
 #: a holder or bank still to be confirmed, and what stands for a bank then
 UNCONFIRMED, UNKNOWN_BANK, BANK_TO_CONFIRM = "待核验|未知", "待核验|未知|^商业银行$|^银行$", "待核验银行"
+
+#: words of a summary that tell a direction, those of payments first
+SUMMARY_OUT = "司法划扣|冻结扣划|扣划|消费|支取|取现|手续费|转出|汇款|扣款|代扣|缴费|贷款归还|还贷"
+SUMMARY_IN = "结息|利息收入|工资|退款|退汇|存入|入账|收款|转入|还款|年费减免|费用减免"

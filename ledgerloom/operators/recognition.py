@@ -27,12 +27,12 @@ def dedup_in_document(txn: DataFrame) -> DataFrame:
     Rows can only be one if document, date and amount agree, so these are blocks; account, direction and time of day may
     be missing on one side. Balances that both print must agree, and something else must speak for one row: a time, the
     wording, the other party, or on one page the whole printed line. Blocks of one row are done; the others are matched
-    in printed order, a block at a time.
+    in printed order, a block at a time. Rows without a date or an amount repeat nothing.
     """
     key = ["case_id", "source_document_id", "transaction_date", "amount_cents"]
     wanted = ["id", "seq", "page", "row_index", "account_number", "direction", "balance_cents", "summary", "counterparty_name", "transaction_time", "raw_text"]
     fields = [*key, *(c if c in txn.columns else F.lit(None).cast("string").alias(c) for c in wanted)]
-    sized = txn.select(*fields).withColumn("_n", F.count("*").over(Window.partitionBy(*key))).where("_n > 1").drop("_n")
+    sized = txn.where("transaction_date is not null and amount_cents is not null").select(*fields).withColumn("_n", F.count("*").over(Window.partitionBy(*key))).where("_n > 1").drop("_n")
     kind = dict(txn.dtypes)["case_id"]
 
     def match(block: pd.DataFrame) -> pd.DataFrame:

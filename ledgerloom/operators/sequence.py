@@ -151,7 +151,7 @@ def missing_directions(txn: DataFrame) -> DataFrame:
     change = F.col("balance_cents") - F.lag("balance_cents").over(order)
     slack = F.greatest(F.lit(2.0), F.col("amount_cents") * 0.002)
     by_balance = F.when(F.abs(change - F.col("amount_cents")) <= slack, "IN").when(F.abs(change + F.col("amount_cents")) <= slack, "OUT")
-    by_words = F.when(text("summary").rlike("工资|结息|收入|转入|存入"), "IN").when(text("summary").rlike("消费|取款|支出|转出|手续费|保费"), "OUT")
+    by_words = F.when(text("summary").rlike(P.SUMMARY_OUT), "OUT").when(text("summary").rlike(P.SUMMARY_IN), "IN")
     rows = txn.withColumn("suggested", F.coalesce(by_balance, by_words, F.lit("UNKNOWN")))
     return rows.where("direction = 'UNKNOWN'").select("case_id", "id", "suggested")
 

@@ -14,14 +14,14 @@ COLUMNS = ("accountNumber", "accountName", "bankName", "transactionTime", "trans
 
 #: field, words in a header, words that rule a header out; tried in this order
 HEADERS = (
-    ("date", "交易日期|记账日期|日期|交易时间|date", "对方"),
-    ("credit", "收入|存入|贷方|转入", "对方"),
-    ("debit", "支出|支取|借方|转出", "对方"),
+    ("date", "交易日期|交易日|记账日期|入账日期|发生日期|账务日期|日期|交易时间|date", "对方"),
+    ("credit", "收入|存入|贷方|转入|入账金额", "对方"),
+    ("debit", "支出|支取|借方|转出|付出金额|取出金额", "对方"),
     ("amount", "交易金额|发生额|金额|amount", "对方"),
     ("balance", "余额|balance", "对方"),
-    ("party_account", "对方账号|对手账号|对方账户", "(?!)"),
-    ("party_name", "对方户名|对方名称|对手名称|对方", "账号|银行"),
-    ("summary", "摘要|用途|附言|备注", "(?!)"),
+    ("party_account", "对方账号|对手账号|对方账户|收款人账号|付款人账号", "(?!)"),
+    ("party_name", "对方户名|对手户名|对方名称|对手方名称|对手名称|收款人名称|付款人名称|对方", "账号|账户|银行|行名|开户行"),
+    ("summary", "摘要|用途|附言|备注|交易说明", "(?!)"),
 )
 
 
