@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import QUERIES, SQL, Query
 
-for _part in ("cases", "sequences", "scores", "paging", "readings", "texts", "evidence", "ownership", "mapping", "views", "recovery", "columns", "pending"):
+for _part in ("cases", "sequences", "scores", "paging", "readings", "texts", "evidence", "ownership", "mapping", "views", "recovery", "columns", "pending", "answers"):
     import_module(f"{__name__}.{_part}")
 
 

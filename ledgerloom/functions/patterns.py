@@ -238,3 +238,6 @@ UNCONFIRMED, UNKNOWN_BANK, BANK_TO_CONFIRM = "待核验|未知", "待核验|未
 #: words of a summary that tell a direction, those of payments first
 SUMMARY_OUT = "司法划扣|冻结扣划|扣划|消费|支取|取现|手续费|转出|汇款|扣款|代扣|缴费|贷款归还|还贷"
 SUMMARY_IN = "结息|利息收入|工资|退款|退汇|存入|入账|收款|转入|还款|年费减免|费用减免"
+
+#: what stands for a holder and for an account still to be confirmed; the latter goes on with the page
+HOLDER_TO_CONFIRM, ACCOUNT_TO_CONFIRM = "待核验户名", "待核验账号-第"
