@@ -194,7 +194,8 @@ def store(docs: DataFrame, text: str = "text", media: str = "media", params: Med
     """docs with two columns: the text's bytes before padding (n_bytes) and the container (binary).
 
     Null and empty texts give one frame of spaces. Columns of docs with the new names are replaced. Equal texts give
-    equal containers, byte for byte.
+    equal containers, byte for byte. A very long text is one container of many frames, made in one task, as it is one
+    value. No rows give no rows.
     """
     kept = docs.drop("n_bytes", media)
 

@@ -142,7 +142,9 @@ def decide(docs: DataFrame, params: MixParams = MixParams(), text: str = "text",
     """(doc_id, source, size, n, source_size, target, copies): how often the mix takes each document.
 
     Rows with the same id, source and size are one unit of n rows and share one decision. Null is a source of its
-    own; null texts have size 0. The result depends on the rows alone, not on their order or partitions.
+    own; null texts have size 0. The result depends on the rows alone, not on their order or partitions: ties are
+    settled by hashes of the units. A very long text counts with its words like any other. No rows give no rows; further
+    columns of docs, whatever their names, aren't read.
     """
     units = written(units_of(docs, text, source, key), "mix-units")
     goal = written(targets(units, params).withColumn("source_no", F.xxhash64(F.coalesce("source", F.lit("\0null")))), "mix-targets")

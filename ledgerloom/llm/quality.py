@@ -116,7 +116,8 @@ def score(docs: DataFrame, model: CompressionModel | None, text: str = "text", o
     """docs with the probability that the quality label is 1, and whether it reaches the threshold.
 
     Null and empty texts get the curve's value at no bytes. Without a model every score is 0.5. Equal texts get equal
-    scores. Columns of docs with the new names are replaced. Very long texts are compressed piece by piece.
+    scores. Columns of docs with the new names are replaced. Very long texts are compressed piece by piece. No rows give
+    no rows.
     """
     kept = docs.drop(out, predicted)
     if model is None:

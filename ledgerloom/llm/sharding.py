@@ -97,7 +97,9 @@ def shard(docs: DataFrame, params: ShardParams = ShardParams(), text: str = "tex
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of docs, under the law `bytes`.
 
     size is the text's UTF-8 bytes plus one. Equal texts are neighbours, null texts among themselves too. Repeated
-    rows and null ids are rows like others. A group larger than a shard's quota fills shards one after another.
+    rows and null ids are rows like others. A group larger than a shard's quota fills shards one after another. Ties are
+    settled by a hash and the row. A very long text counts with its bytes, and may fill a shard alone. No rows give no
+    rows; further columns of docs, whatever their names, aren't read.
     """
     p = params
     raw = F.col(text).cast("binary")

@@ -189,7 +189,9 @@ def read_archives(manifest: DataFrame, folder: str, payload: bool = True) -> Dat
 def round_trip(pages: DataFrame, params: WarcParams = WarcParams(), payload: bool = False) -> DataFrame:
     """Archive all pages in the shared work folder and read them back.
 
-    Null html is an empty payload. Empty tables give empty results. Extra columns of pages aren't archived.
+    Null html is an empty payload. Empty tables give empty results. Extra columns of pages aren't archived. Of equal
+    payloads the smallest page_id responds; repeated rows of one page are records each. A very long page is one record,
+    compressed and read piece by piece.
     """
     folder = new_path(pages.sparkSession, "warc")
     manifest = written(write_archives(roles(pages, params), folder, params), "warc-manifest")
