@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
+#: Written tables repeat much and shrink to a hundredth of their rows' size. Spark takes the bytes of their files for that
+#: size and broadcasts tables of millions of rows; with this factor only tiny ones are broadcast unseen, others by what
+#: their shuffle turns out to hold.
+EXPANSION = 100.0
+
 
 def stage_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set and all runs in one process."""
@@ -22,6 +27,9 @@ def stage_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written and read again: later plans start from it, and nothing of it is computed twice or lost with an executor."""
+    conf = df.sparkSession.conf
+    if float(conf.get("spark.sql.sources.fileCompressionFactor")) < EXPANSION:
+        conf.set("spark.sql.sources.fileCompressionFactor", str(EXPANSION))
     path = f"{stage_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
