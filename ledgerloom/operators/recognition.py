@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -97,15 +98,18 @@ ALIGNED = ("account", "date", "direction", "amount", "balance", "party_account")
 WEIGHTS = (3, 2, 1, 3, 3, 2)
 MISMATCH, GAP = -1, -4
 LEAST_AGREEING, LEAST_SCORE = 3, 4
+#: up to so many pairs are all looked at
+SMALL = 2_500
 
 
-def _score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Weighted agreement of every row of a with every row of b; forbidden below three agreements and four points."""
-    points, agree = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+def _points(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weighted agreement of coded rows, the last axis being their fields; forbidden below three agreements and four points."""
+    shape = np.broadcast_shapes(x.shape, y.shape)[:-1]
+    points, agree = np.zeros(shape), np.zeros(shape, dtype=np.int8)
     for k, w in enumerate(WEIGHTS):
-        x, y = a[:, k][:, None], b[:, k][None, :]
-        both = (x != "") & (y != "")
-        same = both & (x == y)
+        p, q = x[..., k], y[..., k]
+        both = (p >= 0) & (q >= 0)
+        same = both & (p == q)
         points += np.where(same, w, np.where(both, MISMATCH, 0))
         agree += same
     return np.where((agree >= LEAST_AGREEING) & (points >= LEAST_SCORE), points, -np.inf)
@@ -128,9 +132,93 @@ def _best_totals(score: np.ndarray) -> np.ndarray:
     return t
 
 
+def _coded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The fields of both sides as numbers that are equal where the texts are; -1 for an empty text."""
+    both = np.concatenate([a, b])
+    codes = np.empty(both.shape, dtype=np.int64)
+    for k in range(both.shape[1]):
+        found, names = pd.factorize(both[:, k])
+        codes[:, k] = np.where(np.append(names == "", False)[found], -1, found)
+    return codes[: len(a)], codes[len(a) :]
+
+
+def _meeting(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Places of all pairs that may be one row by `_points`; None if more than most pairs share three fields."""
+    found, total = [], 0
+    for triple in combinations(range(x.shape[1]), LEAST_AGREEING):
+        i, j = (np.flatnonzero((t[:, triple] >= 0).all(1)) for t in (x, y))
+        if not len(i) or not len(j):
+            continue
+        _, key = np.unique(np.concatenate([x[i][:, triple], y[j][:, triple]]), axis=0, return_inverse=True)
+        key = key.reshape(-1)
+        left, right = key[: len(i)], key[len(i) :]
+        order = np.argsort(right, kind="stable")
+        start, stop = (np.searchsorted(right[order], left, side) for side in ("left", "right"))
+        n = stop - start
+        total += int(n.sum())
+        if total > most:
+            return None
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+        found.append(np.repeat(i, n) * len(y) + j[order[at]])
+    return np.divmod(np.unique(np.concatenate(found)), len(y)) if found else (np.empty(0, np.int64),) * 2
+
+
+def _best_before(i: np.ndarray, j: np.ndarray, worth: np.ndarray, n_right: int) -> np.ndarray:
+    """Of each pair, in order of i, the worth of the best chain of pairs that ends with it: one of smaller places before each."""
+    tree, out, waiting = [0] * (n_right + 1), [0] * len(i), []
+    rows, places, gains = i.tolist(), j.tolist(), worth.tolist()
+    for k, row in enumerate(rows):
+        if waiting and rows[waiting[0]] != row:
+            for p in waiting:
+                at, total = places[p] + 1, out[p]
+                while at <= n_right:
+                    if tree[at] < total:
+                        tree[at] = total
+                    at += at & -at
+            waiting = []
+        at, best = places[k], 0
+        while at > 0:
+            if tree[at] > best:
+                best = tree[at]
+            at -= at & -at
+        out[k] = best + gains[k]
+        waiting.append(k)
+    return np.array(out)
+
+
+def _sparse(i: np.ndarray, j: np.ndarray, score: np.ndarray, n_left: int, n_right: int) -> list[tuple[int, int]]:
+    """`align` where few pairs are possible: a matched pair saves two gaps, so alignments are chains of pairs of the largest worth.
+
+    The pairs of a best chain share out its worth without gaps or overlaps, so a pair is in every best chain just if no
+    other pair of a best chain overlaps its share.
+    """
+    if not len(i):
+        return []
+    worth = score.astype(np.int64) - 2 * GAP
+    before = _best_before(i, j, worth, n_right)
+    after = _best_before(n_left - 1 - i[::-1], n_right - 1 - j[::-1], worth[::-1], n_right)[::-1]
+    on = np.flatnonzero(before + after - worth == before.max())
+    on = on[np.argsort((before - worth)[on], kind="stable")]
+    start, stop = (before - worth)[on], before[on]
+    reached = np.maximum.accumulate(stop)
+    alone = np.append(True, reached[:-1] <= start[1:]) & np.append(stop[:-1] <= start[1:], True)
+    return sorted(zip(i[on[alone]].tolist(), j[on[alone]].tolist(), strict=True))
+
+
 def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of which neither row has another choice in any best ordered alignment: tables from both ends meet on them."""
-    s = _score(a, b)
+    """Pairs of which neither row has another choice in any best ordered alignment.
+
+    Where few pairs share three fields only these are looked at; else tables from both ends meet on every pair.
+    """
+    x, y = _coded(a, b)
+    if len(a) * len(b) > SMALL and (met := _meeting(x, y, len(a) * len(b) // 16)) is not None:
+        s = _points(x[met[0]], y[met[1]])
+        fit = np.isfinite(s)
+        return _sparse(met[0][fit], met[1][fit], s[fit], len(a), len(b))
+    return _dense(_points(x[:, None, :], y[None, :, :]))
+
+
+def _dense(s: np.ndarray) -> list[tuple[int, int]]:
     f, r = _best_totals(s), _best_totals(s[::-1, ::-1])[::-1, ::-1]
     on = f[:-1, :-1] + s + r[1:, 1:] == f[-1, -1]
     left_alone = (f[:-1, :] + GAP + r[1:, :] == f[-1, -1]).any(1)
@@ -142,7 +230,7 @@ def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 def align_readings(left: DataFrame, right: DataFrame) -> DataFrame:
     """(case_id, document_id, page, left_row, right_row): rows of two readings of a page that surely are the same.
 
-    The readings are grouped by page, which bounds what a task aligns at once.
+    The readings are grouped by page, which bounds what a task aligns at once; pages may hold thousands of rows.
     """
     keys = ["case_id", "document_id", "page"]
     kind = dict(left.dtypes)["case_id"]
