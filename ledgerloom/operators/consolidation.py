@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions import patterns
 from ..functions.identity import text
+from ..plans.groups import each_group
 from ..plans.storage import written
 from .recognition import ALIGNED, align
 
@@ -104,16 +106,16 @@ def _aligned(rows: DataFrame, matched: DataFrame, turns: DataFrame, basis: str,
         cut = F.sum(F.coalesce("_m", F.lit(0))).over(Window.partitionBy(*PAIR).orderBy(order))
         return marked.select(*PAIR, F.lit(name == "left").alias("left"), F.col(f"{name}_obs").alias("obs"), order.alias("row"), cut.alias("segment"), "_m", *AS_ALIGNED.values()).where("_m is null").drop("_m")
 
-    def one(both: pd.DataFrame) -> pd.DataFrame:
-        a, b = (both[both["left"] == is_left].sort_values("row") for is_left in (True, False))
-        pairs = align(*(t[list(ALIGNED)].to_numpy(dtype=str).astype(object) for t in (a, b)))
-        head = tuple(a.iloc[0][k] for k in PAIR)
-        return pd.DataFrame([(*head, int(a.iloc[i]["obs"]), int(b.iloc[j]["obs"])) for i, j in pairs], columns=[*PAIR, "left_obs", "right_obs"])
+    def one(both: list[dict]) -> list[tuple]:
+        sides = [[r for r in both if r["left"] == is_left] for is_left in (True, False)]
+        pairs = align(*(np.array([[r[k] for k in ALIGNED] for r in side], dtype=object) for side in sides))
+        head = tuple(both[0][k] for k in PAIR)
+        return [(*head, sides[0][i]["obs"], sides[1][j]["obs"]) for i, j in pairs]
 
     kind = dict(rows.dtypes)[DOC]
     own = Window.partitionBy(*PAIR, "segment")
     met = side("left").unionByName(side("right")).withColumns({"_a": F.count_if("left").over(own), "_b": F.count_if(~F.col("left")).over(own)}).where("_a > 0 and _b > 0").drop("_a", "_b")
-    found = met.groupBy(*PAIR, "segment").applyInPandas(one, f"{DOC} {kind}, left_stream string, right_stream string, left_obs long, right_obs long")
+    found = each_group(met, [*PAIR, "segment"], ["row"], one, f"{DOC} {kind}, left_stream string, right_stream string, left_obs long, right_obs long")
     return found.withColumn("basis", F.lit(basis))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.identity import text
+from ..plans.groups import each_group
 from .sequence import signed
 
 
@@ -36,20 +37,20 @@ def dedup_in_document(txn: DataFrame) -> DataFrame:
     sized = txn.where("transaction_date is not null and amount_cents is not null").select(*fields).withColumn("_n", F.count("*").over(Window.partitionBy(*key))).where("_n > 1").drop("_n")
     kind = dict(txn.dtypes)["case_id"]
 
-    def match(block: pd.DataFrame) -> pd.DataFrame:
+    def match(block: list[dict]) -> list[tuple]:
         kept: list[dict] = []
         used: set[tuple] = set()
         out = []
-        for row in block.sort_values(["page", "row_index", "seq"]).to_dict("records"):
+        for row in block:
             hit = next((k for k in kept if (k["id"], row["page"]) not in used and _repeats(k, row)), None)
             if hit is None:
                 kept.append(row)
             else:
                 used.add((hit["id"], row["page"]))
                 out.append((row["case_id"], row["id"], hit["id"]))
-        return pd.DataFrame(out, columns=["case_id", "id", "duplicate_of_id"])
+        return out
 
-    return sized.groupBy(*key).applyInPandas(match, f"case_id {kind}, id string, duplicate_of_id string")
+    return each_group(sized, key, ["page", "row_index", "seq"], match, f"case_id {kind}, id string, duplicate_of_id string")
 
 
 def _words(row: dict, field: str) -> str:
