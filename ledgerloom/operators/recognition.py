@@ -206,6 +206,12 @@ def _sparse(i: np.ndarray, j: np.ndarray, score: np.ndarray, n_left: int, n_righ
     return sorted(zip(i[on[alone]].tolist(), j[on[alone]].tolist(), strict=True))
 
 
+def _score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Points of every row of a with every row of b."""
+    x, y = _coded(a, b)
+    return _points(x[:, None, :], y[None, :, :])
+
+
 def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of which neither row has another choice in any best ordered alignment.
 
@@ -216,7 +222,7 @@ def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         s = _points(x[met[0]], y[met[1]])
         fit = np.isfinite(s)
         return _sparse(met[0][fit], met[1][fit], s[fit], len(a), len(b))
-    return _dense(_points(x[:, None, :], y[None, :, :]))
+    return _dense(_score(a, b))
 
 
 def _dense(s: np.ndarray) -> list[tuple[int, int]]:
