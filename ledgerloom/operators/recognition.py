@@ -145,14 +145,12 @@ def _coded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _meeting(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Places of all pairs that may be one row by `_points`; None if more than most pairs share three fields."""
-    found, total = [], 0
+    found, total, texts = [], 0, len(x) + len(y)
     for triple in combinations(range(x.shape[1]), LEAST_AGREEING):
         i, j = (np.flatnonzero((t[:, triple] >= 0).all(1)) for t in (x, y))
         if not len(i) or not len(j):
             continue
-        _, key = np.unique(np.concatenate([x[i][:, triple], y[j][:, triple]]), axis=0, return_inverse=True)
-        key = key.reshape(-1)
-        left, right = key[: len(i)], key[len(i) :]
+        left, right = ((t[:, triple[0]] * texts + t[:, triple[1]]) * texts + t[:, triple[2]] for t in (x[i], y[j]))
         order = np.argsort(right, kind="stable")
         start, stop = (np.searchsorted(right[order], left, side) for side in ("left", "right"))
         n = stop - start
@@ -218,10 +216,11 @@ def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     Where few pairs share three fields only these are looked at; else tables from both ends meet on every pair.
     """
     x, y = _coded(a, b)
-    if len(a) * len(b) > SMALL and (met := _meeting(x, y, len(a) * len(b) // 16)) is not None:
+    if len(a) * len(b) > SMALL and (met := _meeting(x, y, len(a) * len(b))) is not None:
         s = _points(x[met[0]], y[met[1]])
         fit = np.isfinite(s)
-        return _sparse(met[0][fit], met[1][fit], s[fit], len(a), len(b))
+        if fit.sum() <= len(a) * len(b) // 16:
+            return _sparse(met[0][fit], met[1][fit], s[fit], len(a), len(b))
     return _dense(_score(a, b))
 
 
