@@ -30,8 +30,10 @@ NUMBERED = "SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page,
 
 
 def _tables(spark: SparkSession, sf_dir: str, *texts: str) -> list[DataFrame]:
-    rows = written(demo_ledger.ledger(spark, sf_dir), "ledger")
-    return [written(spark.sql(f"WITH {SHEETS.replace('FROM ledger', 'FROM {ledger}')} {t}", ledger=rows), "sheets") for t in texts]
+    of = lambda t, **given: written(spark.sql(t, **given), "sheets")
+    sheets = of(f"WITH {SHEETS.replace('FROM ledger', 'FROM {ledger}')} SELECT * FROM sheets", ledger=demo_ledger.ledger(spark, sf_dir))
+    pages = of("SELECT DISTINCT document_id, page, p FROM {sheets}", sheets=sheets)
+    return [of(t.replace("FROM sheets", "FROM {sheets}").replace("FROM pages", "FROM {pages}"), sheets=sheets, pages=pages) for t in texts]
 
 
 REFERENCES = "SELECT b.document_id, b.page, 1 AS table_no, concat('row', b.row_no) AS slot, 'row' AS kind, row_id AS ref FROM {0} b WHERE col_no = 1 UNION ALL SELECT o.document_id, o.page, 1, 'owner', 'cell', b.cell_id FROM pages o JOIN {0} b ON b.document_id = o.document_id AND b.page = greatest(o.page - 1, 1) AND b.row_no IS NULL AND b.x = 2"

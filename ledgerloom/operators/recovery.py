@@ -29,8 +29,12 @@ def _occurrences(cells: DataFrame) -> DataFrame:
 
 def page_prints(cells: DataFrame) -> DataFrame:
     """(document_id, page, print): a hash of places and texts of the page's cells in the order of their ids, whatever the ids are."""
+    return _prints(_occurrences(cells))
+
+
+def _prints(numbered: DataFrame) -> DataFrame:
     place = F.struct("cell_id", F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in ("table_no", "row_no", "col_no")], "text", "nth")).alias("x"))
-    gathered = _occurrences(cells).groupBy(*PAGE).agg(F.array_sort(F.collect_list(place)).alias("all"))
+    gathered = numbered.groupBy(*PAGE).agg(F.array_sort(F.collect_list(place)).alias("all"))
     return gathered.select(*PAGE, F.sha2(F.array_join(F.transform("all", lambda c: c["x"]), "\n"), 256).alias("print"))
 
 
@@ -51,7 +55,7 @@ def rebased_mapping(before: DataFrame, after: DataFrame, tables: DataFrame, refe
     table_no, taken), taken being KEPT, NEW or LOST; second: references of kept tables with new_ref.
     """
     a, b = (written(_occurrences(c), "occurrences") for c in (before, after))
-    same = written(unchanged_pages(before, after), "unchanged-pages")
+    same = written(_prints(a).join(_prints(b), [*PAGE, "print"]).select(*PAGE), "unchanged-pages")
     row_of = lambda c, name: c.where("row_id is not null").select(DOC, "page", "table_no", "row_no", F.col("row_id").alias(name)).distinct()
     rows = row_of(a, "ref").join(row_of(b, "new_ref"), [*TABLE, "row_no"]).select(DOC, F.lit("row").alias("kind"), "ref", "new_ref")
     marks = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(f"_{c}") for c in ("table_no", "row_no", "col_no")]
@@ -70,17 +74,27 @@ def backed_rows(cells: DataFrame, readings: DataFrame) -> DataFrame:
     """(document_id, page, reading_row, table_no, row_no): table rows that one row of another reading backs, and no other.
 
     The reading's date, amount and balance must stand in three cells of the row: equal amount and balance need two of
-    them, one for each. readings: (document_id, page, reading_row, date, amount, balance) as text. Pairs are made per
-    equal amount and balance, not per page.
+    them, one for each. readings: (document_id, page, reading_row, date, amount, balance) as text. Pairs of cells are made
+    within a row; rows and readings meet by equal date, amount and balance, not per page.
     """
-    own = readings.select(*PAGE, "reading_row", parse_date("date").alias("_date"), money("amount", True)["cents"].alias("_amount"), money("balance")["cents"].alias("_balance")).dropna(subset=["_date", "_amount", "_balance"])
-    read = cells.where("row_no is not null").select(*TABLE, "row_no", "cell_id", parse_date("text").alias("_date"), money("text")["cents"].alias("_cents"))
+    return _backed(_table_rows(cells), _own(readings))
+
+
+def _own(readings: DataFrame) -> DataFrame:
+    return readings.select(*PAGE, "reading_row", parse_date("date").alias("_date"), money("amount", True)["cents"].alias("_amount"), money("balance")["cents"].alias("_balance"))
+
+
+def _table_rows(cells: DataFrame) -> DataFrame:
+    """(document_id, page, table_no, row_no, cells, dates, sums): table rows with their cells in order of columns, each text read once."""
+    read = cells.where("row_no is not null").select(*TABLE, "row_no", "col_no", "cell_id", text("text").alias("t"), parse_date("text").alias("_date"), money("text")["cents"].alias("_cents"))
+    return read.groupBy(*TABLE, "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", "t"))).alias("cells"), F.collect_set("_date").alias("dates"), F.collect_list(F.when(F.col("_cents").isNotNull(), F.struct("cell_id", F.col("_cents").alias("cents")))).alias("sums"))
+
+
+def _backed(rows: DataFrame, own: DataFrame) -> DataFrame:
     row = [*TABLE, "row_no"]
-    dated = read.where("_date is not null").select(*row, "_date").distinct()
-    sums = read.where("_cents is not null")
-    left, right = sums.select(*row, F.abs("_cents").alias("_amount"), F.col("cell_id").alias("_a")), sums.select(*row, F.col("_cents").alias("_balance"), F.col("cell_id").alias("_b"))
-    with_amount = own.join(left, [*PAGE, "_amount"]).join(right, [*row, "_balance"]).where("_a <> _b")
-    pairs = with_amount.join(dated, [*row, "_date"]).select(*row, "reading_row").distinct()
+    each = rows.where("table_no is not null and size(dates) > 0 and size(sums) > 1").select(*row, "dates", F.explode("sums").alias("_a"), "sums").select(*row, "dates", "_a", F.explode("sums").alias("_b")).where("_a.cell_id <> _b.cell_id")
+    shown = each.select(*row, F.abs("_a.cents").alias("_amount"), F.col("_b.cents").alias("_balance"), F.explode("dates").alias("_date"))
+    pairs = own.dropna(subset=["_date", "_amount", "_balance"]).join(shown, [*PAGE, "_amount", "_balance", "_date"]).select(*row, "reading_row").distinct()
     n = lambda *keys: F.count("*").over(Window.partitionBy(*keys))
     return pairs.withColumns({"_r": n(*PAGE, "reading_row"), "_t": n(*row)}).where("_r = 1 and _t = 1").select(*PAGE, "reading_row", "table_no", "row_no")
 
@@ -96,21 +110,23 @@ def reread_pages(before: DataFrame, after: DataFrame, readings: DataFrame, compl
     n_lost), decision being REPLACED, RETAINED or REPLACED_IN_PART; second: (document_id, page, table_no, row_no).
     """
     row = ["table_no", "row_no"]
-    old = written(backed_rows(before, readings), "backed-before")
-    new = written(backed_rows(after, readings).withColumnsRenamed({"table_no": "_t", "row_no": "_r"}), "backed-after")
+    own = written(_own(readings), "readings")
+    before_rows, after_rows = written(_table_rows(before), "rows-before"), written(_table_rows(after), "rows-after")
+    old = written(_backed(before_rows, own), "backed-before")
+    new = written(_backed(after_rows, own).withColumnsRenamed({"table_no": "_t", "row_no": "_r"}), "backed-after")
     met = written(old.join(new, [*PAGE, "reading_row"], "left").withColumns({"_lost": F.col("_t").isNull(), "_moved": (F.col("_t") != F.col("table_no")) | (F.col("_r") != F.col("row_no"))}), "backed-both")
 
-    def grid(cells: DataFrame) -> DataFrame:
-        lines = cells.where("row_no is not null").groupBy(*TABLE, "row_no").agg(F.count("*").alias("w"), F.array_sort(F.collect_list(F.struct("col_no", text("text").alias("t")))).alias("c"), F.bool_or(parse_date("text").isNotNull()).alias("d"))
-        per = lines.groupBy(*TABLE).agg(F.count("*").alias("n"), F.min("w").alias("w"), F.max("w").alias("v"), F.min_by(F.to_json("c"), "row_no").alias("h"), F.min_by("d", "row_no").alias("d"))
+    def grid(rows: DataFrame) -> DataFrame:
+        lines = rows.select(*TABLE, "row_no", "cells", F.size("cells").alias("w"), (F.size("dates") > 0).alias("d"))
+        per = lines.groupBy(*TABLE).agg(F.count("*").alias("n"), F.min("w").alias("w"), F.max("w").alias("v"), F.to_json(F.min_by("cells", "row_no")).alias("h"), F.min_by("d", "row_no").alias("d"))
         return per.groupBy(*PAGE).agg(F.to_json(F.array_sort(F.collect_list(F.struct("table_no", "n", "w", "h")))).alias("g"), F.bool_and((F.col("n") >= 5) & (F.col("w") == F.col("v")) & ~F.col("d")).alias("_even"))
 
-    alike = grid(before).join(grid(after), [*PAGE, "g", "_even"]).where("_even").select(*PAGE, F.lit(True).alias("_alike"))
-    heads = before.where("row_no is not null").groupBy(*TABLE).agg(F.min("row_no").alias("_head"))
+    alike = grid(before_rows).join(grid(after_rows), [*PAGE, "g", "_even"]).where("_even").select(*PAGE, F.lit(True).alias("_alike"))
+    heads = before_rows.groupBy(*TABLE).agg(F.min("row_no").alias("_head"))
     steady = met.where("not _lost and not _moved").groupBy(*TABLE).agg(F.count("*").alias("_steady"))
     lost = met.where("_lost").select(*PAGE, "reading_row", *row)
-    own = readings.select(*PAGE, "reading_row", parse_date("date").alias("_date"), money("balance")["cents"].alias("_balance"))
-    fresh = after.where("row_no is not null").join(lost, [*TABLE, "row_no"]).join(own, [*PAGE, "reading_row"]).groupBy(*PAGE, "reading_row", *row).agg(F.bool_or(F.coalesce(parse_date("text") == F.col("_date"), F.lit(False))).alias("_dated"), F.bool_or(F.coalesce(money("text")["cents"] == F.col("_balance"), F.lit(False))).alias("_summed"))
+    has = lambda name: F.coalesce(F.expr(name), F.lit(False))
+    fresh = after_rows.join(lost, [*TABLE, "row_no"]).join(own, [*PAGE, "reading_row"]).groupBy(*PAGE, "reading_row", *row).agg(F.bool_or(has("array_contains(dates, _date)")).alias("_dated"), F.bool_or(has("exists(sums, x -> x.cents = _balance)")).alias("_summed"))
     taken = new.select(*PAGE, F.col("_t").alias("table_no"), F.col("_r").alias("row_no"), F.lit(True).alias("_taken"))
     judged = lost.join(fresh, [*PAGE, "reading_row", *row], "left").join(heads, TABLE, "left").join(steady, TABLE, "left").join(taken, [*TABLE, "row_no"], "left")
     safe = F.coalesce(F.col("_dated") & F.col("_summed"), F.lit(False)) & (F.col("row_no") > F.col("_head")) & (F.coalesce("_steady", F.lit(0)) >= 3) & F.col("_taken").isNull()
