@@ -57,15 +57,17 @@ IGNORED = """SELECT document_id, cast(1 AS bigint) AS pos, cast(1 AS bigint) AS
 UNION ALL SELECT document_id, 5, 888888, 'header' FROM docs WHERE right(document_id, 1) = '7' UNION ALL SELECT document_id, 10 + row_id * 2, row_id, 'other' FROM body WHERE m IN (18, 19, 20) UNION ALL SELECT document_id, 11 + row_id * 2, row_id, 'total' FROM body WHERE m = 19"""
 
 
-def _sql(spark: SparkSession, rows: DataFrame, select: str) -> DataFrame:
-    return spark.sql(f"WITH {BODY.replace('FROM ledger', 'FROM {ledger}')} {select}", ledger=rows)
+def _sql(select: str, body: DataFrame, docs: DataFrame) -> DataFrame:
+    return body.sparkSession.sql(select.replace("FROM body", "FROM {body}").replace("FROM docs", "FROM {docs}"), body=body, docs=docs)
 
 
 def _printed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    rows = written(demo_ledger.ledger(spark, sf_dir), "ledger")
-    found = {k: _sql(spark, rows, v) for k, v in (("cells", CELLS), ("outs", OUTS), ("uses", USES), ("picks", PICKS), ("ignored", IGNORED), ("body", "SELECT * FROM body"))}
+    # written, since nearly every part of the texts reads them: Spark would number the rows anew for each
+    body = written(spark.sql(f"WITH {BODY.replace('FROM ledger', 'FROM {ledger}')} SELECT * FROM body", ledger=demo_ledger.ledger(spark, sf_dir)), "body")
+    docs = written(body.select("document_id").distinct(), "docs")
+    found = {k: _sql(v, body, docs) for k, v in (("cells", CELLS), ("outs", OUTS), ("uses", USES), ("picks", PICKS), ("ignored", IGNORED))}
     found["outs"] = found["outs"].drop("m").join(found["uses"].groupBy("document_id", "out_no").agg(F.array_sort(F.collect_list("row_id")).alias("source_rows")), ["document_id", "out_no"])
-    return found | {"cells": written(found["cells"], "printed-cells")}
+    return found | {"cells": written(found["cells"], "printed-cells"), "body": body}
 
 
 def _assembly(spark: SparkSession, sf_dir: str) -> mapping.Assembly:

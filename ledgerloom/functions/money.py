@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 from . import patterns
 from .identity import text
 
+#: a mark for nothing with white space of any kind around it
+EMPTY = r"(?iU)^\s*" + patterns.EMPTY_CELL.removeprefix("^").removesuffix("$") + r"\s*$"
+#: a number as most are printed, and all that can be one once white space, commas and currency are gone
+NUMBER = r"^[+-]?[0-9]{1,17}(\.[0-9]{1,2})?$"
+NUMERIC = r"(?U)^[\s0-9+\-−－.,，￥¥]+$"
+
+
 def is_empty(c: str | Column) -> Column:
     """Whether a cell is blank or holds one of the marks for nothing."""
-    return F.trim(F.regexp_replace(text(c), r"(?U)\s+", " ")).rlike(f"(?i){patterns.EMPTY_CELL}")
+    return text(c).rlike(EMPTY)
 
 
 def _plain(c: str | Column) -> Column:
@@ -22,13 +29,13 @@ def _plain(c: str | Column) -> Column:
 
 def money(c: str | Column, absolute: bool = False) -> Column:
     """STRUCT<state, cents>: state is empty, value or unreadable. Strict: thousands in threes, two decimals at most."""
-    s = _plain(c)
-    value = F.regexp_replace(s, ",", "").try_cast("decimal(20,2)")
-    cents = (value * 100).cast("long")
-    cents = F.abs(cents) if absolute else cents
+    s, t = _plain(c), text(c)
+    read = lambda number: (number.try_cast("decimal(20,2)") * 100).cast("long")
+    plain, numeric = t.rlike(NUMBER), t.rlike(NUMERIC)
     ok = s.rlike(r"^[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)(\.[0-9]{1,2})?$")
-    state = F.when(is_empty(s), "empty").when(ok, "value").otherwise("unreadable")
-    return F.struct(state.alias("state"), F.when(ok & ~is_empty(s), cents).alias("cents"))
+    cents = F.when(plain, read(t)).when(numeric & ok, read(F.regexp_replace(s, ",", "")))
+    state = F.when(plain, "value").when(is_empty(s), "empty").when(numeric & ok, "value").otherwise("unreadable")
+    return F.struct(state.alias("state"), (F.abs(cents) if absolute else cents).alias("cents"))
 
 
 def money_loose(c: str | Column) -> Column:
@@ -53,10 +60,11 @@ def account_no(c: str | Column) -> Column:
 def parse_date(c: str | Column) -> Column:
     """A calendar date of this or the last century anywhere in a cell, in several notations or as eight digits; null if there is no such day."""
     s = text(c)
-    parts = [F.regexp_extract(s, r"(?<![0-9])((?:19|20)[0-9]{2})[-/.年]([0-9]{1,2})[-/.月]([0-9]{1,2})(?![0-9])", i) for i in (1, 2, 3)]
-    digits = [F.regexp_extract(s, r"(?<![0-9])((?:19|20)[0-9]{2})([0-9]{2})([0-9]{2})(?=[0-9]{6}(?![0-9])|\s|$)", i) for i in (1, 2, 3)]
-    year, month, day = (F.when(parts[0] != "", a).otherwise(b) for a, b in zip(parts, digits, strict=True))
-    return F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
+    parts, digits = r"(?<![0-9])(?:19|20)[0-9]{2}[-/.年][0-9]{1,2}[-/.月][0-9]{1,2}(?![0-9])", r"(?<![0-9])(?:19|20)[0-9]{6}(?=[0-9]{6}(?![0-9])|\s|$)"
+    named = F.translate(F.regexp_extract(s, parts, 0), "/.年月", "----").try_cast("date")
+    plain = F.regexp_replace(F.regexp_extract(s, digits, 0), "^(....)(..)(..)$", "$1-$2-$3").try_cast("date")
+    # texts without such a year, and those of a bad date with separators, need no other look
+    return F.when((F.length(s) >= 8) & s.rlike("(?<![0-9])(?:19|20)[0-9]{2}"), F.coalesce(named, F.when(~s.rlike(parts), plain)))
 
 
 def parse_time(c: str | Column) -> Column:

@@ -145,9 +145,10 @@ def _read_outputs(cells: DataFrame, outputs: DataFrame, picks: DataFrame, dispos
     one_place = F.when(F.col("line").isNotNull(), F.coalesce(printed_line == fragment, F.lit(False))).otherwise(place == last)
     good = fragment.isNull() | ((F.length(fragment) > 0) & (place > 0) & one_place)
     value = F.coalesce(fragment, whole)
+    is_time = F.col("field") == AT["transaction_time"]
     pick = F.struct(
         "field", "pos", F.col("cell_id").cast("long").alias("cell_id"), F.coalesce("_known", F.lit(False)).alias("known"), F.coalesce(good, F.lit(False)).alias("good"), F.col("_row").alias("row_id"),
-        F.coalesce(F.col("disposition").isin("header", "account"), F.lit(False)).alias("apart"), value.alias("text"), _normalized(F.col("field"), value).alias("norm"), parse_date(value).cast("string").alias("day"), source_time(value).alias("clock"),
+        F.coalesce(F.col("disposition").isin("header", "account"), F.lit(False)).alias("apart"), value.alias("text"), _normalized(F.col("field"), value).alias("norm"), F.when(is_time, parse_date(value)).cast("string").alias("day"), F.when(is_time, source_time(value)).alias("clock"),
     )
     gathered = found.groupBy(DOC, "out_no").agg(F.array_sort(F.collect_list(pick)).alias("picks"))
     df = outputs.select(DOC, F.col("out_no").cast("long").alias("out_no"), "source_rows", text("direction").alias("d"), text("type").alias("t")).join(gathered.withColumn("out_no", F.col("out_no").cast("long")), [DOC, "out_no"], "left")
