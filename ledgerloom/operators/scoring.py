@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.storage import written
+
 
 def numbered_occurrences(rows: DataFrame, fields: Sequence[str], order: str) -> DataFrame:
     """rows with occurrence: equal rows are numbered, so that multisets can be joined."""
@@ -31,7 +33,8 @@ def align_unique(gold: DataFrame, pred: DataFrame, keys: Sequence[Sequence[str]]
     """(gold_id, pred_id, step): pairs by the first of several keys that is unique on both sides among what is left.
 
     Keys with a null don't count. At last rows equal in all fields of `same`, nulls included, are paired one by one.
-    Both sides are one table, and each key is one window over it: the plan grows by a shuffle a key.
+    Both sides are one table, and each key is one window over it. What the first key pairs, most rows as a rule, is
+    written by its ids alone, and only the others go on to the next keys.
     """
     fields = list(dict.fromkeys([c for key in keys for c in key] + list(same)))
     side = lambda t, i, own: t.select(F.lit(own).alias("_gold"), F.col(i).alias("_id"), *fields)
@@ -46,15 +49,23 @@ def align_unique(gold: DataFrame, pred: DataFrame, keys: Sequence[Sequence[str]]
         hit = F.col("_free") & (F.col("_ng") == 1) & (F.col("_np") == 1)
         return rows.withColumns({"_step": F.when(hit, step).otherwise(F.col("_step")), "_with": F.when(hit, F.col("_other")).otherwise(F.col("_with"))}).drop("_free", "_deal", "_ng", "_np", "_other")
 
+    done = []
     for step, key in enumerate(keys, 1):
         known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
         rows = pair(rows, key, F.col("_step").isNull() & known, step)
+        if step == 1:
+            free = F.col("_step").isNull()
+            lean = rows.where("_gold or _step is null").select("_gold", "_id", "_step", "_with", *[F.when(free, F.col(c)).alias(c) for c in fields])
+            first = written(lean, "first-pairs")
+            done.append(first.where("_step is not null"))
+            rows = first.where("_step is null")
     if same:
         left = F.col("_step").isNull()
         order = Window.partitionBy(*same, "_gold", "_done").orderBy("_id")
         rows = rows.withColumn("_done", F.when(left, 0).otherwise(F.xxhash64("_gold", "_id"))).withColumn("_nth", F.row_number().over(order))
         rows = pair(rows, [*same, "_nth"], left, len(keys) + 1)
-    return rows.where("_gold and _step is not null").select(F.col("_id").alias(gold_id), F.col("_with").alias(pred_id), F.col("_step").alias("step"))
+    found = [t.where("_gold and _step is not null").select(F.col("_id").alias(gold_id), F.col("_with").alias(pred_id), F.col("_step").alias("step")) for t in (*done, rows)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def field_accuracy(gold: DataFrame, pred: DataFrame, pairs: DataFrame, keys: Sequence[str], fields: Sequence[str], gold_id: str = "gold_id", pred_id: str = "pred_id") -> DataFrame:
