@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import pending
 from ..plans import demo_ledger
@@ -27,9 +28,21 @@ ISSUERS = "SELECT DISTINCT document_id, concat('BANK', right(document_id, 1)) AS
 ISSUES = " UNION ALL ".join(f"SELECT document_id, event * 20 + {n} AS issue_no, event, k, '{c}' AS code, {'NULL' if f is None else repr(f)} AS field, '{v}' AS names FROM base WHERE {w}" for n, c, f, w, v in KINDS)
 
 
+def _base(rows: DataFrame) -> DataFrame:
+    """BASE of the rows, written. A document's rows are numbered in ranges of their order, so that no task sorts a whole document."""
+    order = ["document_id", "seq", "id"]
+    lean = rows.select(F.col("source_document_id").alias("document_id"), "seq", "id", F.col("row_index").cast("long").alias("k"), "account_number", "direction", F.col("amount_cents").cast("string").alias("amount"), F.coalesce("counterparty_account", F.lit("")).alias("party"))
+    placed = written(written(lean, "lean").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "placed")
+    sizes = placed.groupBy("document_id", "_part").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy("document_id").orderBy("_part")) - F.col("_size")).drop("_size")
+    within = F.row_number().over(Window.partitionBy("document_id", "_part").orderBy("seq", "id"))
+    numbered = placed.withColumn("_nth", within).join(before, ["document_id", "_part"])
+    return written(numbered.select("document_id", (F.col("_before") + F.col("_nth")).cast("long").alias("event"), "k", "account_number", "direction", "amount", "party"), "base")
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(demo_ledger.ledger(spark, sf_dir), "ledger")
-    of = lambda t: written(spark.sql(f"WITH {BASE.replace('FROM ledger', 'FROM {ledger}')} {t}", ledger=rows), "pending")
+    base = _base(demo_ledger.ledger(spark, sf_dir))
+    of = lambda t: written(spark.sql(t.replace("FROM base", "FROM {base}"), base=base), "pending")
     issues, values = of(ISSUES), of(VALUES)
     named = F.when(F.col("names") == "both", F.array(F.col("event") * 2, F.col("event") * 2 + 1)).when(F.col("names") == "one", F.array(F.col("event") * 2)).when(F.col("names") == "other", F.array(F.col("event") * 2 + 1)).otherwise(F.array().cast("array<bigint>"))
     return pending.judged_issues(issues.withColumn("observations", named), of(OBS), values, values.where("v = 0").select("document_id", "event", "field", "value"), of(LISTED), of(ISSUERS))
