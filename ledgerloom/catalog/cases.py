@@ -14,8 +14,7 @@ from .registry import query
 
 
 def _evaluation(spark: SparkSession, sf_dir: str) -> Evaluation:
-    ledger, accounts, cases = (written(f(spark, sf_dir), f.__name__) for f in (demo_ledger.ledger, demo_ledger.accounts, demo_ledger.cases))
-    return evaluate_case(ledger, accounts, cases)
+    return evaluate_case(demo_ledger.ledger(spark, sf_dir), demo_ledger.accounts(spark, sf_dir), written(demo_ledger.cases(spark, sf_dir), "cases"))
 
 
 def _likes(column: str, pattern: str) -> str:
@@ -130,7 +129,7 @@ def _phase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d3_canonical_events", f"{demo_ledger.ORACLE}, {EVENTS_SQL} SELECT * FROM events")
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.canonical_events(written(demo_ledger.ledger(spark, sf_dir), "ledger"))
+    return events.canonical_events(demo_ledger.ledger(spark, sf_dir))
 
 
 #: Copies of the rows with a copy in another document: C declares its row, X in the same document doesn't; D declares C with
@@ -157,7 +156,7 @@ def _declared_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d4_representatives", f"{demo_ledger.ORACLE}, {EVENTS_SQL} SELECT case_id, event_id, representative_id, max(n_observations) AS n_observations FROM events GROUP BY ALL")
 def _representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.canonical_events(written(demo_ledger.ledger(spark, sf_dir), "ledger")).select("case_id", "event_id", "representative_id", "n_observations").distinct()
+    return events.canonical_events(demo_ledger.ledger(spark, sf_dir)).select("case_id", "event_id", "representative_id", "n_observations").distinct()
 
 
 @query("d5_project_events_back", f"""{CASE_SQL}
@@ -170,7 +169,7 @@ def _project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g4_duplicate_groups", f"{demo_ledger.ORACLE}, {EVENTS_SQL} SELECT case_id, event_id, string_agg(id, ',' ORDER BY id) AS observation_ids FROM events WHERE n_observations > 1 GROUP BY ALL")
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.duplicate_groups(events.canonical_events(written(demo_ledger.ledger(spark, sf_dir), "ledger")))
+    return graph.duplicate_groups(events.canonical_events(demo_ledger.ledger(spark, sf_dir)))
 
 
 @query("j2_duplicate_of", f"""{demo_ledger.ORACLE} SELECT l.case_id, l.id, t.id AS duplicate_of, t.source_document_id AS target_document FROM ledger l JOIN ledger t ON l.case_id = t.case_id AND l.id = t.id || '_B'""")
@@ -181,8 +180,7 @@ def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j3_internal_transfer_edges", f"{demo_ledger.ORACLE}, {EVENTS_SQL}, {EDGES_SQL} SELECT * FROM edges")
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _evaluation(spark, sf_dir)
-    return netting.internal_transfer_edges(found.event_rows, found.accounts).withColumn("days", F.col("days").cast("long"))
+    return _evaluation(spark, sf_dir).transfer_edges.withColumn("days", F.col("days").cast("long"))
 
 
 @query("d6_internal_netting", f"{CASE_SQL} SELECT case_id, id, internal_pair_id FROM analysed WHERE is_internal")

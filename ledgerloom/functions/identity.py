@@ -25,7 +25,11 @@ def norm_part(c: str | Column) -> Column:
 
 def is_reliable_account(c: str | Column) -> Column:
     """Eight characters or more, no national id, no placeholder."""
-    n = norm_part(c)
+    return is_reliable_number(norm_part(c))
+
+
+def is_reliable_number(n: Column) -> Column:
+    """The same of a number that norm_part has made."""
     return (F.length(n) >= 8) & ~n.rlike(P.NATIONAL_ID) & ~n.rlike(P.PLACEHOLDER_ACCOUNT)
 
 

@@ -40,8 +40,8 @@ def flow_category_totals(txn: DataFrame) -> DataFrame:
 
 def phase_tag(date: Column) -> Column:
     """The latest milestone reached; before the first, which side of the debt. Milestones t0 to t6 are columns of the row."""
-    nodes = F.array(*[F.struct(F.col(c).alias("at"), F.lit(-i).alias("rank"), F.lit(tag).alias("tag")) for i, (c, tag) in enumerate(P.PHASES)])
-    reached = F.array_max(F.filter(nodes, lambda x: x["at"] <= date))["tag"]
+    nodes = [F.when(F.col(c) <= date, F.struct(F.col(c).alias("at"), F.lit(-i).alias("rank"), F.lit(tag).alias("tag"))) for i, (c, tag) in enumerate(P.PHASES)]
+    reached = F.greatest(*nodes)["tag"]
     return F.coalesce(reached, F.when(date < F.col("t0"), P.PHASE_BEFORE_DEBT).when(date >= F.col("t0"), P.PHASE_BEFORE_SUIT).otherwise(P.PHASE_DEFAULT))
 
 

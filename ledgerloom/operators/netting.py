@@ -33,17 +33,22 @@ def greedy_pairs(edges: DataFrame, keys: list[str]) -> DataFrame:
     return sure.unionByName(rest)
 
 
-def _owned_rows(txn: DataFrame, accounts: DataFrame) -> DataFrame:
-    owned = accounts.where("owner_type = 'DEBTOR_MAIN'").select("case_id", norm_part("account_number").alias("_acct")).where("_acct <> ''").distinct()
+def owned_accounts(accounts: DataFrame) -> DataFrame:
+    """(case_id, _account) of the party's own accounts."""
+    return accounts.where("owner_type = 'DEBTOR_MAIN'").select("case_id", norm_part("account_number").alias("_account")).where("_account <> ''").distinct()
+
+
+def _owned_rows(txn: DataFrame, accounts: DataFrame | None) -> DataFrame:
+    """Rows of the party's own accounts; all of txn, if accounts are not given."""
     rows = txn.where(F.col("direction").isin("IN", "OUT")).withColumns({"_acct": norm_part("account_number"), "_party": norm_part("counterparty_account")})
-    return rows.join(owned, ["case_id", "_acct"], "left_semi")
+    return rows if accounts is None else rows.join(owned_accounts(accounts).withColumnRenamed("_account", "_acct"), ["case_id", "_acct"], "left_semi")
 
 
-def internal_transfer_edges(txn: DataFrame, accounts: DataFrame) -> DataFrame:
+def internal_transfer_edges(txn: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     """(case_id, amount_cents, left_id, left_seq, right_id, right_seq, days, reciprocal): rows that could be two sides of one transfer.
 
     The counterparty account of one row is the other row's account, so that is the join key, with case and amount;
-    neither row may name a third account. Left is the earlier row.
+    neither row may name a third account. Left is the earlier row. Without accounts, all rows are of own accounts.
     """
     rows = _owned_rows(txn, accounts).select("case_id", "amount_cents", "id", "seq", "direction", "transaction_date", "_acct", "_party")
     x, y = rows.where("_party <> ''").alias("x"), rows.alias("y")
@@ -59,7 +64,7 @@ def internal_transfer_edges(txn: DataFrame, accounts: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def internal_pairs(txn: DataFrame, accounts: DataFrame) -> DataFrame:
+def internal_pairs(txn: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     """(case_id, amount_cents, left_id, right_id): each row in at most one pair; reciprocal first, then fewer days, then order."""
     edges = internal_transfer_edges(txn, accounts)
     rank = F.struct((-(F.when(F.col("reciprocal"), 100).otherwise(80) - F.col("days"))).alias("s"), "right_seq")
@@ -67,7 +72,7 @@ def internal_pairs(txn: DataFrame, accounts: DataFrame) -> DataFrame:
     return greedy_pairs(edges.withColumn("rank", F.row_number().over(order)), ["case_id", "amount_cents"])
 
 
-def net_internal(txn: DataFrame, accounts: DataFrame) -> DataFrame:
+def net_internal(txn: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     """txn with is_internal and internal_pair_id."""
     pairs = internal_pairs(txn, accounts)
     both = pairs.select("case_id", F.col("left_id").alias("id"), F.col("right_id").alias("internal_pair_id")).unionByName(pairs.select("case_id", F.col("right_id").alias("id"), F.col("left_id").alias("internal_pair_id")))
@@ -93,12 +98,14 @@ def internal_candidates(txn: DataFrame, accounts: DataFrame, pairs: DataFrame) -
 def fast_in_out_edges(txn: DataFrame, least_cents: int = 3_000_000, percent: int = 15, days: int = 2) -> DataFrame:
     """Receipts and the later pay-outs of one account that could use them: within days, amounts within percent.
 
-    The date range is turned into equality: a receipt is repeated for each day on which a pay-out may follow.
+    The date range is turned into equality of spans of days + 1 days: a receipt is repeated for the one or two spans in
+    which a pay-out may follow. Pay-outs too small for the least receipt are left out before.
     """
+    span = lambda date: F.floor(F.datediff(date, F.lit("1970-01-01").cast("date")) / (days + 1))
     rows = txn.where("not coalesce(is_internal, false)")
-    received = rows.where((F.col("direction") == "IN") & (F.col("amount_cents") >= least_cents)).select("case_id", "account_number", F.col("id").alias("left_id"), F.col("seq").alias("left_seq"), F.col("amount_cents").alias("in_cents"), F.explode(F.sequence("transaction_date", F.date_add("transaction_date", days))).alias("transaction_date"))
-    paid = rows.where("direction = 'OUT'").select("case_id", "account_number", "transaction_date", F.col("id").alias("right_id"), F.col("seq").alias("right_seq"), F.col("amount_cents").alias("out_cents"))
-    found = received.join(paid, ["case_id", "account_number", "transaction_date"])
+    received = rows.where((F.col("direction") == "IN") & (F.col("amount_cents") >= least_cents)).select("case_id", "account_number", F.col("id").alias("left_id"), F.col("seq").alias("left_seq"), F.col("amount_cents").alias("in_cents"), F.col("transaction_date").alias("_from"), F.explode(F.sequence(span(F.col("transaction_date")), span(F.date_add("transaction_date", days)))).alias("_span"))
+    paid = rows.where((F.col("direction") == "OUT") & (100 * F.col("amount_cents") >= (100 - percent) * least_cents)).select("case_id", "account_number", F.col("id").alias("right_id"), F.col("seq").alias("right_seq"), F.col("amount_cents").alias("out_cents"), F.col("transaction_date").alias("_at"), span(F.col("transaction_date")).alias("_span"))
+    found = received.join(paid, ["case_id", "account_number", "_span"]).where(F.datediff("_at", "_from").between(0, days))
     return found.where((F.col("right_seq") > F.col("left_seq")) & (100 * F.abs(F.col("out_cents") - F.col("in_cents")) <= percent * F.col("in_cents"))).select("case_id", "account_number", "left_id", "left_seq", "right_id", "right_seq", "in_cents", "out_cents")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import aggregates, events, flow, netting, rules
 from .storage import written
@@ -20,19 +21,38 @@ class Evaluation:
 
     def __init__(self, observations: DataFrame, accounts: DataFrame, cases: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = written):
         self._keep, self.cases, self.accounts = keep, cases, accounts
-        self.observations = observations
+        self._given = observations
 
     @cached_property
+    def _observed(self) -> DataFrame:
+        """All rows with their events, written once: what follows reads them from there."""
+        return events.observed_events(self._given, netting.owned_accounts(self.accounts))
+
+    @property
+    def observations(self) -> DataFrame:
+        return self._observed.select(*self._given.columns)
+
+    @property
     def events(self) -> DataFrame:
-        return self._keep(events.canonical_events(self.observations), "events")
+        return self._observed.select("case_id", "id", *events.EVENT)
 
-    @cached_property
+    def _event_rows(self, owned: bool) -> DataFrame:
+        rows = self._observed.where(F.col("_owned") == owned).drop("_owned")
+        return flow.tag_phases(events.representatives(rows), self.cases)
+
+    @property
     def event_rows(self) -> DataFrame:
-        return self._keep(flow.tag_phases(events.event_transactions(self.observations, self.events), self.cases), "event-rows")
+        return self._event_rows(True).unionByName(self._event_rows(False))
+
+    @cached_property
+    def transfer_edges(self) -> DataFrame:
+        return netting.internal_transfer_edges(self._event_rows(True))
 
     @cached_property
     def analysed(self) -> DataFrame:
-        return self._keep(netting.net_internal(self.event_rows, self.accounts), "analysed")
+        """Only rows of the party's own accounts can be netted; the others need no look for a partner."""
+        own = self._keep(netting.net_internal(self._event_rows(True)), "analysed")
+        return own.unionByName(self._event_rows(False).withColumns({"internal_pair_id": F.lit(None).cast("string"), "is_internal": F.lit(False)}))
 
     @cached_property
     def summary(self) -> DataFrame:

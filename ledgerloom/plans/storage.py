@@ -13,6 +13,9 @@ _own: dict[str, str] = {}
 #: size and broadcasts tables of millions of rows; with this factor only tiny ones are broadcast unseen, others by what
 #: their shuffle turns out to hold.
 EXPANSION = 100.0
+#: Generated methods of more bytes are never compiled by the JVM but interpreted, at several times the cost of a row: a plan
+#: with one runs in smaller methods instead.
+METHOD_BYTES = 8000
 
 
 def stage_folder(spark: SparkSession) -> str:
@@ -30,6 +33,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     conf = df.sparkSession.conf
     if float(conf.get("spark.sql.sources.fileCompressionFactor")) < EXPANSION:
         conf.set("spark.sql.sources.fileCompressionFactor", str(EXPANSION))
+    if int(conf.get("spark.sql.codegen.hugeMethodLimit")) > METHOD_BYTES:
+        conf.set("spark.sql.codegen.hugeMethodLimit", str(METHOD_BYTES))
     path = f"{stage_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
