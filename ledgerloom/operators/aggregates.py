@@ -33,17 +33,28 @@ def counterparty_summary(txn: DataFrame, cases: DataFrame) -> DataFrame:
     surname = F.left("_debtor", F.lit(1))
     kin = ((text("_debtor") != "") & F.startswith("party_name", surname) & (F.length("party_name") <= 4) & (F.col("party_name") != F.col("_debtor"))) | text("summary").rlike(P.RELATIVE_SUMMARY)
     rows = rows.withColumn("_kin", F.coalesce(kin, F.lit(False)))
-    per_summary = rows.where(text("summary") != "").groupBy("case_id", "party_key", "summary").agg(F.min("seq").alias("_at"))
-    ranked = per_summary.withColumn("_rank", F.row_number().over(Window.partitionBy("case_id", "party_key").orderBy("_at", "summary"))).where("_rank <= 5")
-    summaries = ranked.groupBy("case_id", "party_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "summary"))), lambda x: x["summary"]).alias("frequent_summaries"))
+    # numbers and dates alone are aggregated here, which needs no sort
+    parts = rows.groupBy("case_id", "party_key", "party_name", "summary", "counterparty_account", "counterparty_role_tag", "_kin").agg(
+        F.min("seq").alias("seq"), _cents("IN").alias("in_cents"), _cents("OUT").alias("out_cents"), F.count("*").alias("n_rows"), F.min("transaction_date").alias("earliest_date"), F.max("transaction_date").alias("latest_date"),
+    )
+    parts = parts.repartition("case_id", "party_key")  # both what follows and distinct names are found where a party's parts are
+    party = Window.partitionBy("case_id", "party_key")
+    has = text("summary") != ""
+    at = F.min("seq").over(Window.partitionBy("case_id", "party_key", "summary"))
+    parts = parts.withColumn("_at", at).withColumn("_rank", F.dense_rank().over(party.orderBy(~has, "_at", "summary")))
+    by_name = F.row_number().over(Window.partitionBy("case_id", "party_key", "party_name").orderBy("_at"))
     role = F.when(text("counterparty_role_tag") != "", F.struct("seq", "counterparty_role_tag"))
-    totals = rows.groupBy("case_id", "party_key").agg(
-        F.min_by("party_name", "seq").alias("name"), F.min_by("counterparty_account", "seq").alias("account"),
-        _cents("IN").alias("in_cents"), _cents("OUT").alias("out_cents"), F.count("*").alias("n_rows"), F.countDistinct("party_name").alias("n_aliases"),
-        F.min("transaction_date").alias("earliest_date"), F.max("transaction_date").alias("latest_date"),
-        F.min(role)["counterparty_role_tag"].alias("role_tag"), F.min_by("_kin", "seq").alias("suspected_relative"),
+    totals = parts.withColumn("_new", (by_name == 1).cast("long")).groupBy("case_id", "party_key").agg(
+        F.min(F.struct("seq", "party_name", "counterparty_account", "_kin")).alias("_first"),
+        F.sum("in_cents").alias("in_cents"), F.sum("out_cents").alias("out_cents"), F.sum("n_rows").alias("n_rows"), F.sum("_new").alias("n_aliases"),
+        F.min("earliest_date").alias("earliest_date"), F.max("latest_date").alias("latest_date"), F.min(role)["counterparty_role_tag"].alias("role_tag"),
+        F.collect_set(F.when(has & (F.col("_rank") <= 5), F.struct("_rank", "summary"))).alias("_said"),
+    )
+    summaries = F.when(F.size("_said") > 0, F.transform(F.array_sort("_said"), lambda x: x["summary"]))
+    return totals.select(
+        "case_id", "party_key", F.col("_first.party_name").alias("name"), F.col("_first.counterparty_account").alias("account"), "in_cents", "out_cents", "n_rows", "n_aliases", "earliest_date", "latest_date",
+        "role_tag", F.col("_first._kin").alias("suspected_relative"), (F.col("out_cents") - F.col("in_cents")).alias("net_out_cents"), summaries.alias("frequent_summaries"),
     )
-    return totals.withColumn("net_out_cents", F.col("out_cents") - F.col("in_cents")).join(summaries, ["case_id", "party_key"], "left")
 
 
 def counterparty_lookup(txn: DataFrame, summary: DataFrame, fields: list[str]) -> DataFrame:
