@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,24 +28,25 @@ def counterparty_entities(txn: DataFrame) -> DataFrame:
 
 
 def relationships(txn: DataFrame) -> DataFrame:
-    """Edges of six types between accounts, transactions, counterparties, categories and judicial deductions."""
+    """Edges of six types between accounts, transactions, counterparties, categories and judicial deductions.
+
+    A row gives all its edges at once, so it is read and classified once; only pairs of transfers need a join.
+    """
     rows = classify_flow(with_counterparty(txn))
     account, party, judicial = F.concat(F.lit("account|"), _account(txn)), F.concat(F.lit("party|"), "party_key"), F.concat(F.lit("judicial|"), "id")
-    taken = rows.where(is_judicial_deduction())
-    other = txn.select("case_id", F.col("id").alias("internal_pair_id"), F.col("event_id").alias("_other"))
-    paired = rows.where("id < internal_pair_id").join(other, ["case_id", "internal_pair_id"])
-
-    def edge(frame: DataFrame, kind: str, a, b) -> DataFrame:
-        return frame.select("case_id", F.lit(kind).alias("type"), a.alias("from_id"), b.alias("to_id"), "amount_cents")
-
-    return reduce(DataFrame.unionByName, [
-        edge(rows, "ACCOUNT_HAS_TRANSACTION", account, F.col("event_id")),
-        edge(rows.where(EXTERNAL), "TRANSACTION_WITH_COUNTERPARTY", F.col("event_id"), party),
-        edge(rows.where("flow_code is not null"), "TRANSACTION_CLASSIFIED_AS", F.col("event_id"), F.concat(F.lit("flow|"), "flow_code")),
-        edge(paired, "INTERNAL_TRANSFER_PAIR", F.col("event_id"), F.col("_other")),
-        edge(taken, "JUDICIAL_DEDUCTION_FROM_ACCOUNT", account, judicial),
-        edge(taken.where(EXTERNAL), "JUDICIAL_DEDUCTION_TO_AUTHORITY", judicial, party),
-    ])
+    rows = rows.withColumns({"_from": account, "_party": party, "_judicial": judicial, "_taken": is_judicial_deduction(), "_external": F.expr(EXTERNAL)})
+    edge = lambda kind, a, b: F.struct(F.lit(kind).alias("type"), F.col(a).alias("from_id"), F.col(b).alias("to_id"))
+    each = F.array(
+        edge("ACCOUNT_HAS_TRANSACTION", "_from", "event_id"),
+        F.when(F.col("_external"), edge("TRANSACTION_WITH_COUNTERPARTY", "event_id", "_party")),
+        F.when(F.col("flow_code").isNotNull(), F.struct(F.lit("TRANSACTION_CLASSIFIED_AS").alias("type"), F.col("event_id").alias("from_id"), F.concat(F.lit("flow|"), "flow_code").alias("to_id"))),
+        F.when(F.col("_taken"), edge("JUDICIAL_DEDUCTION_FROM_ACCOUNT", "_from", "_judicial")),
+        F.when(F.col("_taken") & F.col("_external"), edge("JUDICIAL_DEDUCTION_TO_AUTHORITY", "_judicial", "_party")),
+    )
+    edges = rows.select("case_id", F.explode(each).alias("e"), "amount_cents").where("e is not null").select("case_id", "e.*", "amount_cents")
+    other = txn.where("internal_pair_id is not null").select("case_id", F.col("id").alias("internal_pair_id"), F.col("event_id").alias("_other"))
+    paired = txn.where("id < internal_pair_id").join(other, ["case_id", "internal_pair_id"])
+    return edges.unionByName(paired.select("case_id", F.lit("INTERNAL_TRANSFER_PAIR").alias("type"), F.col("event_id").alias("from_id"), F.col("_other").alias("to_id"), "amount_cents"))
 
 
 def duplicate_groups(events: DataFrame) -> DataFrame:
