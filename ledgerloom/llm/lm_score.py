@@ -22,15 +22,14 @@ bounded size, the others are joined to the counts by a shuffle.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 from math import isqrt
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,26 +65,45 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Of many texts: how many tokens each has, and all tokens end to end, each text's end (END) behind its words."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    # split after its last space, a text has an empty part behind its words; a text without words is one empty part
+    parts = pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, ""), "", pc.binary_join_element_wise(trimmed, "", " ")))
+    return pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64), parts.flatten().cast(pa.binary())
+
+
+def distinct_tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of many texts: how many tokens each has, the place of each token among the distinct ones, and these."""
+    lengths, all_tokens = tokens_of(texts)
+    coded = all_tokens.dictionary_encode()
+    return lengths, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
 def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, c): every distinct token of docs with its count, the end of each text among them."""
-    types = pa.schema([("word", pa.binary()), ("c", pa.int64())])
+    most = 1_000_000  # distinct tokens that a task holds, about
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        ends = 0
+        held: list[pa.Table] = []
+        rows, limit = 0, most
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.column(0).slice(lo, 256).to_pylist()
-                ends += len(part)
-                for t in part:
-                    seen.update(tokens(t))
-                if len(seen) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], schema=types)
-                    seen = Counter()
-        if ends:
-            seen[END] += ends
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], schema=types)
+            for lo in range(0, batch.num_rows, 1024):
+                found = pc.value_counts(tokens_of(batch.column(0).slice(lo, 1024))[1])
+                held.append(pa.table({"word": found.field("values"), "c": found.field("counts")}))
+                rows += len(found)
+                if rows > limit:
+                    held = [added(held)]
+                    rows = len(held[0])
+                    limit = rows + most
+                    if rows > most:
+                        yield from held[0].to_batches()
+                        held, rows, limit = [], 0, most
+        if held:
+            yield from added(held).to_batches()
+
+    def added(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns({"c_sum": "c"}).select(["word", "c"])
 
     return docs.select(text).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -164,11 +182,10 @@ class LogBilinear:
 
     def contexts(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """For each token of texts laid end to end, the outputs of the tokens before it; starts: each token's text's first place."""
-        at = np.arange(len(ids))
+        before = np.arange(len(ids)) - starts
         out = np.full((self.params.context, len(ids)), len(self.w["inp"]) - 1, ids.dtype)
         for j in range(1, self.params.context + 1):
-            ok = at - j >= starts
-            out[j - 1, ok] = ids[at[ok] - j]
+            np.copyto(out[j - 1, j:], ids[:-j], where=before[j:] >= j)
         return out
 
     def fit(self, texts: Iterator[np.ndarray], turn: int, seed: int) -> int:
@@ -177,53 +194,49 @@ class LogBilinear:
         Noise-contrastive estimation: tell each token from noise tokens drawn by their share, and its group from noise
         groups. Adam on mini-batches of tokens shuffled within a buffer of whole texts.
         """
-        p, w = self.params, self.w
+        p = self.params
         rng = np.random.default_rng([p.seed + 1, turn, seed])
         heads = [_Head("out", "bias", self.share, p.noise), _Head("group", "group_bias", self.group_share, p.group_noise)]
-        m, v, step, seen = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}, 0, 0
+        flat = self.packed()
+        self.w, grad = self._views(flat), np.zeros_like(flat)
+        found, adam, seen = self._views(grad), _Adam(flat), 0
         rate = p.rate * (1 - turn / p.rounds) + 1e-4
         for parts in _buffers(texts, p.buffer):
             lengths = np.array([len(x) for x in parts])
             ids = np.concatenate(parts)
-            ctx = self.contexts(ids, np.repeat(np.cumsum(lengths) - lengths, lengths))
+            ctx = np.ascontiguousarray(self.contexts(ids, np.repeat(np.cumsum(lengths) - lengths, lengths)).T)
             seen += len(ids)
             for at in np.array_split(rng.permutation(len(ids)), max(1, len(ids) // p.batch)):
-                grad, step = self._gradient(ids[at], ctx[:, at], heads, rng), step + 1
-                for k, g in grad.items():
-                    m[k] *= np.float32(0.9)
-                    m[k] += np.float32(0.1) * g
-                    v[k] *= np.float32(0.999)
-                    v[k] += np.multiply(g, np.float32(0.001) * g, out=g)
-                    move = np.sqrt(v[k], out=g)
-                    move += np.float32(1e-8)
-                    np.divide(m[k], move, out=move)
-                    move *= np.float32(rate * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step))
-                    w[k] -= move
+                at = at[_order(ids.take(at), len(self.share))]
+                self._gradient(ids.take(at), ctx.take(at, 0), heads, rng, found)
+                adam.move(grad, rate)
         return seen
 
+    def _views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The parts of packed weights by name."""
+        found, at = {}, 0
+        for k, a in self.w.items():
+            found[k] = flat[at : at + a.size].reshape(a.shape)
+            at += a.size
+        return found
+
     def packed(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.w.values()])
 
     def unpack(self, flat: np.ndarray) -> None:
-        at = 0
-        for k, a in self.w.items():
-            self.w[k] = flat[at : at + a.size].reshape(a.shape).astype(np.float32)
-            at += a.size
-
-    def _gradient(self, y: np.ndarray, ctx: np.ndarray, heads: list[_Head], rng: np.random.Generator) -> dict[str, np.ndarray]:
-        w = self.w
-        tables = w["inp"] @ w["mat"]  # what each output adds at each position
-        q = tables[0][ctx[0]]
-        for t, c in zip(tables[1:], ctx[1:], strict=True):
-            q += t[c]
-        grad, dq = {}, 0.0
-        for head, places in zip(heads, (y, y // self.width), strict=True):
-            found, d = head.gradient(q, places, w, rng)
-            grad, dq = grad | found, dq + d
-        moved = np.stack([_sums(c, dq, len(w["inp"])) for c in ctx])
-        grad["mat"] = w["inp"].T @ moved
-        grad["inp"] = (moved @ w["mat"].transpose(0, 2, 1)).sum(0)
-        return grad
+        self.w = self._views(flat.astype(np.float32))
+
+    def _gradient(self, y: np.ndarray, ctx: np.ndarray, heads: list[_Head], rng: np.random.Generator, grad: dict[str, np.ndarray]) -> None:
+        """Of all weights, into grad. y ascends; ctx has a row for each of it."""
+        inp, mat = self.w["inp"], self.w["mat"].reshape(-1, self.params.dim)
+        before = inp.take(ctx.ravel(), 0).reshape(len(y), -1)
+        q = before @ mat
+        dq = heads[0].gradient(q, y, self.w, rng, grad)
+        dq += heads[1].gradient(q, y // self.width, self.w, rng, grad)
+        np.matmul(before.T, dq, out=grad["mat"].reshape(mat.shape))
+        at, back = ctx.ravel(), dq @ mat.T
+        order = _order(at, len(inp))
+        _sums(at.take(order), back.reshape(len(at), -1).take(order, 0), grad["inp"])
 
     def scorer(self):
         """(contexts, tokens) -> log10 probabilities, normalised over all outputs: within the group, times the group's."""
@@ -236,20 +249,20 @@ class LogBilinear:
             z = q @ vectors
             z += bias
             np.minimum(z, 80, out=z)
-            true = z[np.arange(len(z)), at]
+            true = z.ravel().take(np.arange(0, z.size, z.shape[1]) + at)
             np.exp(z, out=z)
-            return true - np.log(z.sum(1))
+            return true - np.log(z @ np.ones(z.shape[1], z.dtype))
 
         def score(ctx: np.ndarray, y: np.ndarray) -> np.ndarray:
             result = np.empty(len(y))
             for lo in range(0, len(y), block):
                 own = y[lo : lo + block]
                 of = own // width
-                order = np.argsort(of.astype(np.int16) if len(inner) < 1 << 15 else of, kind="stable")
+                order = _order(of, len(inner))
                 own, of = own[order], of[order]
-                q = tables[0][ctx[0, lo : lo + block][order]]
+                q = tables[0].take(ctx[0, lo : lo + block].take(order), 0)
                 for t, c in zip(tables[1:], ctx[1:], strict=True):
-                    q += t[c[lo : lo + block][order]]
+                    q += t.take(c[lo : lo + block].take(order), 0)
                 logs = log_share(q, groups, group_bias, of)
                 first = np.nonzero(np.r_[True, of[1:] != of[:-1]])[0]
                 for a, b in zip(first, [*first[1:], len(of)], strict=True):
@@ -268,37 +281,66 @@ class _Head:
         self.log_noise = (np.log(share) + np.log(noise)).astype(np.float32)
         self.upto = np.cumsum(share)
 
-    def gradient(self, q: np.ndarray, y: np.ndarray, w: dict[str, np.ndarray], rng: np.random.Generator) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Of the head's own weights by name, and of q."""
+    def gradient(self, q: np.ndarray, y: np.ndarray, w: dict[str, np.ndarray], rng: np.random.Generator, grad: dict[str, np.ndarray]) -> np.ndarray:
+        """Of q; that of the head's own weights goes into grad by name. y ascends."""
         out, bias, n = w[self.vectors], w[self.bias], len(y)
-        noise = np.minimum(np.searchsorted(self.upto, rng.random(self.noise) * self.upto[-1], "right"), len(bias) - 1)
+        drawn = np.minimum(np.searchsorted(self.upto, rng.random(self.noise) * self.upto[-1], "right"), len(bias) - 1)
+        noise, times = np.unique(drawn, return_counts=True)  # what is drawn again counts as often, and is looked at once
         shifted = bias - self.log_noise
-        true = out[y]
-        of_true = np.einsum("ij,ij->i", q, true) + shifted[y]
-        of_noise = q @ out[noise].T
-        of_noise += shifted[noise]
+        true, others = out.take(y, 0), out.take(noise, 0)
+        of_true = np.einsum("ij,ij->i", q, true) + shifted.take(y)
+        of_noise = q @ -others.T
+        of_noise -= shifted.take(noise)
         d_true = (-1 / (1 + np.exp(np.clip(of_true, -30, 30)))).astype(np.float32) / np.float32(n)
-        np.negative(of_noise, out=of_noise)
         with np.errstate(over="ignore"):  # beyond the range of floats the quotient is 0, as it should be
             np.exp(of_noise, out=of_noise)
         of_noise += np.float32(1)
-        d_noise = np.divide(np.float32(1 / n), of_noise, out=of_noise)
-        grad = {self.vectors: _sums(y, d_true[:, None] * q, len(out)), self.bias: np.bincount(y, d_true, len(bias)).astype(np.float32)}
-        np.add.at(grad[self.vectors], noise, d_noise.T @ q)
-        np.add.at(grad[self.bias], noise, d_noise.sum(0))
+        d_noise = np.divide((times / n).astype(np.float32), of_noise, out=of_noise)
+        _sums(y, d_true[:, None] * q, grad[self.vectors])
+        grad[self.vectors][noise] += d_noise.T @ q
+        grad[self.bias][:] = np.bincount(y, d_true, len(bias))
+        grad[self.bias][noise] += np.ones(n, np.float32) @ d_noise
         true *= d_true[:, None]
-        true += d_noise @ out[noise]
-        return grad, true
+        true += d_noise @ others
+        return true
 
 
-def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Rows added up by index."""
-    order = np.argsort(index.astype(np.int16) if n < 1 << 15 else index, kind="stable")  # 16 bits are sorted by digits
-    s = index[order]
-    first = np.nonzero(np.r_[True, s[1:] != s[:-1]])[0]
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    out[s[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+class _Adam:
+    """Moves weights against gradients by Adam; the moments are kept without their constant factors 0.1 and 0.001."""
+
+    def __init__(self, weights: np.ndarray, block: int = 16_384):
+        self.parts = [(slice(lo, lo + block), weights[lo : lo + block], np.zeros_like(weights[lo : lo + block]), np.zeros_like(weights[lo : lo + block])) for lo in range(0, len(weights), block)]
+        self.step = 0
+
+    def move(self, grad: np.ndarray, rate: float) -> None:
+        """Part by part, so that a part stays in the processor's cache. What is in grad is lost."""
+        self.step += 1
+        least = np.float32(1e-8 / 0.001**0.5)
+        far = np.float32(rate * 0.1 / 0.001**0.5 * (1 - 0.999**self.step) ** 0.5 / (1 - 0.9**self.step))
+        for at, w, m, v in self.parts:
+            g = grad[at]
+            m *= np.float32(0.9)
+            m += g
+            v *= np.float32(0.999)
+            v += np.multiply(g, g, out=g)
+            move = np.sqrt(v, out=g)
+            move += least
+            np.divide(m, move, out=move)
+            move *= far
+            w -= move
+
+
+def _order(index: np.ndarray, n: int) -> np.ndarray:
+    """What sorts numbers below n."""
+    return np.argsort(index.astype(np.int16) if n < 1 << 15 else index, kind="stable")  # 16 bits are sorted by digits
+
+
+def _sums(index: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """Rows added up by index, which ascends, into out; 0 where it has none."""
+    first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+    pairs = np.complex64 if rows.shape[1] % 2 == 0 else rows.dtype  # two floats at a time: half the calls
+    out[:] = 0
+    out[index[first]] = np.add.reduceat(np.ascontiguousarray(rows).view(pairs), first, axis=0).view(rows.dtype)
 
 
 def _buffers(texts: Iterator[np.ndarray], size: int) -> Iterator[list[np.ndarray]]:
@@ -354,10 +396,13 @@ def _encoded(docs: DataFrame, vocab: Vocabulary, text: str, turns: int) -> DataF
         for batch in batches:
             encoder = encoder or once_per_worker(token, lambda: Encoder(shared.value))
             for lo in range(0, batch.num_rows, 256):
-                rows = [encoder.outputs([*tokens(t), END])[1].astype("<i4").tobytes() for t in batch.column(0).slice(lo, 256).to_pylist()]
-                turn = np.arange(dealt, dealt + len(rows), dtype=np.int32) % turns
-                dealt += len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(turn), pa.array(rows, pa.binary())], names=["turn", "ids"])
+                lengths, places, words = distinct_tokens_of(batch.column(0).slice(lo, 256))
+                ids = encoder.outputs(words)[1].astype("<i4").take(places)
+                ends = np.concatenate([[0], np.cumsum(4 * lengths)]).astype(np.int32)
+                turn = np.arange(dealt, dealt + len(lengths), dtype=np.int32) % turns
+                dealt += len(lengths)
+                rows = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(turn), rows], names=["turn", "ids"])
 
     return docs.select(text).mapInArrow(run, "turn int, ids binary")
 
@@ -417,14 +462,6 @@ def train(docs: DataFrame, vocab: Vocabulary, params: LmParams = LmParams(), tex
     return model
 
 
-class Rare(NamedTuple):
-    """Words of a text that are not among the common ones: the word, its class, how often the text has it."""
-
-    w: list[bytes]
-    k: list[int]
-    tf: list[int]
-
-
 def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilinear, text: str = "text") -> DataFrame:
     """docs without the text, with n_tokens, n_known, train_tokens, base_score and score (log10, summed over tokens).
 
@@ -444,28 +481,21 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
         encoder, scorer = once_per_worker(token, lambda: (Encoder(vocab), model.scorer()))
         first_class = len(vocab.words)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                rows, rare, ends, all_out, lengths, extra = [], Rare([], [], []), [0], [], [], []
-                for t in part.column(0).to_pylist():
-                    words = [*tokens(t), END]
-                    at, out = encoder.outputs(words)
-                    known = at >= 0
-                    found = at[known]
-                    rows.append((len(words), int(known.sum()), float(encoder.base[found].sum())))
-                    extra.append(float(encoder.inner[found].sum()))
-                    missing = Counter([words[i] for i in np.nonzero(~known)[0].tolist()])
-                    rare.w.extend(missing)
-                    rare.k.extend([encoder.of_rare(w) - first_class for w in missing])
-                    rare.tf.extend(missing.values())
-                    ends.append(len(rare.w))
-                    all_out.append(out)
-                    lengths.append(len(words))
-                ids, lens = np.concatenate(all_out), np.array(lengths)
-                begin = np.cumsum(lens) - lens
-                total = np.add.reduceat(scorer(model.contexts(ids, np.repeat(begin, lens)), ids), begin)
-                structs = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(rare, (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=Rare._fields)
-                columns = [*(pa.array(c, t) for c, t in zip([*zip(*rows, strict=True), total + np.array(extra)], types, strict=True)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)]
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                lengths, places, words = distinct_tokens_of(part.column(0))
+                at, out = encoder.outputs(words)
+                known, ids, begin = (at >= 0).take(places), out.take(places), np.cumsum(lengths) - lengths
+                base, inner = (np.where(at >= 0, x.take(at, mode="clip") if len(x) else 0.0, 0.0).take(places) for x in (encoder.base, encoder.inner))
+                total = np.add.reduceat(scorer(model.contexts(ids, np.repeat(begin, lengths)), ids) + inner, begin)
+                # words of a text that are not among the common ones: the word, its class, how often the text has it
+                texts = np.repeat(np.arange(len(lengths)), lengths)
+                rare, tf = np.unique(texts[~known] * len(words) + places[~known], return_counts=True)
+                which = rare % len(words)
+                ends = np.searchsorted(rare // len(words), np.arange(len(lengths) + 1)).astype(np.int32)
+                structs = pa.StructArray.from_arrays([pa.array([words[i] for i in which.tolist()], pa.binary()), pa.array((out[which] - first_class).astype(np.int32)), pa.array(tf.astype(np.int32))], names=["w", "k", "tf"])
+                sums = [lengths, np.add.reduceat(known.astype(np.int64), begin), np.add.reduceat(base, begin), total]
+                columns = [*(pa.array(c, t) for c, t in zip(sums, types, strict=True)), pa.ListArray.from_arrays(pa.array(ends), structs)]
                 yield pa.RecordBatch.from_arrays([part.column(1), *columns], names=["_row", *(f.split()[0] for f in fields.split(", "))])
 
     row_type = kept.schema["_row"].dataType.simpleString()

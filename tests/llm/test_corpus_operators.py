@@ -3,10 +3,12 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import iso_media, language_id, lm_score, minmax_dedup, mixing, packing, pq_dedup, quality, sharding, warc
@@ -169,6 +171,56 @@ def test_lm_learns_from_all_training_texts(spark):
     assert sum(grown.class_tokens) + 10_000 + 50 == grown.total == 20_000
 
 
+def test_lm_tokens_of_many_texts_equal_those_of_each():
+    rng = random.Random(5)
+    texts = [None, "", " ", "\t\n", " a", "a ", "A  b\x0bC\x0c d\r\n", "Ünder ÄX Éa", "a\x00b", "\x1ca\x1fb\x85c\xa0d", "İ K"]
+    texts += ["".join(rng.choice("aB \t\n\x0b\x0c\r\x1c\x85 é ") for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    for some in (texts, texts[:1], []):
+        want = [[*lm_score.tokens(t), lm_score.END] for t in some]
+        lengths, places, distinct = lm_score.distinct_tokens_of(pa.array([*texts[:3], *some], pa.string()).slice(3))
+        assert lengths.tolist() == [len(x) for x in want] and len(set(distinct)) == len(distinct)
+        assert [distinct[i] for i in places.tolist()] == [w for x in want for w in x]
+
+
+def test_lm_steps_move_weights_as_a_plain_loop_does():
+    params = lm_score.LmParams(dim=4, noise=12, group_noise=6, batch=64, rounds=1)
+    share = np.array([8, 4, 2, 1, 1, 1, 1.0]) / 18
+    ids = np.random.default_rng(2).choice(len(share), 64, p=share).astype(np.int32)
+    model, plain = (lm_score.LogBilinear(len(share), share, params) for _ in range(2))
+    assert model.fit(iter([ids]), 0, 0) == 64
+    w, rng, grad = {k: a.astype(float) for k, a in plain.w.items()}, np.random.default_rng([params.seed + 1, 0, 0]), {k: np.zeros(a.shape) for k, a in plain.w.items()}
+    rng.permutation(len(ids))
+    noise = {v: np.searchsorted(np.cumsum(s), rng.random(n) * np.cumsum(s)[-1], "right") for v, s, n in (("out", share, 12), ("group", plain.group_share, 6))}
+    for t, y in enumerate(ids.tolist()):
+        ctx = [ids[t - j] if t >= j else len(share) for j in range(1, params.context + 1)]
+        q, dq = sum(w["inp"][c] @ w["mat"][j] for j, c in enumerate(ctx)), np.zeros(4)
+        for vectors, bias, s, true in (("out", "bias", share, y), ("group", "group_bias", plain.group_share, y // plain.width)):
+            for at, is_true in [(true, 1), *((k, 0) for k in noise[vectors].tolist())]:
+                z = q @ w[vectors][at] + w[bias][at] - math.log(len(noise[vectors]) * s[at])
+                d = (1 / (1 + math.exp(-z)) - is_true) / len(ids)
+                dq += d * w[vectors][at]
+                grad[vectors][at] += d * q
+                grad[bias][at] += d
+        for j, c in enumerate(ctx):
+            grad["mat"][j] += np.outer(w["inp"][c], dq)
+            grad["inp"][c] += w["mat"][j] @ dq
+    for k, g in grad.items():  # the first step of Adam moves every weight by the rate, against the gradient's sign
+        assert np.allclose(w[k] - model.w[k], (params.rate + 1e-4) * g / (np.abs(g) + 1e-8), atol=2e-4), k
+
+
+def test_lm_training_work_grows_slower_than_the_outputs():
+    def seconds(outputs):
+        share, texts = np.full(outputs, 1 / outputs), [np.random.default_rng(1).integers(0, 400, 16_384).astype(np.int32)]
+        model, took = lm_score.LogBilinear(outputs, share, lm_score.LmParams()), []
+        for turn in range(3):
+            began = time.process_time()
+            model.fit(iter(texts), turn, 0)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(40_000) < 8 * seconds(400)
+
+
 def _brute_sets(rows, k):
     out = {}
     for doc, text in rows:
