@@ -39,9 +39,12 @@ BOXES = f"""SELECT {DOC}, id, page, row_index, seq, cast(k % 5 * 90 - 90 AS int)
 CASE cast(k % 4 AS int) WHEN 1 THEN 125.0 + row_index * 30 WHEN 2 THEN (125 + row_index * 30) / 1000.0 WHEN 3 THEN 0.503 END AS box_bottom, CASE cast(k % 4 AS int) WHEN 1 THEN 950.0 WHEN 2 THEN 0.95 WHEN 3 THEN 0.9 END AS box_right FROM sheets"""
 
 
+def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SHEETS.replace("FROM printed", "FROM {printed}"), printed=demo_ledger.printed(spark, sf_dir))
+
+
 def _tables(spark: SparkSession, sf_dir: str, *texts: str) -> list[DataFrame]:
-    printed = demo_ledger.printed(spark, sf_dir)
-    sheets = written(spark.sql(SHEETS.replace("FROM printed", "FROM {printed}"), printed=printed), "sheets")
+    sheets = written(_sheets(spark, sf_dir), "sheets")
     return [spark.sql(t.replace("FROM sheets", "FROM {sheets}"), sheets=sheets) for t in texts]
 
 
@@ -146,7 +149,7 @@ fold AS (SELECT {DOC}, 0::BIGINT AS page, 0::BIGINT AS start, false AS leads, ''
       FROM fold s JOIN p x ON x.case_id = s.case_id AND x.source_document_id = s.source_document_id AND x.page = s.page + 1)))
 SELECT {DOC}, page, start AS statement_page, conflict, bool_or(doubt) OVER (PARTITION BY {DOC}, start) AS needs_review FROM fold WHERE page > 0""")
 def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (described,) = _tables(spark, sf_dir, DESCRIBED)
+    described = written(spark.sql(DESCRIBED.replace("FROM sheets", "FROM {sheets}"), sheets=_sheets(spark, sf_dir)), "described")
     lists = described.withColumns({"accounts": F.filter(F.split("accounts", ","), lambda x: x != ""), "quoted_pages": F.when(F.col("unquoted"), F.array("page")).otherwise(F.array(F.col("page"), F.col("page") - 1))})
     second = lists.where("twice").withColumn("relation", F.lit("NEW"))
     return pages.statement_groups(lists.unionByName(second).withColumn("page", F.col("page").cast("long")))

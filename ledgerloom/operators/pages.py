@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -155,24 +159,50 @@ def statement_groups(pages: DataFrame) -> DataFrame:
     A page of transactions continues the statement before only with that page's neighbour, at 0.9 confidence on both
     sides, no issues, words quoted from both pages, one account at most and no other bank or account than the group's.
     A continuation that conflicts is an issue of its page. Pages described twice are of unknown type.
-    pages: document, page, type, relation, confidence, n_issues, bank, accounts, quoted_pages (arrays). A fold over one
-    document's list of pages carries the group's bank and accounts, which conflicts may replace.
+    pages: document, page, type, relation, confidence, n_issues, bank, accounts, quoted_pages (arrays). A document's pages
+    are walked in order once, in one task that holds a batch of them; the walk carries the group's bank and accounts,
+    which conflicts may replace.
     """
     doc = ["case_id", "source_document_id"]
-    one = F.col("_n") == 1
-    known = pages.withColumn("_n", F.count("*").over(Window.partitionBy(*doc, "page"))).withColumns({
-        "type": F.when(one, F.col("type")).otherwise("UNKNOWN"), "relation": F.when(one, F.col("relation")).otherwise("UNKNOWN"), "confidence": F.when(one, F.col("confidence")).otherwise(0.0), "n_issues": F.when(one, F.col("n_issues")).otherwise(1),
-        "_bank": F.when(one, bank_key("bank")).otherwise(""), "_accounts": F.when(one, F.array_distinct(F.coalesce("accounts", F.array().cast("array<string>")))).otherwise(F.array().cast("array<string>"))})
-    ready = (F.col("type") == "TRANSACTIONS") & (F.col("relation") == "CONTINUE") & (F.col("confidence") >= 0.9) & (F.col("n_issues") == 0) & F.array_contains("quoted_pages", F.col("page")) & F.array_contains("quoted_pages", F.col("page") - 1) & (F.size("_accounts") <= 1)
-    leads = F.col("type").isin("TRANSACTIONS", "ACCOUNT_INFO") & (F.col("confidence") >= 0.9) & (F.col("n_issues") == 0)
-    item = F.struct("page", F.coalesce(ready, F.lit(False)).alias("ready"), F.coalesce(leads, F.lit(False)).alias("leads"), (F.col("relation") == "CONTINUE").alias("asks"), F.col("_bank").alias("bank"), F.col("_accounts").alias("accounts"), (F.col("type") == "UNKNOWN").alias("unknown"), (F.col("n_issues") > 0).alias("issues"))
-    lists = known.groupBy(*doc).agg(F.array_sort(F.collect_set(item)).alias("_pages"))
-    clash = "((x.bank <> '' and s.bank <> '' and x.bank <> s.bank) or (size(x.accounts) > 0 and size(s.accounts) > 0 and size(array_except(x.accounts, s.accounts)) > 0))"
-    goes_on = f"(x.ready and s.leads and s.page = x.page - 1 and size(s.accounts) <= 1 and not {clash})"
-    fold = f"""aggregate(_pages, named_struct('page', cast(-1 as bigint), 'start', cast(-1 as bigint), 'leads', false, 'bank', '', 'accounts', cast(array() as array<string>), 'out', cast(array() as array<struct<page: bigint, statement_page: bigint, conflict: boolean, doubt: boolean>>)), (s, x) -> named_struct(
-      'page', cast(x.page as bigint), 'start', if({goes_on}, s.start, cast(x.page as bigint)), 'leads', x.leads and not ({clash} and x.asks),
-      'bank', if({goes_on} and s.bank <> '', s.bank, x.bank), 'accounts', if({goes_on} and size(s.accounts) > 0, s.accounts, x.accounts),
-      'out', array_append(s.out, named_struct('page', cast(x.page as bigint), 'statement_page', if({goes_on}, s.start, cast(x.page as bigint)), 'conflict', {clash} and x.asks,
-        'doubt', (x.unknown and not {goes_on}) or size(x.accounts) = 0 or x.issues or ({clash} and x.asks)))))"""
-    told = lists.select(*doc, F.explode(F.expr(fold)["out"]).alias("_p")).select(*doc, "_p.*")
-    return told.withColumn("needs_review", F.max("doubt").over(Window.partitionBy(*doc, "statement_page"))).drop("doubt")
+    head = [*doc, "page"]
+
+    def plain(column: pa.Array) -> list:
+        return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+    def lists(column: pa.Array) -> list[list]:
+        values, ends = plain(column.values), column.offsets.to_pylist()
+        return [values[a:b] for a, b in pairwise(ends)]
+
+    def walk(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last, start, led, bank, accounts = None, None, None, False, "", ()
+        for table in tables:
+            kept, starts, conflicts, doubts = [], [], [], []
+            for i, (case, document, page, ready, leads, asks, unknown, issues, own_bank, own) in enumerate(zip(*[plain(c) for c in table.columns[:-1]], lists(table.columns[-1]), strict=True)):
+                if (case, document) != of:
+                    of, start, led, bank, accounts = (case, document), None, False, "", ()
+                elif page == last:
+                    continue
+                clash = bool(bank and own_bank and bank != own_bank) or bool(own and accounts and not set(accounts).issuperset(own))
+                goes_on = ready and led and last == page - 1 and len(accounts) <= 1 and not clash
+                conflict = clash and asks
+                start = start if goes_on else page
+                bank, accounts = bank if goes_on and bank else own_bank, accounts if goes_on and accounts else own
+                last, led = page, leads and not conflict
+                kept.append(i)
+                starts.append(start)
+                conflicts.append(conflict)
+                doubts.append((unknown and not goes_on) or not own or issues or conflict)
+            told = [*table.select(head).take(pa.array(kept, pa.int32())).columns, pa.array(starts, pa.int64()), pa.array(conflicts, pa.bool_()), pa.array(doubts, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(told, [*head, "statement_page", "conflict", "doubt"])
+
+    accounts = F.array_distinct(F.coalesce("accounts", F.array().cast("array<string>")))
+    sure = F.coalesce((F.col("confidence") >= 0.9) & (F.col("n_issues") == 0), F.lit(False))
+    ready = sure & (F.col("type") == "TRANSACTIONS") & (F.col("relation") == "CONTINUE") & F.array_contains("quoted_pages", F.col("page")) & F.array_contains("quoted_pages", F.col("page") - 1) & (F.size(accounts) <= 1)
+    once = {
+        "ready": (ready, F.lit(False)), "leads": (sure & F.col("type").isin("TRANSACTIONS", "ACCOUNT_INFO"), F.lit(False)), "asks": (F.col("relation") == "CONTINUE", F.lit(False)), "unknown": (F.col("type") == "UNKNOWN", F.lit(True)),
+        "issues": (F.col("n_issues") > 0, F.lit(True)), "bank": (bank_key("bank"), F.lit("")), "accounts": (accounts, F.array().cast("array<string>"))}
+    marked = pages.select(*doc, F.col("page").cast("long").alias("page"), *[(own if name in ("bank", "accounts") else F.coalesce(own, F.lit(False))).alias(name) for name, (own, _) in once.items()]).repartition(*doc)
+    known = marked.withColumn("_n", F.count("*").over(Window.partitionBy(*head))).select(*head, *[F.when(F.col("_n") == 1, F.col(name)).otherwise(twice).alias(name) for name, (_, twice) in once.items()])
+    kinds = dict(pages.dtypes)
+    found = known.sortWithinPartitions(*head).mapInArrow(walk, ", ".join(f"{c} {kinds[c]}" for c in doc) + ", page long, statement_page long, conflict boolean, doubt boolean")
+    return found.withColumn("needs_review", F.max("doubt").over(Window.partitionBy(*doc, "statement_page"))).drop("doubt")
